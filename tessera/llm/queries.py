@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import linededup, quality
+from tessera.llm import bpe, linededup, quality, sharding
 from tessera.llm.common import documents
 
 
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(documents(spark, sf_dir), shards=8)
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(documents(spark, sf_dir))
 
@@ -18,5 +22,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "source", "text", "line_total", "line_dropped")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_quality, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op9_line_dedup, op10_bpe)}
