@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, linededup, quality, sharding
+from tessera.llm import bpe, linededup, neardup, quality, sharding
 from tessera.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(documents(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "source", "text", "line_total", "line_dropped")
 
@@ -29,4 +33,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op9_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op4_near_duplicates, op9_line_dedup, op10_bpe)}
