@@ -4,12 +4,13 @@
 2. A class gets a one-permutation MinHash of BINS bins. An empty bin takes the value of the full bin that comes first in
    its own fixed random order (optimal densification). BANDS bands of ROWS bins are hashed to bucket keys. At a
    similarity of 0.75 a pair misses all buckets with odds of 4 in a million.
-3. Buckets are searched in rounds of stars. A round picks one centre a bucket, from the component that has fewest members
-   there, and pairs it with the members of other components: as many pairs as members at most. Pairs are confirmed on
-   full sets and components are updated. A centre then leaves its bucket; a bucket with one component left is done.
-4. Buckets that are open after ROUNDS rounds hold texts that share much without being similar. Their classes go through
-   an exact prefix filter: two sets of the wanted similarity share one of their rarest shingles. The same stars run on
-   those small buckets until all are done, so no link inside any bucket is lost.
+3. In a bucket of at most SMALL members, all pairs are confirmed on full sets. A larger one is searched in rounds of
+   stars: one centre, drawn in turn from the component with most and with fewest members there, is paired with the
+   members of other components, so a round has as many pairs as members at most. Components are updated after each
+   round. A centre then leaves its bucket; a bucket with one component left is done.
+4. Buckets that are open after ROUNDS rounds hold many texts that share much without being similar. Their classes go
+   through a prefix filter: two sets of the wanted similarity share one of their rarest shingles. The same search runs on
+   those buckets, most of which are small.
 
 Nothing but counters reaches the driver. Each round ends in written tables.
 """
@@ -32,6 +33,8 @@ SIMILAR_PERCENT = 75
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 ROUNDS = 4
+#: Members of a bucket up to which all pairs are tested at once: at most SMALL / 2 pairs a member.
+SMALL = 16
 #: Word hashes kept by a Python worker; the store starts anew when full.
 KEEP_WORDS = 300_000
 
@@ -157,41 +160,44 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, sizes: DataFrame, labels: DataFrame | None, tested: DataFrame | None, percent: int, rounds: int | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Stars in buckets (key, node) until all are done or the rounds are over: (open buckets, labels, tested pairs)."""
-    done = 0
-    while rounds is None or done < rounds:
-        done += 1
+def _pairs(members: DataFrame, centres: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of this round, with repeats, and the large buckets without their centres."""
+    stars = scratch.save(members.join(centres, "key"), "stars")
+    large = stars.where(F.col("n") > SMALL)
+    star = large.where("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    small = stars.where(F.col("n") <= SMALL).select("key", "node", "comp")
+    other = small.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    mesh = small.join(other, "key").where("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b")
+    return star.union(mesh), large.where("node <> centre").select("key", "node")
+
+
+def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, sizes: DataFrame, labels: DataFrame | None, tested: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """ROUNDS rounds over buckets (key, node), fewer if no open bucket is left: (open buckets, labels, tested pairs)."""
+    for turn in range(ROUNDS):
         members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-        parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("n", "comp", "node")).alias("c")).where("parts > 1")
-        centres = scratch.save(centres.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), "centres")
-        stars = scratch.save(members.join(centres, "key"), "stars")
-        scratch.drop(buckets)
-        if stars.isEmpty():
-            return stars.select("key", "node"), labels, tested
-        pairs = stars.where("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        draw = F.xxhash64("key", "node", F.lit(turn))
+        parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "node")).alias("m"))
+        # In turn a member of the largest component, which gathers most others, and one of the smallest.
+        pick = F.max(F.struct("n", "m.draw", "comp", "m.node")) if turn % 2 == 0 else F.min(F.struct("n", "m.draw", "comp", "m.node"))
+        centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), pick.alias("c")).where("parts > 1")
+        centres = scratch.save(centres.select("key", "n", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), "centres")
+        pairs, buckets = _pairs(members, centres, scratch)
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
         fit = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
         pairs = scratch.save(pairs.select("a", "b", fit.alias("fit")), "pairs")
-        links = scratch.save(_similar(pairs.where("fit"), sets, percent), "links")
-        labels = _components(scratch, labels, links)
+        if pairs.isEmpty():
+            break
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        buckets = scratch.save(stars.where("node <> centre").select("key", "node"), "buckets")
-        scratch.drop(stars)
+        links = scratch.save(_similar(pairs.where("fit"), sets, percent), "links")
+        if not links.isEmpty():
+            labels = _components(scratch, labels, links)
     return buckets, labels, tested
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Nodes of buckets that still hold two components."""
-    members = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    wide = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return members.join(wide, "key", "left_semi").select("node").distinct()
-
-
 def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, node) for the rarest shingles of each set: as many as two similar sets can't both miss."""
     each = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("key"))
@@ -225,12 +231,11 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     sets = scratch.save(again.join(wanted.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "hashes"), "sets")
     sizes = classes.select("node", "n")
 
-    left, labels, tested = _search(scratch, buckets, sets, sizes, None, None, percent, ROUNDS)
-    if labels is not None:
-        rest = scratch.save(_open(left, labels), "rest")
-        if not rest.isEmpty():
-            rare = scratch.save(_rare_buckets(rest, sets, percent), "buckets")
-            _, labels, _ = _search(scratch, rare, sets, sizes, labels, tested, percent, None)
+    rest, labels, tested = _search(scratch, buckets, sets, sizes, None, None, percent)
+    rest = scratch.save(rest.select("node").distinct(), "rest")
+    if not rest.isEmpty():
+        rare = scratch.save(_rare_buckets(rest, sets, percent), "buckets")
+        _, labels, _ = _search(scratch, rare, sets, sizes, labels, tested, percent)
     labelled = classes.select("hi", "lo", "first_id", "node")
     labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return scratch, rows.drop("hashes"), scratch.save(labelled, "labelled")
