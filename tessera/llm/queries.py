@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, linededup, neardup, quality, sharding
+from tessera.llm import bpe, langid, licenses, linededup, neardup, quality, sharding
 from tessera.llm.common import documents
 
 
@@ -18,10 +19,22 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).drop("places")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
+    model = langid.train(docs.where(F.coalesce(fold, F.lit(0)) != 1), order=F.xxhash64("text"))
+    held_out = docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
+    return langid.detect(held_out, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "source", "text", "line_total", "line_dropped")
 
@@ -33,4 +46,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op4_near_duplicates, op9_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op3_license_scan, op4_near_duplicates, op6_language_id, op9_line_dedup, op10_bpe)}

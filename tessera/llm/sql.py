@@ -36,5 +36,8 @@ select doc_id, source, case when text is null or rest = 0 then text else array_t
 """
 
 
+_BASE3 = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op2_host_quality": OP2, "op9_line_dedup": OP9}
