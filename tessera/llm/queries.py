@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, licenses, linededup, neardup, quality, sharding
+from tessera.llm import bpe, langid, licenses, linededup, lmscore, mixing, neardup, quality, sharding
 from tessera.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return lmscore.cross_entropy_difference(documents(spark, sf_dir), labels.where("quality = 1 and toxic = 0").select("doc_id"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
@@ -35,6 +40,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(held_out, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "mix_tokens", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability", "mix_kept")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "source", "text", "line_total", "line_dropped")
 
@@ -46,4 +56,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op3_license_scan, op4_near_duplicates, op6_language_id, op9_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op3_license_scan, op4_near_duplicates, op5_lm_score, op6_language_id, op7_mixing, op9_line_dedup, op10_bpe)}

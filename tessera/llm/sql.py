@@ -36,8 +36,27 @@ select doc_id, source, case when text is null or rest = 0 then text else array_t
 """
 
 
-_BASE3 = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
+def _op7(rounds: int = 8) -> str:
+    """Raking written out: one step for each dimension and round."""
+    steps, last = [], "cells"
+    for i in range(rounds):
+        for k in ("s", "l", "t"):
+            steps.append(f"w{i}{k} as (select c.s, c.l, c.t, c.tokens, c.weight * g.share / sum(c.weight) over (partition by c.{k}) as weight from {last} c join target_{k} g using ({k}))")
+            last = f"w{i}{k}"
+    targets = [f"target_{k} as (select {k}, pow(sum(tokens)::double, 0.7) / sum(pow(sum(tokens)::double, 0.7)) over () as share from cells group by {k})" for k in ("s", "l", "t")]
+    return rf"""
+with d0 as (select doc_id, coalesce(text, '') as x, coalesce(source, '') as s, coalesce(lang, '') as l, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n from documents),
+d as (select doc_id, s, l, n, case when 10 * (length(x) - length(replace(x, '|', ''))) > n then 'table'
+    when 10 * (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > 3 * n then 'symbols' when n < 50 then 'short' when n >= 1000 then 'long' else 'prose' end as t from d0),
+cells as (select s, l, t, sum(n)::bigint as tokens, sum(n)::double as weight from d group by s, l, t),
+{", ".join(targets)},
+{", ".join(steps)},
+f as (select s, l, t, round(weight, 6) as mix_weight,
+    round(case when tokens > 0 then least(1.0, 0.8 * (select sum(tokens) from cells)::double * weight / tokens) else 1.0 end, 6) as p from {last}),
+r as (select d.*, f.mix_weight, case when n = 0 then 1.0 else p end as p, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0 as u from d join f using (s, l, t))
+select doc_id, n as mix_tokens, s as mix_source, l as mix_lang, t as mix_topic, mix_weight, p as mix_probability, u < p as mix_kept from r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": OP2, "op9_line_dedup": OP9}
+    return {"op2_host_quality": OP2, "op7_mixing": _op7(), "op9_line_dedup": OP9}
