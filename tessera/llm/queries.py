@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, licenses, linededup, lmscore, mixing, neardup, quality, sharding
+from tessera.llm import bpe, langid, licenses, linededup, lmscore, mixing, neardup, quality, search, sharding
 from tessera.llm.common import documents
 
 
@@ -45,6 +45,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_tokens", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability", "mix_kept")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return search.search(documents(spark, sf_dir), queries)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "source", "text", "line_total", "line_dropped")
 
@@ -56,4 +61,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op3_license_scan, op4_near_duplicates, op5_lm_score, op6_language_id, op7_mixing, op9_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op3_license_scan, op4_near_duplicates, op5_lm_score, op6_language_id, op7_mixing, op8_topk_search, op9_line_dedup, op10_bpe)}

@@ -36,6 +36,21 @@ select doc_id, source, case when text is null or rest = 0 then text else array_t
 """
 
 
+OP8 = r"""
+with d as (select doc_id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') as ws
+    from documents where doc_id is not null and regexp_matches(text, '[^\x20\x09-\x0D]')),
+s as (select count(*) as n, sum(len(ws)) / count(*) as mean from d),
+q as (select distinct item_id as query_id, unnest(string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')) as word from benchmark where item_id % 20 = 0),
+p as (select doc_id, len(ws) as size, unnest(ws) as word from d),
+tf as (select doc_id, size, word, count(*) as tf from p where word in (select word from q) group by doc_id, size, word),
+df as (select word, count(*) as df from tf group by word),
+r as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) as score
+    from tf join df using (word) join q using (word), s group by query_id, doc_id),
+o as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from r)
+select query_id, rank, doc_id, score from o where rank <= 10
+"""
+
+
 def _op7(rounds: int = 8) -> str:
     """Raking written out: one step for each dimension and round."""
     steps, last = [], "cells"
@@ -59,4 +74,4 @@ select doc_id, n as mix_tokens, s as mix_source, l as mix_lang, t as mix_topic,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": OP2, "op7_mixing": _op7(), "op9_line_dedup": OP9}
+    return {"op2_host_quality": OP2, "op7_mixing": _op7(), "op8_topk_search": OP8, "op9_line_dedup": OP9}
