@@ -1 +1,11 @@
+"""Registered queries of the library."""
 
+from tessera.plans import review_queries
+
+
+def queries() -> dict:
+    return {**review_queries.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**review_queries.SQL}
