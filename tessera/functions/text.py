@@ -74,21 +74,25 @@ def sentences(c: Column | str) -> Column:
 
 def embedding_tokens(c: Column | str) -> Column:
     """Lower-cased word tokens."""
-    return F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+
+
+# The letters of a prompt's words, and the shape of a placeholder.
+PROMPT_WORD = r"[A-Za-zА-Яа-яЁёЇїІіЄєҐґ0-9]+(?:[-'][A-Za-zА-Яа-яЁёЇїІіЄєҐґ0-9]+)?"
+PLACEHOLDER = r"\{([a-zA-Z_][a-zA-Z0-9_]*)\}"
 
 
 def prompt_stats(c: Column | str) -> Column:
-    """Counts of a prompt text: characters, lines, words, sentences, averages, placeholders, braces."""
-    t = F.coalesce(_c(c), F.lit(""))
-    lines = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"\n\z", ""), "\n", -1))
-    ws = F.regexp_extract_all(t, F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    sentence_parts = F.filter(F.split(t, r"(?U)[.!?]+(?:\s+|\z)"), lambda s: strip(s) != "")
-    marks = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\{([A-Za-z_][A-Za-z0-9_]*)\}"), F.lit(1))))
+    """Counts of a trimmed prompt text: characters, lines, words, sentences, averages, placeholders, braces."""
+    t = strip(F.coalesce(_c(c), F.lit("")))
+    lines = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", -1))
+    ws = F.regexp_extract_all(t, F.lit(PROMPT_WORD), F.lit(0))
+    parts = F.size(F.filter(F.split(t, r"(?U)(?<=[.!?])\s+"), lambda s: strip(s) != ""))
+    marks = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(1))))
     letters = F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w))
     return F.struct(
-        F.length(t).alias("char_count"), F.size(lines).alias("line_count"), F.size(F.filter(lines, lambda x: strip(x) != "")).alias("non_empty_line_count"), F.size(ws).alias("word_count"),
-        F.size(sentence_parts).alias("sentence_count"), F.when(F.size(ws) > 0, F.round(letters / F.size(ws), 2)).otherwise(0.0).alias("avg_word_length"),
-        F.when(F.size(sentence_parts) > 0, F.round(F.size(ws) / F.size(sentence_parts), 2)).otherwise(0.0).alias("avg_sentence_words"),
+        F.length(t).alias("char_count"), F.size(lines).alias("line_count"), F.size(F.filter(lines, lambda x: strip(x) != "")).alias("non_empty_line_count"), F.size(ws).alias("word_count"), parts.alias("sentence_count"),
+        F.when(F.size(ws) > 0, F.round(letters / F.size(ws), 4)).otherwise(0.0).alias("avg_word_length"), F.when(parts > 0, F.round(F.size(ws) / parts, 4)).otherwise(0.0).alias("avg_sentence_words"),
         F.size(marks).alias("placeholder_count"), marks.alias("placeholders"), (F.length(t) - F.length(F.translate(t, "{}", ""))).alias("brace_count"),
     )
 

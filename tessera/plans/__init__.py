@@ -1,11 +1,13 @@
 """Registered queries of the library."""
 
-from tessera.plans import review_queries
+from tessera.plans import analysis_queries, review_queries
+
+_MODULES = (review_queries, analysis_queries)
 
 
 def queries() -> dict:
-    return {**review_queries.QUERIES}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**review_queries.SQL}
+    return {k: q for m in _MODULES for k, q in m.SQL.items()}
