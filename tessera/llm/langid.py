@@ -24,7 +24,7 @@ WORDS_A_LANGUAGE = 20_000
 TRIGRAMS_A_LANGUAGE = 20_000
 SWITCH = 12.0
 #: Word scores kept by a Python worker; the store starts anew when full.
-KEEP_WORDS = 200_000
+KEEP_WORDS = 400_000
 UNKNOWN = "und"
 #: First code points of script ranges, in order; a range ends where the next one starts.
 SCRIPTS = [
@@ -47,27 +47,34 @@ class Model:
     """Log-probabilities of words and trigrams by language; rows of numbers in the order of ``languages``."""
 
     def __init__(self, languages: list[str], words: dict[str, list[float]], trigrams: dict[str, list[float]], totals: list[tuple[float, float]], scripts: dict[str, list[bool]]):
-        self.languages, self.scripts = languages, scripts
-        n = max(1, len(languages))
-        self.words = self._logs(words, [t[0] for t in totals])
-        self.trigrams = self._logs(trigrams, [t[1] for t in totals])
-        self.unseen = np.array([-math.log(t[1] + 2.0 * max(1, len(trigrams))) for t in totals] or [0.0] * n)
+        self.languages = languages
+        self.words = {w: i for i, w in enumerate(words)}
+        self.word_logs = self._logs(words, [t[0] for t in totals])[:-1]
+        self.trigrams = {g: i for i, g in enumerate(trigrams)}
+        #: The last row is that of a trigram that was never seen.
+        self.trigram_logs = self._logs(trigrams, [t[1] for t in totals])
+        self.scripts = {k: np.where(v, 0.0, -1e3) for k, v in scripts.items()}
+        self.any_script = np.zeros(len(languages))
 
     @staticmethod
-    def _logs(counts: dict[str, list[float]], totals: list[float]) -> dict[str, np.ndarray]:
-        lower = np.log(np.array(totals) + 2.0 * max(1, len(counts)))
-        return {k: np.log(np.array(v) + 1.0) - lower for k, v in counts.items()}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-likelihood for each language, at most the evidence of one frequent word; other scripts' languages are out."""
-        row = self.words.get(word)
-        if row is None:
-            padded = f" {word} "
-            grams = [padded[i : i + 3] for i in range(len(padded) - 2)]
-            row = sum((self.trigrams.get(g, self.unseen) for g in grams), np.zeros(len(self.languages))) / max(1.0, len(grams) / 3)
-        row = np.maximum(row - row.max(), -8.0)
-        seen = self.scripts.get(script(word))
-        return row if seen is None else np.where(seen, row, -1e3)
+    def _logs(counts: dict[str, list[float]], totals: list[float]) -> np.ndarray:
+        rows = np.array([*counts.values(), [0.0] * len(totals)])
+        return np.log(rows + 1.0) - np.log(np.array(totals) + 2.0 * max(1, len(counts)))
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods (words x languages), each relative to its best and at most the evidence of one frequent word; languages of other scripts are out."""
+        unseen, get = len(self.trigrams), self.trigrams.get
+        grams, starts, share = [], [], []
+        for w in words:
+            starts.append(len(grams))
+            padded = f" {w} "
+            grams += [get(padded[i : i + 3], unseen) for i in range(len(w))]
+            share.append(max(1.0, len(w) / 3))
+        rows = np.add.reduceat(self.trigram_logs[grams], starts, axis=0) / np.array(share)[:, None]
+        known = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        rows[known >= 0] = self.word_logs[known[known >= 0]]
+        rows = np.maximum(rows - rows.max(axis=1, keepdims=True), -8.0)
+        return rows + np.stack([self.scripts.get(script(w), self.any_script) for w in words])
 
 
 def spans(emit: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -97,14 +104,19 @@ def spans(emit: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: Column, rows: int = TRAIN_ROWS) -> Model:
-    """Counts features over at most ``rows`` labelled rows, the first by ``order``; null labels and texts are left out.
+    """Counts features over about ``rows`` labelled rows, those with the smallest hash ``order`` (a long); null labels and texts are left out.
 
-    The driver gets the most frequent features of each language, of which there are at most WORDS_A_LANGUAGE words and
-    TRIGRAMS_A_LANGUAGE trigrams. An empty table gives a model without languages.
+    Which rows these are follows from their number alone, so sampling shuffles nothing. The driver gets the most frequent
+    features of each language: at most WORDS_A_LANGUAGE words and TRIGRAMS_A_LANGUAGE trigrams. An empty table gives a
+    model without languages.
     """
     from pyspark.sql.window import Window
 
-    sample = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), order.alias("_o")).orderBy("_o", "lang").limit(rows)
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    total = usable.count()
+    sample = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), order.alias("_o"))
+    if total > rows:
+        sample = sample.where(F.pmod("_o", F.lit(1 << 40)) < F.lit(int((1 << 40) * (rows / total))))
     tokens = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     tokens = tokens.persist()
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
@@ -138,14 +150,26 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     return Model(languages, words, table(gram_rows), [(word_total[x], gram_total.get(x, 0.0)) for x in languages], scripts)
 
 
-class _Scores(dict):
-    def __init__(self, model: Model):
-        self.model, self.rows = model, np.empty((KEEP_WORDS, len(model.languages)))
+class _Scores:
+    """Scores of the words of a Python worker's texts, each computed once while there is room."""
 
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
-        self.rows[i] = self.model.score(word)
-        return i
+    def __init__(self, model: Model):
+        self.model, self.at = model, {}
+        self.rows = np.empty((KEEP_WORDS, len(model.languages)))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self.at]
+        if len(new) > KEEP_WORDS // 2:  # a very long text: in parts
+            half = len(words) // 2
+            return np.concatenate([self.of(words[:half]), self.of(words[half:])])
+        if len(self.at) + len(new) > KEEP_WORDS:
+            self.at.clear()
+            new = list(set(words))
+        if new:
+            n = len(self.at)
+            self.rows[n : n + len(new)] = self.model.score(new)
+            self.at.update(zip(new, range(n, n + len(new))))
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
 def detect(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), penalty: float = SWITCH) -> DataFrame:
@@ -172,12 +196,7 @@ def detect(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                     scores.append(0.0)
                     found.append([])
                     continue
-                parts = []
-                for i in range(0, len(ws), KEEP_WORDS // 2):
-                    if len(kept) + KEEP_WORDS // 2 > KEEP_WORDS:
-                        kept.clear()
-                    parts.append(kept.rows[np.fromiter(map(kept.__getitem__, ws[i : i + KEEP_WORDS // 2]), np.int64)])
-                labels = spans(np.concatenate(parts), penalty)
+                labels = spans(kept.of(ws), penalty)
                 letters = np.bincount(labels, np.fromiter(map(len, ws), np.float64, len(ws)), len(m.languages))
                 best = int(letters.argmax())
                 names.append(m.languages[best])

@@ -35,7 +35,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
-    model = langid.train(docs.where(F.coalesce(fold, F.lit(0)) != 1), order=F.xxhash64("text"))
+    model = langid.train(docs.where(F.coalesce(fold, F.lit(0)) != 1), order=F.xxhash64("doc_id"))
     held_out = docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
     return langid.detect(held_out, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
