@@ -18,7 +18,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without a letter, or without a main language, go. ``lang`` stays as given."""
-    model = langid.train(docs, order=F.xxhash64("text"))
+    model = langid.train(docs, order=F.xxhash64("doc_id"))
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     found = langid.detect(rows, model, keep=("row",))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
