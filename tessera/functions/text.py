@@ -125,7 +125,7 @@ def unicode_script(c: Column | str, superscript: bool) -> Column:
 def inline_preview(c: Column | str, limit: int = INLINE_PREVIEW_CHARS) -> Column:
     """One line of at most ``limit`` characters, with dots where it was cut."""
     t = strip(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?U)\s+", " "))
-    return F.when(F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("..."))).otherwise(t)
+    return F.when(F.length(t) > limit, F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), r"(?U)\s+$", ""), F.lit("..."))).otherwise(t)
 
 
 def distinct_keywords(values: Column) -> Column:

@@ -1,8 +1,8 @@
 """Registered queries of the library."""
 
-from tessera.plans import analysis_queries, corpus_queries, review_queries
+from tessera.plans import analysis_queries, corpus_queries, page_queries, registry_queries, review_queries
 
-_MODULES = (review_queries, analysis_queries, corpus_queries)
+_MODULES = (review_queries, analysis_queries, corpus_queries, registry_queries, page_queries)
 
 
 def queries() -> dict:

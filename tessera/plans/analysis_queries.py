@@ -153,7 +153,7 @@ SQL = {
     "f6_chunk_text": rf"""select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace({_T}, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9))) as h,
         regexp_replace(regexp_replace(lower(substr({_T}, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents""",
     "f7_scripts": "select p_partkey, translate(p_size::varchar, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') as sup, translate(p_size::varchar, '0123456789', '₀₁₂₃₄₅₆₇₈₉') as sub, '^(' || p_type || ')' as word from part",
-    "f9_preview": rf"with t as (select doc_id, trim(regexp_replace({_T}, '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t) > 180 then rtrim(substr(t, 1, 180)) || '...' else t end as preview from t",
+    "f9_preview": rf"with t as (select doc_id, trim(regexp_replace({_T}, '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t) > 180 then rtrim(substr(t, 1, 177)) || '...' else t end as preview from t",
     "f10_keywords": "select p_partkey, array_to_string(list_filter(list_concat(list_distinct_ordered, [case when not list_contains(list_transform(list_distinct_ordered, lambda x: lower(x)), lower(p_type)) then upper(p_type) end]), lambda x: x is not null), ',') as keywords from (select *, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then [split_part(p_name, ' ', 1)] else string_split(p_name, ' ') end as list_distinct_ordered from part)",
     "f11_titles": _sql("select row_id, combo_title, coalesce(nullif(experiment_kind, 'none'), certainty, combo_id) as description from review"),
     "f12_forbidden": f"{_ANSWERS} select run_id, clean from s",
