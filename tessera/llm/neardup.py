@@ -5,8 +5,8 @@
    its own fixed random order (optimal densification). BANDS bands of ROWS bins are hashed to bucket keys. At a
    similarity of 0.75 a pair misses all buckets with odds of 4 in a million.
 3. In a bucket of at most SMALL members, all pairs are confirmed on full sets. A larger one is searched in rounds of
-   stars: one centre, drawn in turn from the component with most and with fewest members there, is paired with the
-   members of other components, so a round has as many pairs as members at most. Components are updated after each
+   stars: one centre, drawn from the component with most members there, is paired with the members of other components, so
+   a round has as many pairs as members at most. Components are updated after each
    round. A centre then leaves its bucket; a bucket with one component left is done.
 4. Buckets that are open after ROUNDS rounds hold many texts that share much without being similar. Their classes go
    through a prefix filter: two sets of the wanted similarity share one of their rarest shingles. The same search runs on
@@ -160,52 +160,50 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _pairs(members: DataFrame, centres: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of this round, with repeats, and the large buckets without their centres."""
-    stars = scratch.save(members.join(centres, "key"), "stars")
-    large = stars.where(F.col("n") > SMALL)
-    star = large.where("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    small = stars.where(F.col("n") <= SMALL).select("key", "node", "comp")
-    other = small.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    mesh = small.join(other, "key").where("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b")
-    return star.union(mesh), large.where("node <> centre").select("key", "node")
+def _pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of this round whose sizes allow the similarity."""
+    star = stars.where((F.col("n") > SMALL) & (F.col("comp") != F.col("centre_comp"))).select("node", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size"))
+    small = stars.where(F.col("n") <= SMALL).select("key", "node", "size", "comp")
+    other = small.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
+    mesh = small.join(other, "key").where("node < other and comp <> other_comp").select("node", "size", "other", "other_size")
+    fit = F.lit(100) * F.least("size", "other_size") >= F.lit(percent) * F.greatest("size", "other_size")
+    return star.union(mesh).where(fit).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, sizes: DataFrame, labels: DataFrame | None, tested: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """ROUNDS rounds over buckets (key, node), fewer if no open bucket is left: (open buckets, labels, tested pairs)."""
+def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, tested: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """ROUNDS rounds over buckets (key, node, size), fewer if there is nothing left to test: (open buckets, labels, tested pairs)."""
     for turn in range(ROUNDS):
-        members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-        draw = F.xxhash64("key", "node", F.lit(turn))
-        parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "node")).alias("m"))
-        # In turn a member of the largest component, which gathers most others, and one of the smallest.
-        pick = F.max(F.struct("n", "m.draw", "comp", "m.node")) if turn % 2 == 0 else F.min(F.struct("n", "m.draw", "comp", "m.node"))
-        centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), pick.alias("c")).where("parts > 1")
-        centres = scratch.save(centres.select("key", "n", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), "centres")
-        pairs, buckets = _pairs(members, centres, scratch)
-        pairs = pairs.distinct()
+        members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
+        # The first centre is the same in all buckets of a group, so that its members meet it in one pair each. Later ones
+        # differ by bucket, so that a text outside the group meets many members of it.
+        draw = F.xxhash64("node") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
+        parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "node", "size")).alias("m"))
+        # A member of the largest component, which most others belong to.
+        centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "m.draw", "comp", "m.node", "m.size")).alias("c")).where("parts > 1")
+        centres = scratch.save(centres.select("key", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.comp").alias("centre_comp")), "centres")
+        stars = scratch.save(members.join(centres, "key"), "stars")
+        buckets = stars.where((F.col("n") > SMALL) & (F.col("node") != F.col("centre"))).select("key", "node", "size")
+        pairs = _pairs(stars, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
-        fit = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-        pairs = scratch.save(pairs.select("a", "b", fit.alias("fit")), "pairs")
+        pairs = scratch.save(pairs, "pairs")
         if pairs.isEmpty():
             break
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        links = scratch.save(_similar(pairs.where("fit"), sets, percent), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = scratch.save(_similar(pairs, sets, percent), "links")
         if not links.isEmpty():
             labels = _components(scratch, labels, links)
     return buckets, labels, tested
 
 
 def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node) for the rarest shingles of each set: as many as two similar sets can't both miss."""
+    """(key, node, size) for the rarest shingles of each set: as many as two similar sets can't both miss."""
     each = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "key"))
     size = F.count("*").over(Window.partitionBy("node"))
     ranked = each.join(often, "key").select("node", "key", "f", rank.alias("r"), size.alias("n"))
-    return ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("f") > 1)).select("key", "node")
+    return ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("f") > 1)).select("key", "node", F.col("n").alias("size"))
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scratch, DataFrame, DataFrame]:
@@ -218,10 +216,10 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     classes = rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.any_value("hashes").alias("hashes"))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    members = classes.select("node", F.explode("hashes").alias("key"))
+    members = classes.select("node", F.col("n").alias("size"), F.explode("hashes").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = scratch.save(shared, "shared")
-    buckets = scratch.save(members.join(shared, "key", "left_semi").select("key", "node"), "buckets")
+    buckets = scratch.save(members.join(shared, "key", "left_semi").select("key", "node", "size"), "buckets")
     scratch.drop(shared)
     nodes = scratch.save(buckets.select("node").distinct(), "nodes")
     wanted = classes.join(nodes, "node", "left_semi").select("node", "hi", "lo", "n", "first_id")
@@ -229,13 +227,12 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     again = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text").mapInArrow(_fingerprints(True), "hi long, lo long, n_shingles long, hashes array<long>")
     again = again.groupBy("hi", "lo").agg(F.any_value("hashes").alias("hashes"))
     sets = scratch.save(again.join(wanted.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "hashes"), "sets")
-    sizes = classes.select("node", "n")
 
-    rest, labels, tested = _search(scratch, buckets, sets, sizes, None, None, percent)
+    rest, labels, tested = _search(scratch, buckets, sets, None, None, percent)
     rest = scratch.save(rest.select("node").distinct(), "rest")
     if not rest.isEmpty():
         rare = scratch.save(_rare_buckets(rest, sets, percent), "buckets")
-        _, labels, _ = _search(scratch, rare, sets, sizes, labels, tested, percent)
+        _, labels, _ = _search(scratch, rare, sets, labels, tested, percent)
     labelled = classes.select("hi", "lo", "first_id", "node")
     labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return scratch, rows.drop("hashes"), scratch.save(labelled, "labelled")
