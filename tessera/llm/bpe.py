@@ -44,9 +44,11 @@ class Automaton:
 
     def add(self, i: int, u: str, v: str) -> None:
         """The gadget of merge i."""
-        uv, before = u + v, self.leads[v]
-        if uv in self.made or not self.arc(self.leads[u], v):  # the pair can no longer arise
+        if u not in self.made or v not in self.made or not self.arc(self.leads[u], v):  # the pair can't arise
             return
+        uv, before = u + v, self.leads[v]
+        if uv in self.made:
+            raise ValueError(f"two merges make {uv!r}")
         self.parent.append(self.leads[u])
         self.missing.append(v)
         self.at.append(i)
