@@ -83,11 +83,12 @@ def spans(emit: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     if k == 1:
         return np.zeros(n, np.int64)
     best = int(emit.sum(axis=0).argmax())
-    # If no run of words favours another language by the price of a switch, one language is the optimum.
+    # A path of m runs in other languages pays for m - 1 switches at least, and two runs for one. So if no run favours
+    # another language by half the price of a switch, one language is the optimum.
     gain = np.cumsum(emit - emit[:, [best]], axis=0)
     floor = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
     before = np.vstack([np.zeros((1, k)), floor[:-1]])
-    if (gain - before).max() < penalty:
+    if (gain - before).max() < penalty / 2:
         return np.full(n, best, np.int64)
     value, back = emit[0].copy(), np.zeros((n, k), np.int64)
     own = np.arange(k)
