@@ -162,7 +162,7 @@ SQL = {
     "f17_validate_answers": _sql("select row_id as id, case when parse_error then 'missing' when request_type = 'signup' then 'request_type' else '' end as broken_rules, not parse_error and request_type <> 'signup' as valid from review"),
     "j3_score_answers": f"{_ANSWERS} select run_id, case_id, n::int as passed_count, total as total_count, round(n / total, 4) as score, n = total as passed from s",
     "a8_failed_checks": f"{_ANSWERS} select run_id, array_to_string(list_filter([case when not parse_ok then 'parse_ok' end, case when not type_ok then 'request_type' end, case when not kind_ok then 'experiment_kind' end, case when not clean then 'forbidden_phrases' end, case when not conc_ok then 'no_invented_concentration' end], lambda x: x is not null), ', ') as failed_checks from s",
-    "a8_summary": f"{_ANSWERS} select round(avg(round(n / total, 4)::decimal(18, 6)), 4) as average_score, round(count(*) filter (n = total) / count(*), 4) as pass_rate, count(*) as case_count from s",
+    "a8_summary": f"{_ANSWERS} select round(avg(round(n / total, 4)::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, round(count(*) filter (n = total) / count(*), 4) as pass_rate, count(*) as case_count from s",
     "p2_artifact_tags": f"{_ANSWERS} select run_id, 'rag,rag,' || case when lost then 'validation_failed,' else 'validation_ok,' end || case when n = total then 'case_passed' else 'case_failed' end || case when lost or text = '' then ',empty_output' else '' end || case when lost then ',parse_error' else '' end as tags, run_id || '__' || combo_id || '__' || case_id || '.json' as artifact_file from s",
     "p2_answer_lengths": rf"with documents as (select conv_id || '-' || turn as doc_id, case when conv_id % 11 > 0 then text end as text from conversations where role = 'assistant'), {_N} select doc_id as run_id, length(t)::int as short_answer_chars, len(regexp_extract_all(t, '\S+'))::int as short_answer_words from n",
     "j4_plan_missing": _sql(f"{_PLAN} select *, existing_id is null as should_run from plan"),
@@ -170,7 +170,7 @@ SQL = {
     "j5_coverage": _sql(f"{_PLAN} select combo_id, count(existing_id) as case_count, array_to_string(list_sort(coalesce(list(case_id) filter (existing_id is null), [])), ',') as missing_case_ids, count(*) filter (existing_id is null) = 0 as complete from plan group by combo_id"),
     "j6_report_rows": _sql(f"select {_K} from review where combo_id < 'combo_2' and case_id <> 'case_1' and execution_signature = 'sig_0'"),
     "a15_results": _sql(f"{_RESULTS} select experiment_id, combo_id, score, case when score >= 0.8 then 'stable' else 'needs_work' end as status from res"),
-    "a15_experiments": _sql(f"{_RESULTS} select experiment_id, count(*) as tested_combo_count, round(avg(score::decimal(18, 6)), 4) as average_score, max(score) as best_score, min(score) as worst_score, round(avg(subject_score::decimal(18, 6)), 4) as average_subject_score, count(subject_score) as subject_score_count from res group by experiment_id"),
+    "a15_experiments": _sql(f"{_RESULTS} select experiment_id, count(*) as tested_combo_count, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, max(score) as best_score, min(score) as worst_score, round(avg(subject_score::decimal(18, 6))::decimal(18, 10), 4)::double as average_subject_score, count(subject_score) as subject_score_count from res group by experiment_id"),
     "j1_baseline": _sql(f"{_J1} select case_id, challenger_combo_id, baseline_score, challenger_score, score_delta, pass_delta, len(changed)::int as changed_field_count, array_to_string(changed, ',') as changed_fields, true as meaningful_delta from j"),
     "j2_changed_fields": _sql(f"{_J1} select field, count(*) as n from (select unnest(changed) as field from j) group by field"),
     "p11_meaningful": _sql(f"{_J1} select case_id, challenger_combo_id from j"),
@@ -182,10 +182,10 @@ SQL = {
     "e3_pairs": f"with {_PAIRS} select l as left_item_id, r as right_item_id, s as similarity from p where s >= 0.3",
     "e4_matrix": f"with {_PEERS} select i as item_id, o as peer_id, s as similarity from m union all select vec_id, vec_id, 1.0 from embeddings",
     "e5_clusters": f"""with recursive {_PEERS}, k as (select i, o from m where s >= 0.4), reach as (select i, o from k union select reach.i, k.o from reach join k on reach.o = k.i), lab as (select i, least(i, min(o)) as label from reach group by i),
-        st as (select label, min(s) as min_similarity, max(s) as max_similarity, round(avg(s::decimal(18, 6)), 4) as average_similarity from p join lab on lab.i = p.l where s >= 0.4 group by label)
+        st as (select label, min(s) as min_similarity, max(s) as max_similarity, round(avg(s::decimal(18, 6))::decimal(18, 10), 4)::double as average_similarity from p join lab on lab.i = p.l where s >= 0.4 group by label)
         select lab.label as cluster_id, array_to_string(list_sort(list(i)), ',') as member_item_ids, count(*) as member_count, any_value(min_similarity) as min_similarity, any_value(max_similarity) as max_similarity, any_value(average_similarity) as average_similarity, any_value(e.label) as group_id
         from lab join st using (label) join embeddings e on e.vec_id = lab.label group by lab.label""",
-    "e6_outliers": f"with {_PEERS}, q as (select i, count(*) as n, round(avg(s::decimal(18, 6)), 4) as mean, max(s) as nearest from m group by i) select vec_id as item_id, label as group_id, coalesce(n, 0) as peer_count, mean as mean_similarity, nearest as nearest_similarity, round(1.0::double - mean, 4) as outlier_score from embeddings left join q on q.i = vec_id",
+    "e6_outliers": f"with {_PEERS}, q as (select i, count(*) as n, round(avg(s::decimal(18, 6))::decimal(18, 10), 4)::double as mean, max(s) as nearest from m group by i) select vec_id as item_id, label as group_id, coalesce(n, 0) as peer_count, mean as mean_similarity, nearest as nearest_similarity, round(1.0::double - mean, 4) as outlier_score from embeddings left join q on q.i = vec_id",
     "e7_nearest": f"select 7 as selected_id, b.vec_id as item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity, row_number() over (order by round({_DOT.format(a='a', b='b')}, 6) desc, b.vec_id)::int as rank from embeddings a, embeddings b where a.vec_id = 7 and b.vec_id <> 7 qualify rank <= 10",
     "e8_bundle_counts": f"with {_PAIRS} select (select count(*) from embeddings) as item_count, (select count(*) from p) as pair_count",
 }

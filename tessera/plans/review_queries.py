@@ -67,15 +67,15 @@ def _sql(body: str) -> str:
 
 
 _K = ", ".join(KEY)
-_R4 = "round(avg(score::decimal(18, 6)), 4)"
+_R4 = "round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double"
 _COMBO = """, combo as (select combo_id, count(*) as case_count, count(*) filter (passed) as passed_case_count, count(*) filter (parse_error) as parse_error_count, count(*) filter (not validation_ok) as validation_fail_count,
-    round(avg(score::decimal(18, 6)), 4) as average_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, round(avg(duration_seconds::decimal(18, 6)), 4) as average_duration_seconds from {src} group by combo_id),
+    round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, round(avg(duration_seconds::decimal(18, 6))::decimal(18, 10), 4)::double as average_duration_seconds from {src} group by combo_id),
 speed as (select *, case when min(average_duration_seconds) over () is null then 0.0 when min(average_duration_seconds) over () = max(average_duration_seconds) over () then 1.0 when average_duration_seconds is null then 0.0
     else round(1.0 - (average_duration_seconds - min(average_duration_seconds) over ()) / (max(average_duration_seconds) over () - min(average_duration_seconds) over ()), 4) end as speed_score from combo)"""
 _LATEST = ", latest as (select * from review qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1)"
 _PROMPT = """, roles as (select *, list_filter([case when system_prompt_id = 'sys_1' then 'system' end, case when user_prompt_id = 'sys_1' then 'user' end, case when fewshot_id = 'sys_1' then 'fewshot' end], lambda x: x is not null) as matched,
     coalesce(combo_id = 'combo_2', false) or coalesce(base_combo_id = 'combo_2', false) or coalesce(active_combo_id = 'combo_2', false) as by_combo from review), prompt as (select * from roles where len(matched) > 0 or by_combo)"""
-_PERF = "count(*) as run_count, count(score) as scored_run_count, round(avg(score::decimal(18, 6)), 4) as average_score, round(max(score), 4) as best_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, max(created_at) as latest_run_at"
+_PERF = "count(*) as run_count, count(score) as scored_run_count, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, round(max(score), 4) as best_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, max(created_at) as latest_run_at"
 _BY_COMBO = _PROMPT + f""", pc as (select combo_id, {_PERF}, arg_max(combo_title, (created_at, row_id)) as combo_title, arg_max(combo_kind, (created_at, row_id)) as combo_kind, arg_max(base_combo_id, (created_at, row_id)) as base_combo_id,
     array_to_string(list_sort(coalesce(list(distinct active_combo_id) filter (active_combo_id is not null), [])), ',') as active_combo_ids, array_to_string(list_sort(list_distinct(flatten(list(matched)))), ',') as matched_prompt_roles,
     array_to_string(list_sort(list(distinct experiment_id)), ',') as experiment_ids, array_to_string(list_sort(list(distinct model)), ',') as models, count(distinct model) as model_count from prompt group by combo_id),
@@ -92,10 +92,10 @@ SQL = {
     "a1_tag_counts": _sql("select tag, count(*) as n from (select unnest(tags) as tag from review) group by tag"),
     "a2_combo_summary": _sql("""select combo_id, arg_min(combo_title, o) as combo_title, arg_min(combo_kind, o) as combo_kind, arg_min(base_combo_id, o) as base_combo_id, arg_min_null(active_combo_id, o) as active_combo_id, arg_min(system_prompt_id, o) as system_prompt_id,
         arg_min(user_prompt_id, o) as user_prompt_id, arg_min_null(fewshot_id, o) as fewshot_id, count(*) as case_count, count(*) filter (passed) as passed_case_count, count(*) filter (not passed) as failed_case_count, count(*) filter (parse_error) as parse_error_count,
-        count(*) filter (not validation_ok) as validation_fail_count, round(avg(score::decimal(18, 6)), 4) as average_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, round(avg(duration_seconds::decimal(18, 6)), 4) as average_duration_seconds,
+        count(*) filter (not validation_ok) as validation_fail_count, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, round(avg(duration_seconds::decimal(18, 6))::decimal(18, 10), 4)::double as average_duration_seconds,
         array_to_string(list_sort(list(distinct request_type)), ',') as request_types, array_to_string(list_sort(list(distinct experiment_kind) filter (experiment_kind is not null)), ',') as experiment_kinds
         from (select *, (combo_id, case_id, created_at, row_id) as o from review) group by combo_id"""),
-    "a3_case_summary": _sql("""select case_id, min(question) as question, count(*) as combo_count, count(*) filter (passed) as passed_combo_count, count(*) filter (not passed) as failed_combo_count, count(*) filter (parse_error) as parse_error_count, round(avg(score::decimal(18, 6)), 4) as average_score,
+    "a3_case_summary": _sql("""select case_id, min(question) as question, count(*) as combo_count, count(*) filter (passed) as passed_combo_count, count(*) filter (not passed) as failed_combo_count, count(*) filter (parse_error) as parse_error_count, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score,
         round(count(*) filter (passed) / count(*), 4) as pass_rate, max(combo_id) filter (b = 1) as best_combo_id, max(score) filter (b = 1) as best_score, array_to_string(list_sort(list(distinct request_type)), ',') as request_types,
         array_to_string(list_sort(list(distinct experiment_kind) filter (experiment_kind is not null)), ',') as experiment_kinds
         from (select *, row_number() over (partition by case_id order by case when coalesce(score, 0) = 0 then -1 else score end desc, combo_id, created_at, row_id) as b from review) group by case_id"""),
@@ -108,7 +108,7 @@ SQL = {
         z as (select *, round((1.0::double - coalesce(pass_rate, 0)) * 0.6::double + least(1.0::double, score_range + greatest(request_type_count - 1, 0) * 0.2::double + greatest(experiment_kind_count - 1, 0) * 0.15::double) * 0.25::double + e / n * 0.15::double, 4) as difficulty_score from q)
         select row_number() over (order by difficulty_score desc, case_id)::int as rank, case_id, pass_rate, score_range, request_type_count, experiment_kind_count, round(e / n, 4) as parse_error_rate, difficulty_score from z"""),
     "a7_facets": _sql(" ".join(["select 'tag' as facet, tag as value, count(*) as n from (select unnest(tags) as tag from review) group by tag"] + [f"union all select '{c}', {c}, count(*) from review where {c} is not null group by {c}" for c in ("request_type", "experiment_kind", "combo_id", "case_id")])),
-    "a7_ranges": _sql(" union all ".join(f"select '{m}' as measure, min({m})::double as min, max({m})::double as max, round(avg({m}::decimal(18, 6)), 4) as average from review" for m in ("score", "duration_seconds", "source_count", "example_count"))),
+    "a7_ranges": _sql(" union all ".join(f"select '{m}' as measure, min({m})::double as min, max({m})::double as max, round(avg({m}::decimal(18, 6))::decimal(18, 10), 4)::double as average from review" for m in ("score", "duration_seconds", "source_count", "example_count"))),
     "j7_prompt_rows": _sql(f"{_PROMPT} select {_K}, array_to_string(matched, ',') as matched_prompt_roles, by_combo as matched_by_combo from prompt"),
     "a4_prompt_combos": _sql(f"{_BY_COMBO} select pc.*, best_model from pc left join bm using (combo_id)"),
     "a5_prompt_models": _sql(f"""{_PROMPT}, p as (select model, {_PERF}, count(distinct combo_id) as combo_count, count(distinct experiment_id) as experiment_count from prompt group by model),
@@ -117,7 +117,7 @@ SQL = {
         select p.*, best_combo_id, best_combo_title from p left join b using (model)"""),
     "a14_prompt_usage": _sql(f"{_PROMPT} select count(*) as run_count, count(score) as scored_run_count, array_to_string(list_sort(list(distinct model)), ',') as models, max(created_at) as latest_run_at, array_to_string(list_sort(list(distinct execution_signature)), ',') as signatures from prompt"),
     "t2_top_combos": _sql(f"{_BY_COMBO} select combo_id, average_score, run_count from pc order by coalesce(average_score, 0) desc, coalesce(best_score, 0) desc, coalesce(pass_rate, 0) desc, run_count desc, combo_id limit 3"),
-    "t1_best_combos": _sql("select combo_id, average_score from (select combo_id, round(avg(score::decimal(18, 6)), 4) as average_score from review group by combo_id) where average_score >= 0.38"),
+    "t1_best_combos": _sql("select combo_id, average_score from (select combo_id, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score from review group by combo_id) where average_score >= 0.38"),
     "a17_score_summary": _sql(f"select count(*) as row_count, count(score) as scored_count, min(score) as min_score, max(score) as max_score, {_R4} as average_score, coalesce(min(score), 0.0) as low_bound, coalesce(max(score), 1.0) as high_bound from review"),
     "u1_all_scopes": _sql("select scope, count(*) as n, max(created_at) as latest from review group by scope"),
     "s8_scopes": _sql("select scope, count(*) as artifact_count, case when scope <> 'exp_3' then 'Name ' || scope end as name from review group by scope"),
