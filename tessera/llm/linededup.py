@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch
+
 MAX_RATIO = 0.1
 MIN_PAGES = 5
 
@@ -54,7 +56,8 @@ def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", m
       (with the empty name). Repeated rows count as pages of their own. An empty table gives an empty table.
     * Columns named like the results are replaced; any other column passes through.
     """
-    found = boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages)
+    # Written, so that its size is known when the join is planned: below Spark's broadcast limit no text is shuffled.
+    found = Scratch(pages.sparkSession).save(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
     kept_columns = [c for c in pages.columns if c not in ("line_total", "line_dropped")]
     joined = pages.select(*kept_columns, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")).join(found.select("_host", "_drop"), "_host", "left")
     lines = _lines(F.coalesce(F.col(text), F.lit("")))
