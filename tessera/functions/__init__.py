@@ -1 +1 @@
-
+"""Columns from text."""

@@ -1 +1 @@
-
+"""DataFrame jobs."""

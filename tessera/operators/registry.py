@@ -234,8 +234,8 @@ def all_experiments(indexed: DataFrame, found: DataFrame) -> DataFrame:
 
 # Titles of the context blocks by prompt role.
 CONTEXT_TITLES = {
-    "system": ("## PromptGarden context additions\nThese additions were generated automatically from StudentContext and TeacherContext.\n\n", ("Teacher Context", "teacher"), ("Student Context", "student")),
-    "user": ("## PromptGarden request context additions\nUse these additions as stable context for the next student question.\n\n", ("Student Context", "student"), ("Teacher Response Preferences", "teacher")),
+    "system": ("## {name} context additions\nThese additions were generated automatically from StudentContext and TeacherContext.\n\n", ("Teacher Context", "teacher"), ("Student Context", "student")),
+    "user": ("## {name} request context additions\nUse these additions as stable context for the next student question.\n\n", ("Student Context", "student"), ("Teacher Response Preferences", "teacher")),
 }
 
 
@@ -244,17 +244,17 @@ def _context_block(title: str, values: dict[str, Column]) -> Column:
     return F.concat_ws("\n", F.lit(f"### {title}"), *lines)
 
 
-def render_prompt(base: Column, role: str, student: dict[str, Column], teacher: dict[str, Column], placeholders: dict[str, Column], runtime: tuple[str, ...] = ("question",)) -> Column:
-    """known placeholders filled, context blocks appended, other braces doubled; runtime placeholders stay."""
+def render_prompt(base: Column, role: str, student: dict[str, Column], teacher: dict[str, Column], placeholders: dict[str, Column], runtime: tuple[str, ...] = ("question",), name: str = "Prompt") -> Column:
+    """known placeholders filled, context blocks appended under ``name``, other braces doubled; runtime placeholders stay."""
     t = base
-    for name, value in placeholders.items():
-        t = F.replace(t, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    for key, value in placeholders.items():
+        t = F.replace(t, F.lit("{" + key + "}"), F.coalesce(value.cast("string"), F.lit("")))
     head, *parts = CONTEXT_TITLES[role]
     blocks = [_context_block(title, student if who == "student" else teacher) for title, who in parts]
-    t = F.concat(text.strip(t), F.lit("\n\n---\n\n" + head), blocks[0], F.lit("\n\n"), blocks[1])
+    t = F.concat(text.strip(t), F.lit("\n\n---\n\n" + head.format(name=name)), blocks[0], F.lit("\n\n"), blocks[1])
     doubled = F.replace(F.replace(t, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
-    for name in runtime:
-        doubled = F.replace(doubled, F.lit("{{" + name + "}}"), F.lit("{" + name + "}"))
+    for key in runtime:
+        doubled = F.replace(doubled, F.lit("{{" + key + "}}"), F.lit("{" + key + "}"))
     return doubled
 
 

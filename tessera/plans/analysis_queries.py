@@ -186,6 +186,7 @@ SQL = {
         select lab.label as cluster_id, array_to_string(list_sort(list(i)), ',') as member_item_ids, count(*) as member_count, any_value(min_similarity) as min_similarity, any_value(max_similarity) as max_similarity, any_value(average_similarity) as average_similarity, any_value(e.label) as group_id
         from lab join st using (label) join embeddings e on e.vec_id = lab.label group by lab.label""",
     "e6_outliers": f"with {_PEERS}, q as (select i, count(*) as n, round(avg(s::decimal(18, 6))::decimal(18, 10), 4)::double as mean, max(s) as nearest from m group by i) select vec_id as item_id, label as group_id, coalesce(n, 0) as peer_count, mean as mean_similarity, nearest as nearest_similarity, round(1.0::double - mean, 4) as outlier_score from embeddings left join q on q.i = vec_id",
+    "e6_outlier_means": f"with d as (select a.vec_id as i, avg({_DOT.format(a='a', b='b')}) as m from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id group by a.vec_id) select vec_id as item_id, label as group_id, round(m, 4) as mean_similarity from embeddings left join d on i = vec_id",
     "e7_nearest": f"select 7 as selected_id, b.vec_id as item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity, row_number() over (order by round({_DOT.format(a='a', b='b')}, 6) desc, b.vec_id)::int as rank from embeddings a, embeddings b where a.vec_id = 7 and b.vec_id <> 7 qualify rank <= 10",
     "e8_bundle_counts": f"with {_PAIRS} select (select count(*) from embeddings) as item_count, (select count(*) from p) as pair_count",
 }

@@ -133,7 +133,7 @@ SQL = {
     "a13_workspace": f"{_SU} select (select count(*) from nodes) as prompt_count, (select count(*) from nodes where archived) as archived_prompt_count, (select count(*) from nodes where text is null) as unreadable_prompt_count, (select count(*) from combos) as combo_count, (select count(*) from combos where archived) as archived_combo_count, count(*) as experiment_count, count(*) filter (is_archived) as archived_experiment_count, count(*) filter (not is_archived) as active_experiment_count from su",
     "a18_case_sets": "select conv_id as id, count(*) filter (role = 'user') as case_count from conversations where conv_id % 3 > 0 group by conv_id",
     "u2_all_experiments": "select distinct id from (select l_orderkey as id from lineitem union all select o_orderkey from orders)",
-    "f15_render_prompt": rf"with {_N} select id, 'Teach ' || type || ' {{{{x}}}} to {{question}}: ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## PromptGarden context additions' || chr(10) || 'These additions were generated automatically from StudentContext and TeacherContext.' || chr(10) || chr(10) || '### Teacher Context' || chr(10) || '- Teaching Style: ' || tree_id || chr(10) || chr(10) || '### Student Context' || chr(10) || '- Language: ' || type as t from nodes",
+    "f15_render_prompt": rf"with {_N} select id, 'Teach ' || type || ' {{{{x}}}} to {{question}}: ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Prompt context additions' || chr(10) || 'These additions were generated automatically from StudentContext and TeacherContext.' || chr(10) || chr(10) || '### Teacher Context' || chr(10) || '- Teaching Style: ' || tree_id || chr(10) || chr(10) || '### Student Context' || chr(10) || '- Language: ' || type as t from nodes",
     "f18_similarity_text": rf"with {_N}, b as (select *, rtrim(coalesce(text, ''), chr(32) || chr(10) || chr(9)) as x from nodes) select id, md5('TITLE' || chr(10) || title || chr(10) || chr(10) || 'PROMPT' || chr(10) || x) as title_text, md5('METADATA' || chr(10) || 'id=' || id || chr(10) || 'title=' || title || chr(10) || 'type=' || type || chr(10) || 'tree_id=' || tree_id || chr(10) || 'branch=main' || chr(10) || 'tags=' || case when id % 17 = 0 then 'archived' else 'live' end || chr(10) || chr(10) || 'PROMPT' || chr(10) || x) as metadata_text from b",
     "f19_fewshot": "select item_id as set_id, case when item_id % 5 = 0 then null else 'example_' || k end as example_id, case when item_id % 5 = 0 then 'not a JSON list' when k = 2 then 'no input' end as problem from benchmark, unnest([1, 2]) as t(k) where item_id % 5 > 0 or k = 1",
 }

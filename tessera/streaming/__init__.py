@@ -1 +1 @@
-
+"""No job here yet: the work at hand is batch only."""
