@@ -265,6 +265,13 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     keep = best.union(out.where("n_shingles = 0").select("doc_id", "_x")).distinct()
     keep = scratch.save(keep.select(F.col("doc_id").alias("_id"), F.col("_x").alias("_kx")), "keep")
     d = docs.withColumn("_x", F.xxhash64(F.col(text)))
-    d = d.join(keep, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_kx")), "left_semi")
-    again = F.row_number().over(Window.partitionBy(doc_id, "_x").orderBy(F.lit(0)))
-    return d.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+
+    def once(part: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows whose keys are kept, each once. Join and window have one partitioning, so texts are shuffled once."""
+        same = F.col("_x") == F.col("_kx")
+        found = part.join(kept, same & (F.col(doc_id) == F.col("_id")) if doc_id in keys else same, "left_semi")
+        again = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        return found.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+
+    named = once(d.where(F.col(doc_id).isNotNull()), keep.where("_id is not null"), ["_x", doc_id])
+    return named.union(once(d.where(F.col(doc_id).isNull()), keep.where("_id is null"), ["_x"]))
