@@ -11,6 +11,9 @@
 4. Buckets that are open after ROUNDS rounds hold many texts that share much without being similar. Their classes go
    through a prefix filter: two sets of the wanted similarity share one of their rarest shingles. The same search runs on
    those buckets, most of which are small.
+5. What is still open is compared in full. Classes that open buckets connect form a group, a group is dealt to tiles, and
+   a task counts the shared shingles of all pairs of two tiles. So every pair that shares a bucket is tested, or lies in
+   one component already.
 
 Nothing but counters reaches the driver. Each round ends in written tables.
 """
@@ -35,6 +38,10 @@ BINS = BANDS * ROWS
 ROUNDS = 4
 #: Members of a bucket up to which all pairs are tested at once: at most SMALL / 2 pairs a member.
 SMALL = 16
+#: Members and shingles of a tile, about, in the full comparison of groups.
+TILE, TILE_SHINGLES = 1024, 1 << 20
+#: Pairs of a shingle up to which they are counted one by one; beyond, by a product of matrices.
+FEW_PAIRS = 4096
 #: Word hashes kept by a Python worker; the store starts anew when full.
 KEEP_WORDS = 300_000
 
@@ -196,6 +203,90 @@ def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataF
     return buckets, labels, tested
 
 
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of shared values of each set of ``a`` with each one of ``b``."""
+    total = np.zeros(len(a) * len(b), np.int64)
+    (va, ra), (vb, rb) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b))
+    both = np.intersect1d(va, vb)
+    columns = []
+    for v, r in ((va, ra), (vb, rb)):
+        at = np.minimum(np.searchsorted(both, v), max(len(both) - 1, 0))
+        keep = both[at] == v if len(both) else np.zeros(len(v), bool)
+        order = np.argsort(at[keep], kind="stable")
+        columns.append((at[keep][order], r[keep][order]))
+    (ca, ra), (cb, rb) = columns
+    few = np.bincount(ca, minlength=len(both)) * np.bincount(cb, minlength=len(both)) <= FEW_PAIRS
+    # Shingles of many pairs: slices of a product of 0-1 matrices, whose sums stay exact in float32.
+    many = np.flatnonzero(~few)
+    for start in range(0, len(many), TILE):
+        part = many[start : start + TILE]
+        m = []
+        for c, r, n in ((ca, ra, len(a)), (cb, rb, len(b))):
+            at = np.minimum(np.searchsorted(part, c), len(part) - 1)
+            hit = part[at] == c
+            x = np.zeros((n, len(part)), np.float32)
+            x[r[hit], at[hit]] = 1.0
+            m.append(x)
+        total += (m[0] @ m[1].T).astype(np.int64).ravel()
+    # The others: each row of a with the rows of b that have the shingle.
+    ra, ca, rb, cb = ra[few[ca]], ca[few[ca]], rb[few[cb]], cb[few[cb]]
+    first, last = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
+    step = 1 << 11
+    for start in range(0, len(ca), step):
+        f, n, r = first[start : start + step], (last - first)[start : start + step], ra[start : start + step]
+        at = np.arange(n.sum()) + np.repeat(f - np.cumsum(n) + n, n)
+        np.add.at(total, np.repeat(r, n) * len(b) + rb[at], 1)
+    return total.reshape(len(a), len(b))
+
+
+def _compare_tiles(percent: int):
+    """All rows of two tiles, or of one, to the similar pairs (a, b) of different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, right = (table[c].to_numpy() for c in ("node", "comp", "right"))
+        sets = [np.asarray(h.values) for h in table["hashes"]]
+        one = right.all() or not right.any()
+        i = np.arange(len(node)) if one else np.flatnonzero(~right)
+        j = i if one else np.flatnonzero(right)
+        shared, size = _shared_counts([sets[k] for k in i], [sets[k] for k in j]), np.array([len(s) for s in sets])
+        hit = (100 * shared >= percent * (size[i][:, None] + size[j][None, :] - shared)) & (comp[i][:, None] != comp[j][None, :])
+        x, y = np.nonzero(hit)
+        x, y = node[i[x]], node[j[y]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return run
+
+
+def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame | None:
+    """Labels after a test of all pairs of different components in the groups that ``buckets`` connect."""
+    members = buckets.select("key", "node", "size")
+    members = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
+    members = scratch.save(members, "open")
+    heads = members.groupBy("key").agg(F.min("node").alias("a"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key", "a")
+    ends = scratch.save(members.join(heads, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    groups = _components(scratch, None, ends).select("node", F.col("label").alias("group"))
+    nodes = scratch.save(members.select("node", "size", "comp").distinct().join(groups, "node"), "members")
+    # A component that fills tiles of its own is not compared with itself; the small ones share tiles.
+    own = nodes.groupBy("group", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= TILE).select("group", "comp", F.col("comp").alias("own"))
+    nodes = scratch.save(nodes.join(own, ["group", "comp"], "left"), "members")
+    tiles = nodes.groupBy(F.col("group").alias("_group"), F.col("own").alias("_own")).agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)).alias("tiles"))
+    nodes = nodes.join(tiles, F.col("group").eqNullSafe(F.col("_group")) & F.col("own").eqNullSafe(F.col("_own")))
+    tile = F.xxhash64("group", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("node"), "tiles"))
+    nodes = nodes.select("node", "comp", "group", "own", tile.alias("tile"))
+    nodes = scratch.save(nodes, "tiled")
+    tiles = nodes.select("group", "own", "tile").distinct()
+    other = tiles.select("group", F.col("own").alias("other"), F.col("tile").alias("to"))
+    pairs = tiles.join(other, "group").where("tile <= to and not coalesce(own = other, false)").select("tile", "to")
+    pairs = scratch.save(pairs.withColumn("pair", F.monotonically_increasing_id()), "tile_pairs")
+    sides = pairs.select("pair", "tile", F.lit(False).alias("right")).union(pairs.where("tile <> to").select("pair", F.col("to").alias("tile"), F.lit(True).alias("right")))
+    rows = nodes.join(sides, "tile").select("pair", "right", "node", "comp").join(sets, "node")
+    links = rows.groupBy("pair").applyInArrow(_compare_tiles(percent), "a long, b long")
+    links = scratch.save(links.where("a <> b").distinct(), "links")
+    return labels if links.isEmpty() else _components(scratch, labels, links)
+
+
 def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, node, size) for the rarest shingles of each set: as many as two similar sets can't both miss."""
     each = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("key"))
@@ -232,7 +323,8 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     rest = scratch.save(rest.select("node").distinct(), "rest")
     if not rest.isEmpty():
         rare = scratch.save(_rare_buckets(rest, sets, percent), "buckets")
-        _, labels, _ = _search(scratch, rare, sets, labels, tested, percent)
+        rest, labels, _ = _search(scratch, rare, sets, labels, tested, percent)
+        labels = _compare(scratch, rest, sets, labels, percent)
     labelled = classes.select("hi", "lo", "first_id", "node")
     labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return scratch, rows.drop("hashes"), scratch.save(labelled, "labelled")

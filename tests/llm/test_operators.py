@@ -216,6 +216,35 @@ def test_near_duplicates_hot_group(spark):
     assert got == _components(texts)
 
 
+def test_near_duplicates_slot_filled(spark):
+    """Thousands of texts of one template with 80 two-way slots, half of them copies with 10 slots turned: no link in large buckets is lost."""
+    rng = np.random.default_rng(11)
+    slots = rng.random((2000, 80)) < 0.21
+    turned = rng.random((2000, 80)).argsort(axis=1) < 10
+    texts = []
+    for row in np.concatenate([slots, slots ^ turned]):
+        ws = [f"b{i}" for i in range(403)]
+        for j, v in enumerate(row):
+            ws[3 + 5 * j] = f"s{j}_{int(v)}"
+        texts.append(ws)
+    numbers = {}
+    m = np.zeros((len(texts), 1000), np.float32)
+    for i, ws in enumerate(texts):
+        for k in range(399):
+            m[i, numbers.setdefault(tuple(ws[k : k + 5]), len(numbers))] = 1.0
+    shared = m @ m.T
+    label = np.arange(len(texts))
+    for a, b in zip(*np.nonzero(100 * shared >= 75 * (798 - shared)), strict=True):
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label[label == high] = low
+    assert 100 < len(set(label)) < len(texts) - 100
+    d = spark.createDataFrame([_doc(i, " ".join(ws)) for i, ws in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    lost = sum(got[i] != label[i] for i in range(len(texts)))
+    assert lost == 0, f"{lost} of {len(texts)} rows differ; {len(set(got.values()))} components, {len(set(label))} by brute force"
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
