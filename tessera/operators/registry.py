@@ -142,11 +142,12 @@ def combo_key(prompt_ids: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(entries.alias("prompt_ids"))), 256), 1, 16)
 
 
-def generate_combos(pools: dict[str, DataFrame], existing: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """All combinations of the pools (role -> ids) whose key does not exist. The product is the result; its size is checked first."""
-    size = reduce(lambda n, p: n * p.count(), pools.values(), 1)
-    if size > limit:
-        raise ValueError(f"{size} combinations are more than {limit}")
+def generate_combos(pools: dict[str, DataFrame], existing: DataFrame, limit: int | None = None) -> DataFrame:
+    """All combinations of the pools (role -> ids) whose key does not exist. The product is the result; with a limit its size is checked first."""
+    if limit is not None:
+        size = reduce(lambda n, p: n * p.count(), pools.values(), 1)
+        if size > limit:
+            raise ValueError(f"{size} combinations are more than {limit}")
     out = None
     for role, ids in pools.items():
         pool = ids.toDF(role)

@@ -197,3 +197,11 @@ def test_sources(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "csv")).first()["a"] == "1"
     similarity.write_bundle(spark.createDataFrame([(1, 2, 0.5)], "left_item_id int, right_item_id int, similarity double"), str(tmp_path / "sim"), scope="s", dims=256)
     assert similarity.read_bundle(spark, str(tmp_path / "sim"), scope="s", dims=256).count() == 1
+
+
+def test_generate_combos_above_a_million(spark):
+    pools = {"system": spark.range(1001), "user": spark.range(1000)}
+    none = spark.createDataFrame([], "prompt_ids map<string,long>")
+    assert registry.generate_combos(pools, none).count() == 1_001_000
+    with pytest.raises(ValueError):
+        registry.generate_combos(pools, none, limit=1_000_000)
