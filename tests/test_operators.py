@@ -2,6 +2,7 @@
 
 import difflib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,16 @@ def test_generate_combos_above_a_million(spark):
     assert registry.generate_combos(pools, none).count() == 1_001_000
     with pytest.raises(ValueError):
         registry.generate_combos(pools, none, limit=1_000_000)
+
+
+def test_nearest_of_many_selected(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(similarity.TILE + 6, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "item_id long, vector array<double>")
+    got = {(r["selected_id"], r["rank"]): r["similarity"] for r in similarity.nearest(d, d, k=2).collect()}
+    m = v @ v.T
+    np.fill_diagonal(m, -2)
+    best = -np.sort(-m, axis=1)
+    assert len(got) == 2 * len(v)
+    assert all(got[i, k + 1] == pytest.approx(best[i, k], abs=1e-6) for i in range(len(v)) for k in (0, 1))
