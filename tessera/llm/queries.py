@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, licenses, linededup, lmscore, mixing, neardup, quality, search, sharding
-from tessera.llm.common import documents
+from tessera.llm.common import Scratch, documents
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "mix_tokens", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability", "mix_kept")
+    # Texts are read once: words and form go to a narrow table.
+    docs, n = documents(spark, sf_dir), mixing.count_words(F.col("text"))
+    narrow = docs.select("doc_id", "source", "lang", "text", n.alias("n"))
+    narrow = narrow.select("doc_id", "source", "lang", "n", mixing.text_form(F.coalesce("text", F.lit("")), F.col("n")).alias("form"))
+    return mixing.mix(Scratch(spark).save(narrow, "narrow"), tokens="n", topic="form").select("doc_id", *mixing.RESULTS)
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,27 +51,30 @@ select query_id, rank, doc_id, score from o where rank <= 10
 """
 
 
-def _op7(rounds: int = 8) -> str:
-    """Raking written out: one step for each dimension and round."""
-    steps, last = [], "cells"
-    for i in range(rounds):
-        for k in ("s", "l", "t"):
-            steps.append(f"w{i}{k} as (select c.s, c.l, c.t, c.tokens, c.weight * g.share / sum(c.weight) over (partition by c.{k}) as weight from {last} c join target_{k} g using ({k}))")
-            last = f"w{i}{k}"
-    targets = [f"target_{k} as (select {k}, pow(sum(tokens)::double, 0.7) / sum(pow(sum(tokens)::double, 0.7)) over () as share from cells group by {k})" for k in ("s", "l", "t")]
-    return rf"""
-with d0 as (select doc_id, coalesce(text, '') as x, coalesce(source, '') as s, coalesce(lang, '') as l, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n from documents),
+OP7 = r"""
+with recursive d0 as (select doc_id, coalesce(text, '') as x, coalesce(source, '') as s, coalesce(lang, '') as l, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n from documents),
 d as (select doc_id, s, l, n, case when 10 * (length(x) - length(replace(x, '|', ''))) > n then 'table'
     when 10 * (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > 3 * n then 'symbols' when n < 50 then 'short' when n >= 1000 then 'long' else 'prose' end as t from d0),
-cells as (select s, l, t, sum(n)::bigint as tokens, sum(n)::double as weight from d group by s, l, t),
-{", ".join(targets)},
-{", ".join(steps)},
-f as (select s, l, t, round(weight, 6) as mix_weight,
-    round(case when tokens > 0 then least(1.0, 0.8 * (select sum(tokens) from cells)::double * weight / tokens) else 1.0 end, 6) as p from {last}),
+cells as (select s, l, t, sum(n)::double as tokens from d group by s, l, t),
+gs as (select s, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) over () as gs from cells group by s),
+gl as (select l, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) over () as gl from cells group by l),
+gt as (select t, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) over () as gt from cells group by t),
+raked as (
+    select 0 as i, s, l, t, tokens, tokens as w, gs, gl, gt from cells join gs using (s) join gl using (l) join gt using (t)
+    union all
+    select i + 1, s, l, t, tokens, case when w2 > 0 then w2 * gt / sum(w2) over (partition by t) else 0 end, gs, gl, gt from (
+        select *, case when w1 > 0 then w1 * gl / sum(w1) over (partition by l) else 0 end as w2 from (
+            select *, case when w > 0 then w * gs / sum(w) over (partition by s) else 0 end as w1 from raked where i < 40))),
+fit as (select s, l, t, tokens, w from raked where i = 40),
+-- Cells by weight a token: the first that the rest of the budget doesn't fill sets the factor.
+o as (select *, sum(tokens) over () * 0.8 as b, coalesce(sum(tokens) over up, 0) as ct, coalesce(sum(w) over up, 0) as cw, sum(w) over () as total, row_number() over (order by w / tokens desc, s, l, t) as k
+    from fit where w > 0 and tokens > 0 window up as (order by w / tokens desc, s, l, t rows between unbounded preceding and 1 preceding)),
+lam as (select coalesce(arg_min((b - ct) / (total - cw), k) filter (w / tokens * (b - ct) / (total - cw) < 1), 'inf'::double) as lam from o),
+f as (select s, l, t, round(w, 6) as mix_weight, round(case when tokens = 0 then 1.0 when w > 0 then least(1.0, lam * w / tokens) else 0.0 end, 6) as p from fit, lam),
 r as (select d.*, f.mix_weight, case when n = 0 then 1.0 else p end as p, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0 as u from d join f using (s, l, t))
 select doc_id, n as mix_tokens, s as mix_source, l as mix_lang, t as mix_topic, mix_weight, p as mix_probability, u < p as mix_kept from r
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": OP2, "op7_mixing": _op7(), "op8_topk_search": OP8, "op9_line_dedup": OP9}
+    return {"op2_host_quality": OP2, "op7_mixing": OP7, "op8_topk_search": OP8, "op9_line_dedup": OP9}

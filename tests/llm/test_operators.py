@@ -353,14 +353,51 @@ def test_language_spans_and_odd(spark, odd, none):
 # mixing
 
 
-def test_raking_meets_targets(spark):
-    cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 20), ("b", "y", 40)], "s string, l string, tokens long")
-    targets = {"s": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "s string, share double"), "l": spark.createDataFrame([("x", 0.4), ("y", 0.6)], "l string, share double")}
-    from tessera.llm.common import Scratch
-
-    w = mixing.rake(cells, targets, Scratch(spark), rounds=30).toPandas()
-    assert w.groupby("s")["weight"].sum()["a"] == pytest.approx(0.7, abs=1e-6)
-    assert w.groupby("l")["weight"].sum()["x"] == pytest.approx(0.4, abs=1e-6)
+def _raked(table, targets, rounds=200):
+    """Plain raking of {(source, lang, topic): tokens} to {place: {value: share}}."""
+    w = {k: float(v) for k, v in table.items()}
+    for _ in range(rounds):
+        for i, target in targets.items():
+            sums = collections.defaultdict(float)
+            for k, v in w.items():
+                sums[k[i]] += v
+            w = {k: v * target.get(k[i], 0.0) / sums[k[i]] if sums[k[i]] else 0.0 for k, v in w.items()}
+    return w
+
+
+def test_mixing_meets_given_targets(spark):
+    """Targets for all three dimensions, one of them a column: weights as by plain raking, expected tokens as the budget says."""
+    rng = np.random.default_rng(4)
+    places = [(s, x, t) for s in "abc" for x in ("en", "fr") for t in ("news", "code", "chat")]
+    docs = [(i, *places[rng.choice(18, p=np.arange(1, 19) / 171)], int(rng.integers(1, 200))) for i in range(600)]
+    d = spark.createDataFrame([(i, "w " * n, x, s, t, "clash", 1) for i, s, x, t, n in docs], "doc_id long, text string, lang string, source string, subject string, row string, w int")
+    shares = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "fr": 0.4, "xx": 0.0}, "topic": {"news": 0.2, "code": 0.3, "chat": 0.5}}
+    tables = {k: spark.createDataFrame(list(v.items()), "value string, share double") for k, v in shares.items()}
+    got = mixing.mix(d, topic="subject", targets=tables, budget=0.6).toPandas()
+    tokens = collections.Counter()
+    for _, s, x, t, n in docs:
+        tokens[s, x, t] += n
+    want = _raked(tokens, dict(enumerate(shares.values())))
+    for r in got.itertuples():
+        assert r.mix_weight == pytest.approx(want[r.mix_source, r.mix_lang, r.mix_topic], abs=2e-6)
+        assert (r.row, r.w, r.mix_tokens) == ("clash", 1, len(r.text.split()))
+    assert (got.mix_tokens * got.mix_probability).sum() == pytest.approx(0.6 * got.mix_tokens.sum(), rel=1e-4)
+    open_cells = got[got.mix_probability < 1]
+    factor = open_cells.mix_probability * [tokens[r.mix_source, r.mix_lang, r.mix_topic] / want[r.mix_source, r.mix_lang, r.mix_topic] for r in open_cells.itertuples()]
+    assert factor.max() / factor.min() == pytest.approx(1, rel=1e-3)
+
+
+def test_mixing_reports_targets_that_cant_be_met(spark):
+    d = spark.createDataFrame([(1, "a b", "en", "x"), (2, "a b c", "fr", "y")], "doc_id long, text string, lang string, source string")
+    tables = {k: spark.createDataFrame(v, "value string, share double") for k, v in (("source", [("x", 0.9), ("y", 0.1)]), ("lang", [("en", 0.1), ("fr", 0.9)]))}
+    with pytest.warns(UserWarning, match="can't be met"):
+        assert mixing.mix(d, targets=tables).count() == 2
+
+
+def test_mixing_skips_unnamed_values(spark):
+    d = spark.createDataFrame([(i, "a b c", "en", "xy"[i % 2]) for i in range(40)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(d, targets={"source": spark.createDataFrame([("x", 1.0), ("z", 1.0)], "value string, share double")}, budget=0.5).toPandas()
+    assert got[got.source == "y"]["mix_probability"].max() == 0 and got[got.source == "x"]["mix_probability"].min() == 1
 
 
 def test_mixing_odd(odd, none):
