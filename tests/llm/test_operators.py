@@ -85,8 +85,91 @@ def test_shards_keep_equal_texts_together(spark):
 
 def test_shards_split_hot_group(spark):
     d = spark.createDataFrame([_doc(i, "the same text again" if i < 600 else f"text {i} " * 3) for i in range(1000)], DOCS)
-    sizes = sharding.kd_shards(d, shards=4).toPandas().groupby("shard")["size"].sum()
+    got = sharding.kd_shards(d, shards=4).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
     assert sizes.max() / sizes.min() < 1.25
+    assert got[got.doc_id >= 600].groupby("text_crc32")["shard"].nunique().max() == 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_keep_all_groups_of_the_given_texts(spark, sf):
+    d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = sharding.kd_shards(d, shards=8).join(d.select("doc_id", "text"), "doc_id").toPandas()
+    assert got.groupby("text")["shard"].nunique().max() == 1
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= got.groupby("text")["size"].sum().max()
+
+
+def _kd_tree(points, leaves):
+    """The k-d tree in plain Python: (id, weight, hash, x...) to the shard of each id, by sorting instead of histograms."""
+    shard = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            shard.update({p[0]: first for p in own})
+            return
+        w = sum(p[1] for p in own)
+        goal = int(float(w) * (n // 2) / n)
+        ranges = [(min(c), max(c)) for c in zip(*(p[3] for p in own), strict=True)]
+        k = max(range(len(ranges)), key=lambda i: (ranges[i][1] - ranges[i][0], -i))
+        lo, width = ranges[k][0], ranges[k][1] - ranges[k][0]
+        place = lambda p: min(sharding.BINS - 1, math.floor((p[3][k] - lo) / width * sharding.BINS)) if width > 0 else 0
+        large = [p for p in own if p[1] * sharding.LARGE > w]
+        few = [p for p in own if p[1] * sharding.LARGE <= w]
+        left, held = set(), 0
+        for p in sorted(large, key=lambda p: (place(p), p[2], p[0])):
+            before = sum(q[1] for q in few if place(q) <= place(p)) + sum(q[1] for q in large if (place(q), q[2], q[0]) < (place(p), p[2], p[0]))
+            rest = sum(q[1] for q in large if (place(q), q[2], q[0]) >= (place(p), p[2], p[0]))
+            held += p[1]
+            if (2 * before + p[1] <= 2 * goal or rest > w - goal) and held <= goal:
+                left.add(p[0])
+        rest = max(0, goal - sum(p[1] for p in large if p[0] in left))
+        bins = collections.Counter()
+        for p in few:
+            bins[place(p)] += p[1]
+        total, cut = 0, None
+        for x in sorted(bins):
+            if total + bins[x] > rest:
+                cut = x
+                break
+            total += bins[x]
+        cells = collections.Counter()
+        for p in few:
+            if place(p) == cut:
+                cells[p[2]] += p[1]
+        last, running = -1, 0
+        for h in sorted(cells):
+            running += cells[h]
+            if 2 * running - cells[h] <= 2 * (rest - total):
+                last = h
+        left |= {p[0] for p in few if cut is None or place(p) < cut or (place(p) == cut and p[2] <= last)}
+        split([p for p in own if p[0] in left], first, n // 2)
+        split([p for p in own if p[0] not in left], first + n // 2, n - n // 2)
+
+    split(points, 0, leaves)
+    return shard
+
+
+@pytest.mark.parametrize("leaves", [8, 5])
+def test_kd_tree_brute_force(spark, leaves):
+    from tessera.llm.common import Scratch
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(1, 2000)) if i % 40 else int(rng.integers(20_000, 60_000)), int(rng.integers(0, sharding.HASHES)), float(rng.integers(0, 3)), float(rng.random() ** 3), 1.0) for i in range(700)]
+    d = spark.createDataFrame(rows, "id long, weight long, hash int, a double, b double, c double")
+    got = {r["id"]: r["shard"] for r in sharding.kd_split(d, leaves, ["a", "b", "c"], Scratch(spark)).collect()}
+    unit = lambda v, k: (v - min(r[k] for r in rows)) / ((max(r[k] for r in rows) - min(r[k] for r in rows)) or 1)
+    assert got == _kd_tree([(r[0], r[1], r[2], tuple(unit(r[k], k) for k in (3, 4, 5))) for r in rows], leaves)
+    sums = collections.Counter()
+    for r in rows:
+        sums[got[r[0]]] += r[1]
+    assert max(sums.values()) / min(sums.values()) < 1.1
+
+
+def test_common_prefix():
+    assert sharding._common_prefix("source_1", "source_9") == 7
+    assert sharding._common_prefix(None, "x") == 0 == sharding._common_prefix("", "abc")
+    assert sharding._common_prefix("abc", "abc") == 3
 
 
 def test_shards_odd(odd, none):
