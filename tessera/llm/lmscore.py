@@ -1,19 +1,28 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models of one order and one vocabulary: the target model counts the target documents, the background model all
-documents, with its counts scaled to the target's size so that both are smoothed alike. The vocabulary is every word that
-the corpus holds twice or more; other words share one unknown word. A document's score is the mean over its tokens of
-the target loss minus the background loss: the lower, the closer to the target.
-
-Words are interpolated: unigrams for all words; bigrams too where both words belong to the HEAD most frequent ones. Head
-tables have a fixed bound and are sent to the tasks. All other words are counted and looked up by shuffled joins that
-carry one row for each distinct word of a document, so what is gathered grows with the corpus and nothing is capped; the
-hot words, which would fill one partition, are just those that need no join.
+Two bigram models of one vocabulary, which is every word of the corpus and a mark for both ends of a text. The background
+model counts all documents, scaled to the target's size; the target model counts the target documents. Both are smoothed
+alike, so both sum to one over the vocabulary after any word:
+
+* single(w) = (count(w) + SINGLE_BACKOFF * share of w in the corpus) / (all counts + SINGLE_BACKOFF)
+* pair(w after h) = (count(h w) + PAIR_BACKOFF * single(w)) / (count(h) + PAIR_BACKOFF); after an unseen h that is single(w)
+
+A document's score is the mean over its words and its end of the target loss less the background loss: the lower, the closer
+to the target.
+
+Every text is a run of steps (word before, word). Steps go to buckets by the hash of their word, many to a row, as arrays of
+distinct pairs and of the documents that hold them. So one bucket has all that a step's loss needs - the counts of the pair
+and of the word - and gives back one number a document. Nothing is capped, and what is gathered grows with the corpus.
+
+The hottest words and pairs would fill one bucket. A bounded table of them is counted exactly beforehand and sent to the
+tasks: their steps are settled where the text is read, or are spread over buckets by pair. Which words and pairs it holds is
+drawn from a sample of texts; that decides where a step is settled, never its loss.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -23,120 +32,251 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, Scratch
+from tessera.llm.common import LOWER, UPPER, Scratch, shuffle_partitions
 
-HEAD = 1000
-MIN_COUNT = 2
-BIGRAM_WEIGHT = 0.5
-#: Target ids up to which they are sent to all tasks; beyond, the documents are joined to them by a shuffle.
-BROADCAST_IDS = 2_000_000
+SINGLE_BACKOFF, PAIR_BACKOFF = 100.0, 1.0
+#: Size of the table of hot words and pairs, and about how many texts it is drawn from.
+HEAD_WORDS, HEAD_PAIRS, HEAD_SAMPLE = 2048, 8192, 2000
+#: Words, and texts, after which the steps read so far are sent on. Places of texts are 16-bit numbers.
+FLUSH_WORDS, FLUSH_TEXTS = 2_000_000, 30_000
+BUCKETS_A_PARTITION = 8
+#: Bytes of target ids up to which they are sent to all tasks; beyond, the documents are joined to them by a shuffle.
+BROADCAST_BYTES = 32 << 20
 KEEP_WORDS = 300_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_U = np.uint64
+#: Hash of the mark at both ends; no word is empty.
+END = xxhash.xxh64_intdigest(b"")
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEEP_WORDS:
             self.clear()
-        x = xxhash.xxh64_intdigest(word)
-        value = self[word] = x - (1 << 64) if x >> 63 else x
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-def _tokens(t: str | None, hashes: _Hashes) -> np.ndarray:
+def _steps(t: str | None, hashes: _Hashes) -> np.ndarray:
+    """Hashes of the words, then of the end mark; nothing for a text without words."""
     ws = (t or "").encode().translate(_LOWER).split()
-    return np.fromiter(map(hashes.__getitem__, ws), np.int64, len(ws))
+    h = np.full(len(ws) + 1 if ws else 0, END, _U)
+    h[: len(ws)] = np.fromiter(map(hashes.__getitem__, ws), _U, len(ws))
+    return h
 
 
-def word_hash(word: str) -> int:
-    return _Hashes()[word.encode().translate(_LOWER)]
+def _before(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The word before each one, over concatenated texts: the end mark of the text before is the mark of the start."""
+    out = np.roll(h, 1)
+    if len(h):
+        out[0] = END
+    return out
 
 
-def _summed(keys: list[np.ndarray], target: list[bool]) -> pa.RecordBatch:
-    """Counts of a batch: key, n (all documents), t (target documents)."""
-    every = np.concatenate([np.empty(0, np.int64), *keys])
-    flags = np.repeat(np.array(target, bool), [len(k) for k in keys])
-    found, inverse = np.unique(every, return_inverse=True)
-    n, t = np.bincount(inverse, minlength=len(found)), np.bincount(inverse, flags, len(found))
-    return pa.RecordBatch.from_pydict({"key": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64()), "t": pa.array(t.astype(np.int64), pa.int64())})
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs."""
+    x = (a ^ (b * _U(0x9E3779B97F4A7C15))) * _U(0xC4CEB9FE1A85EC53)
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
-    for batch in batches:
-        yield _summed([_tokens(t.as_py(), hashes) for t in batch.column("text")], batch.column("target").to_pylist())
+def single(n, share, total):
+    """Smoothed probability of a word that was counted n times among ``total``; share: its share of the corpus."""
+    return (n + SINGLE_BACKOFF * share) / (total + SINGLE_BACKOFF)
 
 
-class Head:
-    """The most frequent words: hashes in sorted order, and the loss differences that need no join."""
+def pair(n, before, one):
+    """Smoothed probability of a word after another: n counts of both, ``before`` of the first; one: single() of the word."""
+    return (n + PAIR_BACKOFF * one) / (before + PAIR_BACKOFF)
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.single = np.zeros(len(words))
-        self.pairs, self.pair_delta = np.empty(0, np.int64), np.empty(0)
 
-    def places(self, h: np.ndarray) -> np.ndarray:
-        """Number of each word in the head, else -1."""
-        if not len(self.words):
-            return np.full(len(h), -1)
+@dataclass
+class Totals:
+    """Steps of all documents and of the target documents."""
+
+    n: float
+    t: float
+
+    @property
+    def scale(self) -> float:
+        return self.t / self.n if self.n else 0.0
+
+    def pair_part(self, pn, pt, n, t):
+        """What a step adds for its pair (counts pn, pt) and word (n, t): numerators of target loss less background loss."""
+        share = n / max(self.n, 1.0)
+        return np.log(pn * self.scale + PAIR_BACKOFF * single(n * self.scale, share, self.t)) - np.log(pt + PAIR_BACKOFF * single(t, share, self.t))
+
+    def before_part(self, n, t):
+        """What each occurrence of a word adds as the word before: the denominators."""
+        return np.log(t + PAIR_BACKOFF) - np.log(n * self.scale + PAIR_BACKOFF)
+
+
+class Head:
+    """Hot words and pairs: sorted hashes and, once counted, their counts."""
+
+    def __init__(self, words: list[int], pairs: list[tuple[int, int]]):
+        self.words = np.unique(np.array([*words, END], _U))
+        known = set(self.words.tolist())
+        pairs = [p for p in pairs if p[1] in known]
+        codes = _mixed(np.array([p[1] for p in pairs], _U), np.array([p[0] for p in pairs], _U))
+        order = np.argsort(codes)
+        self.codes, self.before, self.after = codes[order], np.array([p[0] for p in pairs], _U)[order], np.array([p[1] for p in pairs], _U)[order]
+        self.totals = Totals(0.0, 0.0)
+
+    def word_at(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
-    def codes(self, places: np.ndarray) -> np.ndarray:
-        """A number for each place whose word and the word before it are in the head, else -1."""
-        out = np.full(len(places), -1)
-        out[1:] = np.where((places[1:] >= 0) & (places[:-1] >= 0), places[:-1] * len(self.words) + places[1:], -1)
-        return out
+    def pair_at(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.codes, _mixed(h, before)), len(self.codes) - 1)
+        return np.where((self.before[at] == before) & (self.after[at] == h), at, -1)
+
+    def counted(self, words: np.ndarray, pairs: np.ndarray, totals: Totals) -> None:
+        """words, pairs: two rows, counts of all documents and of the target documents."""
+        self.totals, self.n, self.t = totals, words[0], words[1]
+        self.before_delta = totals.before_part(self.n, self.t)
+        at = self.word_at(self.after)
+        self.pair_delta = totals.pair_part(pairs[0], pairs[1], self.n[at], self.t[at])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of single words (before = word) and pairs of a batch."""
+    hashes = _Hashes()
+    for batch in batches:
+        h = np.concatenate([np.empty(0, _U), *(_steps(t.as_py(), hashes) for t in batch.column(0))])
+        words, n = np.unique(h, return_counts=True)
+        both, m = np.unique(np.stack([_before(h, None), h]), axis=1, return_counts=True)
+        kinds = np.repeat([False, True], [len(words), both.shape[1]])
+        columns = [np.r_[words, both[0]].view(np.int64), np.r_[words, both[1]].view(np.int64), np.r_[n, m]]
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(kinds)} | dict(zip(("a", "b", "n"), map(pa.array, columns), strict=True)))
+
+
+def _draw_head(narrow: DataFrame) -> Head:
+    rows = narrow.count()
+    sample = narrow.select("text").sample(min(1.0, HEAD_SAMPLE / max(rows, 1)), seed=1).mapInArrow(_sampled, "pair boolean, a long, b long, n long")
+    counts = sample.groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
+    top = [counts.where(c).orderBy(F.col("n").desc(), "a", "b").limit(k).collect() for c, k in (("not pair", HEAD_WORDS), ("pair", HEAD_PAIRS))]
+    bits = (1 << 64) - 1
+    return Head([r["a"] & bits for r in top[0]], [(r["a"] & bits, r["b"] & bits) for r in top[1]])
 
 
-def _count_pairs(head: Head):
+def _count_head(shared):
+    """Counts of the head's words (0), pairs (1) and of all steps (2) in each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, head = _Hashes(), shared.value
         for batch in batches:
-            codes = [head.codes(head.places(_tokens(t.as_py(), hashes))) for t in batch.column("text")]
-            yield _summed([c[c >= 0] for c in codes], batch.column("target").to_pylist())
+            parts = [_steps(t.as_py(), hashes) for t in batch.column("text")]
+            h = np.concatenate([np.empty(0, _U), *parts])
+            target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), [len(p) for p in parts])
+            out = []
+            for kind, at in enumerate((head.word_at(h), head.pair_at(_before(h, None), h), np.zeros(len(h), np.int64))):
+                size = int(at.max(initial=-1)) + 1
+                n, t = np.bincount(at[at >= 0], minlength=size), np.bincount(at[target & (at >= 0)], minlength=size)
+                some = np.flatnonzero(n)
+                out.append((np.full(len(some), kind), some, n[some], t[some]))
+            yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in zip(("kind", "at", "n", "t"), zip(*out, strict=True), strict=True)})
 
     return run
 
 
-def _score(head: Head):
-    """For each document, a row with its head sum, and a row for each distinct other word."""
+def _send(shared, buckets: int):
+    """Rows of steps for the buckets, and a row of ids, sizes and settled sums for each group of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, numbers, task = _Hashes(), count(), TaskContext.get().partitionId()
+        hashes, head, numbers, task = _Hashes(), shared.value, count(), TaskContext.get().partitionId()
         for batch in batches:
-            row, key, n, part, size = [], [], [], [], []
-            for t in batch.column("text"):
-                h = _tokens(t.as_py(), hashes)
-                at = head.places(h)
-                own = head.single[at[at >= 0]].sum()
-                codes = head.codes(at)
-                codes = codes[codes >= 0]
-                if len(codes) and len(head.pairs):
-                    # A pair adds to what its second word has as a single word.
-                    x = np.minimum(np.searchsorted(head.pairs, codes), len(head.pairs) - 1)
-                    own += np.where(head.pairs[x] == codes, head.pair_delta[x], 0.0).sum()
-                words, times = np.unique(h[at < 0], return_counts=True)
-                row.append(np.full(len(words) + 1, task << 33 | next(numbers)))
-                key.append(np.r_[0, words])
-                n.append(np.r_[0, times])
-                part.append(np.r_[own, np.zeros(len(words))])
-                size.append(np.r_[len(h), np.zeros(len(words), np.int64)])
-            lengths = [len(r) for r in row]
-            first = np.concatenate([np.r_[True, np.zeros(k - 1, bool)] for k in lengths] or [np.empty(0, bool)])
-            joined = [np.concatenate(x) if x else np.empty(0) for x in (row, key, n, part, size)]
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(lengths)), lengths), pa.int64(), mask=~first))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
-            arrays = [pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(joined, kinds, strict=True)]
-            arrays[1] = pa.array(joined[1].astype(np.int64), pa.int64(), mask=first)
-            yield pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", "row", "key", "n", "part", "size"])
+            texts, target = batch.column("text"), batch.column("target").to_pylist()
+            start, words, parts = 0, 0, []
+            for i in range(len(texts)):
+                parts.append(_steps(texts[i].as_py(), hashes))
+                words += len(parts[-1])
+                if words >= FLUSH_WORDS or len(parts) >= FLUSH_TEXTS or i == len(texts) - 1:
+                    group = task << 33 | next(numbers)
+                    yield _group_rows(head, buckets, group, parts, target[start : i + 1], batch.column("doc_id").slice(start, i + 1 - start), batch.schema.field("doc_id").type)
+                    start, words, parts = i + 1, 0, []
+
+    return run
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def _group_rows(head: Head, buckets: int, group: int, parts: list[np.ndarray], target: list[bool], ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+    order = sorted(range(len(parts)), key=lambda i: not target[i])  # target documents first
+    parts = [parts[i] for i in order]
+    sizes = np.array([len(p) for p in parts])
+    h = np.concatenate([np.empty(0, _U), *parts])
+    doc, before = np.repeat(np.arange(len(parts)), sizes), _before(h, sizes)
+    hot, known = head.word_at(h), head.pair_at(before, h)
+    sums = np.bincount(doc, np.where(hot >= 0, head.before_delta[hot], 0.0), len(parts)).astype(float)
+    if len(head.codes):
+        sums += np.bincount(doc, np.where(known >= 0, head.pair_delta[known], 0.0), len(parts))
+    rest = known < 0
+    h, before, doc, hot = h[rest], before[rest], doc[rest].astype(np.int16), hot[rest]
+    both = _mixed(h, before)
+    # A place decides the bucket: that of the word, for hot words that of the pair. The low bits keep equal pairs together.
+    place = np.where(hot >= 0, both, _mixed(h, h)) >> _U(44)
+    by = np.argsort((place << _U(44)) | (both & _U((1 << 44) - 1)), kind="stable")
+    h, before, doc, bucket = h[by], before[by], doc[by], (place[by] * _U(buckets)) >> _U(20)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1])
+    starts = np.flatnonzero(new)
+    holders, own = np.diff(np.r_[starts, len(h)]), bucket[starts]
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, int)
+    pair_bounds, doc_bounds = np.r_[cuts, len(own)], np.r_[starts[cuts], len(h)] if len(own) else np.zeros(1, int)
+    k = len(cuts)
+    pad = lambda bounds: np.r_[bounds, bounds[-1]] if len(bounds) == k + 1 else np.zeros(k + 2, int)  # noqa: E731  an empty list for the last row
+    last = np.r_[np.zeros(k + 1, int), len(parts)]
+    own_ids = pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), ids.take(pa.array(order, pa.int64())) if len(order) else pa.array([], id_type))
+    arrays = {
+        "row": pa.array(np.full(k + 1, group), pa.int64()), "bucket": pa.array([*own[cuts].tolist(), group % buckets], pa.int32()), "targets": pa.array(np.full(k + 1, sum(target)), pa.int32()),
+        "words": _lists(h[starts].view(np.int64), pad(pair_bounds)), "befores": _lists(before[starts].view(np.int64), pad(pair_bounds)), "holders": _lists(holders.astype(np.int32), pad(pair_bounds)), "docs": _lists(doc, pad(doc_bounds)),
+        "sizes": _lists(sizes, last), "sums": _lists(sums, last), "ids": own_ids,
+    }
+    return pa.RecordBatch.from_pydict(arrays)
+
+
+def _settle(shared):
+    """A bucket to (row, doc, id, size, part): a part for each document of a group that has steps there, ids and sizes once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        head: Head = shared.value
+        totals = head.totals
+        flat = lambda name: table[name].combine_chunks().flatten()
+        each = lambda name: table[name].combine_chunks().value_lengths().to_numpy()
+        words, befores, holders, docs = flat("words").to_numpy().view(_U), flat("befores").to_numpy().view(_U), flat("holders").to_numpy(), flat("docs").to_numpy()
+        groups = table["row"].to_numpy()
+        pair_of = np.repeat(np.arange(len(words)), holders)
+        blob = np.repeat(np.repeat(np.arange(len(groups)), each("words")), holders)
+        target = docs < table["targets"].to_numpy()[blob]
+        own, at = np.unique(_mixed(words, befores), return_inverse=True)
+        step = at[pair_of]
+        pn, pt = np.bincount(step, minlength=len(own)), np.bincount(step, target, len(own))
+        word = np.empty(len(own), _U)
+        word[at] = words
+        vocabulary, place = np.unique(word, return_inverse=True)
+        n, t = np.bincount(place, pn, len(vocabulary)), np.bincount(place, pt, len(vocabulary))
+        hot = head.word_at(vocabulary)
+        n, t = np.where(hot >= 0, head.n[hot], n), np.where(hot >= 0, head.t[hot], t)
+        delta = totals.pair_part(pn, pt, n[place], t[place]) + np.where(hot >= 0, 0.0, totals.before_part(n, t))[place]
+        where, into = np.unique(blob << 16 | docs, return_inverse=True)
+        sizes = each("sizes")
+        rows, places = np.r_[groups[where >> 16], np.repeat(groups, sizes)], np.r_[where & 0xFFFF, np.concatenate([np.arange(k) for k in sizes])]
+        parts, ids, lengths = np.r_[np.bincount(into, delta[step], len(where)).astype(float), flat("sums").to_numpy()], flat("ids"), flat("sizes")
+        return pa.table({
+            "row": rows, "doc": places.astype(np.int32), "doc_id": pa.chunked_array([pa.nulls(len(where), ids.type), ids]), "size": pa.chunked_array([pa.nulls(len(where), pa.int64()), lengths]), "part": parts,
+        })
 
     return run
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_tokens, score (loss of the target model less that of the background model, a token).
+    """One row a document: doc_id, n_tokens, score (loss of the target model less that of the background model, a step).
 
     ``target_ids``: one column of ids of the target documents; nulls and repeats play no part. Tokens: words between ASCII
     white space, A-Z lower-cased. Null, empty and blank texts have no tokens and score 0. Without target documents every
@@ -144,46 +284,27 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
-    ids = scratch.save(target_ids.toDF("_target_id").where("_target_id is not null").distinct(), "targets").withColumn("_is", F.lit(True))
-    small = ids.count() <= BROADCAST_IDS
+    ids = scratch.save(target_ids.toDF("target_id").where("target_id is not null").distinct(), "targets")
+    size = ids.agg(F.sum(F.octet_length(F.col("target_id").cast("string")) + 16)).first()[0] or 0
+    ids = ids.withColumn("is", F.lit(True))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    flagged = narrow.join(F.broadcast(ids) if small else ids, narrow["doc_id"] == ids["_target_id"], "left").select("text", F.coalesce("_is", F.lit(False)).alias("target"))
-
-    counts = flagged.mapInArrow(_count_words, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counts = scratch.save(counts, "counts")
-    known = counts.where(F.col("n") >= MIN_COUNT)
-    all_n, all_t, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.sum((F.col("n") >= MIN_COUNT).cast("long"))).first()
-    rare_n, rare_t = counts.where(F.col("n") < MIN_COUNT).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    scale = all_t / all_n if all_n else 0.0
-    mass = all_t + (size or 0) + 1.0  # both models have this size, each word of the vocabulary and the unknown one once more
-
-    def delta(n, t, log):
-        """Target loss less background loss of a word."""
-        return log(n * scale + 1.0) - log(t + 1.0)
-
-    # The head: a fixed number of rows.
-    top = known.orderBy(F.col("n").desc(), "key").limit(HEAD).collect()
-    top.sort(key=lambda r: r["key"])
-    head = Head(np.array([r["key"] for r in top], np.int64))
-    n, t = np.array([float(r["n"]) for r in top]), np.array([float(r["t"]) for r in top])
-    head.single = delta(n, t, np.log)
-    pairs = flagged.mapInArrow(_count_pairs(head), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= MIN_COUNT)
-    # At most HEAD * HEAD rows of three numbers.
-    found = pairs.toArrow().sort_by("key")
-    head.pairs = found["key"].to_numpy()
-    if len(head.pairs):
-        pn, pt = found["n"].to_numpy().astype(float), found["t"].to_numpy().astype(float)
-        left, right = head.pairs // len(top), head.pairs % len(top)
-        w = BIGRAM_WEIGHT
-        single_t, single_n = (t[right] + 1.0) / mass, (n[right] * scale + 1.0) / mass
-        pair_t = (1 - w) * single_t + w * (pt + single_t) / (t[left] + 1.0)
-        pair_n = (1 - w) * single_n + w * (pn * scale + single_n) / (n[left] * scale + 1.0)
-        head.pair_delta = np.log(pair_n) - np.log(pair_t) - head.single[right]
-
-    parts = narrow.mapInArrow(_score(head), f"doc_id {kind}, row long, key long, n int, part double, size long")
-    unknown = float(delta(float(rare_n), float(rare_t), np.log))
-    losses = known.select("key", delta(F.col("n"), F.col("t"), F.log).alias("delta"))
-    joined = parts.join(losses, "key", "left")
-    total = F.sum(F.when(F.col("n") > 0, F.col("n") * F.coalesce("delta", F.lit(unknown))).otherwise(F.col("part")))
-    out = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("size").alias("n_tokens"), total.alias("total"))
-    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("n_tokens"), 6)).otherwise(0.0).alias("score"))
+    flagged = narrow.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, F.col("doc_id") == F.col("target_id"), "left")
+    flagged = flagged.select("doc_id", "text", F.coalesce("is", F.lit(False)).alias("target"))
+
+    head = _draw_head(narrow)
+    drawn = spark.sparkContext.broadcast(head)
+    counts = flagged.select("text", "target").mapInArrow(_count_head(drawn), "kind long, at long, n long, t long")
+    # At most HEAD_WORDS + HEAD_PAIRS + 2 rows.
+    found = counts.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    tables = [np.zeros((2, len(head.words))), np.zeros((2, len(head.codes))), np.zeros((2, 1))]
+    for r in found:
+        tables[r["kind"]][:, r["at"]] = r["n"], r["t"]
+    head.counted(tables[0], tables[1], Totals(float(tables[2][0, 0]), float(tables[2][1, 0])))
+    shared = spark.sparkContext.broadcast(head)
+
+    buckets = BUCKETS_A_PARTITION * shuffle_partitions(spark)
+    schema = f"row long, bucket int, targets int, words array<long>, befores array<long>, holders array<int>, docs array<short>, sizes array<long>, sums array<double>, ids array<{kind}>"
+    parts = flagged.mapInArrow(_send(shared, buckets), schema).groupBy("bucket").applyInArrow(_settle(shared), f"row long, doc int, doc_id {kind}, size long, part double")
+    out = parts.groupBy("row", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.sum("part").alias("part"))
+    # A step for each word and one for the end.
+    return out.select("doc_id", F.greatest(F.col("size") - 1, F.lit(0)).alias("n_tokens"), F.when(F.col("size") > 0, F.round(F.col("part") / F.col("size"), 6)).otherwise(0.0).alias("score"))

@@ -349,44 +349,52 @@ def test_near_duplicates_odd(odd, none):
 
 
 def _cross_entropy(docs, target):
-    """The same models in plain Python, without head tables or joins."""
+    """The same models in plain Python: (tokens, score) by id, and the probabilities of a word after another."""
     tokens = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for i, t in docs}
-    n, t = collections.Counter(), collections.Counter()
-    pn, pt = collections.Counter(), collections.Counter()
-    for i, ws in tokens.items():
-        n.update(ws)
-        pn.update(zip(ws, ws[1:], strict=False))
-        if i in target:
-            t.update(ws)
-            pt.update(zip(ws, ws[1:], strict=False))
+    steps = {i: list(zip(["", *ws], [*ws, ""], strict=True)) if ws else [] for i, ws in tokens.items()}
+    n, t, pn, pt = (collections.Counter() for _ in range(4))
+    for i, own in steps.items():
+        for c, single, double in ((True, n, pn), (i in target, t, pt)):
+            if c:
+                single.update(w for _, w in own)
+                double.update(own)
     all_n, all_t = sum(n.values()), sum(t.values())
     scale = all_t / all_n
-    vocabulary = [w for w in n if n[w] >= 2]
-    mass = all_t + len(vocabulary) + 1.0
-    rare_n, rare_t = sum(n[w] for w in n if n[w] < 2), sum(t[w] for w in n if n[w] < 2)
-    head = set(sorted(vocabulary, key=lambda w: (-n[w], lmscore.word_hash(w)))[: lmscore.HEAD])
-    single = lambda w: ((n[w], t[w]) if n[w] >= 2 else (rare_n, rare_t))
-    out = {}
-    for i, ws in tokens.items():
-        total = 0.0
-        for k, w in enumerate(ws):
-            a, b = single(w)
-            p_n, p_t = (a * scale + 1) / mass, (b + 1) / mass
-            if k and w in head and ws[k - 1] in head and pn[ws[k - 1], w] >= 2:
-                before = ws[k - 1]
-                p_t = 0.5 * p_t + 0.5 * (pt[before, w] + p_t) / (t[before] + 1)
-                p_n = 0.5 * p_n + 0.5 * (pn[before, w] * scale + p_n) / (n[before] * scale + 1)
-            total += math.log(p_n) - math.log(p_t)
-        out[i] = (len(ws), total / len(ws) if ws else 0.0)
-    return out
-
-
-def test_cross_entropy_brute_force(spark, small):
+    k1, k2 = lmscore.SINGLE_BACKOFF, lmscore.PAIR_BACKOFF
+
+    def p(h, w, single, double, factor):
+        one = (single[w] * factor + k1 * n[w] / all_n) / (all_t + k1)
+        return (double[h, w] * factor + k2 * one) / (single[h] * factor + k2)
+
+    models = (lambda h, w: p(h, w, n, pn, scale)), (lambda h, w: p(h, w, t, pt, 1.0))
+    score = {i: sum(math.log(models[0](h, w)) - math.log(models[1](h, w)) for h, w in own) / len(own) if own else 0.0 for i, own in steps.items()}
+    return {i: (len(tokens[i]), score[i]) for i in tokens}, models, list(n)
+
+
+@pytest.mark.parametrize("head", [None, (5, 5), (0, 0)])
+def test_cross_entropy_brute_force(spark, small, head, monkeypatch):
+    """Scores don't depend on how many hot words and pairs are settled apart, nor on how often steps are sent on."""
+    if head:
+        monkeypatch.setattr(lmscore, "HEAD_WORDS", head[0])
+        monkeypatch.setattr(lmscore, "HEAD_PAIRS", head[1])
+        monkeypatch.setattr(lmscore, "FLUSH_WORDS", 5000)
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lmscore.cross_entropy_difference(small, labels).collect()}
-    want = _cross_entropy([(r.doc_id, r.text) for r in small.toPandas().itertuples()], {r["doc_id"] for r in labels.collect()})
+    want, models, vocabulary = _cross_entropy([(r.doc_id, r.text) for r in small.toPandas().itertuples()], {r["doc_id"] for r in labels.collect()})
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-5) for i in want)
+    for model in models:
+        for h in ["", *vocabulary[1:400:40], "never seen"]:
+            assert sum(model(h, w) for w in vocabulary) == pytest.approx(1)
+
+
+def test_cross_entropy_sets_repeats_apart(spark):
+    """A text outside the target scores higher the more often the corpus repeats it."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 60)) for _ in range(200)]
+    d = spark.createDataFrame([_doc(i, t) for i, t in enumerate([*texts, *texts[150:160]])], DOCS)
+    got = {r["doc_id"]: r["score"] for r in lmscore.cross_entropy_difference(d, d.where("doc_id < 40").select("doc_id")).collect()}
+    assert min(got[i] for i in range(150, 160)) > max(got[i] for i in range(160) if i < 150)
 
 
 def test_cross_entropy_odd(odd, none):
