@@ -1,8 +1,9 @@
 """Quality rules by host, with DataFrame functions only.
 
 Each document gets whole-text counts and rule verdicts. Rule failures are summed by host; a host's failure rate is
-shrunk towards all hosts by a beta prior fitted to the host rates (method of moments); the host's verdict joins back to
-its documents. Texts are read once: counts go to a narrow scratch table from which the rest is made.
+shrunk towards the corpus rate by a beta prior fitted to all hosts (method of moments); the host's verdict joins back to
+its documents and sets how many rules a document may fail there. Texts are read once: counts go to a narrow scratch table
+from which the rest is made, and the hosts are written, so that their size is known when they are joined.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, words
 
 WINDOW = 8
-#: A host is strict when its shrunk failure rate exceeds this.
-MAX_HOST_RATE = 0.5
+#: A host is strict when its shrunk failure rate exceeds the corpus rate by this factor.
+STRICT_FACTOR = 1.0
+#: Rules that a document may fail on a strict host and on others.
+STRICT_FAILURES, OTHER_FAILURES = 0, 1
 SYMBOLS = "#*$%&|<>"
 
 
@@ -73,43 +76,53 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_quality(docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row a document: doc_id, the counts, base_failed, n_failed_rules, host figures, kept.
+def host_quality(docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text", strict_factor: float = STRICT_FACTOR) -> DataFrame:
+    """One row a document: doc_id, the counts, base_failed, kept, n_failed_rules, host figures.
 
     base_failed: the rules ``short`` or ``repeats``. A host's failures are its documents that fail any rule;
-    host_rate = (failures + a) / (documents + a + b), where the prior's mean a / (a + b) and size a + b fit mean and
-    variance of the host rates. host_strict: host_rate > max_host_rate. A document is kept unless base_failed, or its
-    host is strict and it fails any rule; documents without a failure stay wherever they are.
+    host_rate = (failures + a) / (documents + a + b) with the prior's a and b, whose mean is the corpus rate.
+    host_strict: host_rate exceeds the corpus rate by more than the factor. A document is kept unless base_failed, or it fails
+    more than STRICT_FAILURES rules on a strict host, or more than OTHER_FAILURES elsewhere. A document without a failure
+    stays wherever it is.
 
     Null or empty text: no words, so base_failed. A null host is one host of its own (the empty name). One host, or hosts
-    of equal rates: the variance is zero, so the prior outweighs all and each host gets the mean. Repeated rows count
-    each. An empty table gives an empty table. Other columns of the input play no part.
+    of equal rates: the prior outweighs all, so no host is strict. Repeated rows count each. An empty table gives an empty
+    table. Other columns of the input play no part.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("_text"))
     counted = document_counts(narrow, text="_text").drop("_text")
     failed = rule_failures()
     n_failed = sum((c.cast("int") for c in failed.values()), F.lit(0))
-    table = Scratch(spark).save(counted.withColumns({"base_failed": failed["short"] | failed["repeats"], "n_failed_rules": n_failed}), "counts")
-
-    hosts = table.groupBy("host").agg(F.count("*").alias("host_documents"), F.sum((F.col("n_failed_rules") > 0).cast("long")).alias("host_failures"))
-    rate = F.col("host_failures") / F.col("host_documents")
-    # One row of two numbers for all hosts.
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    a, b = beta_prior(mean, var)
-    hosts = hosts.withColumn("host_rate", F.round((F.col("host_failures") + F.lit(a)) / (F.col("host_documents") + F.lit(a + b)), 6))
-    hosts = hosts.withColumn("host_strict", F.col("host_rate") > F.lit(max_host_rate))
-    joined = table.join(hosts, "host", "left")
-    return joined.select(
+    table = scratch.save(counted.withColumns({"base_failed": failed["short"] | failed["repeats"], "n_failed_rules": n_failed}), "counts")
+
+    hosts = scratch.save(table.groupBy("host").agg(F.count("*").alias("host_documents"), F.sum((F.col("n_failed_rules") > 0).cast("long")).alias("host_failures")), "hosts")
+    n, k = F.col("host_documents").cast("double"), F.col("host_failures").cast("double")
+    # One row of five numbers for all hosts.
+    a, b = beta_prior(*hosts.agg(F.count("*"), F.sum(n), F.sum(k), F.sum(n * n), F.sum(k * k / n)).first())
+    rate = F.round((k + F.lit(a)) / (n + F.lit(a + b)), 6)
+    hosts = hosts.withColumns({"host_rate": rate, "corpus_rate": F.lit(round(a / (a + b), 6))})
+    hosts = hosts.withColumn("host_strict", F.col("host_rate") > F.col("corpus_rate") * F.lit(strict_factor))
+    allowed = F.when(F.col("host_strict"), F.lit(STRICT_FAILURES)).otherwise(F.lit(OTHER_FAILURES))
+    return table.join(hosts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~(F.col("host_strict") & (F.col("n_failed_rules") > 0))).alias("kept"),
-        "n_lines", "n_failed_rules", "host", "host_documents", "host_failures", "host_rate", "host_strict",
+        (~F.col("base_failed") & (F.col("n_failed_rules") <= allowed)).alias("kept"),
+        "n_lines", "n_failed_rules", "host", "host_documents", "host_failures", "host_rate", "corpus_rate", "host_strict",
     )
 
 
-def beta_prior(mean: float | None, var: float | None) -> tuple[float, float]:
-    """Parameters of the beta distribution with this mean and variance; its size is kept within 1 to a million."""
-    mean = min(max(mean or 0.0, 1e-6), 1 - 1e-6)
-    size = mean * (1 - mean) / max(var or 0.0, 1e-9) - 1
-    size = min(max(size, 1.0), 1e6)
+def beta_prior(hosts: int, n: float | None, k: float | None, n2: float | None, kk: float | None) -> tuple[float, float]:
+    """Parameters of the beta distribution of host rates by moments.
+
+    From the number of hosts and, over hosts with n documents of which k fail, the sums of n, k, n * n and k * k / n. Hosts
+    count by their documents, and what binomial sampling adds to the spread is taken off. The size a + b is kept within 1 to a
+    million.
+    """
+    mean = min(max(k / n if n else 0.0, 1e-6), 1 - 1e-6)
+    spread, room = 0.0, 0.0
+    if n:
+        spread = (kk - k * k / n) / (mean * (1 - mean)) - (hosts - 1)
+        room = n - n2 / n - (hosts - 1)
+    share = spread / room if room > 0 else 0.0
+    size = min(max(1 / max(share, 1e-9) - 1, 1.0), 1e6)
     return mean * size, (1 - mean) * size

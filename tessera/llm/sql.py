@@ -15,12 +15,14 @@ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
     (n_words < 20)::int + (100 * n_repeat_words > 30 * n_words)::int + (10 * n_symbols > 3 * n_words)::int + (100 * n_dup_lines > 30 * n_lines)::int
     + (word_chars < 2 * n_words or word_chars > 15 * n_words)::int as n_failed_rules from c),
 h as (select host, count(*) as host_documents, sum((n_failed_rules > 0)::bigint)::bigint as host_failures from f group by host),
-m as (select greatest(least(avg(host_failures / host_documents), 1 - 1e-6), 1e-6) as mean, var_pop(host_failures / host_documents) as v from h),
-p as (select mean, least(greatest(mean * (1 - mean) / greatest(v, 1e-9) - 1, 1.0), 1e6) as size from m),
-r as (select h.*, round((host_failures + mean * size) / (host_documents + size), 6) as host_rate from h, p)
+m as (select greatest(least(sum(host_failures) / sum(host_documents), 1 - 1e-6), 1e-6)::double as mean, count(*) as hosts, sum(host_documents)::double as n, sum(host_failures)::double as k,
+    sum(host_documents::double * host_documents) as n2, sum(host_failures::double * host_failures / host_documents) as kk from h),
+z as (select mean, case when n - n2 / n - (hosts - 1) > 0 then ((kk - k * k / n) / (mean * (1 - mean)) - (hosts - 1)) / (n - n2 / n - (hosts - 1)) else 0 end as share from m),
+p as (select mean, least(greatest(1 / greatest(share, 1e-9) - 1, 1.0), 1e6) as size from z),
+r as (select h.*, round((host_failures + mean * size) / (host_documents + size), 6) as host_rate, round(mean, 6) as corpus_rate from h, p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and not (host_rate > 0.5 and n_failed_rules > 0) as kept,
-    n_lines, n_failed_rules, host, host_documents, host_failures, host_rate, host_rate > 0.5 as host_strict from f join r using (host)
+    not base_failed and n_failed_rules <= (case when host_rate > corpus_rate then 0 else 1 end) as kept,
+    n_lines, n_failed_rules, host, host_documents, host_failures, host_rate, corpus_rate, host_rate > corpus_rate as host_strict from f join r using (host)
 """
 
 OP9 = r"""

@@ -206,20 +206,34 @@ def test_repeat_words_brute_force(spark):
 
 def test_strict_host_drops_only_failing(spark):
     good = " ".join(f"word{i}" for i in range(40))
-    bad = " ".join(["$$$"] * 40)
-    d = spark.createDataFrame([_doc(i, bad + f" {i}", source="junk") for i in range(30)] + [_doc(100, good, source="junk")] + [_doc(200 + i, good + f" {i}", source=f"fine{i % 5}") for i in range(50)], DOCS)
+    bad = " ".join([f"$$${i}" for i in range(15)] + [f"x{i}" for i in range(30)])
+    d = spark.createDataFrame([_doc(i, bad + f" {i}", source="junk") for i in range(30)] + [_doc(100, good, source="junk")] + [_doc(200 + i, good + f" {i}", source=f"fine{i % 5}") for i in range(50)] + [_doc(300, bad, source="fine1")], DOCS)
     got = quality.host_quality(d).toPandas()
-    assert got[got.host == "junk"]["host_strict"].all()
+    assert got[got.host == "junk"]["host_strict"].all() and not got[got.host != "junk"]["host_strict"].any()
     assert got[got.doc_id == 100]["kept"].all()
-    assert got[got.host != "junk"]["kept"].all()
-    assert not got[(got.host == "junk") & (got.doc_id < 100)]["kept"].any()
+    assert not got[got.doc_id < 100]["base_failed"].any() and (got[got.doc_id < 100]["n_failed_rules"] == 1).all()
+    assert not got[got.doc_id < 100]["kept"].any()
+    # The same text stays where it is an exception.
+    assert got[got.doc_id == 300]["kept"].all() and got[got.host != "junk"]["kept"].all()
+
+
+def test_host_verdicts_act_on_the_given_documents(spark):
+    got = quality.host_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    assert 0 < got["host_strict"].sum() < len(got)
+    assert 0 < (~got["base_failed"] & ~got["kept"]).sum() < 0.1 * len(got)
+    assert got[got.n_failed_rules == 0]["kept"].all()
 
 
 def test_beta_prior():
-    a, b = quality.beta_prior(0.2, 0.01)
-    assert (a / (a + b), a + b) == (pytest.approx(0.2), pytest.approx(15))
-    assert 1.0 <= sum(quality.beta_prior(None, None)) <= 1e6
-    assert sum(quality.beta_prior(0.5, 0.25)) == pytest.approx(1.0)
+    """Rates drawn from a beta distribution over hosts of any size: mean and size come back; no spread beyond sampling: the largest size."""
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 400, 4000)
+    sums = lambda k: (len(n), n.sum(), k.sum(), (n * n).sum(), (k * k / n).sum())
+    a, b = quality.beta_prior(*map(float, sums(rng.binomial(n, rng.beta(2, 8, len(n))))))
+    assert (a / (a + b), a + b) == (pytest.approx(0.2, rel=0.05), pytest.approx(10, rel=0.15))
+    assert sum(quality.beta_prior(*map(float, sums(rng.binomial(n, 0.2))))) > 500
+    assert sum(quality.beta_prior(0, None, None, None, None)) == pytest.approx(1e6)
+    assert sum(quality.beta_prior(1, 10.0, 3.0, 100.0, 0.9)) == pytest.approx(1e6)
 
 
 # licences
