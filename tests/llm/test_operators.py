@@ -262,6 +262,48 @@ def test_licenses_brute_force(spark, small):
     assert got[at + 1]["labels"] == "gpl,gpl-3.0"
 
 
+def _labels(ws, templates):
+    """Labels without an index: every template at every start."""
+    index = licenses.Index(templates, 0, {})
+    return {t.label for k, t in enumerate(templates) if any(index.check(ws, k, start) for start in range(-index.drift[k], len(ws)))}
+
+
+def test_license_labels_brute_force(spark):
+    """Whole, edited, numbered and shortened licence texts inside other text, notices, and texts that only look like one."""
+    rng = np.random.default_rng(9)
+    own = [t for t in licenses.TEMPLATES if not t.full or len(t.text.split()) < 300]
+    other = [f"w{i}" for i in range(500)]
+    texts = []
+    for t in own:
+        ws = t.text.split()
+        for form in range(5 if t.full else 2):
+            body = list(ws)
+            if form == 1:
+                body = [w if rng.random() > 0.04 or w in " ".join(t.mandatory) else "edited" for w in body]
+            if form == 2:
+                body = [x for i, w in enumerate(body) for x in ([w, str(i)] if t.full and i % 25 == 24 else [w])]
+            if form == 3:
+                body = body[: len(body) // 2]
+            if form == 4:
+                body = list(rng.permutation(body))
+            texts.append(" ".join([*rng.choice(other, rng.integers(0, 60)), *body, *rng.choice(other, rng.integers(0, 60))]))
+    texts += ["the mit license is not meant here", "", " ".join(own[-1].text.split()[:20] * 10)]
+    d = spark.createDataFrame([_doc(i, t) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan_licenses(d, templates=tuple(own)).collect()}
+    want = {i: _labels(licenses.split_words(t), tuple(own)) for i, t in enumerate(texts)}
+    assert got == want
+    assert {x for labels in want.values() for x in labels} == {t.label for t in own}
+
+
+def test_license_full_texts(spark):
+    full = [t for t in licenses.TEMPLATES if t.full]
+    d = spark.createDataFrame([_doc(i, f"header line {i}\n" + t.text.upper() + "\nend") for i, t in enumerate(full)], DOCS)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
+    for i, t in enumerate(full):
+        assert t.label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+        assert any(p["label"] == t.label and p["start"] == 3 for p in got[i]["places"])
+
+
 def test_licenses_odd(odd, none):
     assert licenses.scan_licenses(odd).count() == odd.count()
     assert licenses.scan_licenses(none).count() == 0
