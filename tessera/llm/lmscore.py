@@ -12,7 +12,8 @@ to the target.
 
 Every text is a run of steps (word before, word). Steps go to buckets by the hash of their word, many to a row, as arrays of
 distinct pairs and of the documents that hold them. So one bucket has all that a step's loss needs - the counts of the pair
-and of the word - and gives back one number a document. Nothing is capped, and what is gathered grows with the corpus.
+and of the word - and gives back one number for each document that has steps there, again as arrays, a row for each group of
+documents that were read together. Nothing is capped, and what is gathered grows with the corpus.
 
 The hottest words and pairs would fill one bucket. A bounded table of them is counted exactly beforehand and sent to the
 tasks: their steps are settled where the text is read, or are spread over buckets by pair. Which words and pairs it holds is
@@ -38,8 +39,8 @@ SINGLE_BACKOFF, PAIR_BACKOFF = 100.0, 1.0
 #: Size of the table of hot words and pairs, and about how many texts it is drawn from.
 HEAD_WORDS, HEAD_PAIRS, HEAD_SAMPLE = 2048, 8192, 2000
 #: Words, and texts, after which the steps read so far are sent on. Places of texts are 16-bit numbers.
-FLUSH_WORDS, FLUSH_TEXTS = 2_000_000, 30_000
-BUCKETS_A_PARTITION = 8
+FLUSH_WORDS, FLUSH_TEXTS = 1_000_000, 30_000
+BUCKETS_A_PARTITION = 4
 #: Bytes of target ids up to which they are sent to all tasks; beyond, the documents are joined to them by a shuffle.
 BROADCAST_BYTES = 32 << 20
 KEEP_WORDS = 300_000
@@ -242,7 +243,7 @@ def _group_rows(head: Head, buckets: int, group: int, parts: list[np.ndarray], t
 
 
 def _settle(shared):
-    """A bucket to (row, doc, id, size, part): a part for each document of a group that has steps there, ids and sizes once."""
+    """A bucket to a row for each group in it: documents that have steps there and their parts; ids, sizes and settled sums pass."""
 
     def run(table: pa.Table) -> pa.Table:
         head: Head = shared.value
@@ -265,16 +266,21 @@ def _settle(shared):
         n, t = np.where(hot >= 0, head.n[hot], n), np.where(hot >= 0, head.t[hot], t)
         delta = totals.pair_part(pn, pt, n[place], t[place]) + np.where(hot >= 0, 0.0, totals.before_part(n, t))[place]
         where, into = np.unique(blob << 16 | docs, return_inverse=True)
-        sizes = each("sizes")
-        rows, places = np.r_[groups[where >> 16], np.repeat(groups, sizes)], np.r_[where & 0xFFFF, np.concatenate([np.arange(k) for k in sizes])]
-        parts, ids, lengths = np.r_[np.bincount(into, delta[step], len(where)).astype(float), flat("sums").to_numpy()], flat("ids"), flat("sizes")
-        return pa.table({
-            "row": rows, "doc": places.astype(np.int32), "doc_id": pa.chunked_array([pa.nulls(len(where), ids.type), ids]), "size": pa.chunked_array([pa.nulls(len(where), pa.int64()), lengths]), "part": parts,
-        })
+        parts = np.bincount(into, delta[step], len(where)).astype(np.float32)
+        bounds = np.searchsorted(where >> 16, np.arange(len(groups) + 1))
+        return pa.table({"row": groups, "docs": _lists((where & 0xFFFF).astype(np.int16), bounds), "parts": _lists(parts, bounds)} | {c: table[c] for c in ("ids", "sizes", "sums")})
 
     return run
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """All rows of a group of documents to (doc_id, size, total)."""
+    flat = lambda name: table[name].combine_chunks().flatten()
+    ids, sizes, sums = flat("ids"), flat("sizes"), flat("sums").to_numpy()
+    total = sums + np.bincount(flat("docs").to_numpy(), flat("parts").to_numpy(), len(sums)) if len(sums) else sums
+    return pa.table({"doc_id": ids, "size": sizes, "total": total})
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, score (loss of the target model less that of the background model, a step).
 
@@ -304,7 +310,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id:
 
     buckets = BUCKETS_A_PARTITION * shuffle_partitions(spark)
     schema = f"row long, bucket int, targets int, words array<long>, befores array<long>, holders array<int>, docs array<short>, sizes array<long>, sums array<double>, ids array<{kind}>"
-    parts = flagged.mapInArrow(_send(shared, buckets), schema).groupBy("bucket").applyInArrow(_settle(shared), f"row long, doc int, doc_id {kind}, size long, part double")
-    out = parts.groupBy("row", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.sum("part").alias("part"))
+    sent = flagged.mapInArrow(_send(shared, buckets), schema)
+    settled = sent.groupBy("bucket").applyInArrow(_settle(shared), f"row long, docs array<short>, parts array<float>, ids array<{kind}>, sizes array<long>, sums array<double>")
+    out = settled.groupBy("row").applyInArrow(_gather, f"doc_id {kind}, size long, total double")
     # A step for each word and one for the end.
-    return out.select("doc_id", F.greatest(F.col("size") - 1, F.lit(0)).alias("n_tokens"), F.when(F.col("size") > 0, F.round(F.col("part") / F.col("size"), 6)).otherwise(0.0).alias("score"))
+    return out.select("doc_id", F.greatest(F.col("size") - 1, F.lit(0)).alias("n_tokens"), F.when(F.col("size") > 0, F.round(F.col("total") / F.col("size"), 6)).otherwise(0.0).alias("score"))
