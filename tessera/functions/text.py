@@ -10,13 +10,22 @@ PREVIEW_CHARS = 240
 INLINE_PREVIEW_CHARS = 180
 
 
+# The characters that count as white space at the ends of a text.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def review_text(c: Column | str) -> Column:
@@ -27,12 +36,20 @@ def review_text(c: Column | str) -> Column:
     return F.regexp_replace(t, r"\n{3,}", "\n\n")
 
 
+def inline_of(normalized: Column) -> Column:
+    return strip(F.regexp_replace(normalized, r"(?U)\s+", " "))
+
+
 def inline_text(c: Column | str) -> Column:
-    return strip(F.regexp_replace(review_text(c), r"(?U)\s+", " "))
+    return inline_of(review_text(c))
+
+
+def paragraphs_of(normalized: Column) -> Column:
+    return F.filter(F.transform(F.split(normalized, r"\n\s*\n"), strip), lambda p: p != "")
 
 
 def paragraphs(c: Column | str) -> Column:
-    return F.filter(F.transform(F.split(review_text(c), r"\n\s*\n"), strip), lambda p: p != "")
+    return paragraphs_of(review_text(c))
 
 
 def word_list(c: Column) -> Column:
@@ -40,12 +57,13 @@ def word_list(c: Column) -> Column:
 
 
 def text_block(c: Column | str) -> Column:
-    """Struct of a normalized text with its counts."""
-    n = review_text(c)
-    return F.struct(
-        F.coalesce(_c(c).cast("string"), F.lit("")).alias("text"), n.alias("normalized"), inline_text(c).alias("inline_normalized"), paragraphs(c).alias("paragraphs"),
-        F.length(n).alias("char_count"), F.size(word_list(n)).alias("word_count"), F.when(n == "", 0).otherwise(F.size(F.split(n, "\n", -1))).alias("line_count"), F.size(paragraphs(c)).alias("paragraph_count"),
+    """Struct of a normalized text with its counts; the text is normalized once, and all else comes from that."""
+    raw = F.coalesce(_c(c).cast("string"), F.lit(""))
+    block = lambda n, p: F.struct(
+        raw.alias("text"), n.alias("normalized"), inline_of(n).alias("inline_normalized"), p.alias("paragraphs"), F.length(n).alias("char_count"),
+        F.regexp_count(n, F.lit(r"(?U)\S+")).alias("word_count"), F.when(n == "", 0).otherwise(F.length(n) - F.length(F.replace(n, F.lit("\n"))) + 1).alias("line_count"), F.size(p).alias("paragraph_count"),
     )
+    return once(review_text(raw), lambda n: once(paragraphs_of(n), lambda p: block(n, p)))
 
 
 def list_block(values: Column | str) -> Column:

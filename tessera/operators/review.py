@@ -61,10 +61,16 @@ def filter_rows(
 
 
 def latest(rows: DataFrame, keys: tuple[str, ...] = ("case_id", "combo_id"), ordinal: str = "row_id") -> DataFrame:
-    """The latest row of each key, by created_at then input order. One max a key, so it combines before the shuffle."""
-    order = F.struct(F.coalesce("created_at", F.lit("")).alias("at"), F.col(ordinal).alias("n"))
-    picked = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(F.struct(*rows.columns), order).alias("row"))
-    return picked.select("row.*")
+    """The latest row of each key, by created_at then input order (``ordinal``, unique in a key).
+
+    Only keys and order are aggregated; the rows are picked by a semi join, which stands below what is computed from them.
+    """
+    at = F.coalesce("created_at", F.lit(""))
+    last = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct(at.alias("at"), F.col(ordinal).alias("n"))).alias("m")).select(*[f"_{k}" for k in keys], "m.at", "m.n")
+    same = (at == last["at"]) & F.col(ordinal).eqNullSafe(last["n"])
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(last, same, "left_semi")
 
 
 def _avg(c: str) -> Column:
@@ -118,14 +124,13 @@ def combo_summary(rows: DataFrame) -> DataFrame:
 def case_summary(rows: DataFrame) -> DataFrame:
     """A3: a row a case with its best combo; a best score of zero or null counts as -1, the first row wins ties."""
     order = _row_order()
-    best = F.struct(F.when(F.coalesce("score", F.lit(0.0)) == 0, -1.0).otherwise(F.col("score")).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(best["s"].desc(), order))
-    keyed = rows.withColumn("case_id", F.coalesce("case_id", F.lit("None"))).withColumn("_best", rank)
-    return keyed.groupBy("case_id").agg(
+    score = F.when(F.coalesce("score", F.lit(0.0)) == 0, -1.0).otherwise(F.col("score"))
+    best = F.min_by(F.struct("combo_id", "score"), F.struct((-score).alias("s"), order.alias("o")))
+    out = rows.withColumn("case_id", F.coalesce("case_id", F.lit("None"))).groupBy("case_id").agg(
         _first("question", order), F.count("*").alias("combo_count"), F.count_if("passed").alias("passed_combo_count"), F.count_if(~F.col("passed")).alias("failed_combo_count"), F.count_if("parse_error").alias("parse_error_count"),
-        _avg("score").alias("average_score"), _rate(F.col("passed")).alias("pass_rate"), F.max(F.when(F.col("_best") == 1, F.col("combo_id"))).alias("best_combo_id"), F.max(F.when(F.col("_best") == 1, F.col("score"))).alias("best_score"),
-        _texts("request_type").alias("request_types"), _texts("experiment_kind").alias("experiment_kinds"),
+        _avg("score").alias("average_score"), _rate(F.col("passed")).alias("pass_rate"), best.alias("_best"), _texts("request_type").alias("request_types"), _texts("experiment_kind").alias("experiment_kinds"),
     )
+    return out.withColumns({"best_combo_id": F.col("_best.combo_id"), "best_score": F.col("_best.score")}).drop("_best")
 
 
 def speed_scores(summary: DataFrame) -> DataFrame:
