@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder that spark.checkpoint.dir names and reads it again."""
+    """Writes a table to the shared folder that spark.checkpoint.dir names and reads it again.
+
+    Where the session names none, a local session gets a folder of this machine; on a cluster that is an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
