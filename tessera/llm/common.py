@@ -21,10 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Where the session names none (tests on one machine), one is set for the session.
+    Where the session names none, a local session gets one of this machine; on a cluster that is an error, since executors
+    would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -51,6 +54,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of ``docs`` as one struct, so that no name of theirs meets one of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns])
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(row)[c].alias(c) for c in columns]
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; null stays null."""
     return F.translate(text, UPPER, LOWER)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, packed
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -45,27 +45,32 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", m
     return frequent.groupBy("_host").agg(F.max("_host_pages").alias("_host_pages"), F.sort_array(F.collect_set("_line")).alias("_drop"))
 
 
-def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep_boilerplate_pages: bool = False) -> DataFrame:
     """All rows and columns of ``pages``, ``text`` without boilerplate lines, plus ``line_total`` and ``line_dropped`` (long).
 
     * A line counts once a page, however often the page repeats it; all its places on the page go.
     * Lines without a word are neither counted nor dropped; other lines keep their order and line ends.
     * A line on fewer than ``min_pages`` pages of the host stays, whatever its ratio (small hosts).
-    * A page made of boilerplate only stays as it is: it is a copy, which document dedup has to settle.
+    * A page made of boilerplate only is left with its blank lines, or stays as it is with ``keep_boilerplate_pages``.
     * Null text stays null with zero lines; the empty text has zero lines with a word. A null host is a host of its own
       (with the empty name). Repeated rows count as pages of their own. An empty table gives an empty table.
     * Columns named like the results are replaced; any other column passes through.
     """
+    scratch = Scratch(pages.sparkSession)
+    own = [c for c in pages.columns if c not in ("line_total", "line_dropped")]
     # Written, so that its size is known when the join is planned: below Spark's broadcast limit no text is shuffled.
-    found = Scratch(pages.sparkSession).save(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
-    kept_columns = [c for c in pages.columns if c not in ("line_total", "line_dropped")]
-    joined = pages.select(*kept_columns, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")).join(found.select("_host", "_drop"), "_host", "left")
-    lines = _lines(F.coalesce(F.col(text), F.lit("")))
-    marked = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_has_word(x) | ~F.array_contains(F.col("_drop"), _hash(x)))))
-    marked = marked.withColumn("line_total", F.size(F.filter(lines, _has_word)).cast("long")).withColumn("_left", F.size(F.filter(F.col("_kept"), _has_word)).cast("long"))
-    keep_all = (F.col("_left") == 0) | F.col("_drop").isNull()
+    found = scratch.save(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
+    rows = pages.select(packed(pages, own).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).alias("text"))
+    joined = rows.join(found.select("_host", "_drop"), "_host", "left")
+    lines = _lines(F.coalesce("text", F.lit("")))
+    dropped = lambda x: F.array_contains("_drop", _hash(x))
+    marked = joined.withColumn("kept", F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_has_word(x) | ~dropped(x))))
+    marked = marked.withColumns({"total": F.size(F.filter(lines, _has_word)).cast("long"), "left": F.size(F.filter("kept", _has_word)).cast("long")})
+    whole = F.col("_drop").isNull()
+    if keep_boilerplate_pages:
+        whole = whole | (F.col("left") == 0)
+    shown = F.when(F.col("text").isNull() | whole, F.col("text")).otherwise(F.array_join("kept", "\n"))
     return marked.select(
-        *[F.when(F.col(text).isNull() | keep_all, F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text else F.col(c) for c in kept_columns],
-        "line_total",
-        F.when(keep_all, F.lit(0)).otherwise(F.col("line_total") - F.col("_left")).cast("long").alias("line_dropped"),
-    )
+        *[shown.alias(c) if c == text else F.col("row")[c].alias(c) for c in own],
+        F.col("total").alias("line_total"), F.when(whole, F.lit(0)).otherwise(F.col("total") - F.col("left")).cast("long").alias("line_dropped"),
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, packed, unpacked
 
 #: Raking stops when no sum is off its target by more than this share in a round, at last after MAX_ROUNDS.
 TOLERANCE, MAX_ROUNDS = 1e-9, 40
@@ -122,7 +122,7 @@ def mix(
     scratch = Scratch(docs.sparkSession)
     own = [c for c in docs.columns if c not in RESULTS]
     body = F.coalesce(F.col(text), F.lit("")) if tokens is None or topic is None else None
-    d = docs.select(F.struct(*own).alias("row"), F.col(doc_id).alias("id"), *([body.alias("body")] if body is not None else []),
+    d = docs.select(packed(docs, own).alias("row"), F.col(doc_id).alias("id"), *([body.alias("body")] if body is not None else []),
         (count_words(F.col(text)) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))).alias("n"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in zip(DIMS, (source, lang, topic), strict=True) if c is not None])
     if topic is None:
@@ -145,6 +145,6 @@ def mix(
     fitted = scratch.save(fitted.select(*DIMS, F.round("weight", 6).alias("w"), F.round(rate, 6).alias("p")), "fitted")
     p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.coalesce("p", F.lit(0.0)))
     return d.join(fitted, list(DIMS), "left").select(
-        *[F.col("row")[c].alias(c) for c in own], F.col("n").alias("mix_tokens"), *[F.col(k).alias(f"mix_{k}") for k in DIMS],
+        *unpacked("row", own), F.col("n").alias("mix_tokens"), *[F.col(k).alias(f"mix_{k}") for k in DIMS],
         F.coalesce("w", F.lit(0.0)).alias("mix_weight"), p.alias("mix_probability"), (unit(F.col("id")) < p).alias("mix_kept"),
     )

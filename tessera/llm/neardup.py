@@ -4,16 +4,12 @@
 2. A class gets a one-permutation MinHash of BINS bins. An empty bin takes the value of the full bin that comes first in
    its own fixed random order (optimal densification). BANDS bands of ROWS bins are hashed to bucket keys. At a
    similarity of 0.75 a pair misses all buckets with odds of 4 in a million.
-3. In a bucket of at most SMALL members, all pairs are confirmed on full sets. A larger one is searched in rounds of
-   stars: one centre, drawn from the component with most members there, is paired with the members of other components, so
-   a round has as many pairs as members at most. Components are updated after each
-   round. A centre then leaves its bucket; a bucket with one component left is done.
-4. Buckets that are open after ROUNDS rounds hold many texts that share much without being similar. Their classes go
-   through a prefix filter: two sets of the wanted similarity share one of their rarest shingles. The same search runs on
-   those buckets, most of which are small.
-5. What is still open is compared in full. Classes that open buckets connect form a group, a group is dealt to tiles, and
-   a task counts the shared shingles of all pairs of two tiles. So every pair that shares a bucket is tested, or lies in
-   one component already.
+3. In a bucket of at most SMALL members, all pairs are confirmed on full sets. A larger one is searched by ROUNDS stars: a
+   centre is paired with the members of other components, so a star has as many pairs as members at most. Components are
+   updated after each round; a bucket with one component left is done. That settles groups of copies of any size.
+4. What is still open holds texts that share much without being similar, or groups that no star links. It is compared in full:
+   classes that open buckets connect are dealt to tiles, and a task counts the shared shingles of all pairs of two tiles that
+   have a bucket in common. So every pair that shares a bucket is tested, or lies in one component already.
 
 Nothing but counters reaches the driver. Each round ends in written tables.
 """
@@ -29,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import LOWER, UPPER, Scratch
+from tessera.llm.common import LOWER, UPPER, Scratch, packed, unpacked
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a bucket up to which all pairs are tested at once: at most SMALL / 2 pairs a member.
 SMALL = 16
 #: Members and shingles of a tile, about, in the full comparison of groups.
@@ -177,8 +173,9 @@ def _pairs(stars: DataFrame, percent: int) -> DataFrame:
     return star.union(mesh).where(fit).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, tested: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """ROUNDS rounds over buckets (key, node, size), fewer if there is nothing left to test: (open buckets, labels, tested pairs)."""
+def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """ROUNDS rounds over buckets (key, node, size): (buckets that stay open, labels)."""
+    labels = None
     for turn in range(ROUNDS):
         members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
         # The first centre is the same in all buckets of a group, so that its members meet it in one pair each. Later ones
@@ -189,18 +186,13 @@ def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataF
         centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "m.draw", "comp", "m.node", "m.size")).alias("c")).where("parts > 1")
         centres = scratch.save(centres.select("key", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.comp").alias("centre_comp")), "centres")
         stars = scratch.save(members.join(centres, "key"), "stars")
-        buckets = stars.where((F.col("n") > SMALL) & (F.col("node") != F.col("centre"))).select("key", "node", "size")
-        pairs = _pairs(stars, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = scratch.save(_pairs(stars, percent), "pairs")
         links = scratch.save(_similar(pairs, sets, percent), "links")
+        scratch.drop(pairs)
+        buckets = stars.where(F.col("n") > SMALL).select("key", "node", "size")
         if not links.isEmpty():
             labels = _components(scratch, labels, links)
-    return buckets, labels, tested
+    return buckets, labels
 
 
 def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -258,7 +250,7 @@ def _compare_tiles(percent: int):
 
 
 def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame | None:
-    """Labels after a test of all pairs of different components in the groups that ``buckets`` connect."""
+    """Labels after a test of all pairs of different components that share a bucket."""
     members = buckets.select("key", "node", "size")
     members = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
     members = scratch.save(members, "open")
@@ -267,18 +259,24 @@ def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: Data
     if ends.isEmpty():
         return labels
     groups = _components(scratch, None, ends).select("node", F.col("label").alias("group"))
-    nodes = scratch.save(members.select("node", "size", "comp").distinct().join(groups, "node"), "members")
-    # A component that fills tiles of its own is not compared with itself; the small ones share tiles.
+    open_keys = scratch.save(members.join(heads.select("key"), "key", "left_semi").select("key", "node"), "open")
+    nodes = members.groupBy("node").agg(F.min("size").alias("size"), F.min("comp").alias("comp")).join(groups, "node").join(open_keys.groupBy("node").agg(F.min("key").alias("place")), "node")
+    nodes = scratch.save(nodes, "members")
+    # A component that fills tiles of its own is not compared with itself; the small ones share tiles. Nodes of one bucket come
+    # to one tile, as far as it holds them, so that few pairs of tiles have a bucket in common.
     own = nodes.groupBy("group", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= TILE).select("group", "comp", F.col("comp").alias("own"))
-    nodes = scratch.save(nodes.join(own, ["group", "comp"], "left"), "members")
-    tiles = nodes.groupBy(F.col("group").alias("_group"), F.col("own").alias("_own")).agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)).alias("tiles"))
-    nodes = nodes.join(tiles, F.col("group").eqNullSafe(F.col("_group")) & F.col("own").eqNullSafe(F.col("_own")))
-    tile = F.xxhash64("group", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("node"), "tiles"))
-    nodes = nodes.select("node", "comp", "group", "own", tile.alias("tile"))
-    nodes = scratch.save(nodes, "tiled")
-    tiles = nodes.select("group", "own", "tile").distinct()
-    other = tiles.select("group", F.col("own").alias("other"), F.col("tile").alias("to"))
-    pairs = tiles.join(other, "group").where("tile <= to and not coalesce(own = other, false)").select("tile", "to")
+    nodes = nodes.join(own, ["group", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    nodes = scratch.save(nodes, "members")
+    need = F.ceil(F.greatest(F.sum("n") / TILE, F.sum("s") / TILE_SHINGLES))
+    places = scratch.save(nodes.groupBy("group", "own", "place").agg(F.count("*").alias("n"), F.sum("size").alias("s")), "places")
+    parts = places.groupBy("group", "own", "place").agg(need.alias("parts"))
+    tiles = places.groupBy("group", "own").agg(need.alias("tiles"))
+    nodes = nodes.join(parts, ["group", "own", "place"]).join(tiles, ["group", "own"])
+    spread = F.when(F.col("parts") > 1, F.xxhash64("place", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.pmod(F.xxhash64("place"), "tiles"))
+    nodes = scratch.save(nodes.select("node", "comp", "own", F.xxhash64("group", "own", spread).alias("tile")), "tiled")
+    met = scratch.save(open_keys.join(nodes.select("node", "own", "tile"), "node").select("key", "own", "tile").distinct(), "met")
+    other = met.select("key", F.col("own").alias("other"), F.col("tile").alias("to"))
+    pairs = met.join(other, "key").where("tile <= to and not (own = other and own <> -1)").select("tile", "to").distinct()
     pairs = scratch.save(pairs.withColumn("pair", F.monotonically_increasing_id()), "tile_pairs")
     sides = pairs.select("pair", "tile", F.lit(False).alias("right")).union(pairs.where("tile <> to").select("pair", F.col("to").alias("tile"), F.lit(True).alias("right")))
     rows = nodes.join(sides, "tile").select("pair", "right", "node", "comp").join(sets, "node")
@@ -287,16 +285,6 @@ def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: Data
     return labels if links.isEmpty() else _components(scratch, labels, links)
 
 
-def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, size) for the rarest shingles of each set: as many as two similar sets can't both miss."""
-    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "key"))
-    size = F.count("*").over(Window.partitionBy("node"))
-    ranked = each.join(often, "key").select("node", "key", "f", rank.alias("r"), size.alias("n"))
-    return ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("f") > 1)).select("key", "node", F.col("n").alias("size"))
-
-
 def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scratch, DataFrame, DataFrame]:
     """(scratch, rows, classes): rows have doc_id, _x (hash of the text), hi, lo, n_shingles; classes hi, lo, label."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -319,12 +307,8 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     again = again.groupBy("hi", "lo").agg(F.any_value("hashes").alias("hashes"))
     sets = scratch.save(again.join(wanted.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "hashes"), "sets")
 
-    rest, labels, tested = _search(scratch, buckets, sets, None, None, percent)
-    rest = scratch.save(rest.select("node").distinct(), "rest")
-    if not rest.isEmpty():
-        rare = scratch.save(_rare_buckets(rest, sets, percent), "buckets")
-        rest, labels, _ = _search(scratch, rare, sets, labels, tested, percent)
-        labels = _compare(scratch, rest, sets, labels, percent)
+    rest, labels = _search(scratch, buckets, sets, percent)
+    labels = _compare(scratch, rest, sets, labels, percent)
     labelled = classes.select("hi", "lo", "first_id", "node")
     labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return scratch, rows.drop("hashes"), scratch.save(labelled, "labelled")
@@ -356,14 +340,13 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     best = out.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_x")).alias("m")).select("m.doc_id", "m._x")
     keep = best.union(out.where("n_shingles = 0").select("doc_id", "_x")).distinct()
     keep = scratch.save(keep.select(F.col("doc_id").alias("_id"), F.col("_x").alias("_kx")), "keep")
-    d = docs.withColumn("_x", F.xxhash64(F.col(text)))
+    d = docs.select(packed(docs).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("x"))
 
     def once(part: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
         """The rows whose keys are kept, each once. Join and window have one partitioning, so texts are shuffled once."""
-        same = F.col("_x") == F.col("_kx")
-        found = part.join(kept, same & (F.col(doc_id) == F.col("_id")) if doc_id in keys else same, "left_semi")
+        same = F.col("x") == F.col("_kx")
+        found = part.join(kept, same & (F.col("id") == F.col("_id")) if "id" in keys else same, "left_semi")
         again = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        return found.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+        return found.withColumn("again", again).where("again = 1").select(*unpacked("row", docs.columns))
 
-    named = once(d.where(F.col(doc_id).isNotNull()), keep.where("_id is not null"), ["_x", doc_id])
-    return named.union(once(d.where(F.col(doc_id).isNull()), keep.where("_id is null"), ["_x"]))
+    return once(d.where("id is not null"), keep.where("_id is not null"), ["x", "id"]).union(once(d.where("id is null"), keep.where("_id is null"), ["x"]))

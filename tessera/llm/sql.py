@@ -33,8 +33,8 @@ b as (select host, list(line) as boiler from c join n using (host) where k > 0.1
 m as (select d.*, len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) as total,
     list_filter(ls, lambda x: not regexp_matches(x, '[^\x20\x09-\x0D]') or not list_contains(coalesce(boiler, []), x)) as kept from d left join b using (host)),
 e as (select *, len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) as rest from m)
-select doc_id, source, case when text is null or rest = 0 then text else array_to_string(kept, chr(10)) end as text,
-    coalesce(total, 0)::bigint as line_total, (case when coalesce(rest, 0) = 0 then 0 else total - rest end)::bigint as line_dropped from e
+select doc_id, source, case when text is null then text else array_to_string(kept, chr(10)) end as text,
+    coalesce(total, 0)::bigint as line_total, (coalesce(total, 0) - coalesce(rest, 0))::bigint as line_dropped from e
 """
 
 

@@ -384,6 +384,32 @@ def test_near_duplicates_slot_filled(spark):
     assert lost == 0, f"{lost} of {len(texts)} rows differ; {len(set(got.values()))} components, {len(set(label))} by brute force"
 
 
+@pytest.mark.parametrize("n", [500, pytest.param(3000, marks=pytest.mark.slow)])
+def test_near_duplicates_shuffled_sentences(spark, n):
+    """Texts of 48 of 60 fixed sentences in order: most share buckets, few are linked. No link is lost."""
+    import random
+
+    draw = random.Random(1)
+    sentences = [" ".join(f"s{i}w{k}" for k in range(12)) for i in range(60)]
+    texts = [sorted(draw.sample(range(60), 48)) for _ in range(n)]
+    numbers = {}
+    m = np.zeros((n, 60 * 8 + 4 * 60 * 13), np.float32)
+    for i, own in enumerate(texts):
+        ws = " ".join(sentences[k] for k in own).split()
+        for k in range(len(ws) - 4):
+            m[i, numbers.setdefault(tuple(ws[k : k + 5]), len(numbers))] = 1.0
+    shared, size = m @ m.T, m.sum(axis=1)
+    label = np.arange(n)
+    for a, b in zip(*np.nonzero(100 * shared >= 75 * (size[:, None] + size[None, :] - shared)), strict=True):
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label[label == high] = low
+    d = spark.createDataFrame([_doc(i, " ".join(sentences[k] for k in own)) for i, own in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    assert 0 < n - len(set(label)) < n / 2
+    assert sum(got[i] != label[i] for i in range(n)) == 0
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -593,7 +619,24 @@ def test_line_dedup_odd(spark, odd, none):
     d = spark.createDataFrame([_doc(i, f"menu\n\nstory {i}\nmenu") for i in range(20)] + [_doc(50, "menu\nmenu")], DOCS)
     out = {r["doc_id"]: r for r in linededup.dedup_lines(d).collect()}
     assert (out[3]["text"], out[3]["line_total"], out[3]["line_dropped"]) == ("\nstory 3", 3, 2)
-    assert (out[50]["text"], out[50]["line_dropped"]) == ("menu\nmenu", 0)
+    assert (out[50]["text"], out[50]["line_dropped"]) == ("", 2)
+    kept = linededup.dedup_lines(d, keep_boilerplate_pages=True).where("doc_id = 50").first()
+    assert (kept["text"], kept["line_dropped"]) == ("menu\nmenu", 0)
+
+
+# names
+
+
+INNER = ["row", "text_", "_host", "_drop", "kept", "total", "left", "id", "n", "body", "w", "p", "_x", "_kx", "_id", "_again", "hi", "lo", "label", "node", "key", "tokens", "weight"]
+
+
+def test_columns_named_like_inner_ones_pass_through(spark):
+    """Columns that are named like those of the operators' own tables come back as they were."""
+    d = spark.createDataFrame([(i, f"menu\nstory {i // 2} of a few words more", "en", "s", *[f"{c}{i}" for c in INNER]) for i in range(20)], ["doc_id", "text", "lang", "source", *INNER])
+    want = {r["doc_id"]: [r[c] for c in INNER] for r in d.collect()}
+    for out in (mixing.mix(d), linededup.dedup_lines(d), neardup.drop_near_duplicates(d)):
+        got = {r["doc_id"]: [r[c] for c in INNER] for r in out.collect()}
+        assert len(got) >= 10 and all(got[i] == want[i] for i in got)
 
 
 # BPE
