@@ -116,8 +116,8 @@ def prompt_stats(c: Column | str) -> Column:
 
 
 def chunk_text(c: Column | str) -> Column:
-    """Chunk rule: no-break spaces are blanks, blanks collapse, none around line ends, three line ends or more made two, outer white space off."""
-    t = F.regexp_replace(F.coalesce(_c(c), F.lit("")), " ", " ")
+    """Chunk rule: line feeds only, blanks collapse, none around line ends, three line ends or more made two, outer white space off."""
+    t = F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"\r\n?", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n *", "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 

@@ -71,7 +71,7 @@ QUERIES = {
     "f3_comparison_hash": lambda s, d: _rows(s, d).select("row_id", "comparison_hash"),
     "f4_sentences": lambda s, d: _docs(s, d).select("doc_id", F.size(text.sentences("text")).alias("n_sentences"), F.size(text.embedding_tokens("text")).alias("n_tokens")),
     "f5_prompt_stats": lambda s, d: _docs(s, d).select("doc_id", text.prompt_stats("text").alias("p")).select("doc_id", "p.char_count", "p.line_count", "p.word_count", "p.sentence_count", "p.avg_word_length", "p.avg_sentence_words", "p.placeholder_count", "p.brace_count"),
-    "f6_chunk_text": lambda s, d: _docs(s, d).select("doc_id", F.sha2(text.chunk_text("text"), 256).alias("h"), text.slug(F.substring("text", 1, 40)).alias("slug")),
+    "f6_chunk_text": lambda s, d: _docs(s, d).select("doc_id", F.sha2(text.chunk_text("text"), 256).alias("h"), F.md5(text.slug("text")).alias("slug")),
     "f7_scripts": lambda s, d: table(s, d, "part").select("p_partkey", text.unicode_script(F.col("p_size").cast("string"), True).alias("sup"), text.unicode_script(F.col("p_size").cast("string"), False).alias("sub"), text.unicode_script("p_type", True).alias("word")),
     "f9_preview": lambda s, d: _docs(s, d).select("doc_id", text.inline_preview("text").alias("preview")),
     "f10_keywords": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.distinct_keywords(F.concat(F.split("p_name", " "), F.array(F.upper("p_type"), F.lower("p_type"), F.lit(" ")))), ",").alias("keywords")),
@@ -108,7 +108,7 @@ QUERIES = {
     "e5_clusters": lambda s, d: similarity.clusters(similarity.pairs(_vectors(s, d), threshold=0.4), _vectors(s, d), 0.4).withColumn("member_item_ids", F.array_join("member_item_ids", ",")),
     "e6_outliers": lambda s, d: similarity.outliers(_vectors(s, d), similarity.pairs(_vectors(s, d))),
     "e6_outlier_means": lambda s, d: similarity.outlier_means(_vectors(s, d)),
-    "e7_nearest": lambda s, d: similarity.nearest(_vectors(s, d), _vectors(s, d).where("item_id = 7")),
+    "e7_nearest": lambda s, d: similarity.nearest(_vectors(s, d), _vectors(s, d).where("item_id % 20 = 0")),
     "e8_bundle_counts": lambda s, d: similarity.bundle(_vectors(s, d), threshold=0.4)["counts"],
 }
 
@@ -150,8 +150,8 @@ SQL = {
     "f5_prompt_stats": rf"""with t as (select doc_id, trim({_T}, chr(32) || chr(10) || chr(9)) as t from documents), w as (select *, regexp_extract_all(t, '{_WORD}') as ws, case when t = '' then 0 else len(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) end as ns from t)
         select doc_id, length(t)::int as char_count, case when t = '' then 0 else len(string_split(t, chr(10))) end::int as line_count, len(ws)::int as word_count, ns::int as sentence_count, coalesce(round(list_sum(list_transform(ws, lambda x: length(x))) / len(ws), 4), 0.0) as avg_word_length,
         case when ns > 0 then round(len(ws) / ns, 4) else 0.0 end as avg_sentence_words, len(list_distinct(regexp_extract_all(t, '\{{([a-zA-Z_][a-zA-Z0-9_]*)\}}', 1)))::int as placeholder_count, (length(t) - length(regexp_replace(t, '[{{}}]', '', 'g')))::int as brace_count from w""",
-    "f6_chunk_text": rf"""select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace({_T}, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9))) as h,
-        regexp_replace(regexp_replace(lower(substr({_T}, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents""",
+    "f6_chunk_text": rf"""select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_T}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(160))) as h,
+        md5(regexp_replace(regexp_replace(lower({_T}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) as slug from documents""",
     "f7_scripts": "select p_partkey, translate(p_size::varchar, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') as sup, translate(p_size::varchar, '0123456789', '₀₁₂₃₄₅₆₇₈₉') as sub, '^(' || p_type || ')' as word from part",
     "f9_preview": rf"with t as (select doc_id, trim(regexp_replace({_T}, '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t) > 180 then rtrim(substr(t, 1, 177)) || '...' else t end as preview from t",
     "f10_keywords": "select p_partkey, array_to_string(list_filter(list_concat(list_distinct_ordered, [case when not list_contains(list_transform(list_distinct_ordered, lambda x: lower(x)), lower(p_type)) then upper(p_type) end]), lambda x: x is not null), ',') as keywords from (select *, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then [split_part(p_name, ' ', 1)] else string_split(p_name, ' ') end as list_distinct_ordered from part)",
@@ -187,6 +187,6 @@ SQL = {
         from lab join st using (label) join embeddings e on e.vec_id = lab.label group by lab.label""",
     "e6_outliers": f"with {_PEERS}, q as (select i, count(*) as n, round(avg(s::decimal(18, 6))::decimal(18, 10), 4)::double as mean, max(s) as nearest from m group by i) select vec_id as item_id, label as group_id, coalesce(n, 0) as peer_count, mean as mean_similarity, nearest as nearest_similarity, round(1.0::double - mean, 4) as outlier_score from embeddings left join q on q.i = vec_id",
     "e6_outlier_means": f"with d as (select a.vec_id as i, avg({_DOT.format(a='a', b='b')}) as m from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id group by a.vec_id) select vec_id as item_id, label as group_id, round(m, 4) as mean_similarity from embeddings left join d on i = vec_id",
-    "e7_nearest": f"select 7 as selected_id, b.vec_id as item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity, row_number() over (order by round({_DOT.format(a='a', b='b')}, 6) desc, b.vec_id)::int as rank from embeddings a, embeddings b where a.vec_id = 7 and b.vec_id <> 7 qualify rank <= 10",
+    "e7_nearest": f"with d as (select a.vec_id as selected_id, b.vec_id as item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) select *, row_number() over (partition by selected_id order by similarity desc, item_id)::int as rank from d qualify rank <= 10",
     "e8_bundle_counts": f"with {_PAIRS} select (select count(*) from embeddings) as item_count, (select count(*) from p) as pair_count",
 }

@@ -5,26 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import chunking, retrieval
-from tessera.sources.adapters import table
-
-
-def _blocks(s, d):
-    """Lines of documents as blocks; types go by position."""
-    lines = table(s, d, "documents").select(F.col("doc_id").alias("section_id"), F.posexplode(F.split("text", "\n", -1)).alias("block_index", "line"))
-    i = F.col("block_index")
-    kind = F.when(i % 13 == 6, "heading").when(i % 13 == 9, "special").when(i % 7 == 3, "equation").when(i % 7 == 5, "figure").otherwise("paragraph")
-    return lines.select("section_id", "block_index", kind.alias("block_type"), F.when(i % 13 == 6, F.when(i % 2 == 0, "Media Attributions").otherwise("Heading")).otherwise(F.col("line")).alias("text"))
+from tessera.operators import chunking, retrieval, units
+from tessera.sources.adapters import blocks, table
 
 
 def _units(s, d):
-    return chunking.units(_blocks(s, d))
+    return units.units(blocks(s, d))
 
 
 def _sections(s, d):
-    return table(s, d, "documents").select(
-        F.col("doc_id").alias("section_id"), F.lit("book").alias("source_id"), F.lit("Book").alias("book_title"), F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("chapter_number"), F.col("source").alias("chapter_title"),
-        F.concat_ws(".", F.regexp_extract("source", r"(\d+)", 1), F.col("doc_id").cast("string")).alias("section_number"), F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("section_title"), F.col("lang").alias("language"))
+    """Sections of document lines, and of conversations."""
+    number = F.regexp_extract("source", r"(\d+)", 1)
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("section_id"), number.cast("int").alias("chapter_number"), F.col("source").alias("chapter_title"), F.concat_ws(".", number, F.col("doc_id").cast("string")).alias("section_number"), F.col("lang").alias("language"))
+    c = table(s, d, "conversations").select("conv_id").distinct().select((-1 - F.col("conv_id")).alias("section_id"), (F.col("conv_id") % 20).cast("int").alias("chapter_number"), F.lit("talk").alias("chapter_title"), F.concat(F.lit("c."), F.col("conv_id").cast("string")).alias("section_number"), F.lit("xx").alias("language"))
+    return docs.union(c).select("*", F.lit("book").alias("source_id"), F.lit("Book").alias("book_title"), F.concat(F.lit("Title "), F.col("section_id").cast("string")).alias("section_title"))
 
 
 def _chunks(s, d):
@@ -51,7 +45,7 @@ def _hits(s, d, k=12):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     hits = near.withColumn("indexed_text", F.concat(F.lit("indexed "), F.col("chunk_id").cast("string")))
     meta = _index(s, d).select("chunk_id", "section", "chapter_number", "chunk_kind", F.lit("").alias("section_title"), F.col("section").alias("section_number"), F.lit("theory").alias("retrieval_group"))
-    return retrieval.source_text(hits, docs.where("chunk_id % 3 > 0")).join(meta, "chunk_id")
+    return retrieval.source_text(hits, docs).join(meta, "chunk_id")
 
 
 def _selected(s, d):
@@ -62,11 +56,13 @@ def _packed(s, d):
     return retrieval.pack_context(_selected(s, d).withColumn("header", retrieval.hit_header()))
 
 
+UNIT_KEYS = ["section_id", "block_start", "block_type", "locator", "chunk_kind", "retrieval_group", "default_retrieval"]
+
 QUERIES = {
-    "w5_attributions": lambda s, d: chunking.attribution_mode(_blocks(s, d)).select("section_id", "block_index", "in_attributions"),
-    "w6_heading_groups": lambda s, d: chunking.heading_groups(_blocks(s, d)).select("section_id", "block_index", "heading_group"),
-    "c5_units": lambda s, d: _units(s, d).select("section_id", "block_start", "locator", "chunk_kind", "retrieval_group", "default_retrieval", F.length("text").alias("n")),
-    "w7_merged_units": lambda s, d: chunking.merge_units(_units(s, d)).select("section_id", "block_start", "block_end", "locator", "chunk_kind", "block_type", F.md5("text").alias("h")),
+    "w5_attributions": lambda s, d: units.attribution_mode(blocks(s, d)).select("section_id", "block_index", "in_attributions"),
+    "w6_heading_groups": lambda s, d: chunking.heading_groups(blocks(s, d)).select("section_id", "block_index", "heading_group"),
+    "c5_units": lambda s, d: _units(s, d).select(*UNIT_KEYS, "title", "part", "item_index", F.md5("text").alias("h"), F.md5("paired_text").alias("paired"), F.md5("instruction_text").alias("instruction")),
+    "w7_merged_units": lambda s, d: chunking.merge_units(_units(s, d)).select(*UNIT_KEYS, "block_end", F.md5("text").alias("h")),
     "c6_split_documents": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(chunking.split_long(F.col("text"))).alias("piece", "text")),
     "c7_chunks": lambda s, d: _chunks(s, d).select("id", "parent_section_id", "chunk_kind", "piece_index", "piece_count", "content_sha256", "embedding_sha256"),
     "f14_embedding_text": lambda s, d: _chunks(s, d).select("id", F.md5("embedding_text").alias("h")),
@@ -89,25 +85,45 @@ QUERIES = {
     "w10_history": lambda s, d: retrieval.trim_history(table(s, d, "conversations"), 3).select("conv_id", "turn", "role"),
 }
 
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(160))"
+_SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'part')"
 _B = r"""lines as (select doc_id as section_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i from (select doc_id, string_split(text, chr(10)) as l from documents)),
-b as (select section_id, i as block_index, case when i % 13 = 6 then 'heading' when i % 13 = 9 then 'special' when i % 7 = 3 then 'equation' when i % 7 = 5 then 'figure' else 'paragraph' end as block_type, case when i % 13 = 6 then case when i % 2 = 0 then 'Media Attributions' else 'Heading' end else line end as text from lines),
-m as (select *, coalesce(last_value(case when block_type = 'special' then false when block_type = 'heading' and lower(text) = 'media attributions' then true end ignore nulls) over (partition by section_id order by block_index rows unbounded preceding), false) as attr from b)"""
-_U = rf"""{_B}, u0 as (select section_id, block_index as block_start, block_type, 'block-' || block_index as locator, trim(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g')) as text,
-    case when attr then 'media_attribution' when block_type = 'equation' then 'equation_context' when block_type = 'figure' then 'figure_caption' else 'theory' end as chunk_kind, case when attr then 'attribution' when block_type = 'figure' then 'figure' else 'theory' end as retrieval_group, not attr as default_retrieval from m),
-u as (select *, row_number() over (partition by section_id order by block_start) as r, chunk_kind in ('theory', 'equation_context') and retrieval_group = 'theory' as mg from u0 where text <> '')"""
+lb as (select section_id, i as block_index, case when i % 13 = 6 then 'heading' when i % 13 = 9 then 'feature' when i % 7 = 3 then 'formula_or_equation' when i % 7 = 5 then 'figure' when i % 11 = 4 then 'table' else 'paragraph' end as block_type,
+    case when i % 13 = 6 then case when i % 2 = 0 then 'Media Attributions' else 'Heading' end else line end as text from lines),
+conv as (select conv_id as n, arg_min(text, turn) as opening, coalesce(list(text order by turn) filter (role = 'user'), []) as q, coalesce(list(text order by turn) filter (role = 'assistant'), []) as a from conversations group by conv_id),
+cb as (select -1 - n as section_id, 0 as block_index, case when n % 5 < 2 then 'worked_example' when n % 5 < 4 then 'exercise_set' else 'feature' end as block_type, opening as text from conv),
+b as (select * from lb union all select * from cb),
+m as (select *, coalesce(last_value(case when block_type in ('feature', 'worked_example', 'exercise_set') then false when block_type = 'heading' and lower(text) = 'media attributions' then true end ignore nulls) over (partition by section_id order by block_index rows unbounded preceding), false) as attr from b)"""
+_U = rf"""{_B}, ord as (select section_id, block_index as block_start, 0::bigint as seq, block_type, 'block-' || block_index || '-' || block_type as locator, text, case when block_type = 'feature' then 'feature' when attr then 'attribution' when block_type = 'formula_or_equation' then 'equation_context'
+    when block_type = 'figure' then 'figure_caption' when block_type = 'table' then 'table' else 'theory' end as chunk_kind, case when block_type = 'feature' then 'feature' when attr then 'attribution' when block_type = 'figure' then 'figure' when block_type = 'table' then 'reference_table' else 'theory' end as retrieval_group,
+    block_type = 'feature' or not attr as default_retrieval, case when block_type = 'feature' and section_id < 0 and (-1 - section_id) % 7 > 0 then 'Example ' || (-1 - section_id) end as title, null::varchar as part, null::int as item_index, null::varchar as paired, null::varchar as instruction from m where block_type not in ('worked_example', 'exercise_set')),
+ex as (select n, n % 5 < 2 as w, case when n % 7 > 0 then 'Example ' || n when n % 5 < 2 then 'Worked example' else 'Exercises' end as title, case when n % 3 > 0 then opening end as intro, q, a,
+    case when n % 5 < 2 then 'example-' || {_SLUG.format("case when n % 7 > 0 then 'Example ' || n else 'Worked example' end")} else 'exercise-0' end as pre from conv where n % 5 < 4),
+it as (select n, w, title, pre, intro, 'q' as r, unnest(q) as text, generate_subscripts(q, 1) as k from ex union all select n, w, title, pre, intro, 'a', unnest(a), generate_subscripts(a, 1) from ex),
+num as (select n, string_agg((k + n % 3) || '. ' || replace({_NORM.format("text")}, chr(10), chr(10) || '   '), chr(10) || chr(10) order by k) filter ({_NORM.format("text")} <> '') as t from it where r = 'a' group by n),
+sp as (
+    select n, w, title, 0::bigint as seq, pre || case when w then '-problems-intro' else '-questions-intro' end as locator, intro as text, case when w then 'worked_example_problem_intro' else 'assessment_question_intro' end as chunk_kind, case when w then 'worked_example' else 'assessment_question' end as retrieval_group, w as dr, case when w then 'problems' else 'questions' end as part, null::int as item_index, null::varchar as paired, null::varchar as instruction from ex
+    union all select n, w, title, k, pre || case when w then '-problem-' else '-question-' end || (k + n % 3), text, case when w then 'worked_example_problem' else 'assessment_question' end, case when w then 'worked_example' else 'assessment_question' end, w, case when w then 'problem' else 'question' end, (k + n % 3)::int, null, intro from it where r = 'q'
+    union all select n, w, title, 1000 + k, pre || case when w then '-solution-' else '-answer-' end || (k + n % 3), text, case when w then 'worked_example_solution' else 'assessment_answer' end, case when w then 'worked_example' else 'assessment_answer' end, w, case when w then 'solution' else 'answer' end, (k + n % 3)::int, (select x.text from it x where x.n = it.n and x.r = 'q' and x.k = it.k), null from it where r = 'a'
+    union all select ex.n, w, title, 3000, pre || case when w then '-self-test' else '-notes' end, concat_ws(chr(10) || chr(10), {_NORM.format("q[-1]")}, num.t), case when w then 'self_test_question' else 'assessment_part' end, case when w then 'self_test' else 'assessment_question' end, false, case when w then 'test_yourself' else 'notes' end, null, null, null from ex left join num using (n)
+    union all select n, w, title, 4000, pre || case when w then '-self-test-answer' else '-answers-intro' end, case when w then 'See above.' else 'a figure' || chr(10) || chr(10) || 'See above.' end, case when w then 'self_test_answer' else 'assessment_answer_intro' end, case when w then 'self_test_answer' else 'assessment_answer' end, false, case when w then 'answer' else 'answers' end, null, null, null from ex),
+u0 as (select * from ord union all select -1 - n, 0, seq, case when w then 'worked_example' else 'exercise_set' end, locator, text, chunk_kind, retrieval_group, dr, title, part, item_index, paired, instruction from sp),
+u as (select * replace ({_NORM.format("text")} as text, nullif({_NORM.format("paired")}, '') as paired, nullif({_NORM.format("instruction")}, '') as instruction), row_number() over (partition by section_id order by block_start, seq) as r, chunk_kind in ('theory', 'equation_context') and retrieval_group = 'theory' as mg from u0 where {_NORM.format("text")} <> '')"""
 _M = _U + """, f as (select section_id, r, 1 as g, length(text) as size, mg as open from u where r = 1
     union all select u.section_id, u.r, case when f.open and u.mg and f.size + 2 + length(u.text) <= 1800 then f.g else f.g + 1 end, case when f.open and u.mg and f.size + 2 + length(u.text) <= 1800 then f.size + 2 + length(u.text) else length(u.text) end, u.mg from f join u on u.section_id = f.section_id and u.r = f.r + 1),
-mu as (select section_id, min(block_start) as block_start, max(block_start) as block_end, bool_or(mg) as mg, arg_min(locator, block_start) as l, arg_min(chunk_kind, block_start) as k, count(distinct block_type) as t, arg_min(block_type, block_start) as bt, string_agg(text, chr(10) || chr(10) order by block_start) as text from u join f using (section_id, r) group by section_id, g)"""
+mu as (select section_id, min(block_start) as block_start, max(block_start) as block_end, bool_or(mg) as mg, arg_min(locator, r) as l, arg_min(chunk_kind, r) as k, arg_min(retrieval_group, r) as rg, bool_and(default_retrieval) as dr, count(distinct block_type) as t, arg_min(block_type, r) as bt, arg_min(title, r) as title, arg_min(part, r) as part,
+    arg_min(item_index, r) as item_index, arg_min(paired, r) as paired, arg_min(instruction, r) as instruction, string_agg(text, chr(10) || chr(10) order by r) as text from u join f using (section_id, r) group by section_id, g),
+un as (select section_id, block_start, block_end, case when mg then 'blocks-' || block_start || '-' || block_end else l end as locator, case when mg then 'theory' else k end as chunk_kind, rg as retrieval_group, dr as default_retrieval, case when t > 1 then 'mixed' else bt end as block_type, title, part, item_index, paired, instruction, text from mu)"""
 _D = "round(greatest(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 0), 6)"
 _KNN = f"near as (select q.vec_id as query_id, c.vec_id as chunk_id, {_D} as distance, c.label::varchar as section from embeddings q join embeddings c on c.vec_id % 9 > 0 where q.vec_id % 20 = 0), ranked as (select *, row_number() over (partition by query_id order by distance, chunk_id)::int as rank from near)"
-_HITS = f"{_KNN}, hits as (select r.*, case when d.text is not null and d.doc_id % 3 > 0 then trim(d.text, chr(32) || chr(10) || chr(9)) else 'indexed ' || chunk_id end as text from ranked r left join documents d on d.doc_id = chunk_id where rank <= 12)"
+_HITS = f"{_KNN}, hits as (select r.*, case when d.text is not null then trim(d.text, chr(32) || chr(10) || chr(9)) else 'indexed ' || chunk_id end as text from ranked r left join documents d on d.doc_id = chunk_id where rank <= 12)"
 _SEL = f"{_HITS}, s1 as (select *, row_number() over (partition by query_id, section order by distance, chunk_id) as k from hits), sel as (select *, row_number() over (partition by query_id order by distance, chunk_id) as pos from s1 where k <= 2 qualify pos <= 4)"
 
 SQL = {
     "w5_attributions": f"with {_B} select section_id, block_index, attr as in_attributions from m",
     "w6_heading_groups": f"with {_B} select section_id, block_index, sum((block_type = 'heading')::int) over (partition by section_id order by block_index rows unbounded preceding)::bigint as heading_group from b",
-    "c5_units": f"with {_U} select section_id, block_start, locator, chunk_kind, retrieval_group, default_retrieval, length(text)::int as n from u",
-    "w7_merged_units": f"with recursive {_M} select section_id, block_start, block_end, case when mg then 'blocks-' || block_start || '-' || block_end else l end as locator, case when mg then 'theory' else k end as chunk_kind, case when t > 1 then 'mixed' else bt end as block_type, md5(text) as h from mu",
+    "c5_units": f"with {_U} select section_id, block_start, block_type, locator, chunk_kind, retrieval_group, default_retrieval, title, part, item_index, md5(text) as h, md5(paired) as paired, md5(instruction) as instruction from u",
+    "w7_merged_units": f"with recursive {_M} select section_id, block_start, block_type, locator, chunk_kind, retrieval_group, default_retrieval, block_end, md5(text) as h from un",
     "f8_list_starts": "select event_id, case event_id % 4 when 0 then 7 when 1 then user_id when 2 then 1 else user_id end::int as value, case event_id % 4 when 0 then 'extract_first_integer' when 1 then 'trim_surrounding_quotes' when 2 then 'fallback_to_one' end as method from events",
     "j19_paired_items": "with q as (select conv_id, turn // 2 as n, arg_max(text, turn) as t, min(turn) as f from conversations where role = 'user' group by all), f as (select conv_id, min(turn) as first from conversations where role = 'user' group by conv_id) select c.conv_id as section_id, turn // 2 as item_index, turn as position, md5(case when turn > first then t end) as paired from conversations c left join q on q.conv_id = c.conv_id and q.n = turn // 2 left join f on f.conv_id = c.conv_id where role is distinct from 'user'",
     "p8_metadata_filter": "select vec_id as chunk_id from embeddings where vec_id % 9 > 0 and vec_id % 5 = 2 and vec_id % 2 = 0",

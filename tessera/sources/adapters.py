@@ -49,6 +49,40 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed blocks: lines of documents (section = doc_id), and each conversation as one special block (section = -1 - conv_id).
+
+    User turns are the questions of a worked example or an exercise set, assistant turns the answers; every fifth
+    conversation is a feature.
+    """
+    i = F.col("block_index")
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"), F.posexplode(F.split("text", "\n", -1)).alias("block_index", "line"))
+    kind = (
+        F.when(i % 13 == 6, "heading").when(i % 13 == 9, "feature").when(i % 7 == 3, "formula_or_equation").when(i % 7 == 5, "figure").when(i % 11 == 4, "table").otherwise("paragraph")
+    )
+    shown = F.when(i % 13 == 6, F.when(i % 2 == 0, "Media Attributions").otherwise("Heading")).otherwise(F.col("line"))
+    lines = lines.select("section_id", "block_index", kind.alias("block_type"), shown.alias("text"))
+
+    turn = F.struct("turn", "text")
+    own = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, turn))), lambda x: x["text"])
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(own("user").alias("q"), own("assistant").alias("a"), F.min_by("text", "turn").alias("opening"))
+    n = F.col("conv_id")
+    worked, exercise = n % 5 < 2, (n % 5 >= 2) & (n % 5 < 4)
+    child = lambda kind, text=F.lit(None).cast("string"), items=F.lit(None).cast("array<struct<number:int,text:string>>"): F.struct(F.lit(kind).alias("node_type"), text.alias("text"), F.lit(True).alias("ordered"), items.alias("items"))
+    listed = lambda c: F.transform(c, lambda x, k: F.struct((k + 1 + n % 3).cast("int").alias("number"), x.alias("text")))
+    title = lambda a, b: F.when(worked, a).otherwise(b)
+    children = F.array(
+        child("heading", title("Problems", "Questions")), child("paragraph", F.when(n % 3 > 0, F.col("opening"))), child("list", items=listed("q")),
+        child("heading", F.lit("Solutions")), child("list", items=listed("a")),
+        child("heading", title("Test Yourself", "Notes")), child("paragraph", F.element_at("q", -1)), child("list", items=listed("a")),
+        child("heading", F.lit("Answer")), child("figure", F.lit("a figure")), child("paragraph", F.lit("See above.")),
+    )
+    special = c.select(
+        (-1 - n).alias("section_id"), F.lit(0).alias("block_index"), F.when(worked, "worked_example").when(exercise, "exercise_set").otherwise("feature").alias("block_type"),
+        F.col("opening").alias("text"), F.when(n % 7 > 0, F.concat(F.lit("Example "), n.cast("string"))).alias("title"), F.when(worked | exercise, children).alias("children"))
+    return lines.unionByName(special, allowMissingColumns=True)
+
+
 #: The same review rows in SQL (without the text columns), as a common table expression.
 REVIEW_SQL = r"""
 ev as (select *, cast(json_extract(props, '$.k') as int) as k, user_id % 20 as c from events),
