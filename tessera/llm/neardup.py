@@ -178,9 +178,8 @@ def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent: int)
     labels = None
     for turn in range(ROUNDS):
         members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
-        # The first centre is the same in all buckets of a group, so that its members meet it in one pair each. Later ones
-        # differ by bucket, so that a text outside the group meets many members of it.
-        draw = F.xxhash64("node") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
+        # A component sends the same centre to all its buckets, so that a text meets it in one pair, however many they share.
+        draw = F.xxhash64("node", F.lit(turn))
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "node", "size")).alias("m"))
         # A member of the largest component, which most others belong to.
         centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "m.draw", "comp", "m.node", "m.size")).alias("c")).where("parts > 1")
