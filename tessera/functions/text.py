@@ -140,6 +140,14 @@ def unicode_script(c: Column | str, superscript: bool) -> Column:
     return F.when(t == "", "").when(t.rlike(r"^[0-9+\-=()]+$"), mapped).otherwise(F.concat(F.lit("^(" if superscript else "_("), t, F.lit(")")))
 
 
+def script_text(value: str, superscript: bool) -> str:
+    """unicode_script of one text, for parsers inside tasks."""
+    t = value.strip()
+    if t and set(t) <= set(SCRIPT_FROM):
+        return t.translate(str.maketrans(SCRIPT_FROM, SUPERSCRIPT if superscript else SUBSCRIPT))
+    return f"{'^' if superscript else '_'}({t})" if t else ""
+
+
 def inline_preview(c: Column | str, limit: int = INLINE_PREVIEW_CHARS) -> Column:
     """One line of at most ``limit`` characters, with dots where it was cut."""
     t = strip(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?U)\s+", " "))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import chunking, compare, evaluation, pages, registry, retrieval, review, similarity
+from tessera.operators import chunking, compare, evaluation, pages, registry, retrieval, review, similarity, units
 from tessera.sources import io
 
 ROW = "row_id long, combo_id string, combo_title string, combo_kind string, base_combo_id string, active_combo_id string, system_prompt_id string, user_prompt_id string, fewshot_id string, case_id string, question string, model string, experiment_id string, score double, passed boolean, validation_ok boolean, parse_error boolean, duration_seconds double, request_type string, experiment_kind string, created_at string, execution_signature string, tags array<string>"
@@ -117,26 +117,119 @@ def test_split_long(spark):
 
 
 def test_merge_units_covers_text(spark):
-    rows = [(1, i, i, "paragraph" if i % 2 else "heading", f"block-{i}", "t" * 700, "theory" if i != 4 else "table", "theory" if i != 4 else "table", True) for i in range(8)]
-    u = spark.createDataFrame(rows, "section_id long, block_start long, block_end long, block_type string, locator string, text string, chunk_kind string, retrieval_group string, default_retrieval boolean")
+    rows = [(1, i, i, 0, "paragraph" if i % 2 else "heading", f"block-{i}", "t" * 700, "theory" if i != 4 else "table", "theory" if i != 4 else "table", None, None, None, None, None, True) for i in range(8)]
+    u = spark.createDataFrame(rows, "section_id long, block_start long, block_end long, seq long, block_type string, locator string, text string, chunk_kind string, retrieval_group string, title string, part string, item_index int, paired_text string, instruction_text string, default_retrieval boolean")
     m = chunking.merge_units(u).orderBy("block_start").collect()
     assert [(r["block_start"], r["block_end"]) for r in m] == [(0, 1), (2, 3), (4, 4), (5, 6), (7, 7)]
     assert [r["locator"] for r in m][2] == "block-4"
     assert m[0]["block_type"] == "mixed"
 
 
+def _page(spark, *html):
+    return pages.parse_nodes(spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
+
+
 def test_html(spark):
     html = '<html><body><h1>Title</h1><p>One <b>two<p>three &amp; four <a href="/x">link</a></p><nav><ul><li>menu</li></ul></nav><script>var p="<p>";</script><ol start="7"><li>item</li></ol><img src="a.png" alt="A"></body>'
-    p = spark.createDataFrame([(1, "http://h/x", html), (2, None, None)], "page_id long, url string, html string")
-    nodes = pages.parse_nodes(p)
-    blocks = [(r["block_type"], r["own_text"]) for r in pages.blocks(nodes).orderBy("block_index").collect()]
-    assert blocks[0] == ("heading", "Title")
-    assert any(t == "paragraph" and "three & four link" in x for t, x in blocks)
+    nodes = _page(spark, html, None)
+    blocks = [(r["block_type"], r["text"]) for r in pages.blocks(nodes).orderBy("block_index").collect()]
+    assert blocks[:4] == [("heading", "Title"), ("paragraph", "One two"), ("paragraph", "three & four link"), ("list", "7. item")]
     assert not any("menu" in x or "var p" in x for _, x in blocks)
-    assert [r["href"] for r in pages.links(nodes).collect()] == ["/x"]
+    assert [(r["href"], r["text"]) for r in pages.links(nodes).collect()] == [("/x", "link")]
     assert pages.media(nodes).first()["alt"] == "A"
 
 
+BOOK_PAGE = """<html><head><meta name="pb-title" content="A  Book"><meta name="pb-authors" content="X"><meta name="pb-authors" content="Y"><meta name="pb-language" content="fr"></head><body>
+<div class="part"><h1 class="part-title">Acids</h1></div>
+<div class="chapter" id="c1" title="One"><div class="chapter-ugc">
+<p>Water is H<sub>2</sub>O, x<sup>n</sup>.<br>Next <img class="quicklatex" alt="a+b" src="f.png"> and <img class="quicklatex" alt="a+b" src="f.png"></p>
+<div class="textbox textbox--examples"><div class="textbox__header"><p class="textbox__title">Example 4.1</p></div><div class="textbox__content">
+<h1>Problems</h1><p>Balance each.</p><ol start="3"><li>first</li><li>second<p>with more</p><ul><li>deep</li></ul></li></ol><h1>Solutions</h1><ol start="3"><li>done first</li><li>done second</li></ol>
+<h1>Test Yourself</h1><p>Try.</p><h1>Answer</h1><p>Yes.</p></div></div>
+<table><caption>Sizes</caption><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>
+<div class="wp-caption"><img src="i.png" alt="pic" width="5"><div class="wp-caption-text">A picture</div></div>
+<h2>Media Attributions</h2><p>credit</p>
+</div></div><div class="chapter"><div class="chapter-ugc"><p>Second section.</p></div></div></body></html>"""
+
+
+def test_structure_of_a_book_page(spark):
+    nodes = _page(spark, BOOK_PAGE).cache()
+    blocks = pages.blocks(nodes).where("section_index = 1").orderBy("block_index").collect()
+    assert [r["block_type"] for r in blocks] == ["formula_or_equation", "worked_example", "table", "figure", "heading", "paragraph"]
+    assert blocks[0]["text"] == "Water is H₂O, x^(n).\nNext [FORMULA: a+b] and [FORMULA: a+b]"
+    assert blocks[1]["text"] == "Example 4.1\n\nProblems\n\nBalance each.\n\n3. first\n4. second\n   with more\n   - deep\n\nSolutions\n\n3. done first\n4. done second\n\nTest Yourself\n\nTry.\n\nAnswer\n\nYes."
+    assert blocks[2]["text"] == "Table: Sizes\na | b\n1 | 2"
+    assert (blocks[1]["title"], blocks[4]["heading_level"]) == ("Example 4.1", 2)
+    assert [(r["kind"], r["value"]) for r in pages.formulae(nodes).orderBy("formula_index").collect()] == [("latex_image", "a+b"), ("subscript", "2"), ("superscript", "n")]
+    assert [(r["src"], r["alt"], r["caption"], r["width"]) for r in pages.media(nodes).collect()] == [("i.png", "pic", "A picture", "5")]
+    assert [(r["caption"], r["rows"]) for r in pages.tables(nodes).collect()] == [("Sizes", [["a", "b"], ["1", "2"]])]
+    book = pages.books(nodes).first()
+    assert (book["book_title"], book["language"], book["authors"], book["chapter_title"], book["section_count"]) == ("A Book", "fr", ["X", "Y"], "Acids", 2)
+    marked = pages.markdown(nodes).where("section_index = 1").first()["markdown"]
+    assert "### Block 2: `worked_example`\n\n**Example 4.1**\n\n#### Problems\n\nBalance each.\n\n3. first" in marked and "**Table:** Sizes\na | b" in marked
+    audit = pages.structure_audit(nodes).collect()
+    assert {r["name"] for r in audit} == {"Example 4.1", "Problems", "Solutions", "Test Yourself", "Answer"} and not any(r["missing"] for r in audit)
+    s = {r["section_index"]: r for r in pages.sections(nodes, spark.createDataFrame([(0, "http://h/0", BOOK_PAGE)], "page_id long, url string, html string")).collect()}
+    assert (s[1]["formula_count"], s[1]["media_count"], s[1]["table_count"], s[1]["block_type_counts"]["worked_example"]) == (3, 1, 1, 1)
+    assert s[2]["text"] == "Second section."
+
+
+def test_units_of_a_book_page(spark):
+    """From HTML to units: problems and solutions are paired by number, self-tests and attributions are left out of retrieval."""
+    b = pages.blocks(_page(spark, BOOK_PAGE)).where("section_index = 1").withColumn("section_id", F.col("page_id"))
+    got = {r["locator"]: r for r in units.units(b).collect()}
+    kinds = {k: r["chunk_kind"] for k, r in got.items()}
+    assert kinds == {
+        "block-1-formula_or_equation": "equation_context", "example-example-4-1-problems-intro": "worked_example_problem_intro", "example-example-4-1-problem-3": "worked_example_problem", "example-example-4-1-problem-4": "worked_example_problem",
+        "example-example-4-1-solution-3": "worked_example_solution", "example-example-4-1-solution-4": "worked_example_solution", "example-example-4-1-self-test": "self_test_question", "example-example-4-1-self-test-answer": "self_test_answer",
+        "block-3-table": "table", "block-4-figure": "figure_caption", "block-5-heading": "attribution", "block-6-paragraph": "attribution",
+    }
+    assert got["example-example-4-1-solution-3"]["paired_text"] == "first" and got["example-example-4-1-problem-3"]["instruction_text"] == "Balance each."
+    assert {k for k, r in got.items() if not r["default_retrieval"]} == {"example-example-4-1-self-test", "example-example-4-1-self-test-answer", "block-5-heading", "block-6-paragraph"}
+
+
+def test_pages_with_odd_html(spark):
+    nodes = _page(spark, "", "just text", "<p>", "<ul><li>a<li>b</ul>", "<table><tr><td>x</table><div><div><p>deep", '<ol start="x9"><li>y</ol>').cache()
+    got = {(r["page_id"], r["block_index"]): r["text"] for r in pages.blocks(nodes).collect()}
+    assert got[3, 1] == "- a\n- b" and got[4, 1] == "x" and got[4, 2] == "deep" and got[5, 1] == "9. y"
+    assert pages.markdown(nodes).count() > 0 and pages.structure_audit(nodes).count() == 0
+
+
+def test_given_pages_against_the_parser(spark):
+    """Every tag of every given page is a node, and every word of an article's paragraphs stands in the blocks, in order."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.words, self.tags = False, [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.tags.append(tag)
+            self.inside |= tag == "article"
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.words += data.split()
+
+    p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    nodes = pages.parse_nodes(p).cache()
+    tags = {r["page_id"]: r["t"] for r in nodes.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda x: x["tag"]).alias("t")).collect()}
+    texts = {}
+    for r in pages.blocks(nodes).orderBy("page_id", "block_index").collect():
+        texts.setdefault(r["page_id"], []).append(r["text"])
+    for r in p.collect():
+        w = Words()
+        w.feed(r["html"] or "")
+        w.close()
+        assert tags.get(r["page_id"], []) == w.tags
+        if w.words and "article" in w.tags:
+            assert " ".join(texts[r["page_id"]]).split() == w.words
+
+
 def test_list_starts(spark):
     d = spark.createDataFrame([("7",), ('7""',), ("x12",), ("x",), (None,)], "v string").select(chunking.repair_list_start(F.col("v")).alias("r")).select("r.*").collect()
     assert [r["value"] for r in d] == [7, 7, 12, 1, 1]
