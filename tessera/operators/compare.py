@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text
-from tessera.operators.review import latest
+from tessera.operators.review import flatten_artifacts, latest
 
 # What makes a difference meaningful.
 MIN_SCORE_DELTA = 0.05
@@ -54,23 +54,74 @@ def alignment(left: Column, right: Column, unit: str = "paragraph") -> Column:
     return _opcodes(cut(left), cut(right))
 
 
-def compare_fields(pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """Names and number of fields that differ between left and right structs."""
-    changed = F.array_compact(F.array(*[F.when(~F.col(f"left.{f}").eqNullSafe(F.col(f"right.{f}")), f) for f in fields]))
+# The compared fields, and which of them are texts and lists.
+FIELDS = ["request_type", "certainty", "short_answer", "explanation", "examples", "experiment.kind", "experiment.reason", "experiment.questions", "source_ids"]
+TEXT_FIELDS = ["short_answer", "explanation", "experiment.reason"]
+LIST_FIELDS = ["examples", "experiment.questions", "source_ids"]
+
+
+def field_value(path: str) -> Column:
+    """F16: a field of a normalized artifact: its own column first, then the parsed answer; texts and lists normalized."""
+    a = F.col("parsed_answer")
+    for part in path.split("."):
+        a = a[part]
+    if path in TEXT_FIELDS:
+        return text.review_text(a)
+    if path in LIST_FIELDS:
+        none = F.array().cast("array<string>")
+        return F.coalesce("source_ids", none) if path == "source_ids" else F.filter(F.transform(F.coalesce(a, none), text.review_text), lambda x: x != "")
+    own = {"request_type": "request_type", "experiment.kind": "experiment_kind"}
+    return F.coalesce(F.nullif(own[path], F.lit("")), a) if path in own else a
+
+
+def shown(value: Column, path: str) -> Column:
+    """F16: a field's value as text."""
+    return F.array_join(F.filter(F.transform(value, text.review_text), lambda x: x != ""), "\n") if path in LIST_FIELDS else F.coalesce(value, F.lit(""))
+
+
+def records(artifacts: DataFrame) -> DataFrame:
+    """Review rows of artifacts with ``fields``: the compared fields, a dot as two underscores."""
+    fields = F.struct(*[field_value(f).alias(f.replace(".", "__")) for f in FIELDS])
+    return flatten_artifacts(artifacts, fields=fields)
+
+
+def compare_fields(pairs: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Names and number of fields that differ between left.fields and right.fields."""
+    side = lambda s, f: F.col(f"{s}.fields.{f.replace('.', '__')}")
+    names = fields or FIELDS
+    changed = F.array_compact(F.array(*[F.when(~side("left", f).eqNullSafe(side("right", f)), f) for f in names]))
     out = pairs.withColumns({"changed_fields": changed, "changed_field_count": F.size(changed)})
-    return out.withColumn("equal_field_count", F.lit(len(fields)) - F.col("changed_field_count"))
+    return out.withColumn("equal_field_count", F.lit(len(names)) - F.col("changed_field_count"))
 
 
-FIELDS = ["request_type", "certainty", "short_answer", "explanation_preview", "experiment_kind", "source_ids"]
+def field_comparisons(pairs: DataFrame, fields: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a pair and field: field_path, both texts, equal, similarity, counts of lists.
 
+    Texts that differ go through the matcher once, as one column of all fields; equal ones don't.
+    """
+    rows = []
+    for f in fields or FIELDS:
+        left, right = (F.col(f"{s}.fields.{f.replace('.', '__')}") for s in ("left", "right"))
+        count = lambda c, f=f: F.size(c) if f in LIST_FIELDS else F.lit(None).cast("int")
+        rows.append(F.struct(F.lit(f).alias("field_path"), shown(left, f).alias("left_text"), shown(right, f).alias("right_text"), left.eqNullSafe(right).alias("equal"), count(left).alias("left_count"), count(right).alias("right_count")))
+    long = pairs.select(*keep, F.explode(F.array(*rows)).alias("c")).select(*keep, "c.*")
+    matched = F.col("field_path").isin(TEXT_FIELDS + LIST_FIELDS)
+    similarity = F.when(matched, F.round(text_similarity(F.col("left_text"), F.col("right_text")), 4)).otherwise(F.col("equal").cast("double"))
+    return long.withColumn("similarity", similarity)
 
-def baseline_vs_challenger(rows: DataFrame, baseline: str, *, fields: list[str] | None = None, min_delta: float = MIN_SCORE_DELTA, max_similarity: float = MAX_TEXT_SIMILARITY) -> DataFrame:
-    """The latest row of every other combo against the baseline's of the same case."""
+
+def paired(rows: DataFrame, baseline: str) -> DataFrame:
+    """case_id, left (the baseline's latest row of the case) and right (that of each other combo)."""
     now = latest(rows).where(F.col("case_id") != "")
     side = lambda name: F.struct(*[c for c in now.columns if c != "case_id"]).alias(name)
     base = now.where(F.col("combo_id") == baseline).select("case_id", side("left"))
-    both = now.where(F.col("combo_id").isNull() | (F.col("combo_id") != baseline)).select("case_id", side("right")).join(base, "case_id")
-    both = compare_fields(both, fields or FIELDS)
+    return now.where(F.col("combo_id").isNull() | (F.col("combo_id") != baseline)).select("case_id", side("right")).join(base, "case_id")
+
+
+def baseline_vs_challenger(rows: DataFrame, baseline: str, *, fields: list[str] | None = None, min_delta: float = MIN_SCORE_DELTA, max_similarity: float = MAX_TEXT_SIMILARITY) -> DataFrame:
+    """The latest row of every other combo against the baseline's of the same case. ``rows``: what ``records`` gives."""
+    both = paired(rows, baseline)
+    both = compare_fields(both, fields)
     both = both.withColumns({
         "score_delta": F.round(F.col("right.score") - F.col("left.score"), 4), "pass_delta": F.col("right.passed").cast("int") - F.col("left.passed").cast("int"),
         "full_text_similarity": F.round(text_similarity(F.col("left.comparison_text"), F.col("right.comparison_text")), 4),

@@ -12,7 +12,16 @@ from tessera.operators.review import latest
 CONCENTRATION = r"(?iU)(\b\d+(?:[\.,]\d+)?\s*%\b|\b\d+(?:[\.,]\d+)?\s*(?:m|mol\s*/\s*l|mol/l|моль\s*/\s*л)\b)"
 EXPERIMENT_KINDS = ["none", "clarification", "experiment"]
 CERTAINTIES = ["low", "medium", "high"]
-MAX_EXAMPLES, MAX_SOURCES = 2, 5
+REQUEST_TYPES = ["theory", "experiment", "mixed"]
+MAX_EXAMPLES, MAX_SOURCES, MAX_QUESTIONS = 2, 5, 3
+# The fields of an answer, and those that each kind of experiment needs.
+ANSWER = (
+    "struct<request_type:string,short_answer:string,explanation:string,examples:array<string>,certainty:string,source_ids:array<string>,experiment:struct<kind:string,reason:string,questions:array<string>,title:string,goal:string,"
+    "ingredients:array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>,equipment:array<string>,protective_equipment:array<string>,steps:array<string>,safety_notes:array<string>,"
+    "disposal:string,adult_supervision_required:boolean>>"
+)
+NEEDED_TEXTS = {"none": ["reason"], "clarification": ["reason"], "experiment": ["title", "goal", "disposal"]}
+NEEDED_LISTS = {"experiment": ["ingredients", "equipment", "protective_equipment", "steps", "safety_notes"]}
 STABLE_SCORE = 0.8
 
 
@@ -99,6 +108,36 @@ def artifact_tags(results: DataFrame, variant: str = "rag", rag: bool = True) ->
     return results.withColumns({"tags": tags, "artifact_file": F.concat(name, F.lit(".json"))})
 
 
+def normalized_artifacts(results: DataFrame, scope: str, variant: str = "rag", rag: bool = True) -> DataFrame:
+    """Run, answer and case result as one normalized artifact.
+
+    ``results``: run_id, combo_id, case_id, question, created_at, model, answer, raw_output, validation_ok, duration_seconds,
+    and score, passed, passed_count, total_count of the case. Adds blocks of normalized texts, metrics, tags, sources, answer
+    lengths, review flags and the paths of both files.
+    """
+    a = F.col("answer")
+    none = F.array().cast("array<string>")
+    r = artifact_tags(results, variant, rag).withColumns({"_short": text.text_block(a["short_answer"]), "_explanation": text.text_block(a["explanation"]), "_reason": text.text_block(a["experiment"]["reason"]), "_raw": text.text_block("raw_output")})
+    listed = lambda c: F.filter(F.transform(F.coalesce(c, none), text.review_text), lambda x: x != "")
+    r = r.withColumns({"_examples": listed(a["examples"]), "_questions": listed(a["experiment"]["questions"]), "source_ids": F.coalesce(a["source_ids"], none)})
+    n = lambda c: F.col(f"{c}.normalized")
+    shown = {"short_answer": n("_short"), "explanation": n("_explanation"), "examples": F.array_join("_examples", "\n"), "experiment_reason": n("_reason"), "experiment_questions": F.array_join("_questions", "\n"), "raw_output": n("_raw")}
+    r = r.withColumn("comparison_text", text.comparison_text(shown))
+    lengths = F.struct(
+        F.col("_short.char_count").alias("short_answer_chars"), F.col("_short.word_count").alias("short_answer_words"), F.col("_explanation.char_count").alias("explanation_chars"), F.col("_explanation.word_count").alias("explanation_words"),
+        F.size(F.coalesce(a["examples"], none)).alias("example_count"), F.col("_reason.char_count").alias("experiment_reason_chars"), F.col("_raw.char_count").alias("raw_output_chars"), F.length("comparison_text").alias("comparison_chars"),
+        (F.col("_short.paragraph_count") + F.col("_explanation.paragraph_count") + F.col("_reason.paragraph_count")).alias("paragraph_count_total"),
+    )
+    ok = F.coalesce("validation_ok", F.lit(False))
+    path = lambda kind: F.concat_ws("/", F.lit("runs"), F.lit(kind), F.lit(scope), "artifact_file").alias(kind)
+    return r.select(
+        F.lit(scope).alias("scope"), F.col("run_id").alias("id"), F.col("run_id").alias("raw_run_id"), "combo_id", "case_id", "question", "created_at", "model", a.alias("parsed_answer"), "comparison_text",
+        F.struct("score", "passed", "passed_count", "total_count", F.round("duration_seconds", 4).alias("duration_seconds"), ok.alias("validation_ok")).alias("metrics"), "tags", "source_ids", F.size("source_ids").alias("source_count"),
+        a["request_type"].alias("request_type"), a["experiment"]["kind"].alias("experiment_kind"), lengths.alias("answer_lengths"), F.struct(a.isNull().alias("parse_error"), ok.alias("validation_ok"), (F.size("source_ids") > 0).alias("has_sources")).alias("review_flags"),
+        F.struct(path("raw"), path("normalized")).alias("artifact_paths"),
+    )
+
+
 def upsert_results(results: DataFrame, changes: DataFrame) -> DataFrame:
     """The latest result of each (experiment, combo), with the status that its score gives."""
     every = results.unionByName(changes)
@@ -113,16 +152,28 @@ def experiment_scores(results: DataFrame) -> DataFrame:
         F.count("*").alias("tested_combo_count"), mean("score").alias("average_score"), F.max("score").alias("best_score"), F.min("score").alias("worst_score"), mean("subject_score").alias("average_subject_score"), F.count("subject_score").alias("subject_score_count"))
 
 
-def validate_answers(answers: DataFrame, request_types: list[str]) -> DataFrame:
-    """names of the rules that an answer breaks; missing lists count as empty."""
-    a = F.col("answer")
-    none = F.array().cast("array<string>")
-    blank = lambda c: text.strip(F.coalesce(c, F.lit(""))) == ""
-    kind = a["experiment"]["kind"]
-    rules = {
-        "request_type": ~F.coalesce(a["request_type"].isin(request_types), F.lit(False)), "short_answer": blank(a["short_answer"]), "explanation": blank(a["explanation"]),
-        "examples": F.size(F.coalesce(a["examples"], none)) > MAX_EXAMPLES, "experiment": ~F.coalesce(kind.isin(EXPERIMENT_KINDS), F.lit(False)),
-        "clarification": (kind == "clarification") & (blank(a["experiment"]["reason"]) | (F.size(F.coalesce(a["experiment"]["questions"], none)) == 0)), "certainty": ~F.coalesce(a["certainty"].isin(CERTAINTIES), F.lit(False)),
-    }
-    broken = F.array_compact(F.array(F.when(a.isNull(), "missing"), *[F.when(a.isNotNull() & rule, name) for name, rule in rules.items()]))
-    return answers.withColumn("broken_rules", broken).withColumn("valid", F.size("broken_rules") == 0)
+def answer_problems(a: Column, request_types: list[str] = REQUEST_TYPES) -> Column:
+    """names of the fields of an answer (of type ANSWER) that break a rule; missing lists count as empty, empty texts as missing."""
+    empty = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    among = lambda c, values: F.coalesce(c.isin(values), F.lit(False))
+    e = a["experiment"]
+    is_kind = lambda k: F.coalesce(e["kind"] == k, F.lit(False))
+    rules = [("request_type", ~among(a["request_type"], request_types)), ("short_answer", empty(a["short_answer"])), ("explanation", empty(a["explanation"])), ("examples", count(a["examples"]) > MAX_EXAMPLES),
+        ("certainty", ~among(a["certainty"], CERTAINTIES)), ("source_ids", count(a["source_ids"]) > MAX_SOURCES), ("experiment.kind", ~among(e["kind"], EXPERIMENT_KINDS)), ("experiment.questions", is_kind("clarification") & ~count(e["questions"]).between(1, MAX_QUESTIONS))]
+    for kind, fields in NEEDED_TEXTS.items():
+        rules += [(f"experiment.{f}", is_kind(kind) & empty(e[f])) for f in fields]
+    for kind, fields in NEEDED_LISTS.items():
+        rules += [(f"experiment.{f}", is_kind(kind) & (count(e[f]) == 0)) for f in fields]
+    plan, parts = is_kind("experiment"), F.coalesce(e["ingredients"], F.array().cast("array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>"))
+    rules += [
+        ("experiment.adult_supervision_required", plan & e["adult_supervision_required"].isNull()),
+        ("experiment.ingredients.fields", plan & F.exists(parts, lambda x: empty(x["name"]) | empty(x["amount"]) | empty(x["purpose"]) | x["is_solution"].isNull())),
+        ("experiment.ingredients.concentration", plan & F.exists(parts, lambda x: F.coalesce(x["is_solution"], F.lit(False)) & empty(x["concentration"]))),
+    ]
+    return F.array_compact(F.array(F.when(a.isNull(), "missing"), *[F.when(a.isNotNull() & rule, name) for name, rule in rules]))
+
+
+def validate_answers(answers: DataFrame, request_types: list[str] = REQUEST_TYPES) -> DataFrame:
+    """broken_rules and valid for each ``answer`` (of type ANSWER)."""
+    return answers.withColumn("broken_rules", answer_problems(F.col("answer"), request_types)).withColumn("valid", F.size("broken_rules") == 0)

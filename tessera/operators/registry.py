@@ -13,8 +13,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text
+from tessera.operators.evaluation import ANSWER, REQUEST_TYPES, answer_problems
 from tessera.sources.scratch import save
 
 #: Rounds of pointer doubling: lineages of up to 2 ** MAX_ROUNDS levels; a longer one is a cycle.
@@ -68,6 +70,16 @@ def lineage(nodes: DataFrame) -> DataFrame:
     raise ValueError("a lineage is a cycle")
 
 
+def tree_listing(nodes: DataFrame) -> DataFrame:
+    """tree_id, position, depth, line: each tree in depth-first order, brothers by created_at, a line a node."""
+    lines = lineage(nodes)
+    above = lines.select("id", "depth", F.posexplode("lineage_ids").alias("p", "ancestor")).join(nodes.select(F.col("id").alias("ancestor"), F.col("created_at").alias("at")), "ancestor")
+    keys = above.groupBy("id", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "at", "ancestor"))), lambda x: F.struct(x["at"].alias("at"), x["ancestor"].alias("id"))).alias("key"))
+    line = F.concat(F.repeat(F.lit("    "), F.col("depth")), F.lit("- "), F.col("id").cast("string"), F.lit(" ["), "branch", F.lit("] "), "title")
+    rows = nodes.select("id", "tree_id", "branch", "title").join(keys, "id").withColumn("line", line)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("tree_id").orderBy("key"))).select("tree_id", "position", "id", "depth", "line")
+
+
 def children(nodes: DataFrame) -> DataFrame:
     """Parent id, sorted child ids."""
     return nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(_ids("id").alias("child_prompt_ids"))
@@ -196,17 +208,66 @@ def experiment_dependencies(summary: DataFrame) -> DataFrame:
 
 
 def snapshot(pairs: DataFrame, combos: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Base and active combo of each pair (base_combo_id, active_combo_id): prompts by role, roles that changed, a hash."""
+    """Base and active combo of each pair: prompts by role with node and lineage, few-shot prompt, roles that changed, a hash.
+
+    ``pairs``: base_combo_id, active_combo_id and on demand fewshot_id and selected_example_ids. A role changed if the active
+    combo's prompt isn't the base combo's. A few-shot prompt that is no node is ``missing``.
+    """
     base = combos.select(F.col("id").alias("base_combo_id"), F.col("prompt_ids").alias("base_prompts"))
     active = combos.select(F.col("id").alias("active_combo_id"), F.col("prompt_ids").alias("active_prompts"))
+    kind = dict(nodes.dtypes)["id"]
+    more = {"fewshot_id": F.lit(None).cast(kind), "selected_example_ids": F.array().cast("array<string>")}
+    pairs = pairs.withColumns({c: v for c, v in more.items() if c not in pairs.columns})
     s = pairs.join(base, "base_combo_id", "left").join(active, "active_combo_id", "left")
-    changed = F.array_sort(F.array_distinct(F.transform(F.concat(F.array_except(F.map_entries("active_prompts"), F.map_entries("base_prompts")), F.array_except(F.map_entries("base_prompts"), F.map_entries("active_prompts"))), lambda e: e["key"])))
+    changed = F.array_sort(F.transform(F.filter(F.map_entries("active_prompts"), lambda e: ~F.try_element_at("base_prompts", e["key"]).eqNullSafe(e["value"])), lambda e: e["key"]))
     s = s.withColumn("changed_roles", F.coalesce(changed, F.array().cast("array<string>")))
-    lines = lineage(nodes).select(F.col("id").alias("prompt_id"), "lineage_ids")
-    roles = s.select("base_combo_id", "active_combo_id", F.explode(F.coalesce("active_prompts", "base_prompts")).alias("role", "prompt_id")).join(lines, "prompt_id", "left")
-    roles = roles.groupBy("base_combo_id", "active_combo_id").agg(F.sort_array(F.collect_list(F.struct("role", "prompt_id", F.coalesce("lineage_ids", F.array().cast("array<bigint>")).alias("lineage_ids")))).alias("roles"))
-    out = s.join(roles, ["base_combo_id", "active_combo_id"], "left")
-    return out.withColumn("snapshot_hash", F.substring(F.sha2(F.to_json(F.struct("base_combo_id", "active_combo_id", "changed_roles", "roles")), 256), 1, 16))
+    own = F.struct(F.col("id").alias("id"), "title", "type", "tree_id", "parent_id").alias("node")
+    node = nodes.select(F.col("id").alias("prompt_id"), own).join(lineage(nodes).select(F.col("id").alias("prompt_id"), "lineage_ids"), "prompt_id")
+    key = ["base_combo_id", "active_combo_id"]
+    roles = s.select(*key, F.explode("active_prompts").alias("role", "prompt_id")).join(node, "prompt_id", "left")
+    roles = roles.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("role", "prompt_id", "node", F.coalesce("lineage_ids", F.array().cast(f"array<{kind}>")).alias("lineage_ids")))).alias("roles"))
+    few = node.select(F.col("prompt_id").alias("fewshot_id"), F.col("node").alias("_node"), F.col("lineage_ids").alias("_line"))
+    out = s.join(roles, key, "left").join(few, "fewshot_id", "left")
+    fewshot = F.when(F.col("fewshot_id").isNotNull(), F.struct(F.col("fewshot_id").alias("prompt_id"), F.col("_node").isNull().alias("missing"), F.col("_node").alias("node"), F.col("_line").alias("lineage_ids"), "selected_example_ids"))
+    out = out.withColumn("fewshot", fewshot).drop("_node", "_line")
+    return out.withColumn("snapshot_hash", F.substring(F.sha2(F.to_json(F.struct(*key, "changed_roles", "roles", "fewshot")), 256), 1, 16))
+
+
+def display_title() -> Column:
+    """the title to show of a node: display_title, a context variant's role, title, type."""
+    clean = lambda c: F.nullif(text.inline_text(c), F.lit(""))
+    kind = F.coalesce(F.nullif(text.strip(F.coalesce(F.col("type").cast("string"), F.lit(""))), F.lit("")), F.lit("prompt"))
+    role = F.coalesce(F.nullif(text.strip(F.coalesce("prompt_role", F.lit(""))), F.lit("")), kind)
+    return F.coalesce(clean("display_title"), F.when(F.col("kind") == "context_variant", F.concat(F.lit("Contextual "), role, F.lit(" prompt"))), clean("title"), F.concat(F.initcap(kind), F.lit(" prompt")))
+
+
+def description() -> Column:
+    """a node's description, or that of a context variant, or nothing."""
+    kind = F.coalesce(F.nullif(text.strip(F.coalesce(F.col("type").cast("string"), F.lit(""))), F.lit("")), F.lit("prompt"))
+    role = F.coalesce(F.nullif(text.strip(F.coalesce("prompt_role", F.lit(""))), F.lit("")), kind)
+    of = F.nullif(text.strip(F.coalesce(F.col("parent_id").cast("string"), F.lit(""))), F.lit(""))
+    made = F.concat(F.lit("Auto-generated contextual "), role, F.lit(" prompt"), F.when(of.isNotNull(), F.concat(F.lit(" derived from "), of)).otherwise(""), F.lit("."))
+    return F.coalesce(F.nullif(text.inline_text("description"), F.lit("")), F.when(F.col("kind") == "context_variant", made), F.lit(""))
+
+
+def combo_details(usage: DataFrame, prompts: DataFrame, experiments: DataFrame) -> DataFrame:
+    """What belongs to each combo, a row a thing: combo_id, part, role, key, summary (JSON).
+
+    Parts: ``prompt`` (a member with its usage), ``experiment`` (a dependent one with its summary), ``derived`` (a combo made from
+    it with its usage). Rows instead of nested lists, so that a combo of a third of all experiments fills no single row.
+    """
+    kind = "string"
+    member = usage.select("combo_id", F.explode("members").alias("m")).select("combo_id", F.lit("prompt").alias("part"), F.col("m.role").alias("role"), F.col("m.prompt_id").alias("id"))
+    p = prompts.select("id", F.to_json(F.struct("title", "type", "child_count", "combo_count", "experiment_count", "depth", "is_archived")).alias("summary"))
+    held = usage.select("combo_id", F.lit("experiment").alias("part"), F.lit(None).cast("string").alias("role"), F.explode("experiment_ids").alias("experiment_id"))
+    e = experiments.select("experiment_id", F.to_json(F.struct("combo_count", "tested_combo_count", "untested_combo_count", "missing_combo_count", "run_count", "is_archived")).alias("summary"))
+    derived = usage.select("combo_id", F.lit("derived").alias("part"), F.lit(None).cast("string").alias("role"), F.explode("derived_combo_ids").alias("derived_id"))
+    c = usage.select(F.col("combo_id").alias("derived_id"), F.to_json(F.struct("status", F.size("experiment_ids").alias("experiment_count"), "run_count", "is_archived")).alias("summary"))
+    return (
+        member.join(p, "id", "left").select("combo_id", "part", "role", F.col("id").cast(kind).alias("key"), "summary")
+        .union(held.join(e, "experiment_id").select("combo_id", "part", "role", F.col("experiment_id").cast(kind), "summary"))
+        .union(derived.join(c, "derived_id").select("combo_id", "part", "role", F.col("derived_id").cast(kind), "summary"))
+    )
 
 
 def prompt_details(usage: DataFrame) -> DataFrame:
@@ -216,8 +277,9 @@ def prompt_details(usage: DataFrame) -> DataFrame:
 
 
 def workspace_counts(nodes: DataFrame, combos: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Totals and archived ones of each kind, unreadable prompts, active experiments."""
-    n = nodes.agg(F.count("*").alias("prompt_count"), F.count_if(archived()).alias("archived_prompt_count"), F.count_if(F.col("text").isNull()).alias("unreadable_prompt_count"))
+    """Totals and archived ones of each kind, unreadable prompts, prompts found by path only, active experiments."""
+    fallback = F.coalesce("used_path_fallback", F.lit(False)) if "used_path_fallback" in nodes.columns else F.lit(False)
+    n = nodes.agg(F.count("*").alias("prompt_count"), F.count_if(archived()).alias("archived_prompt_count"), F.count_if(F.col("text").isNull()).alias("unreadable_prompt_count"), F.count_if(fallback).alias("prompt_path_fallback_count"))
     c = combos.agg(F.count("*").alias("combo_count"), F.count_if(archived("status")).alias("archived_combo_count"))
     e = experiments.agg(F.count("*").alias("experiment_count"), F.count_if(archived("status")).alias("archived_experiment_count"), F.count_if(F.col("status") == "active").alias("active_experiment_count"))
     return n.join(c, F.lit(True)).join(e, F.lit(True))
@@ -273,11 +335,21 @@ def similarity_text(mode: str) -> Column:
     raise ValueError(f"unknown mode: {mode}")
 
 
-def fewshot_examples(sets: DataFrame) -> DataFrame:
-    """JSON list texts to example rows: set_id, example_id (default example_n), input, answer, problem."""
-    kind = "array<struct<id:string,input:map<string,string>,answer:struct<request_type:string,short_answer:string>>>"
-    parsed = sets.select("set_id", F.from_json("text", kind).alias("x"))
-    bad = parsed.where("x is null").select("set_id", F.lit(None).cast("string").alias("example_id"), F.lit("not a JSON list").alias("problem"))
-    rows = parsed.where("x is not null").select("set_id", F.posexplode("x").alias("i", "e"))
-    good = rows.select("set_id", F.coalesce("e.id", F.concat(F.lit("example_"), (F.col("i") + 1).cast("string"))).alias("example_id"), F.when(F.col("e.input").isNull(), "no input").when(F.col("e.answer.short_answer").isNull(), "no answer").alias("problem"))
+def fewshot_examples(sets: DataFrame, request_types: list[str] = REQUEST_TYPES) -> DataFrame:
+    """JSON list texts to example rows: set_id, example_id (default example_n), question, answer (JSON), problem.
+
+    Problems: no JSON list, no examples, no input, no answer, no question in the input, or the rules that the answer breaks.
+    """
+    kind = f"array<struct<id:string,input:map<string,string>,answer:{ANSWER}>>"
+    listed = F.startswith(text.strip(F.coalesce("text", F.lit(""))), F.lit("["))
+    parsed = sets.select("set_id", F.when(listed, F.from_json("text", kind)).alias("x"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("example_id", "question", "answer")]
+    bad = parsed.where("x is null or size(x) = 0").select("set_id", *none, F.when(F.col("x").isNull(), "not a JSON list").otherwise("no examples").alias("problem"))
+    rows = parsed.where("size(x) > 0").select("set_id", F.posexplode("x").alias("i", "e"))
+    broken = answer_problems(F.col("e.answer"), request_types)
+    problem = (
+        F.when(F.col("e.input").isNull(), "no input").when(F.col("e.answer").isNull(), "no answer").when(~F.map_contains_key("e.input", F.lit("question")), "no input.question")
+        .when(F.size(broken) > 0, F.concat(F.lit("answer: "), F.array_join(broken, ",")))
+    )
+    good = rows.select("set_id", F.coalesce("e.id", F.concat(F.lit("example_"), (F.col("i") + 1).cast("string"))).alias("example_id"), F.try_element_at("e.input", F.lit("question")).alias("question"), F.to_json("e.answer").alias("answer"), problem.alias("problem"))
     return good.union(bad)

@@ -41,9 +41,11 @@ def index_input(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.size("broken") == 0).drop("broken"), errors
 
 
-def flat_metadata(metadata: Column) -> Column:
-    """P10: a map without its nulls."""
-    return F.map_filter(metadata, lambda k, v: v.isNotNull())
+def flat_metadata(rows: DataFrame, columns: list[str]) -> Column:
+    """P10: the columns as one JSON object without nulls; arrays, maps and structs become JSON text, other values stay as they are."""
+    types = dict(rows.dtypes)
+    plain = lambda c: F.to_json(c) if types[c].startswith(("array", "map", "struct")) else F.col(c)
+    return F.to_json(F.struct(*[plain(c).alias(c) for c in columns]))
 
 
 def manifest(source: DataFrame, index: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,8 @@ from tessera.functions import text
 RANK_WEIGHTS = {"average_score": 0.55, "pass_rate": 0.25, "stability_rate": 0.10, "validation_rate": 0.05, "speed_score": 0.05}
 
 
-def flatten_artifacts(artifacts: DataFrame) -> DataFrame:
-    """One flat row an artifact; a missing title falls back from base to active combo to the id."""
+def flatten_artifacts(artifacts: DataFrame, **more: Column) -> DataFrame:
+    """One flat row an artifact; a missing title falls back from base to active combo to the id. ``more``: further columns."""
     answer, snap, m = F.col("parsed_answer"), F.col("prompt_snapshot"), F.col("metrics")
     none = F.array().cast("array<string>")
     shown = {
@@ -35,7 +37,7 @@ def flatten_artifacts(artifacts: DataFrame) -> DataFrame:
         "request_type", "experiment_kind", answer["certainty"].alias("certainty"), F.size(F.coalesce("source_ids", none)).alias("source_count"), "source_ids",
         F.coalesce(F.col("answer_lengths.example_count"), F.lit(0)).cast("int").alias("example_count"), shown["short_answer"].alias("short_answer"), F.substring(shown["explanation"], 1, text.PREVIEW_CHARS).alias("explanation_preview"),
         comparison.alias("comparison_text"), text.json_string_hash(comparison).alias("comparison_hash"), F.coalesce("tags", none).alias("tags"),
-        F.col("artifact_paths.normalized").alias("normalized_artifact_path"), F.col("artifact_paths.raw").alias("raw_artifact_path"), "scope",
+        F.col("artifact_paths.normalized").alias("normalized_artifact_path"), F.col("artifact_paths.raw").alias("raw_artifact_path"), "scope", *[c.alias(n) for n, c in more.items()],
     )
 
 
@@ -264,8 +266,17 @@ def upsert_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def scopes(rows: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Artifacts a scope, with the experiment's name and status where there is one."""
-    return rows.groupBy("scope").agg(F.count("*").alias("artifact_count")).join(experiments.withColumnRenamed("id", "scope"), "scope", "left")
+    """Artifacts a scope, with name, status and tags of the experiment where there is one, the last scope first."""
+    e = experiments.select(F.col("id").alias("scope"), F.col("name").alias("experiment_name"), F.col("status").alias("experiment_status"), F.col("tags").alias("experiment_tags"))
+    out = rows.groupBy("scope").agg(F.count("*").alias("artifact_count")).join(e, "scope", "left")
+    out = out.withColumns({"label": F.concat("scope", F.when(F.col("experiment_name").isNotNull(), F.concat(F.lit(" | "), "experiment_name")).otherwise("")), "experiment_tags": F.coalesce("experiment_tags", F.array().cast("array<string>"))})
+    return out.orderBy(F.col("scope").desc())
+
+
+def union_scopes(tables: dict[str, DataFrame]) -> DataFrame:
+    """The review rows of all scopes, each with its scope; columns that a scope lacks are null."""
+    named = [t.withColumn("scope", F.lit(scope)) for scope, t in tables.items() if scope]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def scope_report(rows: DataFrame) -> DataFrame:

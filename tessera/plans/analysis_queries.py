@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import compare, evaluation, review, similarity
 from tessera.plans.review_queries import _K, KEY, _sql
-from tessera.sources.adapters import artifacts, table
+from tessera.sources.adapters import artifacts, full_answers, table
+from tessera.sources.scratch import folder
 
 _rows = lambda s, d: review.flatten_artifacts(artifacts(s, d))
 _docs = lambda s, d: table(s, d, "documents")
@@ -61,7 +62,24 @@ def _results(s, d):
 
 
 def _compared(s, d):
-    return compare.baseline_vs_challenger(_rows(s, d), "combo_3")
+    return compare.baseline_vs_challenger(compare.records(artifacts(s, d)), "combo_3")
+
+
+def _fields(s, d):
+    pairs = compare.paired(compare.records(artifacts(s, d)), "combo_3").withColumn("challenger_combo_id", F.col("right.combo_id"))
+    return compare.field_comparisons(pairs, keep=("case_id", "challenger_combo_id"))
+
+
+def _artifacts(s, d):
+    return evaluation.normalized_artifacts(full_answers(s, d), "exp_1")
+
+
+def _stored_pairs(s, d):
+    """Pairs written under their parameters next to others, and read back."""
+    path = folder(s)
+    for threshold in (0.3, 0.5):
+        similarity.write_bundle(similarity.pairs(_vectors(s, d), threshold=threshold), path, backend="given", threshold=str(threshold))
+    return similarity.read_bundle(s, path, backend="given", threshold="0.5")
 
 
 QUERIES = {
@@ -75,16 +93,17 @@ QUERIES = {
     "f7_scripts": lambda s, d: table(s, d, "part").select("p_partkey", text.unicode_script(F.col("p_size").cast("string"), True).alias("sup"), text.unicode_script(F.col("p_size").cast("string"), False).alias("sub"), text.unicode_script("p_type", True).alias("word")),
     "f9_preview": lambda s, d: _docs(s, d).select("doc_id", text.inline_preview("text").alias("preview")),
     "f10_keywords": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.distinct_keywords(F.concat(F.split("p_name", " "), F.array(F.upper("p_type"), F.lower("p_type"), F.lit(" ")))), ",").alias("keywords")),
-    "f11_titles": lambda s, d: _rows(s, d).select("row_id", "combo_title", F.coalesce(F.nullif("experiment_kind", F.lit("none")), "certainty", "combo_id").alias("description")),
     "f12_forbidden": lambda s, d: _scored(s, d).select("run_id", F.exists("checks", lambda c: (c["name"] == "forbidden_phrases") & c["passed"]).alias("clean")),
     "f13_content_key": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.content_key(F.create_map(F.lit("user"), F.col("l_suppkey").cast("string"), F.lit("system"), F.col("l_partkey").cast("string"))).alias("k")),
-    "f16_field_values": lambda s, d: artifacts(s, d).select(F.col("id").alias("row_id"), F.coalesce("request_type", "parsed_answer.request_type").alias("request_type"), text.review_text("parsed_answer.short_answer").alias("short_answer"), F.array_join(F.coalesce("parsed_answer.examples", F.array().cast("array<string>")), "\n").alias("examples")),
-    "f17_validate_answers": lambda s, d: evaluation.validate_answers(artifacts(s, d).select("id", F.col("parsed_answer").alias("answer")), ["view", "click", "purchase"]).select("id", F.array_join("broken_rules", ",").alias("broken_rules"), "valid"),
+    "f16_field_values": lambda s, d: artifacts(s, d).select(F.col("id").alias("row_id"), *[compare.shown(compare.field_value(f), f).alias(f.replace(".", "_")) for f in compare.FIELDS]),
+    "f17_validate_answers": lambda s, d: evaluation.validate_answers(full_answers(s, d)).select("run_id", F.array_join("broken_rules", ",").alias("broken_rules"), "valid"),
     "j3_score_answers": lambda s, d: _scored(s, d).select("run_id", "case_id", "passed_count", "total_count", "score", "passed"),
     "a8_failed_checks": lambda s, d: evaluation.failed_checks(_scored(s, d)).select("run_id", "failed_checks"),
     "a8_summary": lambda s, d: evaluation.summarize(_scored(s, d)),
     "p2_artifact_tags": lambda s, d: evaluation.artifact_tags(_scored(s, d).withColumns({"validation_ok": F.col("answer").isNotNull(), "raw_output": F.col("answer.short_answer")})).select("run_id", F.array_join("tags", ",").alias("tags"), "artifact_file"),
     "p2_answer_lengths": lambda s, d: _answers(s, d).select("run_id", text.text_block("answer.short_answer").alias("b")).select("run_id", F.col("b.char_count").alias("short_answer_chars"), F.col("b.word_count").alias("short_answer_words")),
+    "p2_artifacts": lambda s, d: _artifacts(s, d).select("id", F.array_join("tags", ",").alias("tags"), "source_count", "request_type", "experiment_kind", F.col("review_flags.parse_error").alias("parse_error"), F.col("review_flags.has_sources").alias("has_sources"), F.col("artifact_paths.raw").alias("raw"), F.col("artifact_paths.normalized").alias("normalized")),
+    "p2_lengths": lambda s, d: _artifacts(s, d).select("id", "answer_lengths.*", F.md5("comparison_text").alias("h")),
     "j4_plan_missing": lambda s, d: _plan(s, d, "missing"),
     "j4_plan_failed": lambda s, d: _plan(s, d, "failed").select("combo_id", "case_id", "should_run"),
     "j5_coverage": lambda s, d: evaluation.coverage(_plan(s, d, "all")).withColumn("missing_case_ids", F.array_join("missing_case_ids", ",")),
@@ -94,8 +113,11 @@ QUERIES = {
     "j1_baseline": lambda s, d: _compared(s, d).select("case_id", "challenger_combo_id", "baseline_score", "challenger_score", "score_delta", "pass_delta", "changed_field_count", F.array_join("changed_fields", ",").alias("changed_fields"), "meaningful_delta"),
     "j1_text_similarity": lambda s, d: _compared(s, d).select("case_id", "challenger_combo_id", "full_text_similarity"),
     "j2_changed_fields": lambda s, d: _compared(s, d).select(F.explode("changed_fields").alias("field")).groupBy("field").agg(F.count("*").alias("n")),
+    "j2_fields": lambda s, d: _fields(s, d).select("case_id", "challenger_combo_id", "field_path", "equal", "left_count", "right_count", F.md5("left_text").alias("l"), F.md5("right_text").alias("r")),
+    "j2_field_similarity": lambda s, d: _fields(s, d).select("case_id", "challenger_combo_id", "field_path", "left_text", "right_text", "similarity"),
     "p11_meaningful": lambda s, d: compare.meaningful_only(_compared(s, d)).select("case_id", "challenger_combo_id"),
-    "a6_challengers": lambda s, d: compare.challenger_summary(_compared(s, d)),
+    "a6_challengers": lambda s, d: compare.challenger_summary(_compared(s, d)).drop("average_text_similarity"),
+    "a6_text_similarity": lambda s, d: compare.challenger_summary(_compared(s, d)).select("challenger_combo_id", "average_text_similarity"),
     "w2_ranking_with_baseline": lambda s, d: review.combo_ranking(review.latest(_rows(s, d)), {"speed_score": 0.0}, compare.challenger_summary(_compared(s, d))).select("rank", "combo_id", "ranking_score", "average_score_delta_vs_baseline", "meaningful_case_rate_vs_baseline"),
     "e9_text_ratio": lambda s, d: _compared(s, d).select("case_id", "challenger_combo_id", F.round(compare.text_similarity(F.col("baseline_text"), F.col("challenger_text")), 4).alias("ratio")),
     "e10_unified_diff": lambda s, d: _compared(s, d).select("case_id", "challenger_combo_id", compare.unified_diff(F.col("baseline_text"), F.col("challenger_text")).alias("diff")),
@@ -109,6 +131,7 @@ QUERIES = {
     "e6_outliers": lambda s, d: similarity.outliers(_vectors(s, d), similarity.pairs(_vectors(s, d))),
     "e6_outlier_means": lambda s, d: similarity.outlier_means(_vectors(s, d)),
     "e7_nearest": lambda s, d: similarity.nearest(_vectors(s, d), _vectors(s, d).where("item_id % 20 = 0")),
+    "s7_stored_pairs": _stored_pairs,
     "e8_bundle_counts": lambda s, d: similarity.bundle(_vectors(s, d), threshold=0.4)["counts"],
 }
 
@@ -129,14 +152,33 @@ s as (select *, parse_ok::int + type_ok::int + coalesce(kind_ok, false)::int + c
 _PLAN = """, have as (select * from review where execution_signature = 'sig_1' and not (case_id = 'case_3' and combo_id in ('combo_1', 'combo_5')) qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1),
 plan as (select a.combo_id, b.case_id, h.row_id as existing_id, h.passed as existing_passed from (select distinct combo_id from review) a cross join (select distinct case_id from review) b left join have h using (combo_id, case_id))"""
 _RESULTS = ", res as (select *, row_id % 10 / 10 as subject_score from review where score is not null qualify row_number() over (partition by experiment_id, combo_id order by created_at desc, row_id desc) = 1)"
-_FIELD = "(array_to_string([case when {} then '{}' end], ','))"
-_J1 = f""", {_EVENT}, latest as (select *, {_COMPARE} as ctext from wide where case_id is not null qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1),
-j as (select r.case_id, r.combo_id as challenger_combo_id, l.score as baseline_score, r.score as challenger_score, round(r.score - l.score, 4) as score_delta, r.passed::int - l.passed::int as pass_delta, l.parse_error <> r.parse_error as perr,
-    list_filter([case when l.request_type is distinct from r.request_type then 'request_type' end, case when l.certainty is distinct from r.certainty then 'certainty' end,
-    case when (l.parse_error, l.request_type, l.k) is distinct from (r.parse_error, r.request_type, r.k) and not (l.parse_error and r.parse_error) then 'short_answer' end,
-    case when (l.request_type, l.value) is distinct from (r.request_type, r.value) and not (l.parse_error and r.parse_error) then 'explanation_preview' end,
-    case when l.experiment_kind is distinct from r.experiment_kind then 'experiment_kind' end, case when l.source_count <> r.source_count then 'source_ids' end], lambda x: x is not null) as changed
-    from latest r join latest l on l.case_id = r.case_id and l.combo_id = 'combo_3' and r.combo_id <> 'combo_3')"""
+_SHORT, _EXPL, _EXAM, _CLAR = ("case when {0}.parse_error then '' else 'Answer ' || {0}.request_type || ' ' || {0}.k end", "case when {0}.parse_error then '' else 'It depends on ' || {0}.request_type || '.' || chr(10) || chr(10) || 'Value: ' || {0}.value || '.' end",
+    "case when {0}.parse_error or {0}.k % 3 = 0 then '' when {0}.k % 3 = 1 then 'Example 1' else 'Example 1' || chr(10) || 'Example 2' end", "coalesce({0}.experiment_kind, '') = 'clarification'")
+_SOURCES = "array_to_string(list_transform(range(1, {0}.source_count + 1), lambda x: 'S' || x), chr(10))"
+_VALUES = {
+    "request_type": "{0}.request_type", "certainty": "coalesce({0}.certainty, '')", "short_answer": _SHORT, "explanation": _EXPL, "examples": _EXAM, "experiment.kind": "coalesce({0}.experiment_kind, '')",
+    "experiment.reason": f"case when {_CLAR} then 'Needs detail' else '' end", "experiment.questions": f"case when {_CLAR} then 'Which one?' else '' end", "source_ids": _SOURCES,
+}
+_COUNTS = {"examples": "case when {0}.parse_error then 0 else {0}.k % 3 end", "experiment.questions": f"({_CLAR})::int", "source_ids": "{0}.source_count"}
+_PAIRED = f""", {_EVENT}, latest as (select *, {_COMPARE} as ctext from wide where case_id is not null qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1),
+sides as (select l, r from latest r join latest l on l.case_id = r.case_id and l.combo_id = 'combo_3' and r.combo_id <> 'combo_3')"""
+_CHANGED = ", ".join(f"case when {v.format('l')} is distinct from {v.format('r')} then '{k}' end" for k, v in _VALUES.items())
+_J1 = f"""{_PAIRED}, j as (select r.case_id, r.combo_id as challenger_combo_id, l.score as baseline_score, r.score as challenger_score, round(r.score - l.score, 4) as score_delta, r.passed::int - l.passed::int as pass_delta, l.parse_error <> r.parse_error as perr,
+    list_filter([{_CHANGED}], lambda x: x is not null) as changed, l.ctext <> r.ctext as cdiff from sides),
+m as (select *, len(changed) > 0 or coalesce(abs(score_delta) >= 0.05, false) or coalesce(pass_delta <> 0, false) or perr or cdiff as meaningful from j)"""
+_A6 = f"""{_J1}, a6 as (select challenger_combo_id, count(*) as compared_case_count, count(*) filter (meaningful) as meaningful_case_count, round(count(*) filter (meaningful) / count(*), 4) as meaningful_case_rate, count(*) filter (coalesce(score_delta, 0) > 0) as improved_score_case_count,
+    count(*) filter (coalesce(score_delta, 0) < 0) as worsened_score_case_count, count(*) filter (coalesce(score_delta, 0) = 0) as same_score_case_count, count(*) filter (pass_delta = 1) as pass_gain_case_count, count(*) filter (pass_delta = -1) as pass_loss_case_count,
+    round(avg(score_delta::decimal(18, 6))::decimal(18, 10), 4)::double as average_score_delta, round(avg(len(changed)::decimal(18, 6))::decimal(18, 10), 4)::double as average_changed_field_count, round(count(*) filter (len(changed) > 0) / count(*), 4) as changed_field_rate from m group by challenger_combo_id)"""
+_RULES = [
+    ("request_type", "i % 7 = 0"), ("short_answer", "i % 11 = 0"), ("explanation", "i % 13 = 0"), ("examples", "i % 4 > 2"), ("certainty", "i % 17 = 0"), ("source_ids", "i % 7 > 5"), ("experiment.kind", "i % 8 = 3"), ("experiment.questions", "i % 4 = 1 and i % 5 not in (1, 2, 3)"),
+    ("experiment.reason", "i % 4 in (0, 1) and i % 5 = 0"), ("experiment.title", "plan and i % 19 = 0"), ("experiment.disposal", "plan and i % 23 = 0"), ("experiment.ingredients", "plan and i % 29 = 0"), ("experiment.steps", "plan and i % 37 = 0"),
+    ("experiment.adult_supervision_required", "plan and i % 41 = 0"), ("experiment.ingredients.fields", "plan and i % 29 > 0 and i % 31 = 0"), ("experiment.ingredients.concentration", "plan and i % 29 > 0 and i % 2 = 0 and i % 6 = 2"),
+]
+_FULL = "fa as (select event_id as i, i % 4 in (2, 3) and i % 8 <> 3 as plan, i % 43 = 0 as lost, 'combo_' || (user_id % 20) as combo_id, 'case_' || (json_extract(props, '$.k')::int % 12) as case_id from events)"
+_LEN = f"""{_FULL}, fl as (select *, case when lost or i % 11 = 0 then '' else 'Short ' || i end as sa, case when lost or i % 13 = 0 then '' else 'Because of this.' || chr(10) || chr(10) || 'And that.' end as ex, case when lost then 0 else i % 4 end as ne, case when lost or i % 5 = 0 then '' else 'why' end as re,
+    case when lost then 0 else i % 5 end as nq, case when lost then 'broken ' || i else '' end as ro from fa),
+fc as (select *, array_to_string(list_filter([case when sa <> '' then 'SHORT_ANSWER' || chr(10) || sa end, case when ex <> '' then 'EXPLANATION' || chr(10) || ex end, case when ne > 0 then 'EXAMPLES' || chr(10) || array_to_string(list_transform(range(1, ne + 1), lambda x: 'E' || x), chr(10)) end,
+    case when re <> '' then 'EXPERIMENT_REASON' || chr(10) || re end, case when nq > 0 then 'EXPERIMENT_QUESTIONS' || chr(10) || array_to_string(list_transform(range(1, nq + 1), lambda x: 'Q' || x), chr(10)) end, case when ro <> '' then 'RAW_OUTPUT' || chr(10) || ro end], lambda x: x is not null), chr(10) || chr(10)) as ct from fl)"""
 _DOT = "list_dot_product({a}.embedding::double[], {b}.embedding::double[])"
 _PAIRS = f"p as (select a.vec_id as l, b.vec_id as r, round({_DOT.format(a='a', b='b')}, 6) as s from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)"
 _PEERS = f"{_PAIRS}, m as (select l as i, r as o, s from p union all select r, l, s from p)"
@@ -155,11 +197,22 @@ SQL = {
     "f7_scripts": "select p_partkey, translate(p_size::varchar, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') as sup, translate(p_size::varchar, '0123456789', '₀₁₂₃₄₅₆₇₈₉') as sub, '^(' || p_type || ')' as word from part",
     "f9_preview": rf"with t as (select doc_id, trim(regexp_replace({_T}, '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t) > 180 then rtrim(substr(t, 1, 177)) || '...' else t end as preview from t",
     "f10_keywords": "select p_partkey, array_to_string(list_filter(list_concat(list_distinct_ordered, [case when not list_contains(list_transform(list_distinct_ordered, lambda x: lower(x)), lower(p_type)) then upper(p_type) end]), lambda x: x is not null), ',') as keywords from (select *, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then [split_part(p_name, ' ', 1)] else string_split(p_name, ' ') end as list_distinct_ordered from part)",
-    "f11_titles": _sql("select row_id, combo_title, coalesce(nullif(experiment_kind, 'none'), certainty, combo_id) as description from review"),
     "f12_forbidden": f"{_ANSWERS} select run_id, clean from s",
     "f13_content_key": """select l_orderkey, l_linenumber, substr(sha256('{"system":"' || l_partkey || '","user":"' || l_suppkey || '"}'), 1, 16) as k from lineitem""",
-    "f16_field_values": _sql(f""", {_EVENT} select row_id, request_type, case when parse_error then '' else 'Answer ' || request_type || ' ' || k end as short_answer, case when parse_error or k % 3 = 0 then '' when k % 3 = 1 then 'Example 1' else 'Example 1' || chr(10) || 'Example 2' end as examples from wide"""),
-    "f17_validate_answers": _sql("select row_id as id, case when parse_error then 'missing' when request_type = 'signup' then 'request_type' else '' end as broken_rules, not parse_error and request_type <> 'signup' as valid from review"),
+    "f16_field_values": _sql(f", {_EVENT} select row_id, " + ", ".join(f"{v.format('wide')} as {k.replace('.', '_')}" for k, v in _VALUES.items()) + " from wide"),
+    "f17_validate_answers": f"with {_FULL}, b as (select i, case when lost then 'missing' else array_to_string(list_filter([{', '.join(f'case when {c} then {chr(39)}{n}{chr(39)} end' for n, c in _RULES)}], lambda x: x is not null), ',') end as b from fa) select i as run_id, b as broken_rules, b = '' as valid from b",
+    "p2_artifacts": f"""with {_FULL} select i as id, 'rag,rag,' || case when lost then 'validation_failed,' else 'validation_ok,' end || case when i % 2 = 0 then 'case_passed' else 'case_failed' end || case when not lost then ',empty_output' else '' end || case when lost then ',parse_error' else '' end as tags,
+        (case when lost then 0 else i % 7 end)::int as source_count, case when not lost then case when i % 7 = 0 then 'other' else ['theory', 'experiment', 'mixed'][i % 3 + 1] end end as request_type, case when not lost then case when i % 4 = 0 then 'none' when i % 4 = 1 then 'clarification' when i % 8 = 3 then 'other' else 'experiment' end end as experiment_kind,
+        lost as parse_error, not lost and i % 7 > 0 as has_sources, 'runs/raw/exp_1/' || i || '__' || combo_id || '__' || case_id || '.json' as raw, 'runs/normalized/exp_1/' || i || '__' || combo_id || '__' || case_id || '.json' as normalized from fa""",
+    "p2_lengths": f"""with {_LEN} select i as id, length(sa)::int as short_answer_chars, (case when sa = '' then 0 else 2 end)::int as short_answer_words, length(ex)::int as explanation_chars, (case when ex = '' then 0 else 5 end)::int as explanation_words, ne::int as example_count, length(re)::int as experiment_reason_chars,
+        length(ro)::int as raw_output_chars, length(ct)::int as comparison_chars, ((sa <> '')::int + case when ex = '' then 0 else 2 end + (re <> '')::int)::int as paragraph_count_total, md5(ct) as h from fc""",
+    "s7_stored_pairs": f"with {_PAIRS} select l as left_item_id, r as right_item_id, s as similarity from p where s >= 0.5",
+    "j2_fields": _sql(_PAIRED + " " + " union all ".join(f"select r.case_id as case_id, r.combo_id as challenger_combo_id, '{k}' as field_path, {v.format('l')} is not distinct from {v.format('r')} as equal, {('(' + _COUNTS[k].format('l') + ')::int') if k in _COUNTS else 'null::int'} as left_count, {('(' + _COUNTS[k].format('r') + ')::int') if k in _COUNTS else 'null::int'} as right_count, md5({v.format('l')}) as l, md5({v.format('r')}) as r from sides" for k, v in _VALUES.items())),
+    "a6_challengers": _sql(f"{_A6} select 'combo_3' as baseline_combo_id, a6.* from a6"),
+    "w2_ranking_with_baseline": _sql(f"""{_A6}, ls as (select * from review qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1),
+        c as (select combo_id, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as a, round(count(*) filter (passed) / count(*), 4) as p, 1.0::double - count(*) filter (parse_error) / count(*) as st, 1.0::double - count(*) filter (not validation_ok) / count(*) as va from ls group by combo_id),
+        z as (select *, round(coalesce(a, 0) * 0.55::double + p * 0.25::double + st * 0.1::double + va * 0.05::double, 4) as ranking_score from c)
+        select row_number() over (order by ranking_score desc, coalesce(a, 0) desc, combo_id)::int as rank, combo_id, ranking_score, average_score_delta as average_score_delta_vs_baseline, meaningful_case_rate as meaningful_case_rate_vs_baseline from z left join a6 on challenger_combo_id = combo_id"""),
     "j3_score_answers": f"{_ANSWERS} select run_id, case_id, n::int as passed_count, total as total_count, round(n / total, 4) as score, n = total as passed from s",
     "a8_failed_checks": f"{_ANSWERS} select run_id, array_to_string(list_filter([case when not parse_ok then 'parse_ok' end, case when not type_ok then 'request_type' end, case when not kind_ok then 'experiment_kind' end, case when not clean then 'forbidden_phrases' end, case when not conc_ok then 'no_invented_concentration' end], lambda x: x is not null), ', ') as failed_checks from s",
     "a8_summary": f"{_ANSWERS} select round(avg(round(n / total, 4)::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, round(count(*) filter (n = total) / count(*), 4) as pass_rate, count(*) as case_count from s",
@@ -171,9 +224,9 @@ SQL = {
     "j6_report_rows": _sql(f"select {_K} from review where combo_id < 'combo_2' and case_id <> 'case_1' and execution_signature = 'sig_0'"),
     "a15_results": _sql(f"{_RESULTS} select experiment_id, combo_id, score, case when score >= 0.8 then 'stable' else 'needs_work' end as status from res"),
     "a15_experiments": _sql(f"{_RESULTS} select experiment_id, count(*) as tested_combo_count, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score, max(score) as best_score, min(score) as worst_score, round(avg(subject_score::decimal(18, 6))::decimal(18, 10), 4)::double as average_subject_score, count(subject_score) as subject_score_count from res group by experiment_id"),
-    "j1_baseline": _sql(f"{_J1} select case_id, challenger_combo_id, baseline_score, challenger_score, score_delta, pass_delta, len(changed)::int as changed_field_count, array_to_string(changed, ',') as changed_fields, true as meaningful_delta from j"),
+    "j1_baseline": _sql(f"{_J1} select case_id, challenger_combo_id, baseline_score, challenger_score, score_delta, pass_delta, len(changed)::int as changed_field_count, array_to_string(changed, ',') as changed_fields, meaningful as meaningful_delta from m"),
     "j2_changed_fields": _sql(f"{_J1} select field, count(*) as n from (select unnest(changed) as field from j) group by field"),
-    "p11_meaningful": _sql(f"{_J1} select case_id, challenger_combo_id from j"),
+    "p11_meaningful": _sql(f"{_J1} select case_id, challenger_combo_id from m where meaningful"),
     "e1_embedding_cells": """with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') as ts from documents), f as (select doc_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || '__' || ts[i + 1]))) as f from t),
         g as (select doc_id, f, count(*) as n from f group by all), h as (select doc_id, n, sha256(f) as h from g), c as (select doc_id, (('0x' || substr(h, 1, 8))::bigint % 256)::int as slot, sum(case when ('0x' || substr(h, 9, 2))::int % 2 = 0 then n else -n end)::double as v from h group by all)
         select doc_id as item_id, slot, round(v / sqrt(sum(v * v) over (partition by doc_id)), 8) as value from c qualify v <> 0""",

@@ -35,6 +35,11 @@ def _index(s, d):
     return table(s, d, "embeddings").select(v.alias("chunk_id"), F.col("embedding").alias("vector"), (v % 9 > 0).alias("default_retrieval"), (v % 5).alias("chapter_number"), F.col("label").cast("string").alias("section"), F.when(v % 2 == 0, "theory").otherwise("table").alias("chunk_kind"))
 
 
+def _supplier_metadata(s, d):
+    k = F.col("s_suppkey")
+    return table(s, d, "supplier").select(k, F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.when(k % 2 == 1, "yes").alias("odd"), F.array(F.lit("a"), k.cast("string")).alias("tags"), F.create_map(F.lit("k"), F.lit("v")).alias("more"))
+
+
 def _queries(s, d):
     return table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
@@ -74,7 +79,7 @@ QUERIES = {
     "j19_paired_items": lambda s, d: chunking.pair_items(_items(s, d)).select("section_id", "item_index", "position", F.md5("paired_text").alias("paired")),
     "p8_metadata_filter": lambda s, d: retrieval.metadata_filter(_index(s, d), chapter_number=2, chunk_kind="theory").select("chunk_id"),
     "p9_index_errors": lambda s, d: retrieval.index_input(table(s, d, "documents").select(F.col("lang").alias("id"), "text", F.when(F.col("doc_id") % 50 > 0, F.col("source")).alias("embedding_text"), F.lit(None).cast("boolean").alias("default_retrieval")))[1],
-    "p10_metadata": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.to_json(retrieval.flat_metadata(F.create_map(F.lit("name"), F.col("s_name"), F.lit("odd"), F.when(F.col("s_suppkey") % 2 == 1, "yes")))).alias("metadata")),
+    "p10_metadata": lambda s, d: (lambda t: t.select("s_suppkey", retrieval.flat_metadata(t, ["name", "nation", "odd", "tags", "more"]).alias("metadata")))(_supplier_metadata(s, d)),
     "s9_manifest": lambda s, d: retrieval.manifest(_index(s, d), _index(s, d), "chunk_id").drop("content_hash"),
     "t3_knn": lambda s, d: retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), 5),
     "t4_batch_review": lambda s, d: _hits(s, d, 5).join(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("topic")), "query_id", "left").select("query_id", "rank", "chunk_id", "topic"),
@@ -128,7 +133,7 @@ SQL = {
     "j19_paired_items": "with q as (select conv_id, turn // 2 as n, arg_max(text, turn) as t, min(turn) as f from conversations where role = 'user' group by all), f as (select conv_id, min(turn) as first from conversations where role = 'user' group by conv_id) select c.conv_id as section_id, turn // 2 as item_index, turn as position, md5(case when turn > first then t end) as paired from conversations c left join q on q.conv_id = c.conv_id and q.n = turn // 2 left join f on f.conv_id = c.conv_id where role is distinct from 'user'",
     "p8_metadata_filter": "select vec_id as chunk_id from embeddings where vec_id % 9 > 0 and vec_id % 5 = 2 and vec_id % 2 = 0",
     "p9_index_errors": "select lang as id, array_to_string(list_filter([case when trim(text) = '' then 'text' end, case when doc_id % 50 = 0 then 'embedding_text' end], lambda x: x is not null), ',') as problem from documents where trim(text) = '' or doc_id % 50 = 0 union all select lang, 'duplicate' from documents group by lang having count(*) > 1",
-    "p10_metadata": """select s_suppkey, '{"name":"' || s_name || '"' || case when s_suppkey % 2 = 1 then ',"odd":"yes"' else '' end || '}' as metadata from supplier""",
+    "p10_metadata": r"""select s_suppkey, '{"name":"' || s_name || '","nation":' || s_nationkey || case when s_suppkey % 2 = 1 then ',"odd":"yes"' else '' end || ',"tags":"[\"a\",\"' || s_suppkey || '\"]","more":"{\"k\":\"v\"}"}' as metadata from supplier""",
     "s9_manifest": "select count(*) as source_count, count(*) filter (vec_id % 9 > 0) as default_count, count(*) as indexed_count, 64 as vector_dimension, true as complete from embeddings",
     "t3_knn": f"with {_KNN} select query_id, rank, chunk_id, distance from ranked where rank <= 5",
     "t4_batch_review": f"with {_KNN} select query_id, rank, chunk_id, length(b.text)::int as topic from ranked left join benchmark b on b.item_id = query_id where rank <= 5",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import registry as r
+from tessera.operators.evaluation import ANSWER
 from tessera.sources.adapters import table
 
 
@@ -13,7 +14,7 @@ def _nodes(s, d):
     i = F.col("doc_id")
     n = F.floor(i / 20)
     return table(s, d, "documents").select(
-        i.alias("id"), F.col("lang").alias("type"), F.col("source").alias("tree_id"), F.when(n > 0, F.floor((n - 1) / 3) * 20 + i % 20).alias("parent_id"), F.concat(F.lit("Node "), i.cast("string")).alias("title"), F.lit("main").alias("branch"),
+        i.alias("id"), F.col("lang").alias("type"), F.col("source").alias("tree_id"), F.when(n > 0, F.floor((n - 1) / 3) * 20 + i % 20).alias("parent_id"), F.concat(F.lit("Node "), i.cast("string")).alias("title"), F.lit("main").alias("branch"), F.lpad((i * 7919 % 10007).cast("string"), 5, "0").alias("created_at"), (i % 31 == 0).alias("used_path_fallback"),
         F.when(i % 17 == 0, F.array(F.lit("archived"))).otherwise(F.array(F.lit("live"))).alias("tags"), (i % 23 == 0).alias("archived"), "text")
 
 
@@ -55,9 +56,35 @@ def _pools(s, d):
 
 
 def _fewshot(s, d):
+    """Sets of four examples: a good one, one without input, one without a question, one whose answer breaks rules; every fifth is no list."""
     i = F.col("item_id")
-    ok = F.to_json(F.array(F.struct(F.create_map(F.lit("question"), F.col("text")).alias("input"), F.struct(F.lit("a").alias("request_type"), F.col("text").alias("short_answer")).alias("answer")), F.struct(F.lit(None).cast("map<string,string>").alias("input"), F.lit(None).cast("struct<request_type:string,short_answer:string>").alias("answer"))))
-    return table(s, d, "benchmark").select(i.alias("set_id"), F.when(i % 5 == 0, F.col("text")).otherwise(ok).alias("text"))
+    kind = f"struct<id:string,input:map<string,string>,answer:{ANSWER}>"
+    answer = lambda sure: F.struct(F.lit("theory").alias("request_type"), F.col("text").alias("short_answer"), F.lit("so").alias("explanation"), F.lit(sure).alias("certainty"), F.struct(F.lit("none").alias("kind"), F.lit("why").alias("reason")).alias("experiment"))
+    asked = lambda key: F.create_map(F.lit(key), F.substring("text", 1, 30))
+    parts = [
+        F.to_json(F.struct(asked("question").alias("input"), answer("high").alias("answer"))), F.to_json(F.struct(answer("high").alias("answer"))),
+        F.to_json(F.struct(F.concat(F.lit("x"), i.cast("string")).alias("id"), asked("topic").alias("input"), answer("high").alias("answer"))), F.to_json(F.struct(asked("question").alias("input"), answer("sure").alias("answer"))),
+    ]
+    ok = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    return table(s, d, "benchmark").select(i.alias("set_id"), F.when(i % 5 == 0, F.col("text")).when(i % 5 == 1, " [] ").otherwise(ok).alias("text"))
+
+
+def _variants(s, d):
+    """Nodes with the metadata that titles and descriptions come from."""
+    i = F.col("id")
+    return _nodes(s, d).select(
+        "id", "type", "parent_id", F.when(i % 4 > 0, F.concat(F.lit(" Node  "), i.cast("string"))).alias("title"), F.when(i % 5 == 0, "context_variant").alias("kind"), F.when(i % 7 == 0, F.concat(F.lit("Shown\n "), i.cast("string"))).alias("display_title"),
+        F.when(i % 3 == 0, "system").alias("prompt_role"), F.when(i % 11 == 0, " some   text ").alias("description"))
+
+
+def _edges(s, d):
+    return _nodes(s, d).where("parent_id is not null").select(F.col("parent_id").alias("from"), F.col("id").alias("to"), F.when(F.col("id") % 2 == 0, "child").otherwise("branch").alias("kind"))
+
+
+def _snapshots(s, d):
+    made = _combos(s, d).where("base_combo_id is not null")
+    few = F.when(F.col("prompt_ids.system") % 3 == 0, F.col("prompt_ids.user"))
+    return r.snapshot(made.select("base_combo_id", F.col("id").alias("active_combo_id"), few.alias("fewshot_id")), _combos(s, d), _nodes(s, d))
 
 
 def _rendered(s, d):
@@ -68,6 +95,12 @@ def _rendered(s, d):
 QUERIES = {
     "p6_archived": lambda s, d: _nodes(s, d).select("id", r.archived().alias("is_archived")),
     "p7_listing": lambda s, d: r.listing(_nodes(s, d), type="de", tree_id="src3", parent_id=None).select("id"),
+    "p7_edges": lambda s, d: r.listing(_edges(s, d), kind="child", **{"from": None}).select("from", "to"),
+    "p7_combos": lambda s, d: r.listing(_combos(s, d), status="archived").select("id"),
+    "p7_experiments": lambda s, d: r.listing(_experiments(s, d), status="active").select("id"),
+    "p7_runs": lambda s, d: r.listing(_runs(s, d), combo_id=None, experiment_id=1).select("id", "combo_id"),
+    "j18_tree": lambda s, d: r.tree_listing(_nodes(s, d)),
+    "f11_titles": lambda s, d: _variants(s, d).select("id", r.display_title().alias("title"), r.description().alias("description")),
     "j18_lineage": lambda s, d: _join(r.lineage(_nodes(s, d)), "lineage_ids"),
     "j18_children": lambda s, d: _join(r.children(_nodes(s, d)), "child_prompt_ids"),
     "j8_prompt_usage": lambda s, d: _usage(s, d).select("id", "child_count", "combo_count", "experiment_count", "depth", "is_archived"),
@@ -84,14 +117,15 @@ QUERIES = {
     "j17_prompt_blockers": lambda s, d: _join(r.prompt_dependencies(_usage(s, d)), "blockers").select("id", "blockers", "safe_to_delete"),
     "j17_combo_blockers": lambda s, d: _join(r.combo_dependencies(_combo_usage(s, d)), "blockers").select("combo_id", "blockers", "safe_to_delete"),
     "j17_experiment_blockers": lambda s, d: _join(r.experiment_dependencies(_summary(s, d)), "blockers").select("experiment_id", "blockers", "safe_to_delete"),
-    "j22_snapshots": lambda s, d: _join(r.snapshot(_combos(s, d).where("base_combo_id is not null").select("base_combo_id", F.col("id").alias("active_combo_id")), _combos(s, d), _nodes(s, d)), "changed_roles").select("base_combo_id", "active_combo_id", "changed_roles"),
-    "j23_prompt_details": lambda s, d: r.prompt_details(_usage(s, d)).select("id", F.size("child_rows").alias("n_children"), F.size("combo_ids").alias("n_combos"), F.size("lineage_ids").alias("n_lineage")),
+    "j22_snapshots": lambda s, d: _join(_snapshots(s, d), "changed_roles").select("base_combo_id", "active_combo_id", "changed_roles", F.array_join(F.transform("roles", lambda x: F.concat_ws(":", x["role"], x["prompt_id"].cast("string"), x["node"]["title"], F.size("roles").cast("string"))), "|").alias("roles"), F.col("fewshot.missing").alias("fewshot_missing"), F.col("fewshot.node.title").alias("fewshot_title")),
+    "j23_prompt_details": lambda s, d: r.prompt_details(_usage(s, d)).select("id", F.array_join(F.transform("child_rows", lambda x: F.concat_ws(":", x["id"].cast("string"), x["title"], x["type"])), "|").alias("children"), F.array_join(F.transform("combo_ids", lambda x: x), ",").alias("combos"), F.size("lineage_ids").alias("n_lineage")),
+    "j23_combo_details": lambda s, d: r.combo_details(_combo_usage(s, d), _usage(s, d), _summary(s, d)).select("combo_id", "part", "role", "key", F.get_json_object("summary", "$.is_archived").alias("is_archived"), F.get_json_object("summary", "$.run_count").cast("long").alias("run_count"), F.get_json_object("summary", "$.child_count").cast("long").alias("child_count")),
     "a13_workspace": lambda s, d: r.workspace_counts(_nodes(s, d), _combos(s, d), _experiments(s, d)),
     "a18_case_sets": lambda s, d: r.case_sets(table(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).alias("c")).select("id", F.when(F.col("id") % 3 > 0, F.col("c")).alias("cases"))),
     "u2_all_experiments": lambda s, d: r.all_experiments(_experiments(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("id"))),
     "f15_render_prompt": _rendered,
     "f18_similarity_text": lambda s, d: _nodes(s, d).select("id", F.md5(r.similarity_text("title")).alias("title_text"), F.md5(r.similarity_text("metadata")).alias("metadata_text")),
-    "f19_fewshot": lambda s, d: r.fewshot_examples(_fewshot(s, d)),
+    "f19_fewshot": lambda s, d: r.fewshot_examples(_fewshot(s, d)).select("set_id", "example_id", "question", F.get_json_object("answer", "$.certainty").alias("certainty"), "problem"),
 }
 
 _N = "nodes as (select doc_id as id, lang as type, source as tree_id, case when doc_id // 20 > 0 then ((doc_id // 20 - 1) // 3) * 20 + doc_id % 20 end as parent_id, 'Node ' || doc_id as title, doc_id % 17 = 0 or doc_id % 23 = 0 as archived, text from documents)"
@@ -128,12 +162,28 @@ SQL = {
     "j17_prompt_blockers": f"{_US}, b as (select id, {_BL.format('''case when not archived then 'not_archived' end, case when child_count > 0 then 'has_child_prompts' end, case when combo_count > 0 then 'used_by_combos' end''')} as blockers from us) select *, blockers = '' as safe_to_delete from b",
     "j17_combo_blockers": f"{_CU}, b as (select combo_id, {_BL.format('''case when not archived then 'not_archived' end, case when experiment_ids <> '' then 'used_by_experiments' end, case when n_results > 0 then 'has_recorded_results' end, case when run_count > 0 then 'has_recorded_runs' end, case when derived_combo_ids <> '' then 'has_derived_combos' end''')} as blockers from cu) select *, blockers = '' as safe_to_delete from b",
     "j17_experiment_blockers": f"{_SU}, b as (select experiment_id, {_BL.format('''case when not is_archived then 'not_archived' end, case when tested_combo_count > 0 then 'has_recorded_results' end, case when run_count > 0 then 'has_recorded_runs' end''')} as blockers from su) select *, blockers = '' as safe_to_delete from b",
-    "j22_snapshots": f"with {_C} select a.base as base_combo_id, a.id as active_combo_id, case when b.id is not null then 'user' else '' end as changed_roles from combos a left join combos b on b.id = a.base where a.base is not null",
-    "j23_prompt_details": f"{_US} select id, child_count as n_children, combo_count as n_combos, depth + 1 as n_lineage from us",
-    "a13_workspace": f"{_SU} select (select count(*) from nodes) as prompt_count, (select count(*) from nodes where archived) as archived_prompt_count, (select count(*) from nodes where text is null) as unreadable_prompt_count, (select count(*) from combos) as combo_count, (select count(*) from combos where archived) as archived_combo_count, count(*) as experiment_count, count(*) filter (is_archived) as archived_experiment_count, count(*) filter (not is_archived) as active_experiment_count from su",
+    "p7_edges": f"with {_N} select parent_id as from, id as to from nodes where parent_id is not null and id % 2 = 0",
+    "p7_combos": f"with {_C} select id from combos where archived",
+    "p7_experiments": f"with {_E} select distinct e as id from ec where e % 10 > 0",
+    "p7_runs": f"select l_orderkey || '/' || l_linenumber as id, l_partkey || '-' || l_suppkey as combo_id from lineitem where l_quantity > 25 and l_orderkey = 1",
+    "j18_tree": f"with recursive {_N}, k as (select id, tree_id, title, 0 as depth, [{{'at': lpad((id * 7919 % 10007)::varchar, 5, '0'), 'id': id}}] as key from nodes where parent_id is null union all select n.id, n.tree_id, n.title, k.depth + 1, list_append(k.key, {{'at': lpad((n.id * 7919 % 10007)::varchar, 5, '0'), 'id': n.id}}) from k join nodes n on n.parent_id = k.id) select tree_id, row_number() over (partition by tree_id order by key)::int as position, id, depth, repeat('    ', depth) || '- ' || id || ' [main] ' || title as line from k",
+    "f11_titles": f"""with {_N}, v as (select id, parent_id, coalesce(nullif(type, ''), 'prompt') as type, case when id % 3 = 0 then 'system' end as role from nodes)
+        select id, case when id % 7 = 0 then 'Shown ' || id when id % 5 = 0 then 'Contextual ' || coalesce(role, type) || ' prompt' when id % 4 > 0 then 'Node ' || id else upper(type[1]) || type[2:] || ' prompt' end as title,
+        case when id % 11 = 0 then 'some text' when id % 5 = 0 then 'Auto-generated contextual ' || coalesce(role, type) || ' prompt' || case when parent_id is not null then ' derived from ' || parent_id else '' end || '.' else '' end as description from v""",
+    "j22_snapshots": f"""with {_N}, {_C} select a.base as base_combo_id, a.id as active_combo_id, case when b.id is not null then 'user' else 'system,user' end as changed_roles, 'system:' || a.p || case when n1.id is not null then ':' || n1.title else '' end || ':2|user:' || a.u || case when n2.id is not null then ':' || n2.title else '' end || ':2' as roles,
+        case when a.p % 3 = 0 then n2.id is null end as fewshot_missing, case when a.p % 3 = 0 then n2.title end as fewshot_title from combos a left join combos b on b.id = a.base left join nodes n1 on n1.id = a.p left join nodes n2 on n2.id = a.u where a.base is not null""",
+    "j23_prompt_details": f"""{_US}, ch as (select parent_id as id, string_agg(id || ':' || title || coalesce(':' || type, ''), '|' order by id) as c from nodes where parent_id is not null group by parent_id), cb as (select node as id, array_to_string(list_sort(list(distinct c)), ',') as c from cp group by node)
+        select us.id, coalesce(ch.c, '') as children, coalesce(cb.c, '') as combos, depth + 1 as n_lineage from us left join ch using (id) left join cb using (id)""",
+    "j23_combo_details": f"""{_US}, su as (select e, count(*) filter (ran) as run_count from ec group by e), rn as (select rc, count(*) as n from ec where ran group by rc),
+        mem as (select id as c, 'system' as role, p as node from combos union all select id, 'user', u from combos)
+        select mem.c as combo_id, 'prompt' as part, role, node::varchar as key, us.archived::varchar as is_archived, null::bigint as run_count, child_count from mem left join us on us.id = node
+        union all select c, 'experiment', null, ec.e::varchar, (ec.e % 10 = 0)::varchar, su.run_count, null from (select distinct c, e from ec) ec join su on su.e = ec.e where c in (select id from combos)
+        union all select base, 'derived', null, id, archived::varchar, coalesce(rn.n, 0), null from combos left join rn on rc = id where base in (select id from combos) and base <> id""",
+    "a13_workspace": f"{_SU} select (select count(*) from nodes) as prompt_count, (select count(*) from nodes where archived) as archived_prompt_count, (select count(*) from nodes where text is null) as unreadable_prompt_count, (select count(*) from nodes where id % 31 = 0) as prompt_path_fallback_count, (select count(*) from combos) as combo_count, (select count(*) from combos where archived) as archived_combo_count, count(*) as experiment_count, count(*) filter (is_archived) as archived_experiment_count, count(*) filter (not is_archived) as active_experiment_count from su",
     "a18_case_sets": "select conv_id as id, count(*) filter (role = 'user') as case_count from conversations where conv_id % 3 > 0 group by conv_id",
     "u2_all_experiments": "select distinct id from (select l_orderkey as id from lineitem union all select o_orderkey from orders)",
     "f15_render_prompt": rf"with {_N} select id, 'Teach ' || type || ' {{{{x}}}} to {{question}}: ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Prompt context additions' || chr(10) || 'These additions were generated automatically from StudentContext and TeacherContext.' || chr(10) || chr(10) || '### Teacher Context' || chr(10) || '- Teaching Style: ' || tree_id || chr(10) || chr(10) || '### Student Context' || chr(10) || '- Language: ' || type as t from nodes",
     "f18_similarity_text": rf"with {_N}, b as (select *, rtrim(coalesce(text, ''), chr(32) || chr(10) || chr(9)) as x from nodes) select id, md5('TITLE' || chr(10) || title || chr(10) || chr(10) || 'PROMPT' || chr(10) || x) as title_text, md5('METADATA' || chr(10) || 'id=' || id || chr(10) || 'title=' || title || chr(10) || 'type=' || type || chr(10) || 'tree_id=' || tree_id || chr(10) || 'branch=main' || chr(10) || 'tags=' || case when id % 17 = 0 then 'archived' else 'live' end || chr(10) || chr(10) || 'PROMPT' || chr(10) || x) as metadata_text from b",
-    "f19_fewshot": "select item_id as set_id, case when item_id % 5 = 0 then null else 'example_' || k end as example_id, case when item_id % 5 = 0 then 'not a JSON list' when k = 2 then 'no input' end as problem from benchmark, unnest([1, 2]) as t(k) where item_id % 5 > 0 or k = 1",
+    "f19_fewshot": """select item_id as set_id, case when item_id % 5 > 1 then case when k = 3 then 'x' || item_id else 'example_' || k end end as example_id, case when item_id % 5 > 1 and k in (1, 4) then substr(text, 1, 30) end as question, case when item_id % 5 > 1 then case when k = 4 then 'sure' else 'high' end end as certainty,
+        case when item_id % 5 = 0 then 'not a JSON list' when item_id % 5 = 1 then 'no examples' when k = 2 then 'no input' when k = 3 then 'no input.question' when k = 4 then 'answer: certainty' end as problem from benchmark, unnest([1, 2, 3, 4]) as t(k) where item_id % 5 > 1 or k = 1""",
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import review as r
-from tessera.sources.adapters import REVIEW_SQL, artifacts
+from tessera.sources import io
+from tessera.sources.adapters import REVIEW_SQL, artifacts, table
+from tessera.sources.scratch import folder
 
 _rows = lambda s, d: r.flatten_artifacts(artifacts(s, d))
 FLAT = [
@@ -21,11 +23,31 @@ def _joined(df, *arrays):
 
 
 def _experiments(rows):
-    return rows.select(F.col("experiment_id").alias("id")).distinct().where("id <> 'exp_3'").select("id", F.concat(F.lit("Name "), "id").alias("name"))
+    return rows.select(F.col("experiment_id").alias("id")).distinct().where("id <> 'exp_3'").select("id", F.concat(F.lit("Name "), "id").alias("name"), F.lit("active").alias("status"), F.array(F.lit("x"), F.col("id")).alias("tags"))
 
 
 _prompt = lambda s, d: r.prompt_rows(_rows(s, d), "sys_1", ["combo_2"])
 
+def _csv_file(s, d):
+    """Written as CSV with a header and read back."""
+    path = folder(s)
+    io.write_csv(r.csv_ready(_rows(s, d).select("row_id", "combo_title", "tags")), path)
+    return s.read.option("header", True).option("escape", "\\").option("nullValue", "\u0000").schema("row_id string, combo_title string, tags string").csv(path)
+
+
+def _jsonl(s, d):
+    """Documents written as JSON lines and read back by schema."""
+    path = folder(s)
+    io.write_jsonl(table(s, d, "documents").select("doc_id", "lang", "text"), path)
+    return io.read_jsonl(s, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("h"))
+
+
+def _notes(rows):
+    base = rows.select("row_id", "case_id", "combo_id", F.lit("first").alias("note_text"), (F.col("row_id") % 3 == 0).alias("preferred"), F.col("created_at").alias("updated_at"))
+    later = base.where("row_id % 5 = 0").withColumns({"note_text": F.lit("second"), "preferred": F.lit(True), "updated_at": F.lit("2099-01-01T00:00:00")})
+    return r.upsert_notes(base, later)
+
+
 QUERIES = {
     "p1_review_rows": lambda s, d: _rows(s, d).select(*FLAT),
     "p3_review_filter": lambda s, d: r.filter_rows(_rows(s, d), is_in={"combo_id": ["combo_1", "combo_2", "combo_3"], "request_type": []}, passed=True, score_range=(0.2, 0.9)).select(*KEY),
@@ -48,20 +70,16 @@ QUERIES = {
     "t2_top_combos": lambda s, d: r.top_prompt_entries(r.prompt_combo_performance(_prompt(s, d)), "combo_id").select("combo_id", "average_score", "run_count"),
     "t1_best_combos": lambda s, d: r.best(r.combo_summary(_rows(s, d)), "average_score", 0.38, "combo_id").select("combo_id", "average_score"),
     "a17_score_summary": lambda s, d: r.score_summary(_rows(s, d)),
-    "u1_all_scopes": lambda s, d: _rows(s, d).groupBy("scope").agg(F.count("*").alias("n"), F.max("created_at").alias("latest")),
-    "s8_scopes": lambda s, d: (lambda rows: r.scopes(rows, _experiments(rows)))(_rows(s, d)),
-    "s6_scope_report": lambda s, d: r.scope_report(_rows(s, d)).drop("combo_rows", "case_rows"),
-    "s5_csv_ready": lambda s, d: r.csv_ready(_rows(s, d).select("row_id", "active_combo_id", "score", "tags", "source_ids")),
+    "u1_all_scopes": lambda s, d: r.union_scopes({f"exp_{i}": _rows(s, d).where(f"scope = 'exp_{i}'").drop("scope") for i in range(4)}).select(*KEY, "scope"),
+    "s8_scopes": lambda s, d: _joined((lambda rows: r.scopes(rows, _experiments(rows)))(_rows(s, d)), "experiment_tags"),
+    "s6_scope_report": lambda s, d: r.scope_report(_rows(s, d)).withColumns({c: F.aggregate(F.from_json(c, f"array<struct<{n}:long,average_score:double>>"), F.lit(0).cast("long"), (lambda n: lambda a, x: a + x[n])(n)) for c, n in (("combo_rows", "case_count"), ("case_rows", "combo_count"))}),
+    "s5_csv_ready": lambda s, d: r.csv_ready(_rows(s, d).select("row_id", "active_combo_id", "passed_count", "tags", "source_ids")),
+    "s5_csv_file": _csv_file,
+    "s1_jsonl": _jsonl,
     "t6_review_notes": lambda s, d: _notes(_rows(s, d)),
 }
 
 
-def _notes(rows):
-    base = rows.select("row_id", "case_id", "combo_id", F.lit("first").alias("note_text"), (F.col("row_id") % 3 == 0).alias("preferred"), F.col("created_at").alias("updated_at"))
-    later = base.where("row_id % 5 = 0").withColumns({"note_text": F.lit("second"), "preferred": F.lit(True), "updated_at": F.lit("2099-01-01T00:00:00")})
-    return r.upsert_notes(base, later)
-
-
 def _sql(body: str) -> str:
     return f"with {REVIEW_SQL.strip()} {body}"
 
@@ -119,8 +137,11 @@ SQL = {
     "t2_top_combos": _sql(f"{_BY_COMBO} select combo_id, average_score, run_count from pc order by coalesce(average_score, 0) desc, coalesce(best_score, 0) desc, coalesce(pass_rate, 0) desc, run_count desc, combo_id limit 3"),
     "t1_best_combos": _sql("select combo_id, average_score from (select combo_id, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double as average_score from review group by combo_id) where average_score >= 0.38"),
     "a17_score_summary": _sql(f"select count(*) as row_count, count(score) as scored_count, min(score) as min_score, max(score) as max_score, {_R4} as average_score, coalesce(min(score), 0.0) as low_bound, coalesce(max(score), 1.0) as high_bound from review"),
-    "u1_all_scopes": _sql("select scope, count(*) as n, max(created_at) as latest from review group by scope"),
-    "s8_scopes": _sql("select scope, count(*) as artifact_count, case when scope <> 'exp_3' then 'Name ' || scope end as name from review group by scope"),
-    "s6_scope_report": _sql(f"select scope, count(*) as raw_file_count, count(*) as normalized_file_count, count(*) as review_row_count, count(distinct combo_id) as combo_count, count(distinct case_id) as case_count, {_R4} as average_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, count(*) filter (parse_error) as parse_error_count from review group by scope"),
+    "u1_all_scopes": _sql(f"select {_K}, scope from review"),
+    "s8_scopes": _sql("select scope, count(*) as artifact_count, case when scope <> 'exp_3' then 'Name ' || scope end as experiment_name, case when scope <> 'exp_3' then 'active' end as experiment_status, case when scope <> 'exp_3' then 'x,' || scope else '' end as experiment_tags, scope || case when scope <> 'exp_3' then ' | Name ' || scope else '' end as label from review group by scope"),
+    "s6_scope_report": _sql(f"select scope, count(*) as raw_file_count, count(*) as normalized_file_count, count(*) as review_row_count, count(distinct combo_id) as combo_count, count(distinct case_id) as case_count, {_R4} as average_score, round(count(*) filter (passed) / count(*), 4) as pass_rate, count(*) filter (parse_error) as parse_error_count, count(*) as combo_rows, count(case_id) as case_rows from review group by scope"),
+    "s5_csv_ready": _sql("""select row_id::varchar as row_id, coalesce(active_combo_id, '') as active_combo_id, passed_count::varchar as passed_count, '["' || array_to_string(tags, '","') || '"]' as tags, case when source_count = 0 then '[]' else '["' || array_to_string(list_transform(range(1, source_count + 1), lambda x: 'S' || x), '","') || '"]' end as source_ids from review"""),
+    "s5_csv_file": _sql("""select row_id::varchar as row_id, combo_title, '["' || array_to_string(tags, '","') || '"]' as tags from review"""),
+    "s1_jsonl": "select doc_id, lang, md5(text) as h from documents",
     "t6_review_notes": _sql("select row_id, case_id, combo_id, case when row_id % 5 = 0 then 'second' else 'first' end as note_text, row_id % 5 = 0 or row_id % 3 = 0 as preferred, case when row_id % 5 = 0 then '2099-01-01T00:00:00' else created_at end as updated_at from review"),
 }

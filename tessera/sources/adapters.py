@@ -49,6 +49,31 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with all fields, one an event; rules are broken by the event's number."""
+    i = F.col("event_id")
+    text = lambda c: F.lit(c)
+    many = lambda prefix, n: F.transform(F.sequence(F.lit(0), n), lambda x: F.concat(F.lit(prefix), x.cast("string")))
+    upto = lambda prefix, n: F.slice(many(prefix, n), 2, F.greatest(n.cast("int"), F.lit(0)))  # noqa: E731  prefix1 .. prefix n
+    none = F.array().cast("array<string>")
+    part = F.struct(text("salt").alias("name"), F.lit(None).cast("string").alias("formula"), F.when(i % 31 == 0, "").otherwise("1 g").alias("amount"), (i % 2 == 0).alias("is_solution"), F.when(i % 6 != 2, "1 M").alias("concentration"), text("taste").alias("purpose"))
+    experiment = F.struct(
+        F.when(i % 4 == 0, "none").when(i % 4 == 1, "clarification").when(i % 8 == 3, "other").otherwise("experiment").alias("kind"), F.when(i % 5 == 0, "").otherwise("why").alias("reason"), upto("Q", i % 5).alias("questions"),
+        F.when(i % 19 > 0, "title").alias("title"), text("goal").alias("goal"), F.when(i % 29 == 0, F.array().cast("array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>")).otherwise(F.array(part)).alias("ingredients"),
+        F.array(text("cup")).alias("equipment"), F.array(text("gloves")).alias("protective_equipment"), F.when(i % 37 == 0, none).otherwise(F.array(text("stir"))).alias("steps"), F.array(text("careful")).alias("safety_notes"),
+        F.when(i % 23 == 0, "").otherwise("sink").alias("disposal"), F.when(i % 41 > 0, True).alias("adult_supervision_required"),
+    )
+    answer = F.struct(
+        F.when(i % 7 == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, ("theory", "experiment", "mixed"))), (i % 3 + 1).cast("int"))).alias("request_type"), F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("Short "), i.cast("string"))).alias("short_answer"),
+        F.when(i % 13 > 0, "Because  of this.\n\n\nAnd that.").alias("explanation"), upto("E", i % 4).alias("examples"), F.when(i % 17 == 0, "sure").otherwise("high").alias("certainty"), upto("S", i % 7).alias("source_ids"), experiment.alias("experiment"),
+    )
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(
+        i.alias("run_id"), F.concat(F.lit("combo_"), (F.col("user_id") % 20).cast("string")).alias("combo_id"), F.concat(F.lit("case_"), (k % 12).cast("string")).alias("case_id"), F.lit("Why?").alias("question"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        F.lit("model_1").alias("model"), F.when(i % 43 > 0, answer).alias("answer"), F.when(i % 43 == 0, F.concat(F.lit("broken "), i.cast("string"))).otherwise("").alias("raw_output"), (i % 43 > 0).alias("validation_ok"), (k / 10).alias("duration_seconds"),
+        F.lit(0.5).alias("score"), (i % 2 == 0).alias("passed"), F.lit(1).alias("passed_count"), F.lit(2).alias("total_count"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed blocks: lines of documents (section = doc_id), and each conversation as one special block (section = -1 - conv_id).
 

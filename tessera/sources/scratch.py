@@ -5,15 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder that spark.checkpoint.dir names and reads it again.
+def folder(spark: SparkSession) -> str:
+    """A new path below the shared folder that spark.checkpoint.dir names.
 
     Where the session names none, a local session gets a folder of this machine; on a cluster that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -21,6 +20,11 @@ def save(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame) -> DataFrame:
+    """Writes a table to a new path of the shared folder and reads it again."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
