@@ -20,3 +20,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: larger inputs; leave out with -m 'not slow'")
