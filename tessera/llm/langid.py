@@ -108,8 +108,9 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     """Counts features over about ``rows`` labelled rows, those with the smallest hash ``order`` (a long); null labels and texts are left out.
 
     Which rows these are follows from their number alone, so sampling shuffles nothing. The driver gets the most frequent
-    features of each language: at most WORDS_A_LANGUAGE words and TRIGRAMS_A_LANGUAGE trigrams. An empty table gives a
-    model without languages.
+    features of each language: at most WORDS_A_LANGUAGE words and TRIGRAMS_A_LANGUAGE trigrams, all of them above the count at
+    which there would be more (or, if a language has more of its largest count, all of that). An empty table gives a model
+    without languages.
     """
     from pyspark.sql.window import Window
 
@@ -124,9 +125,15 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     grams = tokens.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def top(counts: DataFrame, name: str, most: int) -> tuple[list, dict]:
-        total = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), name))
-        return counts.withColumn("_r", rank).where(F.col("_r") <= most).select("lang", name, "n").collect(), total
+        """The features above the count at which a language would have more than ``most``, and all counts of each language."""
+        # A row for each language and count: a histogram, so that no task sees all features of a language.
+        hist = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
+        above = F.sum("m").over(Window.partitionBy("lang").orderBy(F.col("n").desc()))
+        least = hist.withColumn("above", above).groupBy("lang").agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.coalesce(F.min(F.when(F.col("above") <= most, F.col("n"))), F.max("n")).alias("least")).collect()
+        if not least:
+            return [], {}
+        bound = F.create_map(*[F.lit(x) for r in least for x in (r["lang"], r["least"])])
+        return counts.where(F.col("n") >= bound[F.col("lang")]).select("lang", name, "n").collect(), {r["lang"]: float(r["total"]) for r in least}
 
     word_rows, word_total = top(tokens, "word", WORDS_A_LANGUAGE)
     gram_rows, gram_total = top(grams, "gram", TRIGRAMS_A_LANGUAGE)

@@ -508,6 +508,95 @@ def test_viterbi_brute_force():
         assert cost(tuple(langid.spans(emit, penalty))) == pytest.approx(best)
 
 
+def _count_languages(rows):
+    """The model's tables in plain Python: kept words and trigrams with counts, totals, scripts of each language."""
+    words, grams = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for lang, t in rows:
+        words[lang].update(langid.WORD.findall(t.lower()))
+    for lang, own in words.items():
+        for w, n in own.items():
+            for i in range(len(w)):
+                grams[lang][f" {w} "[i : i + 3]] += n
+
+    def kept(counts, most):
+        out = {}
+        for lang, own in counts.items():
+            sizes = collections.Counter(own.values())
+            least, total = max(sizes), 0
+            for n in sorted(sizes, reverse=True):
+                total += sizes[n]
+                if total > most:
+                    break
+                least = n
+            out[lang] = {k: n for k, n in own.items() if n >= least}
+        return out
+
+    return kept(words, langid.WORDS_A_LANGUAGE), kept(grams, langid.TRIGRAMS_A_LANGUAGE), {x: (sum(words[x].values()), sum(grams[x].values())) for x in words}
+
+
+@pytest.mark.parametrize("most", [None, 300])
+def test_language_query_brute_force(spark, small, most, monkeypatch):
+    """The whole query in plain Python: counts, scores word by word, Viterbi over all states, letters by language."""
+    if most:
+        monkeypatch.setattr(langid, "WORDS_A_LANGUAGE", most)
+        monkeypatch.setattr(langid, "TRIGRAMS_A_LANGUAGE", most)
+    docs = [(r.doc_id, r.text, r.lang) for r in small.toPandas().itertuples()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    words, grams, totals = _count_languages([(x, t) for i, t, x in docs if x is not None and t is not None and fold(i) != 1])
+    languages = sorted(totals)
+    n_words, n_grams = (len({k for own in table.values() for k in own}) for table in (words, grams))
+    log = lambda n, total, size: math.log(n + 1) - math.log(total + 2 * max(1, size))
+    seen = collections.defaultdict(collections.Counter)
+    for x in languages:
+        for w, n in words[x].items():
+            seen[langid.script(w)][x] += n
+    every = {x: sum(c[x] for c in seen.values()) for x in languages}
+    allowed = {s: [x for x in languages if c[x] > 0.01 * every[x]] for s, c in seen.items()}
+
+    def emit(w):
+        if any(w in words[x] for x in languages):
+            row = [log(words[x].get(w, 0), totals[x][0], n_words) for x in languages]
+        else:
+            row = [sum(log(grams[x].get(f" {w} "[i : i + 3], 0), totals[x][1], n_grams) for i in range(len(w))) / max(1.0, len(w) / 3) for x in languages]
+        ok = allowed.get(langid.script(w)) or languages
+        return [max(v - max(row), -8.0) + (0.0 if x in ok else -1e3) for v, x in zip(row, languages, strict=True)]
+
+    got = {r["doc_id"]: r for r in llm_queries.queries()["op6_language_id"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        ws = langid.WORD.findall((t or "").lower())
+        assert got[i]["held_out"] == (fold(i) == 1)
+        if not ws:
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["n_spans"]) == ("und", 0.0, 0)
+            continue
+        emissions = np.array([emit(w) for w in ws])
+        change = langid.SWITCH * (1 - np.eye(len(languages)))
+        value, back = emissions[0], []
+        for e in emissions[1:]:
+            steps = value[:, None] - change
+            back.append(steps.argmax(axis=0))
+            value = steps.max(axis=0) + e
+        best, path = value.max(), [int(value.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path.reverse()
+        mine = langid.spans(emissions)
+        reach = lambda p, e=emissions: e[np.arange(len(p)), p].sum() - langid.SWITCH * np.count_nonzero(np.diff(p))
+        assert reach(np.array(mine)) == pytest.approx(best) == reach(np.array(path))
+        letters = np.bincount(path, [len(w) for w in ws], len(languages))
+        assert got[i]["lang_pred"] == languages[int(letters.argmax())]
+        assert got[i]["score"] == pytest.approx(letters.max() / letters.sum(), abs=1e-9)
+        assert got[i]["n_spans"] == 1 + np.count_nonzero(np.diff(path))
+
+
+def test_language_ties(spark):
+    """Two languages with the same words: the first by name wins, whatever the order of the rows."""
+    d = spark.createDataFrame([_doc(i, "same words here", "zz" if i % 2 else "aa") for i in range(10)], DOCS)
+    for rows in (d, d.orderBy(F.col("doc_id").desc())):
+        model = langid.train(rows, order=F.xxhash64("doc_id"))
+        assert {(r["lang_pred"], r["score"]) for r in langid.detect(rows, model).collect()} == {("aa", 1.0)}
+
+
 def test_language_spans_and_odd(spark, odd, none):
     en, fr, ru = "the house and the garden of my friend", "la maison et le jardin de mon ami", "дом и сад моего друга"
     d = spark.createDataFrame([_doc(i, t, x) for i, (t, x) in enumerate([(en, "en"), (fr, "fr"), (ru, "ru")] * 4)], DOCS)
