@@ -6,6 +6,9 @@ postings of one word in one shard, with the largest frequency and the shortest l
 in it, from which any average length gives an upper bound of its scores. Global statistics (documents, mean length,
 document frequencies) are summed over all shards before the search, so scores don't depend on the sharding. Each shard
 returns its k best for each query; the k best of these are exact.
+
+Queries are a table, too: their words are joined to the index, and only the postings of these words go on, keyed by shard and
+block of queries. A task has the postings of one shard for one block of queries, and the queries of that block.
 """
 
 from __future__ import annotations
@@ -23,30 +26,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import LOWER, UPPER, Scratch
+from tessera.llm.common import LOWER, UPPER, Scratch, lower_ascii, words
 
 K = 10
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bounds of a shard.
 SHARD_DOCS, SHARD_WORDS = 4096, 4_000_000
-#: Queries that are searched together: a bounded block of the query set.
-QUERY_BLOCK = 256
+#: Queries that are searched together in a shard, about.
+QUERY_BLOCK = 4096
 #: Scores are compared after rounding to so many places; ties go to the smaller doc_id.
 PLACES = 6
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_NAMES = ["shard", "word", "block", "docs", "tf", "length", "max_tf", "min_length"]
-INDEX_SCHEMA = "shard long, word string, block int, docs array<long>, tf array<int>, length array<int>, max_tf int, min_length int"
+_NAMES = ["shard", "word", "block", "docs", "tf", "length", "max_tf", "min_length", "ids"]
+#: Docs are places in the shard; the row of the empty word has the ids of all places.
+INDEX_SCHEMA = "shard long, word string, block int, docs array<int>, tf array<int>, length array<int>, max_tf int, min_length int, ids array<{kind}>"
 
 
 def tokens(t: str | None) -> list[bytes]:
     return (t or "").encode().translate(_LOWER).split()
 
 
-def _flush(shard: int, ids: list[int], bags: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+def _flush(shard: int, ids: list, bags: list[list[bytes]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """The blocks of one shard, word by word, documents by id."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
+    order = sorted(range(len(ids)), key=ids.__getitem__)
     vocabulary: dict[bytes, int] = {}
     words = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in bags[i]), np.int64, len(bags[i])) for i in order]
     lengths = np.array([len(w) for w in words], np.int64)
@@ -58,30 +62,31 @@ def _flush(shard: int, ids: list[int], bags: list[list[bytes]]) -> Iterator[pa.R
     place = np.arange(len(word)) - start_of_word
     starts = np.flatnonzero(place % BLOCK == 0)
     names = np.array([w.decode() for w in vocabulary], object)
-    sorted_ids, size = np.array(ids, np.int64)[order], lengths[doc]
+    size = lengths[doc]
     # The shard's own row: the id of each place.
-    own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(sorted_ids))
-    none = pa.array([[]], pa.list_(pa.int32()))
-    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([""]), pa.array([0], pa.int32()), own, none, none, pa.array([0], pa.int32()), pa.array([0], pa.int32())], names=_NAMES)
+    none, zero = pa.array([[]], pa.list_(pa.int32())), pa.array([0], pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([""]), zero, none, none, none, zero, zero, pa.array([[ids[i] for i in order]], pa.list_(kind))], names=_NAMES)
     # Slices of a size that Arrow takes easily.
     for a in range(0, len(starts), 50_000):
         s = starts[a : a + 50_000]
         end = starts[a + 50_000] if a + 50_000 < len(starts) else len(word)
         offsets = pa.array(np.r_[s, end] - s[0], pa.int32())
         part = slice(s[0], end)
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[part].astype(k), pa.from_numpy_dtype(k))) for x, k in ((doc, np.int64), (tf, np.int32), (size, np.int32))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[part].astype(k), pa.from_numpy_dtype(k))) for x, k in ((doc, np.int32), (tf, np.int32), (size, np.int32))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(s), shard)), pa.array(names[word[s]], pa.string()), pa.array((place[s] // BLOCK).astype(np.int32)), *lists, pa.array(np.maximum.reduceat(tf[part], s - s[0]).astype(np.int32)), pa.array(np.minimum.reduceat(size[part], s - s[0]).astype(np.int32))],
+            [pa.array(np.full(len(s), shard)), pa.array(names[word[s]], pa.string()), pa.array((place[s] // BLOCK).astype(np.int32)), *lists, pa.array(np.maximum.reduceat(tf[part], s - s[0]).astype(np.int32)), pa.array(np.minimum.reduceat(size[part], s - s[0]).astype(np.int32)), pa.nulls(len(s), pa.list_(kind))],
             names=_NAMES,
         )
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers, task = count(), TaskContext.get().partitionId()
-    ids: list[int] = []
+    ids: list = []
     bags: list[list[bytes]] = []
     held = 0
+    kind = None
     for batch in batches:
+        kind = batch.schema.field(0).type
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             bag = tokens(t.as_py())
             if not bag:
@@ -90,15 +95,15 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bags.append(bag)
             held += len(bag)
             if len(ids) >= SHARD_DOCS or held >= SHARD_WORDS:
-                yield from _flush(task << 32 | next(numbers), ids, bags)
+                yield from _flush(task << 32 | next(numbers), ids, bags, kind)
                 ids, bags, held = [], [], 0
     if ids:
-        yield from _flush(task << 32 | next(numbers), ids, bags)
+        yield from _flush(task << 32 | next(numbers), ids, bags, kind)
 
 
 def build_index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of INDEX_SCHEMA for all rows with a doc_id and a word. Save it before use: shard numbers go by partition."""
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_build, INDEX_SCHEMA)
+    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(_build, INDEX_SCHEMA.format(kind=dict(docs.dtypes)[doc_id]))
 
 
 class _Cursor:
@@ -173,25 +178,24 @@ def block_max_wand(cursors: list[_Cursor], k: int) -> list[tuple[float, int]]:
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
-def _searcher(queries: dict[int, list[str]], idf: dict[str, float], mean: float, k: int):
-    """Searches one shard for a block of queries; a query word counts once."""
+def _searcher(mean: float, k: int):
+    """Searches one shard for a block of queries: (postings, queries) to (query_id, doc_id, score)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(postings: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         blocks: dict[str, list] = {}
-        ids = np.empty(0, np.int64)
-        for r in pdf.sort_values(["word", "block"]).itertuples():
+        ids: list = []
+        for r in postings.sort_values(["word", "block"]).itertuples():
             if not r.word:
-                ids = np.asarray(r.docs)
+                ids = list(r.ids)
                 continue
-            w = idf[r.word]
             tf, size = np.asarray(r.tf, float), np.asarray(r.length, float)
-            impact = w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-            bound = w * r.max_tf * (K1 + 1) / (r.max_tf + K1 * (1 - B + B * r.min_length / mean))
+            impact = r.idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+            bound = r.idf * r.max_tf * (K1 + 1) / (r.max_tf + K1 * (1 - B + B * r.min_length / mean))
             blocks.setdefault(r.word, []).append((np.asarray(r.docs), impact, float(bound)))
         rows = []
-        for q, own in queries.items():
-            cursors = [_Cursor(blocks[w]) for w in own if w in blocks]
-            rows += [(q, int(ids[doc]), score) for score, doc in block_max_wand(cursors, k)]
+        for q in queries.itertuples():
+            cursors = [_Cursor(blocks[w]) for w in q.words if w in blocks]
+            rows += [(q.query_id, ids[doc], score) for score, doc in block_max_wand(cursors, k)]
         return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
 
     return run
@@ -201,33 +205,34 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = K, doc_id: str = "do
     """The k best documents of each query: query_id, rank (from 1), doc_id, score (BM25, rounded).
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over all documents with a word. Words: between ASCII white space, A-Z
-    lower-cased; a query counts each word once. Documents that share no word with a query are no results, so a query may
-    have fewer than k, or none (null and empty texts, no documents). Ties go to the smaller doc_id. Documents without id
-    aren't indexed; repeated rows are results each. Queries are read in blocks of QUERY_BLOCK; null query ids are left out.
+    lower-cased; a query counts each word once, and rows of one query id are one query. Documents that share no word with a
+    query are no results, so a query may have fewer than k, or none (null and empty texts, no documents). Ties go to the
+    smaller doc_id. Documents without id aren't indexed; repeated rows are results each. Null query ids are left out. Ids keep
+    their types.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     index = scratch.save(build_index(docs, doc_id=doc_id, text=text), "index")
-    # Each posting adds its document's frequency of the word to the words of all documents.
-    words, = index.agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    n = docs.where(F.col(doc_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]")).count()
-    mean = (words or 0) / n if n else 1.0
-    found: DataFrame | None = None
-    block: dict[int, list[str]] = {}
-
-    def run(block: dict[int, list[str]]) -> DataFrame:
-        own = spark.createDataFrame([(w,) for w in sorted({w for ws in block.values() for w in ws})] + [("",)], "word string")
-        near = scratch.save(index.join(F.broadcast(own), "word", "left_semi"), "near")
-        df = {r["word"]: r["df"] for r in near.where("word <> ''").groupBy("word").agg(F.sum(F.size("docs")).alias("df")).collect()}
-        idf = {w: float(np.log1p((n - d + 0.5) / (d + 0.5))) for w, d in df.items()}
-        return near.groupBy("shard").applyInPandas(_searcher(block, idf, mean, k), "query_id long, doc_id long, score double")
-
-    for r in queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_text).alias("t")).toLocalIterator():
-        block[r["q"]] = sorted({w.decode() for w in tokens(r["t"])})
-        if len(block) == QUERY_BLOCK:
-            part = run(block)
-            found, block = (part if found is None else found.union(part)), {}
-    if block or found is None:
-        part = run(block)
-        found = part if found is None else found.union(part)
+    # Each posting adds its document's frequency of the word to the words of all documents; the shards' own rows count these.
+    total, n = index.agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.when(F.col("word") == "", F.size("ids")))).first()
+    n = n or 0
+    mean = (total or 0) / n if n else 1.0
+
+    each = F.explode(F.array_distinct(words(lower_ascii(F.col(query_text))))).alias("word")
+    asked = scratch.save(queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), each).distinct(), "asked")
+    parts = max(1, -(-asked.select("query_id").distinct().count() // QUERY_BLOCK))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    # Postings of the words that are asked for, each once for a block of queries that has the word, and the shards' own rows.
+    df = index.where("word <> ''").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum(F.size("docs")).alias("df"))
+    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    wanted = scratch.save(asked.select("part", "word").distinct().join(df, "word").select("part", "word", idf), "wanted")
+    shards = scratch.save(index.where("word = ''"), "shards")
+    near = index.where("word <> ''").join(wanted, "word")
+    meet = shards.select("shard").join(wanted.select("part").distinct(), F.lit(True))
+    own = shards.join(meet, "shard").withColumn("idf", F.lit(0.0))
+    near = near.unionByName(own)
+    grouped = asked.groupBy("part", "query_id").agg(F.collect_set("word").alias("words"))
+    wide = grouped.join(meet, "part")
+    kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
+    found = near.groupBy("shard", "part").cogroup(wide.groupBy("shard", "part")).applyInPandas(_searcher(mean, k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

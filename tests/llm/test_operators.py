@@ -673,7 +673,7 @@ def test_mixing_odd(odd, none):
 # search
 
 
-def test_search_brute_force_ties_and_odd(spark, odd, none):
+def test_search_brute_force_ties_and_odd(spark, odd, none, monkeypatch):
     rng = np.random.default_rng(2)
     words = [f"t{i}" for i in range(30)]
     texts = [" ".join(rng.choice(words, rng.integers(1, 40), p=(np.arange(30) + 1) / 465)) for _ in range(700)]
@@ -693,6 +693,11 @@ def test_search_brute_force_ties_and_odd(spark, odd, none):
         assert [got[qid, r][0] for r in range(1, 11)] == [i for i, _ in want]
         assert [got[qid, r][1] for r in range(1, 11)] == pytest.approx([x for _, x in want], abs=2e-6)
     assert {q for q, _ in got} == {1, 2}
+    # In small blocks of queries and with ids of text: the same.
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(search, "SHARD_DOCS", 50)
+    named = search.search(d.withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 4, "0"))), q.withColumn("query_id", F.concat(F.lit("q"), "query_id"))).collect()
+    assert {(int(r["query_id"][1:]), r["rank"]): (int(r["doc_id"][1:]), r["score"]) for r in named} == got
     assert search.search(odd, q.withColumn("text", F.lit("four three"))).where("query_id = 1").count() == 3
     assert search.search(none, q).count() == 0
 
