@@ -312,3 +312,21 @@ def test_nearest_of_many_selected(spark):
     best = -np.sort(-m, axis=1)
     assert len(got) == 2 * len(v)
     assert all(got[i, k + 1] == pytest.approx(best[i, k], abs=1e-6) for i in range(len(v)) for k in (0, 1))
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_knn_in_passes(spark, metric, monkeypatch):
+    """The same neighbours in one pass and in many, with ties, repeated chunks and small batches."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    chunks = spark.createDataFrame([(i, v[i % 250].tolist()) for i in range(300)], "chunk_id long, vector array<double>").repartition(7)
+    queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 40, 2)], "query_id long, vector array<double>")
+    want = {}
+    for i in range(0, 40, 2):
+        d = ((v - v[i]) ** 2).sum(1) if metric == "l2sq" else 1 - v @ v[i] / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]), 1e-300)
+        own = sorted((max(round(float(d[c % 250]), 6), 0.0), c) for c in range(300))[:5]
+        want.update({(i, r): c for r, (_, c) in enumerate(own, 1)})
+    for block, size in ((512, 64 << 20), (3, 100)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.knn(queries, chunks, 5, metric).collect()} == want
