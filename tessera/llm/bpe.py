@@ -183,7 +183,9 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, keep_text: bool = False
+) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256, and on demand ids (array of int) and decoded.
 
     Whole texts are encoded; nothing is shuffled. Strings of added tokens in a text become those tokens. Null text counts
@@ -206,7 +208,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id"
                     all_ids.append([int(i) for i in ids.split()])
                 if keep_text:
                     plains.append(plain)
-            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(plain_hash, pa.string())}
+            columns = {
+                "doc_id": batch.column(0),
+                "n_tokens": pa.array(n, pa.int64()),
+                "ids_sha256": pa.array(ids_hash, pa.string()),
+                "decoded_sha256": pa.array(plain_hash, pa.string()),
+            }
             if keep_ids:
                 columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
             if keep_text:

@@ -28,12 +28,34 @@ KEEP_WORDS = 400_000
 UNKNOWN = "und"
 #: First code points of script ranges, in order; a range ends where the next one starts.
 SCRIPTS = [
-    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
-    (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"),
-    (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"),
-    (0x3100, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"),
+    (0x0000, "latin"),
+    (0x0370, "greek"),
+    (0x0400, "cyrillic"),
+    (0x0530, "armenian"),
+    (0x0590, "hebrew"),
+    (0x0600, "arabic"),
+    (0x0900, "devanagari"),
+    (0x0980, "bengali"),
+    (0x0A00, "indic"),
+    (0x0E00, "thai"),
+    (0x0E80, "other"),
+    (0x10A0, "georgian"),
+    (0x1100, "hangul"),
+    (0x1200, "other"),
+    (0x1E00, "latin"),
+    (0x1F00, "greek"),
+    (0x2000, "other"),
+    (0x3040, "kana"),
+    (0x3100, "han"),
+    (0xA000, "other"),
+    (0xAC00, "hangul"),
+    (0xD7B0, "han"),
+    (0xFB00, "latin"),
+    (0xFB1D, "hebrew"),
+    (0xFB50, "arabic"),
+    (0xFE00, "other"),
     (0x20000, "han"),
-]
+]
 _STARTS = [s for s, _ in SCRIPTS]
 WORD = regex.compile(r"\p{L}+")
 WORD_SQL = r"\p{L}+"
@@ -46,7 +68,14 @@ def script(word: str) -> str:
 class Model:
     """Log-probabilities of words and trigrams by language; rows of numbers in the order of ``languages``."""
 
-    def __init__(self, languages: list[str], words: dict[str, list[float]], trigrams: dict[str, list[float]], totals: list[tuple[float, float]], scripts: dict[str, list[bool]]):
+    def __init__(
+        self,
+        languages: list[str],
+        words: dict[str, list[float]],
+        trigrams: dict[str, list[float]],
+        totals: list[tuple[float, float]],
+        scripts: dict[str, list[bool]],
+    ):
         self.languages = languages
         self.words = {w: i for i, w in enumerate(words)}
         self.word_logs = self._logs(words, [t[0] for t in totals])[:-1]
@@ -119,21 +148,32 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     sample = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), order.alias("_o"))
     if total > rows:
         sample = sample.where(F.pmod("_o", F.lit(1 << 40)) < F.lit(int((1 << 40) * (rows / total))))
-    tokens = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    tokens = sample.select(
+        "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word")
+    ).groupBy("lang", "word").agg(F.count("*").alias("n"))
     tokens = tokens.persist()
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    grams = tokens.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = tokens.select(
+        "lang",
+        "n",
+        F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))).alias("gram"),
+    ).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def top(counts: DataFrame, name: str, most: int) -> tuple[list, dict]:
         """The features above the count at which a language would have more than ``most``, and all counts of each language."""
         # A row for each language and count: a histogram, so that no task sees all features of a language.
         hist = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
         above = F.sum("m").over(Window.partitionBy("lang").orderBy(F.col("n").desc()))
-        least = hist.withColumn("above", above).groupBy("lang").agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.coalesce(F.min(F.when(F.col("above") <= most, F.col("n"))), F.max("n")).alias("least")).collect()
+        least = hist.withColumn("above", above).groupBy("lang").agg(
+            F.sum(F.col("n") * F.col("m")).alias("total"),
+            F.coalesce(F.min(F.when(F.col("above") <= most, F.col("n"))), F.max("n")).alias("least"),
+        ).collect()
         if not least:
             return [], {}
         bound = F.create_map(*[F.lit(x) for r in least for x in (r["lang"], r["least"])])
-        return counts.where(F.col("n") >= bound[F.col("lang")]).select("lang", name, "n").collect(), {r["lang"]: float(r["total"]) for r in least}
+        return counts.where(F.col("n") >= bound[F.col("lang")]).select("lang", name, "n").collect(), {
+            r["lang"]: float(r["total"]) for r in least
+        }
 
     word_rows, word_total = top(tokens, "word", WORDS_A_LANGUAGE)
     gram_rows, gram_total = top(grams, "gram", TRIGRAMS_A_LANGUAGE)
@@ -180,7 +220,9 @@ class _Scores:
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-def detect(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), penalty: float = SWITCH) -> DataFrame:
+def detect(
+    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), penalty: float = SWITCH
+) -> DataFrame:
     """One row a document: doc_id, ``keep`` columns, lang_pred, score, spans (array of struct lang, first word, words).
 
     lang_pred is the language with most letters, score its share of the letters (ties: the first by name). Null texts,
@@ -188,7 +230,15 @@ def detect(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     labelled, nothing is shuffled. Repeated rows give repeated results; an empty table an empty one.
     """
     types = dict(docs.dtypes)
-    schema = ", ".join([f"doc_id {types[doc_id]}", *[f"`{c}` {types[c]}" for c in keep], "lang_pred string", "score double", "spans array<struct<lang:string,start:int,words:int>>"])
+    schema = ", ".join(
+        [
+            f"doc_id {types[doc_id]}",
+            *[f"`{c}` {types[c]}" for c in keep],
+            "lang_pred string",
+            "score double",
+            "spans array<struct<lang:string,start:int,words:int>>",
+        ]
+    )
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
 
@@ -211,8 +261,13 @@ def detect(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                 scores.append(float(letters[best] / letters.sum()))
                 starts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
                 ends = np.r_[starts[1:], len(labels)]
-                found.append([{"lang": m.languages[labels[a]], "start": int(a), "words": int(b - a)} for a, b in zip(starts, ends, strict=True)])
+                found.append(
+                    [{"lang": m.languages[labels[a]], "start": int(a), "words": int(b - a)} for a, b in zip(starts, ends, strict=True)]
+                )
             columns = dict(zip(batch.schema.names[:-1], batch.columns[:-1], strict=True))
-            yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "spans": pa.array(found, span_type)})
+            yield pa.RecordBatch.from_pydict(
+                columns
+                | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "spans": pa.array(found, span_type)}
+            )
 
     return docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text")).mapInArrow(run, schema)

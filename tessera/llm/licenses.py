@@ -47,25 +47,43 @@ BASE = (
     Template("reserved", "all rights reserved", ("all rights reserved",), True),
 )
 NOTICES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template("apache", "licensed under the apache license", ("apache license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
-    Template("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    Template("cc-by-nc", "licensed under cc by nc", ("cc by nc",)),
-    Template("cc-by-sa", "licensed under cc by sa", ("cc by sa",)),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("free of charge to any person",)),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0", )),
+    Template("apache", "licensed under the apache license", ("apache license", )),
+    Template(
+        "bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms", )
+    ),
+    Template(
+        "cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0", )
+    ),
+    Template("cc-by-nc", "licensed under cc by nc", ("cc by nc", )),
+    Template("cc-by-sa", "licensed under cc by sa", ("cc by sa", )),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3", )),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2", )),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        ("with or without fee is hereby granted", ),
+    ),
+    Template("mit", "released under the mit license", ("mit license", )),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        ("free of charge to any person", ),
+    ),
+    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license", )),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", )),
 )
 #: Key phrases of the full texts in the folder license_texts, by file name.
 FULL = {
     "apache-2.0": ("terms and conditions for use reproduction and distribution", "grant of patent license"),
-    "bsd-2-clause": ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice"),
-    "bsd-3-clause": ("redistributions in binary form must reproduce the above copyright notice", "may be used to endorse or promote products derived from this software"),
+    "bsd-2-clause": (
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice",
+    ),
+    "bsd-3-clause": (
+        "redistributions in binary form must reproduce the above copyright notice",
+        "may be used to endorse or promote products derived from this software",
+    ),
     "cc0-1.0": ("waiver", "public license fallback"),
     "gpl-2.0": ("version 2 june 1991", "general public license"),
     "gpl-3.0": ("version 3 29 june 2007", "general public license"),
@@ -89,7 +107,9 @@ def split_words(text: str | None) -> list[bytes]:
 
 def full_texts(folder: Path = Path(__file__).parent / "license_texts") -> tuple[Template, ...]:
     """The licence texts that come with the package, as templates of their words."""
-    return tuple(Template(k, b" ".join(split_words((folder / f"{k}.txt").read_text())).decode(), phrases, full=True) for k, phrases in FULL.items())
+    return tuple(
+        Template(k, b" ".join(split_words((folder / f"{k}.txt").read_text())).decode(), phrases, full=True) for k, phrases in FULL.items()
+    )
 
 
 TEMPLATES = BASE + NOTICES + full_texts()
@@ -104,9 +124,13 @@ def document_frequency(docs: DataFrame, templates: tuple[Template, ...], text: s
             counts = Counter({b"": batch.num_rows})
             for t in batch.column(0):
                 counts.update(known.intersection(split_words(t.as_py())))
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in counts]), "n": pa.array(list(counts.values()), pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {"word": pa.array([w.decode() for w in counts]), "n": pa.array(list(counts.values()), pa.int64())}
+            )
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(
+        run, "word string, n long"
+    ).groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in rows}
     return counts.pop("", 0), counts
 
@@ -120,7 +144,10 @@ class Index:
         self.phrases = [[[w.encode() for w in p.split()] for p in t.mandatory] for t in templates]
         self.counts = [Counter(ws) for ws in self.words]
         self.drift = [int(DRIFT * len(ws)) if t.full else 0 for t, ws in zip(templates, self.words, strict=True)]
-        self.at = [[next(i for i in range(len(ws)) if ws[i : i + len(p)] == p) for p in ps] for ws, ps in zip(self.words, self.phrases, strict=True)]
+        self.at = [
+            [next(i for i in range(len(ws)) if ws[i : i + len(p)] == p) for p in ps]
+            for ws, ps in zip(self.words, self.phrases, strict=True)
+        ]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.needed = []
         for k, ws in enumerate(self.words):
@@ -173,7 +200,10 @@ class Index:
         for p, w in enumerate(ws):
             for k, q in self.postings.get(w, ()):
                 votes.setdefault(k, []).append((p - q, q))
-        found = [(k, start, score) for k, own in votes.items() if len(own) >= self.needed[k] for start in self.starts(k, sorted(own)) if (score := self.check(ws, k, start))]
+        found = [
+            (k, start, score) for k, own in votes.items() if len(own) >= self.needed[k] for start in self.starts(k, sorted(own))
+            if (score := self.check(ws, k, start))
+        ]
         return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -192,7 +222,9 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")}
+            out: dict[str, list] = {
+                k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
+            }
             for t in batch.column(1):
                 ws = split_words(t.as_py())
                 found = index.scan(ws)
@@ -207,7 +239,9 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 for values, v in zip(out.values(), row, strict=True):
                     values.append(v)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), place_type]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column(0)} | {k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)}
+            )
 
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:bigint,words:int,score:double>>"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -31,7 +31,9 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+) -> DataFrame:
     """Host and the hashes of its boilerplate lines: ``_host``, ``_host_pages``, ``_drop`` (array of long)."""
     rows = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).alias("_text"))
     totals = rows.groupBy("_host").agg(F.count("*").alias("_host_pages"))
@@ -45,7 +47,15 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", m
     return frequent.groupBy("_host").agg(F.max("_host_pages").alias("_host_pages"), F.sort_array(F.collect_set("_line")).alias("_drop"))
 
 
-def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep_boilerplate_pages: bool = False) -> DataFrame:
+def dedup_lines(
+    pages: DataFrame,
+    *,
+    host: str = "source",
+    text: str = "text",
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    keep_boilerplate_pages: bool = False,
+) -> DataFrame:
     """All rows and columns of ``pages``, ``text`` without boilerplate lines, plus ``line_total`` and ``line_dropped`` (long).
 
     * A line counts once a page, however often the page repeats it; all its places on the page go.
@@ -60,17 +70,24 @@ def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", m
     own = [c for c in pages.columns if c not in ("line_total", "line_dropped")]
     # Written, so that its size is known when the join is planned: below Spark's broadcast limit no text is shuffled.
     found = scratch.save(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
-    rows = pages.select(packed(pages, own).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).alias("text"))
+    rows = pages.select(
+        packed(pages, own).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(text).alias("text")
+    )
     joined = rows.join(found.select("_host", "_drop"), "_host", "left")
     lines = _lines(F.coalesce("text", F.lit("")))
     dropped = lambda x: F.array_contains("_drop", _hash(x))
-    marked = joined.withColumn("kept", F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_has_word(x) | ~dropped(x))))
-    marked = marked.withColumns({"total": F.size(F.filter(lines, _has_word)).cast("long"), "left": F.size(F.filter("kept", _has_word)).cast("long")})
+    marked = joined.withColumn(
+        "kept", F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_has_word(x) | ~dropped(x)))
+    )
+    marked = marked.withColumns(
+        {"total": F.size(F.filter(lines, _has_word)).cast("long"), "left": F.size(F.filter("kept", _has_word)).cast("long")}
+    )
     whole = F.col("_drop").isNull()
     if keep_boilerplate_pages:
         whole = whole | (F.col("left") == 0)
     shown = F.when(F.col("text").isNull() | whole, F.col("text")).otherwise(F.array_join("kept", "\n"))
     return marked.select(
         *[shown.alias(c) if c == text else F.col("row")[c].alias(c) for c in own],
-        F.col("total").alias("line_total"), F.when(whole, F.lit(0)).otherwise(F.col("total") - F.col("left")).cast("long").alias("line_dropped"),
-    )
+        F.col("total").alias("line_total"),
+        F.when(whole, F.lit(0)).otherwise(F.col("total") - F.col("left")).cast("long").alias("line_dropped"),
+    )

@@ -106,7 +106,9 @@ class Totals:
     def pair_part(self, pn, pt, n, t):
         """What a step adds for its pair (counts pn, pt) and word (n, t): numerators of target loss less background loss."""
         share = n / max(self.n, 1.0)
-        return np.log(pn * self.scale + PAIR_BACKOFF * single(n * self.scale, share, self.t)) - np.log(pt + PAIR_BACKOFF * single(t, share, self.t))
+        return np.log(
+            pn * self.scale + PAIR_BACKOFF * single(n * self.scale, share, self.t)
+        ) - np.log(pt + PAIR_BACKOFF * single(t, share, self.t))
 
     def before_part(self, n, t):
         """What each occurrence of a word adds as the word before: the denominators."""
@@ -122,7 +124,9 @@ class Head:
         pairs = [p for p in pairs if p[1] in known]
         codes = _mixed(np.array([p[1] for p in pairs], _U), np.array([p[0] for p in pairs], _U))
         order = np.argsort(codes)
-        self.codes, self.before, self.after = codes[order], np.array([p[0] for p in pairs], _U)[order], np.array([p[1] for p in pairs], _U)[order]
+        self.codes, self.before, self.after = codes[order], np.array(
+            [p[0] for p in pairs], _U
+        )[order], np.array([p[1] for p in pairs], _U)[order]
         self.totals = Totals(0.0, 0.0)
 
     def word_at(self, h: np.ndarray) -> np.ndarray:
@@ -157,9 +161,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _draw_head(narrow: DataFrame) -> Head:
     rows = narrow.count()
-    sample = narrow.select("text").sample(min(1.0, HEAD_SAMPLE / max(rows, 1)), seed=1).mapInArrow(_sampled, "pair boolean, a long, b long, n long")
+    sample = narrow.select("text").sample(min(1.0, HEAD_SAMPLE / max(rows, 1)), seed=1).mapInArrow(
+        _sampled, "pair boolean, a long, b long, n long"
+    )
     counts = sample.groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
-    top = [counts.where(c).orderBy(F.col("n").desc(), "a", "b").limit(k).collect() for c, k in (("not pair", HEAD_WORDS), ("pair", HEAD_PAIRS))]
+    top = [
+        counts.where(c).orderBy(F.col("n").desc(), "a", "b").limit(k).collect() for c, k in (("not pair", HEAD_WORDS), ("pair", HEAD_PAIRS))
+    ]
     bits = (1 << 64) - 1
     return Head([r["a"] & bits for r in top[0]], [(r["a"] & bits, r["b"] & bits) for r in top[1]])
 
@@ -179,7 +187,12 @@ def _count_head(shared):
                 n, t = np.bincount(at[at >= 0], minlength=size), np.bincount(at[target & (at >= 0)], minlength=size)
                 some = np.flatnonzero(n)
                 out.append((np.full(len(some), kind), some, n[some], t[some]))
-            yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in zip(("kind", "at", "n", "t"), zip(*out, strict=True), strict=True)})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    k: pa.array(np.concatenate(v).astype(np.int64))
+                    for k, v in zip(("kind", "at", "n", "t"), zip(*out, strict=True), strict=True)
+                }
+            )
 
     return run
 
@@ -197,7 +210,15 @@ def _send(shared, buckets: int):
                 words += len(parts[-1])
                 if words >= FLUSH_WORDS or len(parts) >= FLUSH_TEXTS or i == len(texts) - 1:
                     group = task << 33 | next(numbers)
-                    yield _group_rows(head, buckets, group, parts, target[start : i + 1], batch.column("doc_id").slice(start, i + 1 - start), batch.schema.field("doc_id").type)
+                    yield _group_rows(
+                        head,
+                        buckets,
+                        group,
+                        parts,
+                        target[start : i + 1],
+                        batch.column("doc_id").slice(start, i + 1 - start),
+                        batch.schema.field("doc_id").type,
+                    )
                     start, words, parts = i + 1, 0, []
 
     return run
@@ -207,7 +228,9 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def _group_rows(head: Head, buckets: int, group: int, parts: list[np.ndarray], target: list[bool], ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+def _group_rows(
+    head: Head, buckets: int, group: int, parts: list[np.ndarray], target: list[bool], ids: pa.Array, id_type: pa.DataType
+) -> pa.RecordBatch:
     order = sorted(range(len(parts)), key=lambda i: not target[i])  # target documents first
     parts = [parts[i] for i in order]
     sizes = np.array([len(p) for p in parts])
@@ -233,12 +256,21 @@ def _group_rows(head: Head, buckets: int, group: int, parts: list[np.ndarray], t
     k = len(cuts)
     pad = lambda bounds: np.r_[bounds, bounds[-1]] if len(bounds) == k + 1 else np.zeros(k + 2, int)  # noqa: E731  an empty list for the last row
     last = np.r_[np.zeros(k + 1, int), len(parts)]
-    own_ids = pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), ids.take(pa.array(order, pa.int64())) if len(order) else pa.array([], id_type))
+    own_ids = pa.ListArray.from_arrays(
+        pa.array(last.astype(np.int32)), ids.take(pa.array(order, pa.int64())) if len(order) else pa.array([], id_type)
+    )
     arrays = {
-        "row": pa.array(np.full(k + 1, group), pa.int64()), "bucket": pa.array([*own[cuts].tolist(), group % buckets], pa.int32()), "targets": pa.array(np.full(k + 1, sum(target)), pa.int32()),
-        "words": _lists(h[starts].view(np.int64), pad(pair_bounds)), "befores": _lists(before[starts].view(np.int64), pad(pair_bounds)), "holders": _lists(holders.astype(np.int32), pad(pair_bounds)), "docs": _lists(doc, pad(doc_bounds)),
-        "sizes": _lists(sizes, last), "sums": _lists(sums, last), "ids": own_ids,
-    }
+        "row": pa.array(np.full(k + 1, group), pa.int64()),
+        "bucket": pa.array([*own[cuts].tolist(), group % buckets], pa.int32()),
+        "targets": pa.array(np.full(k + 1, sum(target)), pa.int32()),
+        "words": _lists(h[starts].view(np.int64), pad(pair_bounds)),
+        "befores": _lists(before[starts].view(np.int64), pad(pair_bounds)),
+        "holders": _lists(holders.astype(np.int32), pad(pair_bounds)),
+        "docs": _lists(doc, pad(doc_bounds)),
+        "sizes": _lists(sizes, last),
+        "sums": _lists(sums, last),
+        "ids": own_ids,
+    }
     return pa.RecordBatch.from_pydict(arrays)
 
 
@@ -250,7 +282,9 @@ def _settle(shared):
         totals = head.totals
         flat = lambda name: table[name].combine_chunks().flatten()
         each = lambda name: table[name].combine_chunks().value_lengths().to_numpy()
-        words, befores, holders, docs = flat("words").to_numpy().view(_U), flat("befores").to_numpy().view(_U), flat("holders").to_numpy(), flat("docs").to_numpy()
+        words, befores, holders, docs = flat("words").to_numpy().view(_U), flat(
+            "befores"
+        ).to_numpy().view(_U), flat("holders").to_numpy(), flat("docs").to_numpy()
         groups = table["row"].to_numpy()
         pair_of = np.repeat(np.arange(len(words)), holders)
         blob = np.repeat(np.repeat(np.arange(len(groups)), each("words")), holders)
@@ -268,7 +302,10 @@ def _settle(shared):
         where, into = np.unique(blob << 16 | docs, return_inverse=True)
         parts = np.bincount(into, delta[step], len(where)).astype(np.float32)
         bounds = np.searchsorted(where >> 16, np.arange(len(groups) + 1))
-        return pa.table({"row": groups, "docs": _lists((where & 0xFFFF).astype(np.int16), bounds), "parts": _lists(parts, bounds)} | {c: table[c] for c in ("ids", "sizes", "sums")})
+        return pa.table(
+            {"row": groups, "docs": _lists((where & 0xFFFF).astype(np.int16), bounds), "parts": _lists(parts, bounds)}
+            | {c: table[c] for c in ("ids", "sizes", "sums")}
+        )
 
     return run
 
@@ -311,7 +348,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id:
     buckets = BUCKETS_A_PARTITION * shuffle_partitions(spark)
     schema = f"row long, bucket int, targets int, words array<long>, befores array<long>, holders array<int>, docs array<short>, sizes array<long>, sums array<double>, ids array<{kind}>"
     sent = flagged.mapInArrow(_send(shared, buckets), schema)
-    settled = sent.groupBy("bucket").applyInArrow(_settle(shared), f"row long, docs array<short>, parts array<float>, ids array<{kind}>, sizes array<long>, sums array<double>")
+    settled = sent.groupBy("bucket").applyInArrow(
+        _settle(shared), f"row long, docs array<short>, parts array<float>, ids array<{kind}>, sizes array<long>, sums array<double>"
+    )
     out = settled.groupBy("row").applyInArrow(_gather, f"doc_id {kind}, size long, total double")
     # A step for each word and one for the end.
-    return out.select("doc_id", F.greatest(F.col("size") - 1, F.lit(0)).alias("n_tokens"), F.when(F.col("size") > 0, F.round(F.col("total") / F.col("size"), 6)).otherwise(0.0).alias("score"))
+    return out.select(
+        "doc_id",
+        F.greatest(F.col("size") - 1, F.lit(0)).alias("n_tokens"),
+        F.when(F.col("size") > 0, F.round(F.col("total") / F.col("size"), 6)).otherwise(0.0).alias("score"),
+    )

@@ -51,14 +51,20 @@ def with_temperature_targets(cells: DataFrame, dims: list[str], temperature: flo
     if not dims:
         return cells
     sums = {d: F.sum("tokens").over(Window.partitionBy(d)).cast("double") for d in dims}
-    raised = cells.withColumns({f"share_{d}": F.pow(s, F.lit(temperature)) for d, s in sums.items()} | {f"sum_{d}": s for d, s in sums.items()})
+    raised = cells.withColumns(
+        {f"share_{d}": F.pow(s, F.lit(temperature)) for d, s in sums.items()} | {f"sum_{d}": s for d, s in sums.items()}
+    )
     # A value's power is the sum over its cells of the power times the cell's part of the value.
     part = lambda d: F.sum(F.when(F.col(f"sum_{d}") > 0, F.col(f"share_{d}") * F.col("tokens") / F.col(f"sum_{d}")).otherwise(0.0))
     totals = raised.agg(*[part(d) for d in dims]).first()
-    return raised.withColumns({f"share_{d}": F.col(f"share_{d}") / F.lit(t or 1.0) for d, t in zip(dims, totals, strict=True)}).drop(*[f"sum_{d}" for d in dims])
+    return raised.withColumns(
+        {f"share_{d}": F.col(f"share_{d}") / F.lit(t or 1.0) for d, t in zip(dims, totals, strict=True)}
+    ).drop(*[f"sum_{d}" for d in dims])
 
 
-def rake(cells: DataFrame, dims: list[str], scratch: Scratch, *, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, int, float]:
+def rake(
+    cells: DataFrame, dims: list[str], scratch: Scratch, *, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS
+) -> tuple[DataFrame, int, float]:
     """(cells with ``weight``, rounds, gap): ``cells`` have the dimensions, tokens and ``share_<dim>``.
 
     Weights start as tokens. A null share counts as 0, so a value that no target names gets weight 0. The gap is the largest
@@ -71,7 +77,12 @@ def rake(cells: DataFrame, dims: list[str], scratch: Scratch, *, tolerance: floa
             for d in dims:
                 held = F.sum("weight").over(Window.partitionBy(d))
                 factor = F.when(held > 0, F.coalesce(f"share_{d}", F.lit(0.0)) / held).otherwise(0.0)
-                now = now.withColumn("factor", factor).withColumns({"gap": F.when(F.col("weight") > 0, F.greatest("gap", F.abs(F.col("factor") - 1))).otherwise(F.col("gap")), "weight": F.col("weight") * F.col("factor")})
+                now = now.withColumn("factor", factor).withColumns(
+                    {
+                        "gap": F.when(F.col("weight") > 0, F.greatest("gap", F.abs(F.col("factor") - 1))).otherwise(F.col("gap")),
+                        "weight": F.col("weight") * F.col("factor"),
+                    }
+                )
             done += 1
         last, now = now, scratch.save(now.drop("factor"), "weights")
         gap = now.agg(F.coalesce(F.max("gap"), F.lit(0.0))).first()[0]
@@ -88,8 +99,10 @@ def calibrate(cells: DataFrame, budget_tokens: float) -> float:
     while True:
         full = F.col("weight") * F.lit(factor) >= F.col("tokens")
         tokens, weight, n = cells.where("weight > 0 and tokens > 0").agg(
-            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.count_if(full)
-        ).first()
+            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)),
+            F.count_if(full),
+        ).first()
         if not weight:
             return float("inf") if n else factor
         if (budget_tokens - tokens) / weight <= factor * (1 + 1e-12):
@@ -122,9 +135,16 @@ def mix(
     scratch = Scratch(docs.sparkSession)
     own = [c for c in docs.columns if c not in RESULTS]
     body = F.coalesce(F.col(text), F.lit("")) if tokens is None or topic is None else None
-    d = docs.select(packed(docs, own).alias("row"), F.col(doc_id).alias("id"), *([body.alias("body")] if body is not None else []),
+    d = docs.select(
+        packed(docs, own).alias("row"),
+        F.col(doc_id).alias("id"),
+        *([body.alias("body")] if body is not None else []),
         (count_words(F.col(text)) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))).alias("n"),
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in zip(DIMS, (source, lang, topic), strict=True) if c is not None])
+        *[
+            F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in zip(DIMS, (source, lang, topic), strict=True)
+            if c is not None
+        ],
+    )
     if topic is None:
         d = d.withColumn("topic", text_form(F.col("body"), F.col("n")))
     cells = scratch.save(d.groupBy(*DIMS).agg(F.sum("n").alias("tokens")), "cells")
@@ -138,9 +158,14 @@ def mix(
         shared = shared.join(present.select(k, (F.col("share") / F.lit(whole or 1.0)).alias(f"share_{k}")), k, "left")
     fitted, rounds, gap = rake(scratch.save(shared, "targets"), list(DIMS), scratch)
     if gap > TOLERANCE:
-        warnings.warn(f"raking: sums are off by up to {gap:.3g} of their targets after {rounds} rounds; the targets can't be met together", stacklevel=2)
+        warnings.warn(
+            f"raking: sums are off by up to {gap:.3g} of their targets after {rounds} rounds; the targets can't be met together",
+            stacklevel=2,
+        )
     factor = calibrate(fitted, budget * total)
-    rate = F.when(F.col("tokens") == 0, 1.0).when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("tokens"))).otherwise(0.0)
+    rate = F.when(F.col("tokens") == 0, 1.0).when(
+        F.col("weight") > 0, F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("tokens"))
+    ).otherwise(0.0)
     # Written, so that its size is known when the join is planned.
     fitted = scratch.save(fitted.select(*DIMS, F.round("weight", 6).alias("w"), F.round(rate, 6).alias("p")), "fitted")
     p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.coalesce("p", F.lit(0.0)))

@@ -118,7 +118,9 @@ def _fingerprints(with_sets: bool):
                 rows.append(s if with_sets else band_keys(s) if len(s) else s)
             halves = [_longs(np.array([x >> 64 * i & (2**64 - 1) for x in ids], np.uint64)) for i in (1, 0)]
             columns = dict(zip(batch.schema.names[:-1], batch.columns[:-1], strict=True))
-            yield pa.RecordBatch.from_pydict(columns | {"hi": halves[0], "lo": halves[1], "n_shingles": pa.array(n, pa.int64()), "hashes": _lists(rows)})
+            yield pa.RecordBatch.from_pydict(
+                columns | {"hi": halves[0], "lo": halves[1], "n_shingles": pa.array(n, pa.int64()), "hashes": _lists(rows)}
+            )
 
     return run
 
@@ -128,13 +130,17 @@ def _components(scratch: Scratch, labels: DataFrame | None, links: DataFrame) ->
     ends = links
     if labels is not None:
         for side in ("a", "b"):
-            ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+            ends = ends.join(
+                labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side, "left"
+            ).withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
     ends = ends.where("a <> b").distinct()
     edges = scratch.save(ends.select("a", "b").union(ends.select("b", "a")).distinct(), "edges")
     now = scratch.save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         # Smallest label among the neighbours, then the label of that label.
-        near = edges.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = edges.join(
+            now.select(F.col("node").alias("b"), "label"), "b"
+        ).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = now.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
@@ -165,7 +171,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _pairs(stars: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of this round whose sizes allow the similarity."""
-    star = stars.where((F.col("n") > SMALL) & (F.col("comp") != F.col("centre_comp"))).select("node", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size"))
+    star = stars.where((F.col("n") > SMALL) & (F.col("comp") != F.col("centre_comp"))).select(
+        "node", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size")
+    )
     small = stars.where(F.col("n") <= SMALL).select("key", "node", "size", "comp")
     other = small.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
     mesh = small.join(other, "key").where("node < other and comp <> other_comp").select("node", "size", "other", "other_size")
@@ -177,13 +185,22 @@ def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent: int)
     """ROUNDS rounds over buckets (key, node, size): (buckets that stay open, labels)."""
     labels = None
     for turn in range(ROUNDS):
-        members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
+        members = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select(
+            "key", "node", "size", F.coalesce("label", "node").alias("comp")
+        )
         # A component sends the same centre to all its buckets, so that a text meets it in one pair, however many they share.
         draw = F.xxhash64("node", F.lit(turn))
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "node", "size")).alias("m"))
         # A member of the largest component, which most others belong to.
-        centres = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "m.draw", "comp", "m.node", "m.size")).alias("c")).where("parts > 1")
-        centres = scratch.save(centres.select("key", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.comp").alias("centre_comp")), "centres")
+        centres = parts.groupBy("key").agg(
+            F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "m.draw", "comp", "m.node", "m.size")).alias("c")
+        ).where("parts > 1")
+        centres = scratch.save(
+            centres.select(
+                "key", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.comp").alias("centre_comp")
+            ),
+            "centres",
+        )
         stars = scratch.save(members.join(centres, "key"), "stars")
         pairs = scratch.save(_pairs(stars, percent), "pairs")
         links = scratch.save(_similar(pairs, sets, percent), "links")
@@ -251,19 +268,27 @@ def _compare_tiles(percent: int):
 def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame | None:
     """Labels after a test of all pairs of different components that share a bucket."""
     members = buckets.select("key", "node", "size")
-    members = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("comp"))
+    members = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").select(
+        "key", "node", "size", F.coalesce("label", "node").alias("comp")
+    )
     members = scratch.save(members, "open")
-    heads = members.groupBy("key").agg(F.min("node").alias("a"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key", "a")
+    heads = members.groupBy("key").agg(
+        F.min("node").alias("a"), F.min("comp").alias("c"), F.max("comp").alias("d")
+    ).where("c <> d").select("key", "a")
     ends = scratch.save(members.join(heads, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "ends")
     if ends.isEmpty():
         return labels
     groups = _components(scratch, None, ends).select("node", F.col("label").alias("group"))
     open_keys = scratch.save(members.join(heads.select("key"), "key", "left_semi").select("key", "node"), "open")
-    nodes = members.groupBy("node").agg(F.min("size").alias("size"), F.min("comp").alias("comp")).join(groups, "node").join(open_keys.groupBy("node").agg(F.min("key").alias("place")), "node")
+    nodes = members.groupBy("node").agg(F.min("size").alias("size"), F.min("comp").alias("comp")).join(groups, "node").join(
+        open_keys.groupBy("node").agg(F.min("key").alias("place")), "node"
+    )
     nodes = scratch.save(nodes, "members")
     # A component that fills tiles of its own is not compared with itself; the small ones share tiles. Nodes of one bucket come
     # to one tile, as far as it holds them, so that few pairs of tiles have a bucket in common.
-    own = nodes.groupBy("group", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= TILE).select("group", "comp", F.col("comp").alias("own"))
+    own = nodes.groupBy("group", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= TILE).select(
+        "group", "comp", F.col("comp").alias("own")
+    )
     nodes = nodes.join(own, ["group", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
     nodes = scratch.save(nodes, "members")
     need = F.ceil(F.greatest(F.sum("n") / TILE, F.sum("s") / TILE_SHINGLES))
@@ -271,13 +296,17 @@ def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: Data
     parts = places.groupBy("group", "own", "place").agg(need.alias("parts"))
     tiles = places.groupBy("group", "own").agg(need.alias("tiles"))
     nodes = nodes.join(parts, ["group", "own", "place"]).join(tiles, ["group", "own"])
-    spread = F.when(F.col("parts") > 1, F.xxhash64("place", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.pmod(F.xxhash64("place"), "tiles"))
+    spread = F.when(
+        F.col("parts") > 1, F.xxhash64("place", F.pmod(F.xxhash64("node"), "parts"))
+    ).otherwise(F.pmod(F.xxhash64("place"), "tiles"))
     nodes = scratch.save(nodes.select("node", "comp", "own", F.xxhash64("group", "own", spread).alias("tile")), "tiled")
     met = scratch.save(open_keys.join(nodes.select("node", "own", "tile"), "node").select("key", "own", "tile").distinct(), "met")
     other = met.select("key", F.col("own").alias("other"), F.col("tile").alias("to"))
     pairs = met.join(other, "key").where("tile <= to and not (own = other and own <> -1)").select("tile", "to").distinct()
     pairs = scratch.save(pairs.withColumn("pair", F.monotonically_increasing_id()), "tile_pairs")
-    sides = pairs.select("pair", "tile", F.lit(False).alias("right")).union(pairs.where("tile <> to").select("pair", F.col("to").alias("tile"), F.lit(True).alias("right")))
+    sides = pairs.select("pair", "tile", F.lit(False).alias("right")).union(
+        pairs.where("tile <> to").select("pair", F.col("to").alias("tile"), F.lit(True).alias("right"))
+    )
     rows = nodes.join(sides, "tile").select("pair", "right", "node", "comp").join(sets, "node")
     links = rows.groupBy("pair").applyInArrow(_compare_tiles(percent), "a long, b long")
     links = scratch.save(links.where("a <> b").distinct(), "links")
@@ -291,7 +320,9 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_x"), F.col(text).alias("_text"))
     schema = f"doc_id {kind}, _x long, hi long, lo long, n_shingles long, hashes array<long>"
     rows = scratch.save(source.mapInArrow(_fingerprints(False), schema), "rows")
-    classes = rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.any_value("hashes").alias("hashes"))
+    classes = rows.where("n_shingles > 0").groupBy("hi", "lo").agg(
+        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.any_value("hashes").alias("hashes")
+    )
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     members = classes.select("node", F.col("n").alias("size"), F.explode("hashes").alias("key"))
@@ -302,14 +333,18 @@ def _groups(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Scra
     nodes = scratch.save(buckets.select("node").distinct(), "nodes")
     wanted = classes.join(nodes, "node", "left_semi").select("node", "hi", "lo", "n", "first_id")
     ids = wanted.select(F.col("first_id").alias("_wanted")).distinct()
-    again = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text").mapInArrow(_fingerprints(True), "hi long, lo long, n_shingles long, hashes array<long>")
+    again = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("_text").mapInArrow(
+        _fingerprints(True), "hi long, lo long, n_shingles long, hashes array<long>"
+    )
     again = again.groupBy("hi", "lo").agg(F.any_value("hashes").alias("hashes"))
     sets = scratch.save(again.join(wanted.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "hashes"), "sets")
 
     rest, labels = _search(scratch, buckets, sets, percent)
     labels = _compare(scratch, rest, sets, labels, percent)
     labelled = classes.select("hi", "lo", "first_id", "node")
-    labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled.join(labels, "node", "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
     return scratch, rows.drop("hashes"), scratch.save(labelled, "labelled")
 
 
@@ -336,7 +371,9 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     scratch, rows, classes = _groups(docs, doc_id, text, percent)
     out = rows.join(classes.select("hi", "lo", "label"), ["hi", "lo"], "left")
-    best = out.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_x")).alias("m")).select("m.doc_id", "m._x")
+    best = out.where("n_shingles > 0").groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_x")).alias("m")
+    ).select("m.doc_id", "m._x")
     keep = best.union(out.where("n_shingles = 0").select("doc_id", "_x")).distinct()
     keep = scratch.save(keep.select(F.col("doc_id").alias("_id"), F.col("_x").alias("_kx")), "keep")
     d = docs.select(packed(docs).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("x"))
@@ -348,4 +385,6 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         again = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
         return found.withColumn("again", again).where("again = 1").select(*unpacked("row", docs.columns))
 
-    return once(d.where("id is not null"), keep.where("_id is not null"), ["x", "id"]).union(once(d.where("id is null"), keep.where("_id is null"), ["x"]))
+    return once(
+        d.where("id is not null"), keep.where("_id is not null"), ["x", "id"]
+    ).union(once(d.where("id is null"), keep.where("_id is null"), ["x"]))

@@ -28,7 +28,10 @@ def _has_word(line: Column) -> Column:
 def _window_hashes(ws: Column) -> Column:
     """Hash and place of every window of WINDOW words, sorted by hash; null for shorter texts."""
     at = F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1))
-    return F.when(F.size(ws) > WINDOW, F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(ws, i, F.lit(WINDOW))).alias("h"), i.alias("i")))))
+    return F.when(
+        F.size(ws) > WINDOW,
+        F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(ws, i, F.lit(WINDOW))).alias("h"), i.alias("i")))),
+    )
 
 
 def _covered(hashed: Column) -> Column:
@@ -76,7 +79,9 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_quality(docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text", strict_factor: float = STRICT_FACTOR) -> DataFrame:
+def host_quality(
+    docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text", strict_factor: float = STRICT_FACTOR
+) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept, n_failed_rules, host figures.
 
     base_failed: the rules ``short`` or ``repeats``. A host's failures are its documents that fail any rule;
@@ -90,13 +95,20 @@ def host_quality(docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source
     table. Other columns of the input play no part.
     """
     scratch = Scratch(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("_text"))
+    narrow = docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("_text")
+    )
     counted = document_counts(narrow, text="_text").drop("_text")
     failed = rule_failures()
     n_failed = sum((c.cast("int") for c in failed.values()), F.lit(0))
     table = scratch.save(counted.withColumns({"base_failed": failed["short"] | failed["repeats"], "n_failed_rules": n_failed}), "counts")
 
-    hosts = scratch.save(table.groupBy("host").agg(F.count("*").alias("host_documents"), F.sum((F.col("n_failed_rules") > 0).cast("long")).alias("host_failures")), "hosts")
+    hosts = scratch.save(
+        table.groupBy("host").agg(
+            F.count("*").alias("host_documents"), F.sum((F.col("n_failed_rules") > 0).cast("long")).alias("host_failures")
+        ),
+        "hosts",
+    )
     n, k = F.col("host_documents").cast("double"), F.col("host_failures").cast("double")
     # One row of five numbers for all hosts.
     a, b = beta_prior(*hosts.agg(F.count("*"), F.sum(n), F.sum(k), F.sum(n * n), F.sum(k * k / n)).first())

@@ -37,7 +37,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3
     model = langid.train(docs.where(F.coalesce(fold, F.lit(0)) != 1), order=F.xxhash64("doc_id"))
     held_out = docs.withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
-    return langid.detect(held_out, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return langid.detect(held_out, model, keep=("held_out", )).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")
+    )
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +66,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_host_quality, op3_license_scan, op4_near_duplicates, op5_lm_score, op6_language_id, op7_mixing, op8_topk_search, op9_line_dedup, op10_bpe)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_kd_sharding,
+            op2_host_quality,
+            op3_license_scan,
+            op4_near_duplicates,
+            op5_lm_score,
+            op6_language_id,
+            op7_mixing,
+            op8_topk_search,
+            op9_line_dedup,
+            op10_bpe,
+        )
+    }

@@ -65,16 +65,30 @@ def _flush(shard: int, ids: list, bags: list[list[bytes]], kind: pa.DataType) ->
     size = lengths[doc]
     # The shard's own row: the id of each place.
     none, zero = pa.array([[]], pa.list_(pa.int32())), pa.array([0], pa.int32())
-    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([""]), zero, none, none, none, zero, zero, pa.array([[ids[i] for i in order]], pa.list_(kind))], names=_NAMES)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([shard]), pa.array([""]), zero, none, none, none, zero, zero, pa.array([[ids[i] for i in order]], pa.list_(kind))],
+        names=_NAMES,
+    )
     # Slices of a size that Arrow takes easily.
     for a in range(0, len(starts), 50_000):
         s = starts[a : a + 50_000]
         end = starts[a + 50_000] if a + 50_000 < len(starts) else len(word)
         offsets = pa.array(np.r_[s, end] - s[0], pa.int32())
         part = slice(s[0], end)
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[part].astype(k), pa.from_numpy_dtype(k))) for x, k in ((doc, np.int32), (tf, np.int32), (size, np.int32))]
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(x[part].astype(k), pa.from_numpy_dtype(k)))
+            for x, k in ((doc, np.int32), (tf, np.int32), (size, np.int32))
+        ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(s), shard)), pa.array(names[word[s]], pa.string()), pa.array((place[s] // BLOCK).astype(np.int32)), *lists, pa.array(np.maximum.reduceat(tf[part], s - s[0]).astype(np.int32)), pa.array(np.minimum.reduceat(size[part], s - s[0]).astype(np.int32)), pa.nulls(len(s), pa.list_(kind))],
+            [
+                pa.array(np.full(len(s), shard)),
+                pa.array(names[word[s]], pa.string()),
+                pa.array((place[s] // BLOCK).astype(np.int32)),
+                *lists,
+                pa.array(np.maximum.reduceat(tf[part], s - s[0]).astype(np.int32)),
+                pa.array(np.minimum.reduceat(size[part], s - s[0]).astype(np.int32)),
+                pa.nulls(len(s), pa.list_(kind)),
+            ],
             names=_NAMES,
         )
 
@@ -103,7 +117,9 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of INDEX_SCHEMA for all rows with a doc_id and a word. Save it before use: shard numbers go by partition."""
-    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(_build, INDEX_SCHEMA.format(kind=dict(docs.dtypes)[doc_id]))
+    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(
+        _build, INDEX_SCHEMA.format(kind=dict(docs.dtypes)[doc_id])
+    )
 
 
 class _Cursor:
@@ -201,7 +217,16 @@ def _searcher(mean: float, k: int):
     return run
 
 
-def search(docs: DataFrame, queries: DataFrame, *, k: int = K, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+def search(
+    docs: DataFrame,
+    queries: DataFrame,
+    *,
+    k: int = K,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    query_id: str = "query_id",
+    query_text: str = "text",
+) -> DataFrame:
     """The k best documents of each query: query_id, rank (from 1), doc_id, score (BM25, rounded).
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over all documents with a word. Words: between ASCII white space, A-Z
@@ -213,7 +238,9 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = K, doc_id: str = "do
     scratch = Scratch(docs.sparkSession)
     index = scratch.save(build_index(docs, doc_id=doc_id, text=text), "index")
     # Each posting adds its document's frequency of the word to the words of all documents; the shards' own rows count these.
-    total, n = index.agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.when(F.col("word") == "", F.size("ids")))).first()
+    total, n = index.agg(
+        F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.when(F.col("word") == "", F.size("ids")))
+    ).first()
     n = n or 0
     mean = (total or 0) / n if n else 1.0
 
@@ -222,7 +249,9 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = K, doc_id: str = "do
     parts = max(1, -(-asked.select("query_id").distinct().count() // QUERY_BLOCK))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     # Postings of the words that are asked for, each once for a block of queries that has the word, and the shards' own rows.
-    df = index.where("word <> ''").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum(F.size("docs")).alias("df"))
+    df = index.where("word <> ''").join(
+        asked.select("word").distinct(), "word", "left_semi"
+    ).groupBy("word").agg(F.sum(F.size("docs")).alias("df"))
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     wanted = scratch.save(asked.select("part", "word").distinct().join(df, "word").select("part", "word", idf), "wanted")
     shards = scratch.save(index.where("word = ''"), "shards")
@@ -233,6 +262,8 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = K, doc_id: str = "do
     grouped = asked.groupBy("part", "query_id").agg(F.collect_set("word").alias("words"))
     wide = grouped.join(meet, "part")
     kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
-    found = near.groupBy("shard", "part").cogroup(wide.groupBy("shard", "part")).applyInPandas(_searcher(mean, k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    found = near.groupBy("shard", "part").cogroup(wide.groupBy("shard", "part")).applyInPandas(
+        _searcher(mean, k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -44,11 +44,23 @@ def _common_prefix(low: str | None, high: str | None) -> int:
 
 def _level(points: DataFrame, dims: list[str], scratch: Scratch) -> DataFrame:
     """Points with their nodes split once; nodes of one leaf stay."""
-    ranges = points.where("n > 1").groupBy(*NODE).agg(F.sum("weight").alias("w"), *[f(d).alias(f"{k}{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))])
+    ranges = points.where("n > 1").groupBy(*NODE).agg(
+        F.sum("weight").alias("w"), *[f(d).alias(f"{k}{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
+    )
     widths = F.array(*[F.col(f"hi{d}") - F.col(f"lo{d}") for d in dims])
     k = (F.array_position(widths, F.array_max(widths)) - 1).cast("int")
     goal = F.floor(F.col("w").cast("double") * F.expr("n div 2") / F.col("n"))
-    plan = scratch.save(ranges.withColumn("k", k).select(*NODE, "w", "k", goal.alias("goal"), F.array(*[F.col(f"lo{d}") for d in dims])[F.col("k")].alias("lo"), widths[F.col("k")].alias("width")), "plan")
+    plan = scratch.save(
+        ranges.withColumn("k", k).select(
+            *NODE,
+            "w",
+            "k",
+            goal.alias("goal"),
+            F.array(*[F.col(f"lo{d}") for d in dims])[F.col("k")].alias("lo"),
+            widths[F.col("k")].alias("width"),
+        ),
+        "plan",
+    )
 
     x = F.array(*map(F.col, dims))[F.col("k")]
     at = F.when(F.col("width") > 0, F.least(F.lit(BINS - 1), F.floor((x - F.col("lo")) / F.col("width") * BINS).cast("int"))).otherwise(0)
@@ -56,23 +68,44 @@ def _level(points: DataFrame, dims: list[str], scratch: Scratch) -> DataFrame:
 
     # The median's bin, and the large points left of it.
     own = F.col("large")
-    events = binned.where("n > 1").groupBy(*NODE, "goal", "w", "at", F.when(own, F.col("hash")).alias("hash"), F.when(own, F.col("id")).alias("id")).agg(F.sum("weight").alias("v"))
-    ordered = Window.partitionBy(*NODE).orderBy("at", F.col("hash").asc_nulls_first(), F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = binned.where("n > 1").groupBy(
+        *NODE, "goal", "w", "at", F.when(own, F.col("hash")).alias("hash"), F.when(own, F.col("id")).alias("id")
+    ).agg(F.sum("weight").alias("v"))
+    ordered = Window.partitionBy(*NODE).orderBy(
+        "at", F.col("hash").asc_nulls_first(), F.col("id").asc_nulls_first()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*NODE)
     one, few = F.when(F.col("id").isNotNull(), F.col("v")).otherwise(0), F.when(F.col("id").isNull(), F.col("v")).otherwise(0)
-    sums = events.withColumns({"sum": F.sum("v").over(ordered), "ones": F.sum(one).over(ordered), "fews": F.sum(few).over(ordered), "all_ones": F.sum(one).over(whole)})
+    sums = events.withColumns(
+        {
+            "sum": F.sum("v").over(ordered),
+            "ones": F.sum(one).over(ordered),
+            "fews": F.sum(few).over(ordered),
+            "all_ones": F.sum(one).over(whole),
+        }
+    )
     # Left of the median by its middle, or because the right side can't hold it; as long as the left side can.
-    needed = (2 * F.col("sum") - F.col("v") <= 2 * F.col("goal")) | (F.col("all_ones") - F.col("ones") + F.col("v") > F.col("w") - F.col("goal"))
+    needed = (2 * F.col("sum") - F.col("v") <= 2 * F.col("goal")) | (
+        F.col("all_ones") - F.col("ones") + F.col("v") > F.col("w") - F.col("goal")
+    )
     left = F.col("id").isNotNull() & needed & (F.col("ones") <= F.col("goal"))
-    sides = sums.withColumn("left", left).withColumn("rest", F.greatest(F.lit(0), F.col("goal") - F.sum(F.when(F.col("left"), F.col("v")).otherwise(0)).over(whole)))
-    beyond = F.when(F.col("id").isNull() & (F.col("fews") > F.col("rest")), F.struct("at", (F.col("rest") - F.col("fews") + F.col("v")).alias("open")))
+    sides = sums.withColumn("left", left).withColumn(
+        "rest", F.greatest(F.lit(0), F.col("goal") - F.sum(F.when(F.col("left"), F.col("v")).otherwise(0)).over(whole))
+    )
+    beyond = F.when(
+        F.col("id").isNull() & (F.col("fews") > F.col("rest")), F.struct("at", (F.col("rest") - F.col("fews") + F.col("v")).alias("open"))
+    )
     cuts = sides.groupBy(*NODE).agg(F.min(beyond).alias("cut"), F.collect_list(F.when(F.col("left"), F.col("id"))).alias("lefts"))
     cuts = scratch.save(cuts.select(*NODE, F.col("cut.at").alias("cut"), F.col("cut.open").alias("open"), "lefts"), "cuts")
 
     # Inside that bin, by hash.
-    cells = binned.where("n > 1 and not large").join(cuts, NODE).where("at = cut").groupBy(*NODE, "open", "hash").agg(F.sum("weight").alias("v"))
+    cells = binned.where("n > 1 and not large").join(cuts, NODE).where("at = cut").groupBy(*NODE, "open", "hash").agg(
+        F.sum("weight").alias("v")
+    )
     running = F.sum("v").over(Window.partitionBy(*NODE).orderBy("hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = cells.withColumn("sum", running).where(2 * F.col("sum") - F.col("v") <= 2 * F.col("open")).groupBy(*NODE).agg(F.max("hash").alias("last"))
+    inside = cells.withColumn("sum", running).where(
+        2 * F.col("sum") - F.col("v") <= 2 * F.col("open")
+    ).groupBy(*NODE).agg(F.max("hash").alias("last"))
     cuts = scratch.save(cuts.join(inside, NODE, "left"), "cuts")
 
     small = (F.col("at") > F.col("cut")) | ((F.col("at") == F.col("cut")) & (F.col("hash") > F.coalesce("last", F.lit(-1))))
@@ -90,7 +123,11 @@ def kd_split(points: DataFrame, leaves: int, dims: list[str], scratch: Scratch)
     """Adds ``shard`` (0 .. leaves - 1): points need id and weight (long), the dimensions, and hash (0 .. HASHES - 1)."""
     ends = points.agg(*[f(d).cast("double").alias(f"{k}{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).first()
     # Dimensions count in parts of their range over all points.
-    unit = {d: F.lit(0.0) if ends[f"lo{d}"] in (None, ends[f"hi{d}"]) else (F.col(d) - F.lit(ends[f"lo{d}"])) / F.lit(ends[f"hi{d}"] - ends[f"lo{d}"]) for d in dims}
+    unit = {
+        d: F.lit(0.0)
+        if ends[f"lo{d}"] in (None, ends[f"hi{d}"]) else (F.col(d) - F.lit(ends[f"lo{d}"])) / F.lit(ends[f"hi{d}"] - ends[f"lo{d}"])
+        for d in dims
+    }
     now = points.withColumns(unit | {"first": F.lit(0), "n": F.lit(leaves)})
     for _ in range((leaves - 1).bit_length()):
         now = _level(now, dims, scratch)
@@ -101,15 +138,27 @@ def text_points(rows: DataFrame, leaves: int, total: int, scratch: Scratch) -> t
     """(rows with piece, points): a point is all rows of one text, or a piece of a text whose rows outweigh a shard."""
     # At most as many texts as shards; written, so that its size is known when the join is planned.
     share = max(1.0, total / leaves)
-    large = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > share).select("key", F.ceil(F.col("bytes") * PIECES / share).alias("pieces"))
+    large = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > share).select(
+        "key", F.ceil(F.col("bytes") * PIECES / share).alias("pieces")
+    )
     dealt = rows.join(scratch.save(large, "large"), "key", "left")
     dealt = dealt.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
-    points = dealt.groupBy("key", "piece").agg(F.sum("size").alias("weight"), F.min("d0").alias("x0"), F.min("d1").alias("x1"), F.max("d2").alias("x2"))
+    points = dealt.groupBy("key", "piece").agg(
+        F.sum("size").alias("weight"), F.min("d0").alias("x0"), F.min("d1").alias("x1"), F.max("d2").alias("x2")
+    )
     points = points.withColumn("id", F.xxhash64("key", "piece")).withColumn("hash", F.pmod("id", F.lit(HASHES)).cast("int"))
     return dealt, scratch.save(points, "points")
 
 
-def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", categories: tuple[str, str] = ("source", "lang")) -> DataFrame:
+def kd_shards(
+    docs: DataFrame,
+    *,
+    shards: int | None = None,
+    target_bytes: int | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    categories: tuple[str, str] = ("source", "lang"),
+) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``shards`` leaves of near equal bytes, or as many as ``target_bytes`` needs. Dimensions: both categories and the
@@ -146,4 +195,12 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
     firsts = scratch.save(counts.select("shard", "run", F.coalesce(before, F.lit(0)).alias("start")), "firsts")
     rank = F.row_number().over(Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size"))
     out = in_run.withColumn("rank", rank).join(firsts, ["shard", "run"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -30,10 +30,23 @@ LONG = " ".join(f"w{i % 977}{'ab'[i % 2]}" for i in range(60_000))
 def odd(spark):
     """Nulls in any column, empty, blank and very long texts, repeated rows and ids, clashing extra columns."""
     same = "one two three four five six seven\nline two here"
-    return spark.createDataFrame([
-        _doc(1, None), _doc(2, ""), _doc(3, " \n\t "), _doc(4, LONG), _doc(5, same), _doc(5, same), _doc(6, same, None, None), _doc(None, same), _doc(7, "tiny"), _doc(8, "日本語 текст ελληνικά 🙂"), _doc(7, "other text with the same id"),
-        (9, None, None, None, None, None, None, None, None, None, None),
-    ], DOCS)
+    return spark.createDataFrame(
+        [
+            _doc(1, None),
+            _doc(2, ""),
+            _doc(3, " \n\t "),
+            _doc(4, LONG),
+            _doc(5, same),
+            _doc(5, same),
+            _doc(6, same, None, None),
+            _doc(None, same),
+            _doc(7, "tiny"),
+            _doc(8, "日本語 текст ελληνικά 🙂"),
+            _doc(7, "other text with the same id"),
+            (9, None, None, None, None, None, None, None, None, None, None),
+        ],
+        DOCS,
+    )
 
 
 @pytest.fixture(scope="module")
@@ -118,7 +131,9 @@ def _kd_tree(points, leaves):
         few = [p for p in own if p[1] * sharding.LARGE <= w]
         left, held = set(), 0
         for p in sorted(large, key=lambda p: (place(p), p[2], p[0])):
-            before = sum(q[1] for q in few if place(q) <= place(p)) + sum(q[1] for q in large if (place(q), q[2], q[0]) < (place(p), p[2], p[0]))
+            before = sum(q[1] for q in few if place(q) <= place(p)) + sum(
+                q[1] for q in large if (place(q), q[2], q[0]) < (place(p), p[2], p[0])
+            )
             rest = sum(q[1] for q in large if (place(q), q[2], q[0]) >= (place(p), p[2], p[0]))
             held += p[1]
             if (2 * before + p[1] <= 2 * goal or rest > w - goal) and held <= goal:
@@ -155,7 +170,17 @@ def test_kd_tree_brute_force(spark, leaves):
     from tessera.llm.common import Scratch
 
     rng = np.random.default_rng(6)
-    rows = [(i, int(rng.integers(1, 2000)) if i % 40 else int(rng.integers(20_000, 60_000)), int(rng.integers(0, sharding.HASHES)), float(rng.integers(0, 3)), float(rng.random() ** 3), 1.0) for i in range(700)]
+    rows = [
+        (
+            i,
+            int(rng.integers(1, 2000)) if i % 40 else int(rng.integers(20_000, 60_000)),
+            int(rng.integers(0, sharding.HASHES)),
+            float(rng.integers(0, 3)),
+            float(rng.random() ** 3),
+            1.0,
+        )
+        for i in range(700)
+    ]
     d = spark.createDataFrame(rows, "id long, weight long, hash int, a double, b double, c double")
     got = {r["id"]: r["shard"] for r in sharding.kd_split(d, leaves, ["a", "b", "c"], Scratch(spark)).collect()}
     unit = lambda v, k: (v - min(r[k] for r in rows)) / ((max(r[k] for r in rows) - min(r[k] for r in rows)) or 1)
@@ -207,7 +232,12 @@ def test_repeat_words_brute_force(spark):
 def test_strict_host_drops_only_failing(spark):
     good = " ".join(f"word{i}" for i in range(40))
     bad = " ".join([f"$$${i}" for i in range(15)] + [f"x{i}" for i in range(30)])
-    d = spark.createDataFrame([_doc(i, bad + f" {i}", source="junk") for i in range(30)] + [_doc(100, good, source="junk")] + [_doc(200 + i, good + f" {i}", source=f"fine{i % 5}") for i in range(50)] + [_doc(300, bad, source="fine1")], DOCS)
+    d = spark.createDataFrame(
+        [_doc(i, bad + f" {i}", source="junk") for i in range(30)] + [_doc(100, good, source="junk")] + [
+            _doc(200 + i, good + f" {i}", source=f"fine{i % 5}") for i in range(50)
+        ] + [_doc(300, bad, source="fine1")],
+        DOCS,
+    )
     got = quality.host_quality(d).toPandas()
     assert got[got.host == "junk"]["host_strict"].all() and not got[got.host != "junk"]["host_strict"].any()
     assert got[got.doc_id == 100]["kept"].all()
@@ -247,7 +277,15 @@ def _base_places(t):
 
 def test_licenses_brute_force(spark, small):
     texts = [r.text for r in small.toPandas().itertuples()]
-    texts += ["All rights reserved, all RIGHTS reserved. cc by cc-by CC\nBY", "general public\xa0license", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "rights reserved all", None, ""]
+    texts += [
+        "All rights reserved, all RIGHTS reserved. cc by cc-by CC\nBY",
+        "general public\xa0license",
+        "Released under the MIT License.",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "rights reserved all",
+        None,
+        "",
+    ]
     d = spark.createDataFrame([_doc(i, t) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
     for i, t in enumerate(texts):
@@ -449,7 +487,9 @@ def _cross_entropy(docs, target):
         return (double[h, w] * factor + k2 * one) / (single[h] * factor + k2)
 
     models = (lambda h, w: p(h, w, n, pn, scale)), (lambda h, w: p(h, w, t, pt, 1.0))
-    score = {i: sum(math.log(models[0](h, w)) - math.log(models[1](h, w)) for h, w in own) / len(own) if own else 0.0 for i, own in steps.items()}
+    score = {
+        i: sum(math.log(models[0](h, w)) - math.log(models[1](h, w)) for h, w in own) / len(own) if own else 0.0 for i, own in steps.items()
+    }
     return {i: (len(tokens[i]), score[i]) for i in tokens}, models, list(n)
 
 
@@ -462,7 +502,9 @@ def test_cross_entropy_brute_force(spark, small, head, monkeypatch):
         monkeypatch.setattr(lmscore, "FLUSH_WORDS", 5000)
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lmscore.cross_entropy_difference(small, labels).collect()}
-    want, models, vocabulary = _cross_entropy([(r.doc_id, r.text) for r in small.toPandas().itertuples()], {r["doc_id"] for r in labels.collect()})
+    want, models, vocabulary = _cross_entropy(
+        [(r.doc_id, r.text) for r in small.toPandas().itertuples()], {r["doc_id"] for r in labels.collect()}
+    )
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-5) for i in want)
     for model in models:
@@ -494,7 +536,9 @@ def test_cross_entropy_odd(odd, none):
 
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
-    got = llm_queries.queries()["op6_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    got = llm_queries.queries()["op6_language_id"](spark, sf).join(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).where("held_out and lang is not null").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.97
 
 
@@ -531,7 +575,9 @@ def _count_languages(rows):
             out[lang] = {k: n for k, n in own.items() if n >= least}
         return out
 
-    return kept(words, langid.WORDS_A_LANGUAGE), kept(grams, langid.TRIGRAMS_A_LANGUAGE), {x: (sum(words[x].values()), sum(grams[x].values())) for x in words}
+    return kept(words, langid.WORDS_A_LANGUAGE), kept(grams, langid.TRIGRAMS_A_LANGUAGE), {
+        x: (sum(words[x].values()), sum(grams[x].values())) for x in words
+    }
 
 
 @pytest.mark.parametrize("most", [None, 300])
@@ -557,7 +603,10 @@ def test_language_query_brute_force(spark, small, most, monkeypatch):
         if any(w in words[x] for x in languages):
             row = [log(words[x].get(w, 0), totals[x][0], n_words) for x in languages]
         else:
-            row = [sum(log(grams[x].get(f" {w} "[i : i + 3], 0), totals[x][1], n_grams) for i in range(len(w))) / max(1.0, len(w) / 3) for x in languages]
+            row = [
+                sum(log(grams[x].get(f" {w} "[i : i + 3], 0), totals[x][1], n_grams) for i in range(len(w))) / max(1.0, len(w) / 3)
+                for x in languages
+            ]
         ok = allowed.get(langid.script(w)) or languages
         return [max(v - max(row), -8.0) + (0.0 if x in ok else -1e3) for v, x in zip(row, languages, strict=True)]
 
@@ -632,8 +681,15 @@ def test_mixing_meets_given_targets(spark):
     rng = np.random.default_rng(4)
     places = [(s, x, t) for s in "abc" for x in ("en", "fr") for t in ("news", "code", "chat")]
     docs = [(i, *places[rng.choice(18, p=np.arange(1, 19) / 171)], int(rng.integers(1, 200))) for i in range(600)]
-    d = spark.createDataFrame([(i, "w " * n, x, s, t, "clash", 1) for i, s, x, t, n in docs], "doc_id long, text string, lang string, source string, subject string, row string, w int")
-    shares = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "fr": 0.4, "xx": 0.0}, "topic": {"news": 0.2, "code": 0.3, "chat": 0.5}}
+    d = spark.createDataFrame(
+        [(i, "w " * n, x, s, t, "clash", 1) for i, s, x, t, n in docs],
+        "doc_id long, text string, lang string, source string, subject string, row string, w int",
+    )
+    shares = {
+        "source": {"a": 0.5, "b": 0.3, "c": 0.2},
+        "lang": {"en": 0.6, "fr": 0.4, "xx": 0.0},
+        "topic": {"news": 0.2, "code": 0.3, "chat": 0.5},
+    }
     tables = {k: spark.createDataFrame(list(v.items()), "value string, share double") for k, v in shares.items()}
     got = mixing.mix(d, topic="subject", targets=tables, budget=0.6).toPandas()
     tokens = collections.Counter()
@@ -645,20 +701,27 @@ def test_mixing_meets_given_targets(spark):
         assert (r.row, r.w, r.mix_tokens) == ("clash", 1, len(r.text.split()))
     assert (got.mix_tokens * got.mix_probability).sum() == pytest.approx(0.6 * got.mix_tokens.sum(), rel=1e-4)
     open_cells = got[got.mix_probability < 1]
-    factor = open_cells.mix_probability * [tokens[r.mix_source, r.mix_lang, r.mix_topic] / want[r.mix_source, r.mix_lang, r.mix_topic] for r in open_cells.itertuples()]
+    factor = open_cells.mix_probability * [
+        tokens[r.mix_source, r.mix_lang, r.mix_topic] / want[r.mix_source, r.mix_lang, r.mix_topic] for r in open_cells.itertuples()
+    ]
     assert factor.max() / factor.min() == pytest.approx(1, rel=1e-3)
 
 
 def test_mixing_reports_targets_that_cant_be_met(spark):
     d = spark.createDataFrame([(1, "a b", "en", "x"), (2, "a b c", "fr", "y")], "doc_id long, text string, lang string, source string")
-    tables = {k: spark.createDataFrame(v, "value string, share double") for k, v in (("source", [("x", 0.9), ("y", 0.1)]), ("lang", [("en", 0.1), ("fr", 0.9)]))}
+    tables = {
+        k: spark.createDataFrame(v, "value string, share double")
+        for k, v in (("source", [("x", 0.9), ("y", 0.1)]), ("lang", [("en", 0.1), ("fr", 0.9)]))
+    }
     with pytest.warns(UserWarning, match="can't be met"):
         assert mixing.mix(d, targets=tables).count() == 2
 
 
 def test_mixing_skips_unnamed_values(spark):
     d = spark.createDataFrame([(i, "a b c", "en", "xy"[i % 2]) for i in range(40)], "doc_id long, text string, lang string, source string")
-    got = mixing.mix(d, targets={"source": spark.createDataFrame([("x", 1.0), ("z", 1.0)], "value string, share double")}, budget=0.5).toPandas()
+    got = mixing.mix(
+        d, targets={"source": spark.createDataFrame([("x", 1.0), ("z", 1.0)], "value string, share double")}, budget=0.5
+    ).toPandas()
     assert got[got.source == "y"]["mix_probability"].max() == 0 and got[got.source == "x"]["mix_probability"].min() == 1
 
 
@@ -677,8 +740,12 @@ def test_search_brute_force_ties_and_odd(spark, odd, none, monkeypatch):
     rng = np.random.default_rng(2)
     words = [f"t{i}" for i in range(30)]
     texts = [" ".join(rng.choice(words, rng.integers(1, 40), p=(np.arange(30) + 1) / 465)) for _ in range(700)]
-    d = spark.createDataFrame([_doc(i, t) for i, t in enumerate(texts)] + [_doc(900 + i, "t1 t2 t3") for i in range(30)], DOCS).repartition(3)
-    q = spark.createDataFrame([(1, "T1 t5 t5"), (2, "t0 t29 t28 t3 zzz"), (3, "unknown"), (4, None), (None, "t1")], "query_id long, text string")
+    d = spark.createDataFrame(
+        [_doc(i, t) for i, t in enumerate(texts)] + [_doc(900 + i, "t1 t2 t3") for i in range(30)], DOCS
+    ).repartition(3)
+    q = spark.createDataFrame(
+        [(1, "T1 t5 t5"), (2, "t0 t29 t28 t3 zzz"), (3, "unknown"), (4, None), (None, "t1")], "query_id long, text string"
+    )
     got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in search.search(d, q).collect()}
     docs = {r["doc_id"]: r["text"].split() for r in d.collect()}
     n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
@@ -688,7 +755,13 @@ def test_search_brute_force_ties_and_odd(spark, odd, none, monkeypatch):
         for i, ws in docs.items():
             tf = collections.Counter(ws)
             if any(tf[w] for w in terms):
-                s[i] = round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in terms), 6)
+                s[i] = round(
+                    sum(
+                        math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+                        for w in terms
+                    ),
+                    6,
+                )
         want = sorted(s.items(), key=lambda x: (-x[1], x[0]))[:10]
         assert [got[qid, r][0] for r in range(1, 11)] == [i for i, _ in want]
         assert [got[qid, r][1] for r in range(1, 11)] == pytest.approx([x for _, x in want], abs=2e-6)
@@ -696,7 +769,9 @@ def test_search_brute_force_ties_and_odd(spark, odd, none, monkeypatch):
     # In small blocks of queries and with ids of text: the same.
     monkeypatch.setattr(search, "QUERY_BLOCK", 1)
     monkeypatch.setattr(search, "SHARD_DOCS", 50)
-    named = search.search(d.withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 4, "0"))), q.withColumn("query_id", F.concat(F.lit("q"), "query_id"))).collect()
+    named = search.search(
+        d.withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 4, "0"))), q.withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    ).collect()
     assert {(int(r["query_id"][1:]), r["rank"]): (int(r["doc_id"][1:]), r["score"]) for r in named} == got
     assert search.search(odd, q.withColumn("text", F.lit("four three"))).where("query_id = 1").count() == 3
     assert search.search(none, q).count() == 0
@@ -721,12 +796,39 @@ def test_line_dedup_odd(spark, odd, none):
 # names
 
 
-INNER = ["row", "text_", "_host", "_drop", "kept", "total", "left", "id", "n", "body", "w", "p", "_x", "_kx", "_id", "_again", "hi", "lo", "label", "node", "key", "tokens", "weight"]
+INNER = [
+    "row",
+    "text_",
+    "_host",
+    "_drop",
+    "kept",
+    "total",
+    "left",
+    "id",
+    "n",
+    "body",
+    "w",
+    "p",
+    "_x",
+    "_kx",
+    "_id",
+    "_again",
+    "hi",
+    "lo",
+    "label",
+    "node",
+    "key",
+    "tokens",
+    "weight",
+]
 
 
 def test_columns_named_like_inner_ones_pass_through(spark):
     """Columns that are named like those of the operators' own tables come back as they were."""
-    d = spark.createDataFrame([(i, f"menu\nstory {i // 2} of a few words more", "en", "s", *[f"{c}{i}" for c in INNER]) for i in range(20)], ["doc_id", "text", "lang", "source", *INNER])
+    d = spark.createDataFrame(
+        [(i, f"menu\nstory {i // 2} of a few words more", "en", "s", *[f"{c}{i}" for c in INNER]) for i in range(20)],
+        ["doc_id", "text", "lang", "source", *INNER],
+    )
     want = {r["doc_id"]: [r[c] for c in INNER] for r in d.collect()}
     for out in (mixing.mix(d), linededup.dedup_lines(d), neardup.drop_near_duplicates(d)):
         got = {r["doc_id"]: [r[c] for c in INNER] for r in out.collect()}
@@ -747,13 +849,24 @@ def test_bpe_round_trip_with_library(spark, small, odd, none, vocabulary):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
-    extra = ["I'LL don't x're 12³ ½ <|endoftext|>tail<|startoftext|>", "ΑΣ ΣΑΣ İstanbul ǅ ﬁ é", "".join(map(chr, range(1, 0x500))), "aaaa" * 500, "\x85  a\xa0b", "日本語テキスト 🙂🙂"]
-    d = small.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    extra = [
+        "I'LL don't x're 12³ ½ <|endoftext|>tail<|startoftext|>",
+        "ΑΣ ΣΑΣ İstanbul ǅ ﬁ é",
+        "".join(map(chr, range(1, 0x500))),
+        "aaaa" * 500,
+        "\x85  a\xa0b",
+        "日本語テキスト 🙂🙂",
+    ]
+    d = small.select("doc_id", "text").union(odd.select("doc_id", "text")).union(
+        spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
+    )
     want = collections.Counter()
     for r in d.collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         plain = library.decode(ids, skip_special_tokens=False)
-        want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()] += 1
+        want[
+            r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
+        ] += 1
     assert collections.Counter(tuple(r) for r in bpe.encode_documents(d, vocabulary).collect()) == want
     full = bpe.encode_documents(odd, vocabulary, keep_ids=True, keep_text=True).where("doc_id = 7").first()
     assert full["decoded"] == library.decode(full["ids"], skip_special_tokens=False)

@@ -85,7 +85,10 @@ def _mixed(docs):
 def test_stages_on_long_texts_ties_and_inner_names(spark):
     """A very long text, ties of copies, and columns named like the stages' own ones come through all stages."""
     prose = "the house and the garden of my friend are near the river and the old mill "
-    rows = [(i, prose * (1 if i % 3 else 4) + " ".join(f"w{i}x{k}" for k in range(60)), "en", f"s{i % 2}", *[f"{c}{i}" for c in INNER]) for i in range(30)]
+    rows = [
+        (i, prose * (1 if i % 3 else 4) + " ".join(f"w{i}x{k}" for k in range(60)), "en", f"s{i % 2}", *[f"{c}{i}" for c in INNER])
+        for i in range(30)
+    ]
     rows += [(100 + i, LONG, "en", "s0", *[f"{c}{100 + i}" for c in INNER]) for i in range(3)]
     docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *INNER])
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -97,7 +100,17 @@ def test_stages_on_long_texts_ties_and_inner_names(spark):
 
 
 def test_stages_keep_columns_and_stand_odd_tables(spark):
-    odd = spark.createDataFrame([_doc(1, None), _doc(2, ""), _doc(3, "the house and the garden", "en"), _doc(3, "the house and the garden", "en"), _doc(None, "la maison et le jardin", "fr"), _doc(4, "la maison et le jardin", None, None)], DOCS)
+    odd = spark.createDataFrame(
+        [
+            _doc(1, None),
+            _doc(2, ""),
+            _doc(3, "the house and the garden", "en"),
+            _doc(3, "the house and the garden", "en"),
+            _doc(None, "la maison et le jardin", "fr"),
+            _doc(4, "la maison et le jardin", None, None),
+        ],
+        DOCS,
+    )
     for table in (odd, odd.limit(0)):
         docs = table
         for _, stage in corpus_pipeline.STAGES[:-1]:
