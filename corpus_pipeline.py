@@ -29,7 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A page of boilerplate only is a copy: near-dedup settles it.
     cleaned = linededup.dedup_lines(docs, keep_boilerplate_pages=True)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("line_dropped") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn(
+            "n_chars", F.when(F.col("line_dropped") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+        )
     return cleaned.select(*docs.columns)
 
 

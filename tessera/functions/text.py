@@ -68,7 +68,9 @@ def text_block(c: Column | str) -> Column:
 
 def list_block(values: Column | str) -> Column:
     """Text blocks of a list, numbered from 1."""
-    return F.transform(F.coalesce(_c(values), F.array().cast("array<string>")), lambda v, i: F.struct((i + 1).alias("index"), text_block(v).alias("block")))
+    return F.transform(
+        F.coalesce(_c(values), F.array().cast("array<string>")), lambda v, i: F.struct((i + 1).alias("index"), text_block(v).alias("block"))
+    )
 
 
 def comparison_text(fields: dict[str, Column]) -> Column:
@@ -109,10 +111,17 @@ def prompt_stats(c: Column | str) -> Column:
     marks = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(1))))
     letters = F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w))
     return F.struct(
-        F.length(t).alias("char_count"), F.size(lines).alias("line_count"), F.size(F.filter(lines, lambda x: strip(x) != "")).alias("non_empty_line_count"), F.size(ws).alias("word_count"), parts.alias("sentence_count"),
-        F.when(F.size(ws) > 0, F.round(letters / F.size(ws), 4)).otherwise(0.0).alias("avg_word_length"), F.when(parts > 0, F.round(F.size(ws) / parts, 4)).otherwise(0.0).alias("avg_sentence_words"),
-        F.size(marks).alias("placeholder_count"), marks.alias("placeholders"), (F.length(t) - F.length(F.translate(t, "{}", ""))).alias("brace_count"),
-    )
+        F.length(t).alias("char_count"),
+        F.size(lines).alias("line_count"),
+        F.size(F.filter(lines, lambda x: strip(x) != "")).alias("non_empty_line_count"),
+        F.size(ws).alias("word_count"),
+        parts.alias("sentence_count"),
+        F.when(F.size(ws) > 0, F.round(letters / F.size(ws), 4)).otherwise(0.0).alias("avg_word_length"),
+        F.when(parts > 0, F.round(F.size(ws) / parts, 4)).otherwise(0.0).alias("avg_sentence_words"),
+        F.size(marks).alias("placeholder_count"),
+        marks.alias("placeholders"),
+        (F.length(t) - F.length(F.translate(t, "{}", ""))).alias("brace_count"),
+    )
 
 
 def chunk_text(c: Column | str) -> Column:
@@ -137,7 +146,9 @@ def unicode_script(c: Column | str, superscript: bool) -> Column:
     """Unicode digits where all characters have one, else ^(x) or _(x)."""
     t = strip(F.coalesce(_c(c), F.lit("")))
     mapped = F.translate(t, SCRIPT_FROM, SUPERSCRIPT if superscript else SUBSCRIPT)
-    return F.when(t == "", "").when(t.rlike(r"^[0-9+\-=()]+$"), mapped).otherwise(F.concat(F.lit("^(" if superscript else "_("), t, F.lit(")")))
+    return F.when(t == "", "").when(t.rlike(r"^[0-9+\-=()]+$"), mapped).otherwise(
+        F.concat(F.lit("^(" if superscript else "_("), t, F.lit(")"))
+    )
 
 
 def script_text(value: str, superscript: bool) -> str:
@@ -157,7 +168,11 @@ def inline_preview(c: Column | str, limit: int = INLINE_PREVIEW_CHARS) -> Column
 def distinct_keywords(values: Column) -> Column:
     """Trimmed, non-empty keywords, the first spelling of each in its order, whatever the case."""
     clean = F.filter(F.transform(values, strip), lambda v: v != "")
-    return F.aggregate(clean, F.array().cast("array<string>"), lambda a, v: F.when(F.exists(a, lambda x: F.lower(x) == F.lower(v)), a).otherwise(F.array_append(a, v)))
+    return F.aggregate(
+        clean,
+        F.array().cast("array<string>"),
+        lambda a, v: F.when(F.exists(a, lambda x: F.lower(x) == F.lower(v)), a).otherwise(F.array_append(a, v)),
+    )
 
 
 def tag_list(c: Column | str) -> Column:
@@ -177,4 +192,6 @@ def contains_text(query: str, *columns: Column) -> Column:
 
 
 def has_all(values: Column, wanted: list[str]) -> Column:
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), F.coalesce(values, F.array().cast("array<string>")))) == 0
+    return F.size(
+        F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), F.coalesce(values, F.array().cast("array<string>")))
+    ) == 0

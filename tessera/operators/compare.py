@@ -19,21 +19,40 @@ MAX_TEXT_SIMILARITY = 0.985
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+    return pd.Series(
+        [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype="float64"
+    )
 
 
 @F.pandas_udf(T.StringType())
 def _diff(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "baseline", "challenger", lineterm="")) for a, b in zip(left, right, strict=True)])
+    return pd.Series(
+        [
+            "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "baseline", "challenger", lineterm=""))
+            for a, b in zip(left, right, strict=True)
+        ]
+    )
 
 
-_OPS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("left_start", "left_end", "right_start", "right_end")]]))
+_OPS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("tag", T.StringType()),
+            *[T.StructField(n, T.IntegerType()) for n in ("left_start", "left_end", "right_start", "right_end")],
+        ]
+    )
+)
 
 
 @F.pandas_udf(_OPS)
 def _opcodes(left: pd.Series, right: pd.Series) -> pd.Series:
     names = ("tag", "left_start", "left_end", "right_start", "right_end")
-    return pd.Series([[dict(zip(names, op, strict=True)) for op in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes()] for a, b in zip(left, right, strict=True)])
+    return pd.Series(
+        [
+            [dict(zip(names, op, strict=True)) for op in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes()]
+            for a, b in zip(left, right, strict=True)
+        ]
+    )
 
 
 def text_similarity(left: Column, right: Column) -> Column:
@@ -55,7 +74,17 @@ def alignment(left: Column, right: Column, unit: str = "paragraph") -> Column:
 
 
 # The compared fields, and which of them are texts and lists.
-FIELDS = ["request_type", "certainty", "short_answer", "explanation", "examples", "experiment.kind", "experiment.reason", "experiment.questions", "source_ids"]
+FIELDS = [
+    "request_type",
+    "certainty",
+    "short_answer",
+    "explanation",
+    "examples",
+    "experiment.kind",
+    "experiment.reason",
+    "experiment.questions",
+    "source_ids",
+]
 TEXT_FIELDS = ["short_answer", "explanation", "experiment.reason"]
 LIST_FIELDS = ["examples", "experiment.questions", "source_ids"]
 
@@ -69,14 +98,18 @@ def field_value(path: str) -> Column:
         return text.review_text(a)
     if path in LIST_FIELDS:
         none = F.array().cast("array<string>")
-        return F.coalesce("source_ids", none) if path == "source_ids" else F.filter(F.transform(F.coalesce(a, none), text.review_text), lambda x: x != "")
+        return F.coalesce("source_ids", none) if path == "source_ids" else F.filter(
+            F.transform(F.coalesce(a, none), text.review_text), lambda x: x != ""
+        )
     own = {"request_type": "request_type", "experiment.kind": "experiment_kind"}
     return F.coalesce(F.nullif(own[path], F.lit("")), a) if path in own else a
 
 
 def shown(value: Column, path: str) -> Column:
     """F16: a field's value as text."""
-    return F.array_join(F.filter(F.transform(value, text.review_text), lambda x: x != ""), "\n") if path in LIST_FIELDS else F.coalesce(value, F.lit(""))
+    return F.array_join(
+        F.filter(F.transform(value, text.review_text), lambda x: x != ""), "\n"
+    ) if path in LIST_FIELDS else F.coalesce(value, F.lit(""))
 
 
 def records(artifacts: DataFrame) -> DataFrame:
@@ -103,10 +136,21 @@ def field_comparisons(pairs: DataFrame, fields: list[str] | None = None, keep: t
     for f in fields or FIELDS:
         left, right = (F.col(f"{s}.fields.{f.replace('.', '__')}") for s in ("left", "right"))
         count = lambda c, f=f: F.size(c) if f in LIST_FIELDS else F.lit(None).cast("int")
-        rows.append(F.struct(F.lit(f).alias("field_path"), shown(left, f).alias("left_text"), shown(right, f).alias("right_text"), left.eqNullSafe(right).alias("equal"), count(left).alias("left_count"), count(right).alias("right_count")))
+        rows.append(
+            F.struct(
+                F.lit(f).alias("field_path"),
+                shown(left, f).alias("left_text"),
+                shown(right, f).alias("right_text"),
+                left.eqNullSafe(right).alias("equal"),
+                count(left).alias("left_count"),
+                count(right).alias("right_count"),
+            )
+        )
     long = pairs.select(*keep, F.explode(F.array(*rows)).alias("c")).select(*keep, "c.*")
     matched = F.col("field_path").isin(TEXT_FIELDS + LIST_FIELDS)
-    similarity = F.when(matched, F.round(text_similarity(F.col("left_text"), F.col("right_text")), 4)).otherwise(F.col("equal").cast("double"))
+    similarity = F.when(
+        matched, F.round(text_similarity(F.col("left_text"), F.col("right_text")), 4)
+    ).otherwise(F.col("equal").cast("double"))
     return long.withColumn("similarity", similarity)
 
 
@@ -118,19 +162,45 @@ def paired(rows: DataFrame, baseline: str) -> DataFrame:
     return now.where(F.col("combo_id").isNull() | (F.col("combo_id") != baseline)).select("case_id", side("right")).join(base, "case_id")
 
 
-def baseline_vs_challenger(rows: DataFrame, baseline: str, *, fields: list[str] | None = None, min_delta: float = MIN_SCORE_DELTA, max_similarity: float = MAX_TEXT_SIMILARITY) -> DataFrame:
+def baseline_vs_challenger(
+    rows: DataFrame,
+    baseline: str,
+    *,
+    fields: list[str] | None = None,
+    min_delta: float = MIN_SCORE_DELTA,
+    max_similarity: float = MAX_TEXT_SIMILARITY,
+) -> DataFrame:
     """The latest row of every other combo against the baseline's of the same case. ``rows``: what ``records`` gives."""
     both = paired(rows, baseline)
     both = compare_fields(both, fields)
-    both = both.withColumns({
-        "score_delta": F.round(F.col("right.score") - F.col("left.score"), 4), "pass_delta": F.col("right.passed").cast("int") - F.col("left.passed").cast("int"),
-        "full_text_similarity": F.round(text_similarity(F.col("left.comparison_text"), F.col("right.comparison_text")), 4),
-    })
-    meaningful = (F.col("changed_field_count") > 0) | F.coalesce(F.abs("score_delta") >= min_delta, F.lit(False)) | F.coalesce(F.col("pass_delta") != 0, F.lit(False)) | (F.col("left.parse_error") != F.col("right.parse_error")) | (F.col("full_text_similarity") <= max_similarity)
+    both = both.withColumns(
+        {
+            "score_delta": F.round(F.col("right.score") - F.col("left.score"), 4),
+            "pass_delta": F.col("right.passed").cast("int") - F.col("left.passed").cast("int"),
+            "full_text_similarity": F.round(text_similarity(F.col("left.comparison_text"), F.col("right.comparison_text")), 4),
+        }
+    )
+    meaningful = (F.col("changed_field_count") > 0) | F.coalesce(F.abs("score_delta") >= min_delta, F.lit(False)) | F.coalesce(
+        F.col("pass_delta") != 0, F.lit(False)
+    ) | (F.col("left.parse_error") != F.col("right.parse_error")) | (F.col("full_text_similarity") <= max_similarity)
     return both.select(
-        "case_id", F.col("left.question").alias("question"), F.col("left.combo_id").alias("baseline_combo_id"), F.col("right.combo_id").alias("challenger_combo_id"), F.col("left.score").alias("baseline_score"), F.col("right.score").alias("challenger_score"),
-        "score_delta", "pass_delta", F.col("left.parse_error").alias("baseline_parse_error"), F.col("right.parse_error").alias("challenger_parse_error"), "full_text_similarity", "changed_fields", "changed_field_count",
-        F.col("left.comparison_text").alias("baseline_text"), F.col("right.comparison_text").alias("challenger_text"), meaningful.alias("meaningful_delta"))
+        "case_id",
+        F.col("left.question").alias("question"),
+        F.col("left.combo_id").alias("baseline_combo_id"),
+        F.col("right.combo_id").alias("challenger_combo_id"),
+        F.col("left.score").alias("baseline_score"),
+        F.col("right.score").alias("challenger_score"),
+        "score_delta",
+        "pass_delta",
+        F.col("left.parse_error").alias("baseline_parse_error"),
+        F.col("right.parse_error").alias("challenger_parse_error"),
+        "full_text_similarity",
+        "changed_fields",
+        "changed_field_count",
+        F.col("left.comparison_text").alias("baseline_text"),
+        F.col("right.comparison_text").alias("challenger_text"),
+        meaningful.alias("meaningful_delta"),
+    )
 
 
 def meaningful_only(comparisons: DataFrame) -> DataFrame:
@@ -143,7 +213,16 @@ def challenger_summary(comparisons: DataFrame) -> DataFrame:
     mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,6)")), 4).cast("double")
     up, down = F.coalesce("score_delta", F.lit(0.0)) > 0, F.coalesce("score_delta", F.lit(0.0)) < 0
     return comparisons.where(F.col("challenger_combo_id") != "").groupBy("baseline_combo_id", "challenger_combo_id").agg(
-        F.count("*").alias("compared_case_count"), F.count_if("meaningful_delta").alias("meaningful_case_count"), F.round(F.count_if("meaningful_delta") / F.count("*"), 4).alias("meaningful_case_rate"),
-        F.count_if(up).alias("improved_score_case_count"), F.count_if(down).alias("worsened_score_case_count"), F.count_if(~up & ~down).alias("same_score_case_count"), F.count_if(F.col("pass_delta") == 1).alias("pass_gain_case_count"),
-        F.count_if(F.col("pass_delta") == -1).alias("pass_loss_case_count"), mean("score_delta").alias("average_score_delta"), mean("full_text_similarity").alias("average_text_similarity"), mean("changed_field_count").alias("average_changed_field_count"),
-        F.round(F.count_if(F.col("changed_field_count") > 0) / F.count("*"), 4).alias("changed_field_rate"))
+        F.count("*").alias("compared_case_count"),
+        F.count_if("meaningful_delta").alias("meaningful_case_count"),
+        F.round(F.count_if("meaningful_delta") / F.count("*"), 4).alias("meaningful_case_rate"),
+        F.count_if(up).alias("improved_score_case_count"),
+        F.count_if(down).alias("worsened_score_case_count"),
+        F.count_if(~up & ~down).alias("same_score_case_count"),
+        F.count_if(F.col("pass_delta") == 1).alias("pass_gain_case_count"),
+        F.count_if(F.col("pass_delta") == -1).alias("pass_loss_case_count"),
+        mean("score_delta").alias("average_score_delta"),
+        mean("full_text_similarity").alias("average_text_similarity"),
+        mean("changed_field_count").alias("average_changed_field_count"),
+        F.round(F.count_if(F.col("changed_field_count") > 0) / F.count("*"), 4).alias("changed_field_rate"),
+    )

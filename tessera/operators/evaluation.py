@@ -16,9 +16,7 @@ REQUEST_TYPES = ["theory", "experiment", "mixed"]
 MAX_EXAMPLES, MAX_SOURCES, MAX_QUESTIONS = 2, 5, 3
 # The fields of an answer, and those that each kind of experiment needs.
 ANSWER = (
-    "struct<request_type:string,short_answer:string,explanation:string,examples:array<string>,certainty:string,source_ids:array<string>,experiment:struct<kind:string,reason:string,questions:array<string>,title:string,goal:string,"
-    "ingredients:array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>,equipment:array<string>,protective_equipment:array<string>,steps:array<string>,safety_notes:array<string>,"
-    "disposal:string,adult_supervision_required:boolean>>"
+    "struct<request_type:string,short_answer:string,explanation:string,examples:array<string>,certainty:string,source_ids:array<string>,experiment:struct<kind:string,reason:string,questions:array<string>,title:string,goal:string," "ingredients:array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>,equipment:array<string>,protective_equipment:array<string>,steps:array<string>,safety_notes:array<string>," "disposal:string,adult_supervision_required:boolean>>"
 )
 NEEDED_TEXTS = {"none": ["reason"], "clarification": ["reason"], "experiment": ["title", "goal", "disposal"]}
 NEEDED_LISTS = {"experiment": ["ingredients", "equipment", "protective_equipment", "steps", "safety_notes"]}
@@ -39,28 +37,48 @@ def score_answers(answers: DataFrame, cases: DataFrame) -> DataFrame:
     a, blob = F.col("answer"), answer_json(F.col("answer"))
     declared = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
     check = lambda when, name, ok: F.when(when, F.struct(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("passed")))
-    checks = F.array_compact(F.array(
-        check(F.lit(True), "parse_ok", a.isNotNull()),
-        check(declared(F.col("expected_request_type")), "request_type", F.array_contains("expected_request_type", a["request_type"])),
-        check(declared(F.col("expected_experiment_kind")), "experiment_kind", F.array_contains("expected_experiment_kind", a["experiment"]["kind"])),
-        check(declared(F.col("forbidden_phrases")), "forbidden_phrases", a.isNotNull() & ~F.exists("forbidden_phrases", lambda p: blob.contains(F.lower(p)))),
-        check(F.coalesce("forbid_concentration_patterns", F.lit(False)), "no_invented_concentration", a.isNull() | ~blob.rlike(CONCENTRATION)),
-    ))
+    checks = F.array_compact(
+        F.array(
+            check(F.lit(True), "parse_ok", a.isNotNull()),
+            check(declared(F.col("expected_request_type")), "request_type", F.array_contains("expected_request_type", a["request_type"])),
+            check(
+                declared(F.col("expected_experiment_kind")),
+                "experiment_kind",
+                F.array_contains("expected_experiment_kind", a["experiment"]["kind"]),
+            ),
+            check(
+                declared(F.col("forbidden_phrases")),
+                "forbidden_phrases",
+                a.isNotNull() & ~F.exists("forbidden_phrases", lambda p: blob.contains(F.lower(p))),
+            ),
+            check(
+                F.coalesce("forbid_concentration_patterns", F.lit(False)),
+                "no_invented_concentration",
+                a.isNull() | ~blob.rlike(CONCENTRATION),
+            ),
+        )
+    )
     out = answers.join(cases, "case_id").withColumn("checks", checks)
     out = out.withColumns({"passed_count": F.size(F.filter("checks", lambda c: c["passed"])), "total_count": F.size("checks")})
-    return out.withColumns({"score": F.round(F.col("passed_count") / F.col("total_count"), 4), "passed": F.col("passed_count") == F.col("total_count")})
+    return out.withColumns(
+        {"score": F.round(F.col("passed_count") / F.col("total_count"), 4), "passed": F.col("passed_count") == F.col("total_count")}
+    )
 
 
 def failed_checks(results: DataFrame) -> DataFrame:
     """Compact rows with the names of the checks that failed."""
-    return results.withColumn("failed_checks", F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["name"]), ", "))
+    return results.withColumn(
+        "failed_checks", F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["name"]), ", ")
+    )
 
 
 def summarize(results: DataFrame) -> DataFrame:
     """Average score, pass rate, cases; zeros without results."""
     return results.agg(
         F.coalesce(F.round(F.avg(F.col("score").cast("decimal(18,6)")), 4).cast("double"), F.lit(0.0)).alias("average_score"),
-        F.coalesce(F.round(F.count_if("passed") / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)).alias("pass_rate"), F.count("*").alias("case_count"))
+        F.coalesce(F.round(F.count_if("passed") / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)).alias("pass_rate"),
+        F.count("*").alias("case_count"),
+    )
 
 
 def require_unique(table: DataFrame, key: str) -> DataFrame:
@@ -78,18 +96,28 @@ def plan_runs(combos: DataFrame, cases: DataFrame, existing: DataFrame, mode: st
     """
     if mode not in ("all", "missing", "failed"):
         raise ValueError(f"unknown mode: {mode}")
-    have = latest(existing.where(F.col("execution_signature") == signature)).select("combo_id", "case_id", F.col("row_id").alias("existing_id"), F.col("passed").alias("existing_passed"))
+    have = latest(existing.where(F.col("execution_signature") == signature)).select(
+        "combo_id", "case_id", F.col("row_id").alias("existing_id"), F.col("passed").alias("existing_passed")
+    )
     # Every combo carries the list of cases, which an experiment keeps short; no join of rows without a key.
-    targets = combos.select("combo_id").join(F.broadcast(cases.agg(F.sort_array(F.collect_set("case_id")).alias("ids"))), F.lit(True)).select("combo_id", F.explode("ids").alias("case_id"))
+    targets = combos.select("combo_id").join(
+        F.broadcast(cases.agg(F.sort_array(F.collect_set("case_id")).alias("ids"))), F.lit(True)
+    ).select("combo_id", F.explode("ids").alias("case_id"))
     planned = targets.join(have, ["combo_id", "case_id"], "left")
-    run = {"all": F.lit(True), "missing": F.col("existing_id").isNull(), "failed": F.col("existing_id").isNotNull() & ~F.coalesce("existing_passed", F.lit(False))}
+    run = {
+        "all": F.lit(True),
+        "missing": F.col("existing_id").isNull(),
+        "failed": F.col("existing_id").isNotNull() & ~F.coalesce("existing_passed", F.lit(False)),
+    }
     return planned.withColumn("should_run", run[mode])
 
 
 def coverage(planned: DataFrame) -> DataFrame:
     """Cases done and missing of each combo; complete if none is missing."""
     missing = F.sort_array(F.collect_set(F.when(F.col("existing_id").isNull(), F.col("case_id"))))
-    return planned.groupBy("combo_id").agg(F.count("existing_id").alias("case_count"), missing.alias("missing_case_ids")).withColumn("complete", F.size("missing_case_ids") == 0)
+    return planned.groupBy("combo_id").agg(
+        F.count("existing_id").alias("case_count"), missing.alias("missing_case_ids")
+    ).withColumn("complete", F.size("missing_case_ids") == 0)
 
 
 def report_rows(rows: DataFrame, combos: DataFrame, cases: DataFrame, signature: str | None = None) -> DataFrame:
@@ -100,10 +128,16 @@ def report_rows(rows: DataFrame, combos: DataFrame, cases: DataFrame, signature:
 
 def artifact_tags(results: DataFrame, variant: str = "rag", rag: bool = True) -> DataFrame:
     """Tags and file name of each result."""
-    tags = F.array_compact(F.array(
-        F.lit(variant), F.lit("rag" if variant == "rag" and rag else "no_rag"), F.when(F.coalesce("validation_ok", F.lit(False)), "validation_ok").otherwise("validation_failed"),
-        F.when(F.coalesce("passed", F.lit(False)), "case_passed").otherwise("case_failed"), F.when(F.coalesce("raw_output", F.lit("")) == "", "empty_output"), F.when(F.col("answer").isNull(), "parse_error"),
-    ))
+    tags = F.array_compact(
+        F.array(
+            F.lit(variant),
+            F.lit("rag" if variant == "rag" and rag else "no_rag"),
+            F.when(F.coalesce("validation_ok", F.lit(False)), "validation_ok").otherwise("validation_failed"),
+            F.when(F.coalesce("passed", F.lit(False)), "case_passed").otherwise("case_failed"),
+            F.when(F.coalesce("raw_output", F.lit("")) == "", "empty_output"),
+            F.when(F.col("answer").isNull(), "parse_error"),
+        )
+    )
     name = F.concat_ws("__", F.col("run_id").cast("string"), "combo_id", F.regexp_replace(text.slug("case_id"), "-", "_"))
     return results.withColumns({"tags": tags, "artifact_file": F.concat(name, F.lit(".json"))})
 
@@ -117,31 +151,85 @@ def normalized_artifacts(results: DataFrame, scope: str, variant: str = "rag", r
     """
     a = F.col("answer")
     none = F.array().cast("array<string>")
-    r = artifact_tags(results, variant, rag).withColumns({"_short": text.text_block(a["short_answer"]), "_explanation": text.text_block(a["explanation"]), "_reason": text.text_block(a["experiment"]["reason"]), "_raw": text.text_block("raw_output")})
+    r = artifact_tags(results, variant, rag).withColumns(
+        {
+            "_short": text.text_block(a["short_answer"]),
+            "_explanation": text.text_block(a["explanation"]),
+            "_reason": text.text_block(a["experiment"]["reason"]),
+            "_raw": text.text_block("raw_output"),
+        }
+    )
     listed = lambda c: F.filter(F.transform(F.coalesce(c, none), text.review_text), lambda x: x != "")
-    r = r.withColumns({"_examples": listed(a["examples"]), "_questions": listed(a["experiment"]["questions"]), "source_ids": F.coalesce(a["source_ids"], none)})
+    r = r.withColumns(
+        {
+            "_examples": listed(a["examples"]),
+            "_questions": listed(a["experiment"]["questions"]),
+            "source_ids": F.coalesce(a["source_ids"], none),
+        }
+    )
     n = lambda c: F.col(f"{c}.normalized")
-    shown = {"short_answer": n("_short"), "explanation": n("_explanation"), "examples": F.array_join("_examples", "\n"), "experiment_reason": n("_reason"), "experiment_questions": F.array_join("_questions", "\n"), "raw_output": n("_raw")}
+    shown = {
+        "short_answer": n("_short"),
+        "explanation": n("_explanation"),
+        "examples": F.array_join("_examples", "\n"),
+        "experiment_reason": n("_reason"),
+        "experiment_questions": F.array_join("_questions", "\n"),
+        "raw_output": n("_raw"),
+    }
     r = r.withColumn("comparison_text", text.comparison_text(shown))
     lengths = F.struct(
-        F.col("_short.char_count").alias("short_answer_chars"), F.col("_short.word_count").alias("short_answer_words"), F.col("_explanation.char_count").alias("explanation_chars"), F.col("_explanation.word_count").alias("explanation_words"),
-        F.size(F.coalesce(a["examples"], none)).alias("example_count"), F.col("_reason.char_count").alias("experiment_reason_chars"), F.col("_raw.char_count").alias("raw_output_chars"), F.length("comparison_text").alias("comparison_chars"),
-        (F.col("_short.paragraph_count") + F.col("_explanation.paragraph_count") + F.col("_reason.paragraph_count")).alias("paragraph_count_total"),
-    )
+        F.col("_short.char_count").alias("short_answer_chars"),
+        F.col("_short.word_count").alias("short_answer_words"),
+        F.col("_explanation.char_count").alias("explanation_chars"),
+        F.col("_explanation.word_count").alias("explanation_words"),
+        F.size(F.coalesce(a["examples"], none)).alias("example_count"),
+        F.col("_reason.char_count").alias("experiment_reason_chars"),
+        F.col("_raw.char_count").alias("raw_output_chars"),
+        F.length("comparison_text").alias("comparison_chars"),
+        (
+            F.col("_short.paragraph_count") + F.col("_explanation.paragraph_count") + F.col("_reason.paragraph_count")
+        ).alias("paragraph_count_total"),
+    )
     ok = F.coalesce("validation_ok", F.lit(False))
     path = lambda kind: F.concat_ws("/", F.lit("runs"), F.lit(kind), F.lit(scope), "artifact_file").alias(kind)
     return r.select(
-        F.lit(scope).alias("scope"), F.col("run_id").alias("id"), F.col("run_id").alias("raw_run_id"), "combo_id", "case_id", "question", "created_at", "model", a.alias("parsed_answer"), "comparison_text",
-        F.struct("score", "passed", "passed_count", "total_count", F.round("duration_seconds", 4).alias("duration_seconds"), ok.alias("validation_ok")).alias("metrics"), "tags", "source_ids", F.size("source_ids").alias("source_count"),
-        a["request_type"].alias("request_type"), a["experiment"]["kind"].alias("experiment_kind"), lengths.alias("answer_lengths"), F.struct(a.isNull().alias("parse_error"), ok.alias("validation_ok"), (F.size("source_ids") > 0).alias("has_sources")).alias("review_flags"),
+        F.lit(scope).alias("scope"),
+        F.col("run_id").alias("id"),
+        F.col("run_id").alias("raw_run_id"),
+        "combo_id",
+        "case_id",
+        "question",
+        "created_at",
+        "model",
+        a.alias("parsed_answer"),
+        "comparison_text",
+        F.struct(
+            "score",
+            "passed",
+            "passed_count",
+            "total_count",
+            F.round("duration_seconds", 4).alias("duration_seconds"),
+            ok.alias("validation_ok"),
+        ).alias("metrics"),
+        "tags",
+        "source_ids",
+        F.size("source_ids").alias("source_count"),
+        a["request_type"].alias("request_type"),
+        a["experiment"]["kind"].alias("experiment_kind"),
+        lengths.alias("answer_lengths"),
+        F.struct(
+            a.isNull().alias("parse_error"), ok.alias("validation_ok"), (F.size("source_ids") > 0).alias("has_sources")
+        ).alias("review_flags"),
         F.struct(path("raw"), path("normalized")).alias("artifact_paths"),
-    )
+    )
 
 
 def upsert_results(results: DataFrame, changes: DataFrame) -> DataFrame:
     """The latest result of each (experiment, combo), with the status that its score gives."""
     every = results.unionByName(changes)
-    last = every.groupBy("experiment_id", "combo_id").agg(F.max_by(F.struct("score", "subject_score", "updated_at"), F.col("updated_at")).alias("r")).select("experiment_id", "combo_id", "r.*")
+    last = every.groupBy("experiment_id", "combo_id").agg(
+        F.max_by(F.struct("score", "subject_score", "updated_at"), F.col("updated_at")).alias("r")
+    ).select("experiment_id", "combo_id", "r.*")
     return last.withColumn("status", F.when(F.col("score") >= STABLE_SCORE, "stable").otherwise("needs_work"))
 
 
@@ -149,7 +237,13 @@ def experiment_scores(results: DataFrame) -> DataFrame:
     """Averages, best and worst of each experiment's results."""
     mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,6)")), 4).cast("double")
     return results.groupBy("experiment_id").agg(
-        F.count("*").alias("tested_combo_count"), mean("score").alias("average_score"), F.max("score").alias("best_score"), F.min("score").alias("worst_score"), mean("subject_score").alias("average_subject_score"), F.count("subject_score").alias("subject_score_count"))
+        F.count("*").alias("tested_combo_count"),
+        mean("score").alias("average_score"),
+        F.max("score").alias("best_score"),
+        F.min("score").alias("worst_score"),
+        mean("subject_score").alias("average_subject_score"),
+        F.count("subject_score").alias("subject_score_count"),
+    )
 
 
 def answer_problems(a: Column, request_types: list[str] = REQUEST_TYPES) -> Column:
@@ -159,21 +253,40 @@ def answer_problems(a: Column, request_types: list[str] = REQUEST_TYPES) -> Colu
     among = lambda c, values: F.coalesce(c.isin(values), F.lit(False))
     e = a["experiment"]
     is_kind = lambda k: F.coalesce(e["kind"] == k, F.lit(False))
-    rules = [("request_type", ~among(a["request_type"], request_types)), ("short_answer", empty(a["short_answer"])), ("explanation", empty(a["explanation"])), ("examples", count(a["examples"]) > MAX_EXAMPLES),
-        ("certainty", ~among(a["certainty"], CERTAINTIES)), ("source_ids", count(a["source_ids"]) > MAX_SOURCES), ("experiment.kind", ~among(e["kind"], EXPERIMENT_KINDS)), ("experiment.questions", is_kind("clarification") & ~count(e["questions"]).between(1, MAX_QUESTIONS))]
+    rules = [
+        ("request_type", ~among(a["request_type"], request_types)),
+        ("short_answer", empty(a["short_answer"])),
+        ("explanation", empty(a["explanation"])),
+        ("examples", count(a["examples"]) > MAX_EXAMPLES),
+        ("certainty", ~among(a["certainty"], CERTAINTIES)),
+        ("source_ids", count(a["source_ids"]) > MAX_SOURCES),
+        ("experiment.kind", ~among(e["kind"], EXPERIMENT_KINDS)),
+        ("experiment.questions", is_kind("clarification") & ~count(e["questions"]).between(1, MAX_QUESTIONS)),
+    ]
     for kind, fields in NEEDED_TEXTS.items():
         rules += [(f"experiment.{f}", is_kind(kind) & empty(e[f])) for f in fields]
     for kind, fields in NEEDED_LISTS.items():
         rules += [(f"experiment.{f}", is_kind(kind) & (count(e[f]) == 0)) for f in fields]
-    plan, parts = is_kind("experiment"), F.coalesce(e["ingredients"], F.array().cast("array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>"))
+    plan, parts = is_kind("experiment"), F.coalesce(
+        e["ingredients"],
+        F.array().cast("array<struct<name:string,formula:string,amount:string,is_solution:boolean,concentration:string,purpose:string>>"),
+    )
     rules += [
         ("experiment.adult_supervision_required", plan & e["adult_supervision_required"].isNull()),
-        ("experiment.ingredients.fields", plan & F.exists(parts, lambda x: empty(x["name"]) | empty(x["amount"]) | empty(x["purpose"]) | x["is_solution"].isNull())),
-        ("experiment.ingredients.concentration", plan & F.exists(parts, lambda x: F.coalesce(x["is_solution"], F.lit(False)) & empty(x["concentration"]))),
-    ]
+        (
+            "experiment.ingredients.fields",
+            plan & F.exists(parts, lambda x: empty(x["name"]) | empty(x["amount"]) | empty(x["purpose"]) | x["is_solution"].isNull()),
+        ),
+        (
+            "experiment.ingredients.concentration",
+            plan & F.exists(parts, lambda x: F.coalesce(x["is_solution"], F.lit(False)) & empty(x["concentration"])),
+        ),
+    ]
     return F.array_compact(F.array(F.when(a.isNull(), "missing"), *[F.when(a.isNotNull() & rule, name) for name, rule in rules]))
 
 
 def validate_answers(answers: DataFrame, request_types: list[str] = REQUEST_TYPES) -> DataFrame:
     """broken_rules and valid for each ``answer`` (of type ANSWER)."""
-    return answers.withColumn("broken_rules", answer_problems(F.col("answer"), request_types)).withColumn("valid", F.size("broken_rules") == 0)
+    return answers.withColumn(
+        "broken_rules", answer_problems(F.col("answer"), request_types)
+    ).withColumn("valid", F.size("broken_rules") == 0)

@@ -35,7 +35,9 @@ def _empty(df: DataFrame, *names: str) -> DataFrame:
 def archived(status: str | None = None) -> Column:
     """By flag, by status, or by tag."""
     by_tag = F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "archived")
-    return F.coalesce("archived", F.lit(False)) | by_tag | (F.coalesce(F.col(status) == "archived", F.lit(False)) if status else F.lit(False))
+    return F.coalesce("archived", F.lit(False)) | by_tag | (
+        F.coalesce(F.col(status) == "archived", F.lit(False)) if status else F.lit(False)
+    )
 
 
 def listing(table: DataFrame, **equal: str | None) -> DataFrame:
@@ -65,7 +67,9 @@ def lineage(nodes: DataFrame) -> DataFrame:
             return state.select("id", F.reverse("path").alias("lineage_ids"), (F.size("path") - 1).alias("depth"))
         above = state.select(F.col("id").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
         # A parent that is not in the table ends the lineage.
-        state = state.join(above, "up", "left").select("id", F.concat("path", F.coalesce("_path", F.array().cast(dict(above.dtypes)["_path"]))).alias("path"), F.col("_up").alias("up"))
+        state = state.join(above, "up", "left").select(
+            "id", F.concat("path", F.coalesce("_path", F.array().cast(dict(above.dtypes)["_path"]))).alias("path"), F.col("_up").alias("up")
+        )
         state = save(state)
     raise ValueError("a lineage is a cycle")
 
@@ -73,11 +77,22 @@ def lineage(nodes: DataFrame) -> DataFrame:
 def tree_listing(nodes: DataFrame) -> DataFrame:
     """tree_id, position, depth, line: each tree in depth-first order, brothers by created_at, a line a node."""
     lines = lineage(nodes)
-    above = lines.select("id", "depth", F.posexplode("lineage_ids").alias("p", "ancestor")).join(nodes.select(F.col("id").alias("ancestor"), F.col("created_at").alias("at")), "ancestor")
-    keys = above.groupBy("id", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "at", "ancestor"))), lambda x: F.struct(x["at"].alias("at"), x["ancestor"].alias("id"))).alias("key"))
-    line = F.concat(F.repeat(F.lit("    "), F.col("depth")), F.lit("- "), F.col("id").cast("string"), F.lit(" ["), "branch", F.lit("] "), "title")
+    above = lines.select("id", "depth", F.posexplode("lineage_ids").alias("p", "ancestor")).join(
+        nodes.select(F.col("id").alias("ancestor"), F.col("created_at").alias("at")), "ancestor"
+    )
+    keys = above.groupBy("id", "depth").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("p", "at", "ancestor"))),
+            lambda x: F.struct(x["at"].alias("at"), x["ancestor"].alias("id")),
+        ).alias("key")
+    )
+    line = F.concat(
+        F.repeat(F.lit("    "), F.col("depth")), F.lit("- "), F.col("id").cast("string"), F.lit(" ["), "branch", F.lit("] "), "title"
+    )
     rows = nodes.select("id", "tree_id", "branch", "title").join(keys, "id").withColumn("line", line)
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("tree_id").orderBy("key"))).select("tree_id", "position", "id", "depth", "line")
+    return rows.withColumn(
+        "position", F.row_number().over(Window.partitionBy("tree_id").orderBy("key"))
+    ).select("tree_id", "position", "id", "depth", "line")
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -90,9 +105,13 @@ def prompt_usage(nodes: DataFrame, combos: DataFrame, experiments: DataFrame) ->
     used = combo_prompts(combos).withColumnRenamed("prompt_id", "id")
     by_combo = used.groupBy("id").agg(_ids("combo_id").alias("combo_ids"))
     by_exp = used.join(experiment_combos(experiments), "combo_id").groupBy("id").agg(_ids("experiment_id").alias("experiment_ids"))
-    out = nodes.join(children(nodes), "id", "left").join(by_combo, "id", "left").join(by_exp, "id", "left").join(lineage(nodes), "id", "left")
+    out = nodes.join(
+        children(nodes), "id", "left"
+    ).join(by_combo, "id", "left").join(by_exp, "id", "left").join(lineage(nodes), "id", "left")
     out = _empty(out, "child_prompt_ids", "combo_ids", "experiment_ids").withColumn("is_archived", archived())
-    return out.withColumns({"child_count": F.size("child_prompt_ids"), "combo_count": F.size("combo_ids"), "experiment_count": F.size("experiment_ids")})
+    return out.withColumns(
+        {"child_count": F.size("child_prompt_ids"), "combo_count": F.size("combo_ids"), "experiment_count": F.size("experiment_ids")}
+    )
 
 
 def combo_experiments(experiments: DataFrame) -> DataFrame:
@@ -104,11 +123,20 @@ def combo_experiments(experiments: DataFrame) -> DataFrame:
 
 def combo_usage(combos: DataFrame, nodes: DataFrame, experiments: DataFrame, runs: DataFrame) -> DataFrame:
     """Members by role with titles, missing prompts, experiments, results, runs, derived combos of each combo."""
-    n = nodes.select(F.col("id").alias("prompt_id"), F.col("title").alias("prompt_title"), F.col("type").alias("prompt_type"), F.lit(True).alias("_there"))
+    n = nodes.select(
+        F.col("id").alias("prompt_id"),
+        F.col("title").alias("prompt_title"),
+        F.col("type").alias("prompt_type"),
+        F.lit(True).alias("_there"),
+    )
     member = F.struct("role", "prompt_id", "prompt_title", "prompt_type", F.coalesce("_there", F.lit(False)).alias("prompt_exists"))
     members = combo_prompts(combos).join(n, "prompt_id", "left").groupBy("combo_id").agg(
-        F.sort_array(F.collect_list(member)).alias("members"), F.sort_array(F.collect_set(F.when(F.col("_there").isNull(), F.col("prompt_id")))).alias("missing_prompt_ids"))
-    derived = combos.where("base_combo_id is not null and base_combo_id <> id").groupBy(F.col("base_combo_id").alias("combo_id")).agg(_ids("id").alias("derived_combo_ids"))
+        F.sort_array(F.collect_list(member)).alias("members"),
+        F.sort_array(F.collect_set(F.when(F.col("_there").isNull(), F.col("prompt_id")))).alias("missing_prompt_ids"),
+    )
+    derived = combos.where(
+        "base_combo_id is not null and base_combo_id <> id"
+    ).groupBy(F.col("base_combo_id").alias("combo_id")).agg(_ids("id").alias("derived_combo_ids"))
     ran = runs.groupBy("combo_id").agg(F.count("*").alias("run_count"))
     out = combos.withColumnRenamed("id", "combo_id")
     for part in (members, combo_experiments(experiments), derived, ran):
@@ -120,11 +148,21 @@ def combo_usage(combos: DataFrame, nodes: DataFrame, experiments: DataFrame, run
 def experiment_summary(experiments: DataFrame, combos: DataFrame, runs: DataFrame) -> DataFrame:
     """Combos, tested, untested and missing combos, runs of each experiment."""
     known = combos.select(F.col("id").alias("combo_id"), F.lit(True).alias("_there"))
-    parts = experiment_combos(experiments).join(known, "combo_id", "left").groupBy("experiment_id").agg(F.count("*").alias("combo_count"), F.sort_array(F.collect_set(F.when(F.col("_there").isNull(), F.col("combo_id")))).alias("missing_combo_ids"))
+    parts = experiment_combos(experiments).join(known, "combo_id", "left").groupBy("experiment_id").agg(
+        F.count("*").alias("combo_count"),
+        F.sort_array(F.collect_set(F.when(F.col("_there").isNull(), F.col("combo_id")))).alias("missing_combo_ids"),
+    )
     ran = runs.groupBy("experiment_id").agg(F.count("*").alias("run_count"))
-    out = experiments.select(F.col("id").alias("experiment_id"), F.size("results").alias("tested_combo_count"), archived("status").alias("is_archived")).join(parts, "experiment_id", "left").join(ran, "experiment_id", "left")
+    out = experiments.select(
+        F.col("id").alias("experiment_id"), F.size("results").alias("tested_combo_count"), archived("status").alias("is_archived")
+    ).join(parts, "experiment_id", "left").join(ran, "experiment_id", "left")
     out = _empty(out, "missing_combo_ids").fillna({"combo_count": 0, "run_count": 0})
-    return out.withColumns({"untested_combo_count": F.greatest(F.col("combo_count") - F.col("tested_combo_count"), F.lit(0)), "missing_combo_count": F.size("missing_combo_ids")})
+    return out.withColumns(
+        {
+            "untested_combo_count": F.greatest(F.col("combo_count") - F.col("tested_combo_count"), F.lit(0)),
+            "missing_combo_count": F.size("missing_combo_ids"),
+        }
+    )
 
 
 def composition(experiments: DataFrame, combos: DataFrame) -> DataFrame:
@@ -143,7 +181,9 @@ def results_table(experiments: DataFrame, combos: DataFrame, nodes: DataFrame) -
 
 def prompt_totals(combos: DataFrame, nodes: DataFrame) -> DataFrame:
     """Words, characters and sentences over the prompts of each combo."""
-    s = nodes.select(F.col("id").alias("prompt_id"), text.prompt_stats("text").alias("s")).select("prompt_id", "s.word_count", "s.char_count", "s.sentence_count")
+    s = nodes.select(
+        F.col("id").alias("prompt_id"), text.prompt_stats("text").alias("s")
+    ).select("prompt_id", "s.word_count", "s.char_count", "s.sentence_count")
     sums = combo_prompts(combos).join(s, "prompt_id", "left").groupBy("combo_id")
     return sums.agg(*[F.coalesce(F.sum(f"{k}_count"), F.lit(0)).alias(f"total_{k}_count") for k in ("word", "char", "sentence")])
 
@@ -165,12 +205,16 @@ def generate_combos(pools: dict[str, DataFrame], existing: DataFrame, limit: int
         pool = ids.toDF(role)
         out = pool if out is None else out.join(pool, F.lit(True))
     made = out.select(F.create_map(*[x for role in pools for x in (F.lit(role), F.col(role))]).alias("prompt_ids"))
-    return made.withColumn("combo_key", combo_key(F.col("prompt_ids"))).join(existing.select(combo_key(F.col("prompt_ids")).alias("combo_key")), "combo_key", "left_anti")
+    return made.withColumn("combo_key", combo_key(F.col("prompt_ids"))).join(
+        existing.select(combo_key(F.col("prompt_ids")).alias("combo_key")), "combo_key", "left_anti"
+    )
 
 
 def find_combo(combos: DataFrame, wanted: DataFrame) -> DataFrame:
     """Combos with the same role map as each wanted one."""
-    return wanted.withColumn("combo_key", combo_key(F.col("prompt_ids"))).join(combos.select(F.col("id").alias("combo_id"), combo_key(F.col("prompt_ids")).alias("combo_key")), "combo_key")
+    return wanted.withColumn("combo_key", combo_key(F.col("prompt_ids"))).join(
+        combos.select(F.col("id").alias("combo_id"), combo_key(F.col("prompt_ids")).alias("combo_key")), "combo_key"
+    )
 
 
 def untested(combos: DataFrame, experiments: DataFrame, *, unassigned: bool = False) -> DataFrame:
@@ -197,13 +241,20 @@ def prompt_dependencies(usage: DataFrame) -> DataFrame:
 def combo_dependencies(usage: DataFrame) -> DataFrame:
     """What keeps a combo from deletion."""
     b = _blockers(
-        not_archived=~F.col("is_archived"), used_by_experiments=F.size("experiment_ids") > 0, has_recorded_results=F.size("result_experiment_ids") > 0, has_recorded_runs=F.col("run_count") > 0, has_derived_combos=F.size("derived_combo_ids") > 0)
+        not_archived=~F.col("is_archived"),
+        used_by_experiments=F.size("experiment_ids") > 0,
+        has_recorded_results=F.size("result_experiment_ids") > 0,
+        has_recorded_runs=F.col("run_count") > 0,
+        has_derived_combos=F.size("derived_combo_ids") > 0,
+    )
     return usage.withColumn("blockers", b).withColumn("safe_to_delete", F.size("blockers") == 0)
 
 
 def experiment_dependencies(summary: DataFrame) -> DataFrame:
     """What keeps an experiment from deletion."""
-    b = _blockers(not_archived=~F.col("is_archived"), has_recorded_results=F.col("tested_combo_count") > 0, has_recorded_runs=F.col("run_count") > 0)
+    b = _blockers(
+        not_archived=~F.col("is_archived"), has_recorded_results=F.col("tested_combo_count") > 0, has_recorded_runs=F.col("run_count") > 0
+    )
     return summary.withColumn("blockers", b).withColumn("safe_to_delete", F.size("blockers") == 0)
 
 
@@ -219,16 +270,38 @@ def snapshot(pairs: DataFrame, combos: DataFrame, nodes: DataFrame) -> DataFrame
     more = {"fewshot_id": F.lit(None).cast(kind), "selected_example_ids": F.array().cast("array<string>")}
     pairs = pairs.withColumns({c: v for c, v in more.items() if c not in pairs.columns})
     s = pairs.join(base, "base_combo_id", "left").join(active, "active_combo_id", "left")
-    changed = F.array_sort(F.transform(F.filter(F.map_entries("active_prompts"), lambda e: ~F.try_element_at("base_prompts", e["key"]).eqNullSafe(e["value"])), lambda e: e["key"]))
+    changed = F.array_sort(
+        F.transform(
+            F.filter(F.map_entries("active_prompts"), lambda e: ~F.try_element_at("base_prompts", e["key"]).eqNullSafe(e["value"])),
+            lambda e: e["key"],
+        )
+    )
     s = s.withColumn("changed_roles", F.coalesce(changed, F.array().cast("array<string>")))
     own = F.struct(F.col("id").alias("id"), "title", "type", "tree_id", "parent_id").alias("node")
-    node = nodes.select(F.col("id").alias("prompt_id"), own).join(lineage(nodes).select(F.col("id").alias("prompt_id"), "lineage_ids"), "prompt_id")
+    node = nodes.select(F.col("id").alias("prompt_id"), own).join(
+        lineage(nodes).select(F.col("id").alias("prompt_id"), "lineage_ids"), "prompt_id"
+    )
     key = ["base_combo_id", "active_combo_id"]
     roles = s.select(*key, F.explode("active_prompts").alias("role", "prompt_id")).join(node, "prompt_id", "left")
-    roles = roles.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("role", "prompt_id", "node", F.coalesce("lineage_ids", F.array().cast(f"array<{kind}>")).alias("lineage_ids")))).alias("roles"))
+    roles = roles.groupBy(*key).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct("role", "prompt_id", "node", F.coalesce("lineage_ids", F.array().cast(f"array<{kind}>")).alias("lineage_ids"))
+            )
+        ).alias("roles")
+    )
     few = node.select(F.col("prompt_id").alias("fewshot_id"), F.col("node").alias("_node"), F.col("lineage_ids").alias("_line"))
     out = s.join(roles, key, "left").join(few, "fewshot_id", "left")
-    fewshot = F.when(F.col("fewshot_id").isNotNull(), F.struct(F.col("fewshot_id").alias("prompt_id"), F.col("_node").isNull().alias("missing"), F.col("_node").alias("node"), F.col("_line").alias("lineage_ids"), "selected_example_ids"))
+    fewshot = F.when(
+        F.col("fewshot_id").isNotNull(),
+        F.struct(
+            F.col("fewshot_id").alias("prompt_id"),
+            F.col("_node").isNull().alias("missing"),
+            F.col("_node").alias("node"),
+            F.col("_line").alias("lineage_ids"),
+            "selected_example_ids",
+        ),
+    )
     out = out.withColumn("fewshot", fewshot).drop("_node", "_line")
     return out.withColumn("snapshot_hash", F.substring(F.sha2(F.to_json(F.struct(*key, "changed_roles", "roles", "fewshot")), 256), 1, 16))
 
@@ -238,7 +311,12 @@ def display_title() -> Column:
     clean = lambda c: F.nullif(text.inline_text(c), F.lit(""))
     kind = F.coalesce(F.nullif(text.strip(F.coalesce(F.col("type").cast("string"), F.lit(""))), F.lit("")), F.lit("prompt"))
     role = F.coalesce(F.nullif(text.strip(F.coalesce("prompt_role", F.lit(""))), F.lit("")), kind)
-    return F.coalesce(clean("display_title"), F.when(F.col("kind") == "context_variant", F.concat(F.lit("Contextual "), role, F.lit(" prompt"))), clean("title"), F.concat(F.initcap(kind), F.lit(" prompt")))
+    return F.coalesce(
+        clean("display_title"),
+        F.when(F.col("kind") == "context_variant", F.concat(F.lit("Contextual "), role, F.lit(" prompt"))),
+        clean("title"),
+        F.concat(F.initcap(kind), F.lit(" prompt")),
+    )
 
 
 def description() -> Column:
@@ -246,7 +324,13 @@ def description() -> Column:
     kind = F.coalesce(F.nullif(text.strip(F.coalesce(F.col("type").cast("string"), F.lit(""))), F.lit("")), F.lit("prompt"))
     role = F.coalesce(F.nullif(text.strip(F.coalesce("prompt_role", F.lit(""))), F.lit("")), kind)
     of = F.nullif(text.strip(F.coalesce(F.col("parent_id").cast("string"), F.lit(""))), F.lit(""))
-    made = F.concat(F.lit("Auto-generated contextual "), role, F.lit(" prompt"), F.when(of.isNotNull(), F.concat(F.lit(" derived from "), of)).otherwise(""), F.lit("."))
+    made = F.concat(
+        F.lit("Auto-generated contextual "),
+        role,
+        F.lit(" prompt"),
+        F.when(of.isNotNull(), F.concat(F.lit(" derived from "), of)).otherwise(""),
+        F.lit("."),
+    )
     return F.coalesce(F.nullif(text.inline_text("description"), F.lit("")), F.when(F.col("kind") == "context_variant", made), F.lit(""))
 
 
@@ -257,12 +341,35 @@ def combo_details(usage: DataFrame, prompts: DataFrame, experiments: DataFrame)
     it with its usage). Rows instead of nested lists, so that a combo of a third of all experiments fills no single row.
     """
     kind = "string"
-    member = usage.select("combo_id", F.explode("members").alias("m")).select("combo_id", F.lit("prompt").alias("part"), F.col("m.role").alias("role"), F.col("m.prompt_id").alias("id"))
-    p = prompts.select("id", F.to_json(F.struct("title", "type", "child_count", "combo_count", "experiment_count", "depth", "is_archived")).alias("summary"))
-    held = usage.select("combo_id", F.lit("experiment").alias("part"), F.lit(None).cast("string").alias("role"), F.explode("experiment_ids").alias("experiment_id"))
-    e = experiments.select("experiment_id", F.to_json(F.struct("combo_count", "tested_combo_count", "untested_combo_count", "missing_combo_count", "run_count", "is_archived")).alias("summary"))
-    derived = usage.select("combo_id", F.lit("derived").alias("part"), F.lit(None).cast("string").alias("role"), F.explode("derived_combo_ids").alias("derived_id"))
-    c = usage.select(F.col("combo_id").alias("derived_id"), F.to_json(F.struct("status", F.size("experiment_ids").alias("experiment_count"), "run_count", "is_archived")).alias("summary"))
+    member = usage.select("combo_id", F.explode("members").alias("m")).select(
+        "combo_id", F.lit("prompt").alias("part"), F.col("m.role").alias("role"), F.col("m.prompt_id").alias("id")
+    )
+    p = prompts.select(
+        "id",
+        F.to_json(F.struct("title", "type", "child_count", "combo_count", "experiment_count", "depth", "is_archived")).alias("summary"),
+    )
+    held = usage.select(
+        "combo_id",
+        F.lit("experiment").alias("part"),
+        F.lit(None).cast("string").alias("role"),
+        F.explode("experiment_ids").alias("experiment_id"),
+    )
+    e = experiments.select(
+        "experiment_id",
+        F.to_json(
+            F.struct("combo_count", "tested_combo_count", "untested_combo_count", "missing_combo_count", "run_count", "is_archived")
+        ).alias("summary"),
+    )
+    derived = usage.select(
+        "combo_id",
+        F.lit("derived").alias("part"),
+        F.lit(None).cast("string").alias("role"),
+        F.explode("derived_combo_ids").alias("derived_id"),
+    )
+    c = usage.select(
+        F.col("combo_id").alias("derived_id"),
+        F.to_json(F.struct("status", F.size("experiment_ids").alias("experiment_count"), "run_count", "is_archived")).alias("summary"),
+    )
     return (
         member.join(p, "id", "left").select("combo_id", "part", "role", F.col("id").cast(kind).alias("key"), "summary")
         .union(held.join(e, "experiment_id").select("combo_id", "part", "role", F.col("experiment_id").cast(kind), "summary"))
@@ -272,16 +379,27 @@ def combo_details(usage: DataFrame, prompts: DataFrame, experiments: DataFrame)
 
 def prompt_details(usage: DataFrame) -> DataFrame:
     """Each node's usage with its children as nested rows."""
-    child = usage.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "title", "type"))).alias("child_rows"))
+    child = usage.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("id", "title", "type"))).alias("child_rows")
+    )
     return _empty(usage.join(child, "id", "left"), "child_rows")
 
 
 def workspace_counts(nodes: DataFrame, combos: DataFrame, experiments: DataFrame) -> DataFrame:
     """Totals and archived ones of each kind, unreadable prompts, prompts found by path only, active experiments."""
     fallback = F.coalesce("used_path_fallback", F.lit(False)) if "used_path_fallback" in nodes.columns else F.lit(False)
-    n = nodes.agg(F.count("*").alias("prompt_count"), F.count_if(archived()).alias("archived_prompt_count"), F.count_if(F.col("text").isNull()).alias("unreadable_prompt_count"), F.count_if(fallback).alias("prompt_path_fallback_count"))
+    n = nodes.agg(
+        F.count("*").alias("prompt_count"),
+        F.count_if(archived()).alias("archived_prompt_count"),
+        F.count_if(F.col("text").isNull()).alias("unreadable_prompt_count"),
+        F.count_if(fallback).alias("prompt_path_fallback_count"),
+    )
     c = combos.agg(F.count("*").alias("combo_count"), F.count_if(archived("status")).alias("archived_combo_count"))
-    e = experiments.agg(F.count("*").alias("experiment_count"), F.count_if(archived("status")).alias("archived_experiment_count"), F.count_if(F.col("status") == "active").alias("active_experiment_count"))
+    e = experiments.agg(
+        F.count("*").alias("experiment_count"),
+        F.count_if(archived("status")).alias("archived_experiment_count"),
+        F.count_if(F.col("status") == "active").alias("active_experiment_count"),
+    )
     return n.join(c, F.lit(True)).join(e, F.lit(True))
 
 
@@ -297,17 +415,39 @@ def all_experiments(indexed: DataFrame, found: DataFrame) -> DataFrame:
 
 # Titles of the context blocks by prompt role.
 CONTEXT_TITLES = {
-    "system": ("## {name} context additions\nThese additions were generated automatically from StudentContext and TeacherContext.\n\n", ("Teacher Context", "teacher"), ("Student Context", "student")),
-    "user": ("## {name} request context additions\nUse these additions as stable context for the next student question.\n\n", ("Student Context", "student"), ("Teacher Response Preferences", "teacher")),
+    "system": (
+        "## {name} context additions\nThese additions were generated automatically from StudentContext and TeacherContext.\n\n",
+        ("Teacher Context", "teacher"),
+        ("Student Context", "student"),
+    ),
+    "user": (
+        "## {name} request context additions\nUse these additions as stable context for the next student question.\n\n",
+        ("Student Context", "student"),
+        ("Teacher Response Preferences", "teacher"),
+    ),
 }
 
 
 def _context_block(title: str, values: dict[str, Column]) -> Column:
-    lines = [F.when(text.strip(F.coalesce(v.cast("string"), F.lit(""))) != "", F.concat(F.lit(f"- {k.replace('_', ' ').title()}: "), text.strip(v.cast("string")))) for k, v in values.items()]
+    lines = [
+        F.when(
+            text.strip(F.coalesce(v.cast("string"), F.lit(""))) != "",
+            F.concat(F.lit(f"- {k.replace('_', ' ').title()}: "), text.strip(v.cast("string"))),
+        )
+        for k, v in values.items()
+    ]
     return F.concat_ws("\n", F.lit(f"### {title}"), *lines)
 
 
-def render_prompt(base: Column, role: str, student: dict[str, Column], teacher: dict[str, Column], placeholders: dict[str, Column], runtime: tuple[str, ...] = ("question",), name: str = "Prompt") -> Column:
+def render_prompt(
+    base: Column,
+    role: str,
+    student: dict[str, Column],
+    teacher: dict[str, Column],
+    placeholders: dict[str, Column],
+    runtime: tuple[str, ...] = ("question", ),
+    name: str = "Prompt",
+) -> Column:
     """known placeholders filled, context blocks appended under ``name``, other braces doubled; runtime placeholders stay."""
     t = base
     for key, value in placeholders.items():
@@ -330,7 +470,11 @@ def similarity_text(mode: str) -> Column:
     if mode == "title":
         return text.strip(F.concat(F.lit("TITLE\n"), value("title"), F.lit("\n\nPROMPT\n"), body))
     if mode == "metadata":
-        lines = F.concat_ws("\n", *[F.concat(F.lit(f"{c}="), value(c)) for c in ("id", "title", "type", "tree_id", "branch")], F.concat(F.lit("tags="), F.array_join("tags", ", ")))
+        lines = F.concat_ws(
+            "\n",
+            *[F.concat(F.lit(f"{c}="), value(c)) for c in ("id", "title", "type", "tree_id", "branch")],
+            F.concat(F.lit("tags="), F.array_join("tags", ", ")),
+        )
         return text.strip(F.concat(F.lit("METADATA\n"), lines, F.lit("\n\nPROMPT\n"), body))
     raise ValueError(f"unknown mode: {mode}")
 
@@ -344,12 +488,21 @@ def fewshot_examples(sets: DataFrame, request_types: list[str] = REQUEST_TYPES)
     listed = F.startswith(text.strip(F.coalesce("text", F.lit(""))), F.lit("["))
     parsed = sets.select("set_id", F.when(listed, F.from_json("text", kind)).alias("x"))
     none = [F.lit(None).cast("string").alias(c) for c in ("example_id", "question", "answer")]
-    bad = parsed.where("x is null or size(x) = 0").select("set_id", *none, F.when(F.col("x").isNull(), "not a JSON list").otherwise("no examples").alias("problem"))
+    bad = parsed.where("x is null or size(x) = 0").select(
+        "set_id", *none, F.when(F.col("x").isNull(), "not a JSON list").otherwise("no examples").alias("problem")
+    )
     rows = parsed.where("size(x) > 0").select("set_id", F.posexplode("x").alias("i", "e"))
     broken = answer_problems(F.col("e.answer"), request_types)
     problem = (
-        F.when(F.col("e.input").isNull(), "no input").when(F.col("e.answer").isNull(), "no answer").when(~F.map_contains_key("e.input", F.lit("question")), "no input.question")
-        .when(F.size(broken) > 0, F.concat(F.lit("answer: "), F.array_join(broken, ",")))
-    )
-    good = rows.select("set_id", F.coalesce("e.id", F.concat(F.lit("example_"), (F.col("i") + 1).cast("string"))).alias("example_id"), F.try_element_at("e.input", F.lit("question")).alias("question"), F.to_json("e.answer").alias("answer"), problem.alias("problem"))
+        F.when(F.col("e.input").isNull(), "no input").when(F.col("e.answer").isNull(), "no answer").when(
+            ~F.map_contains_key("e.input", F.lit("question")), "no input.question"
+        ).when(F.size(broken) > 0, F.concat(F.lit("answer: "), F.array_join(broken, ",")))
+    )
+    good = rows.select(
+        "set_id",
+        F.coalesce("e.id", F.concat(F.lit("example_"), (F.col("i") + 1).cast("string"))).alias("example_id"),
+        F.try_element_at("e.input", F.lit("question")).alias("question"),
+        F.to_json("e.answer").alias("answer"),
+        problem.alias("problem"),
+    )
     return good.union(bad)

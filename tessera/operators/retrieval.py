@@ -53,7 +53,11 @@ def flat_metadata(rows: DataFrame, columns: list[str]) -> Column:
 def manifest(source: DataFrame, index: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
     """Counts, vector size and a hash over ids and contents; the counts must agree."""
     a = source.agg(F.count("*").alias("source_count"), F.count_if("default_retrieval").alias("default_count"))
-    b = index.agg(F.count("*").alias("indexed_count"), F.max(F.size(vector)).alias("vector_dimension"), F.bit_xor(F.xxhash64(key)).alias("content_hash"))
+    b = index.agg(
+        F.count("*").alias("indexed_count"),
+        F.max(F.size(vector)).alias("vector_dimension"),
+        F.bit_xor(F.xxhash64(key)).alias("content_hash"),
+    )
     return a.join(b, F.lit(True)).withColumn("complete", F.col("source_count") == F.col("indexed_count"))
 
 
@@ -92,7 +96,9 @@ def _nearest(shared, k: int, metric: str):
                 q, c = np.nonzero(d <= far[:, None])
                 found.append((q + start, d[q, c], chunk[c]))
             best = _first_k(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[best[0]]), "chunk_id": pa.array(best[2].astype(np.int64)), "distance": pa.array(best[1])})
+        yield pa.RecordBatch.from_pydict(
+            {"query_id": pa.array(ids[best[0]]), "chunk_id": pa.array(best[2].astype(np.int64)), "distance": pa.array(best[1])}
+        )
 
     return run
 
@@ -116,7 +122,9 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2
         own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toArrow()
         vectors = np.stack(own["vector"].to_numpy()) if own.num_rows else np.empty((0, size))
         shared = spark.sparkContext.broadcast((own["query_id"].to_numpy(), vectors))
-        best = rows.mapInArrow(_nearest(shared, k, metric), "query_id long, chunk_id long, distance double").withColumn("rank", rank).where(F.col("rank") <= k)
+        best = rows.mapInArrow(
+            _nearest(shared, k, metric), "query_id long, chunk_id long, distance double"
+        ).withColumn("rank", rank).where(F.col("rank") <= k)
         found.append(best if passes == 1 else save(best))
     return reduce(lambda a, b: a.union(b), found)
 
@@ -124,7 +132,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2
 def section_key() -> Column:
     """Parent section, else section, else chapter and section numbers."""
     blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
-    return F.coalesce(blank("parent_section_id"), blank("section_id"), F.concat_ws(":", F.coalesce("chapter_number", F.lit("")), F.coalesce("section_number", F.lit(""))))
+    return F.coalesce(
+        blank("parent_section_id"),
+        blank("section_id"),
+        F.concat_ws(":", F.coalesce("chapter_number", F.lit("")), F.coalesce("section_number", F.lit(""))),
+    )
 
 
 def diversify(hits: DataFrame, top_k: int = TOP_K, candidates: int = CANDIDATES, per_section: int = PER_SECTION) -> DataFrame:
@@ -153,16 +165,32 @@ def pack_context(hits: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
     h = hits.withColumn("_before", F.coalesce(F.sum(F.length("header") + len(SEPARATOR) + F.length("text") + 2).over(before), F.lit(0)))
     h = h.withColumn("_rest", F.lit(budget) - F.col("_before") - over)
     h = h.withColumn("_fits", F.min((F.col("_rest") > LEAST_REST).cast("int")).over(upto)).where("_fits = 1")
-    body = F.when(F.length("text") > F.col("_rest"), F.concat(F.regexp_replace(F.expr("substring(text, 1, _rest)"), r"\s+$", ""), F.lit(TRUNCATED))).otherwise(F.col("text"))
+    body = F.when(
+        F.length("text") > F.col("_rest"), F.concat(F.regexp_replace(F.expr("substring(text, 1, _rest)"), r"\s+$", ""), F.lit(TRUNCATED))
+    ).otherwise(F.col("text"))
     return h.withColumn("block", F.concat("header", F.lit(SEPARATOR), body)).drop("_before", "_rest", "_fits")
 
 
 def hit_header() -> Column:
     """Label, chunk id, place in the book and kind of a hit, a line each."""
     none = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
-    place = F.concat_ws(" · ", F.concat(F.lit("Chapter "), none("chapter_number")), F.concat(F.lit("Section "), none("section_number")), none("section_title"))
+    place = F.concat_ws(
+        " · ",
+        F.concat(F.lit("Chapter "), none("chapter_number")),
+        F.concat(F.lit("Section "), none("section_number")),
+        none("section_title"),
+    )
     place = F.coalesce(F.nullif(place, F.lit("")), F.col("chunk_id").cast("string"))
-    return F.concat(F.lit("["), F.col("label"), F.lit("]\nchunk_id: "), F.col("chunk_id").cast("string"), F.lit("\nsource: "), place, F.lit("\ncontent_type: "), F.coalesce(none("chunk_kind"), none("retrieval_group"), F.lit("unknown")))
+    return F.concat(
+        F.lit("["),
+        F.col("label"),
+        F.lit("]\nchunk_id: "),
+        F.col("chunk_id").cast("string"),
+        F.lit("\nsource: "),
+        place,
+        F.lit("\ncontent_type: "),
+        F.coalesce(none("chunk_kind"), none("retrieval_group"), F.lit("unknown")),
+    )
 
 
 def contexts(queries: DataFrame, hits: DataFrame, packed: DataFrame) -> DataFrame:
@@ -177,16 +205,27 @@ def contexts(queries: DataFrame, hits: DataFrame, packed: DataFrame) -> DataFram
 def source_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunk's clean text for each hit, else the indexed text."""
     clean = chunks.select("chunk_id", F.col("text").alias("_clean"))
-    return hits.join(clean, "chunk_id", "left").withColumn("text", F.coalesce(F.nullif(text.strip(F.col("_clean")), F.lit("")), F.col("indexed_text"))).drop("_clean")
+    return hits.join(clean, "chunk_id", "left").withColumn(
+        "text", F.coalesce(F.nullif(text.strip(F.col("_clean")), F.lit("")), F.col("indexed_text"))
+    ).drop("_clean")
 
 
 def check_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """Cited labels that were retrieved, in order and once each, and those that were not."""
     known = hits.groupBy("query_id").agg(F.collect_set(F.upper("label")).alias("_known"))
     a = answers.join(known, "query_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
-    cited = F.array_distinct(F.filter(F.transform(F.coalesce("source_ids", F.array().cast("array<string>")), lambda x: F.upper(text.strip(x))), lambda x: x != ""))
+    cited = F.array_distinct(
+        F.filter(
+            F.transform(F.coalesce("source_ids", F.array().cast("array<string>")), lambda x: F.upper(text.strip(x))), lambda x: x != ""
+        )
+    )
     a = a.withColumn("_cited", cited)
-    return a.withColumns({"valid_ids": F.filter("_cited", lambda x: F.array_contains("_known", x)), "invalid_ids": F.filter("_cited", lambda x: ~F.array_contains("_known", x))}).drop("_known", "_cited")
+    return a.withColumns(
+        {
+            "valid_ids": F.filter("_cited", lambda x: F.array_contains("_known", x)),
+            "invalid_ids": F.filter("_cited", lambda x: ~F.array_contains("_known", x)),
+        }
+    ).drop("_known", "_cited")
 
 
 def trim_history(turns: DataFrame, n: int) -> DataFrame:

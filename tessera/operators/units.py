@@ -20,10 +20,15 @@ SIMPLE_GROUPS = {"learning_objectives": "learning_objective", "key_takeaways": "
 SPECIAL = ["worked_example", "exercise_set", *SIMPLE_GROUPS]
 HEADINGS = {
     "worked_example": {
-        "question": ["problem", "problems"], "answer": ["solution", "solutions"], "self_test": ["test yourself", "test yourselfs"], "self_test_answer": ["answer", "answers"],
+        "question": ["problem", "problems"],
+        "answer": ["solution", "solutions"],
+        "self_test": ["test yourself", "test yourselfs"],
+        "self_test_answer": ["answer", "answers"],
     },
-    "exercise_set": {"question": ["question", "questions", "exercise", "exercises"], "answer": ["answer", "answers", "solution", "solutions"]},
-}
+    "exercise_set": {
+        "question": ["question", "questions", "exercise", "exercises"], "answer": ["answer", "answers", "solution", "solutions"]
+    },
+}
 # Fixed values: (chunk_kind, retrieval_group, part, locator suffix, default_retrieval) by block type and role.
 INTROS = {
     ("worked_example", "question"): ("worked_example_problem_intro", "worked_example", "problems", "problems-intro", True),
@@ -47,7 +52,23 @@ FALLBACKS = {"worked_example": ("worked_example", "worked_example", False), "exe
 TITLES = {"worked_example": "Worked example", "exercise_set": "Exercises"}
 
 BLOCK = ["section_id", "block_index", "block_type"]
-UNIT = ["section_id", "block_start", "block_end", "seq", "block_type", "locator", "text", "chunk_kind", "retrieval_group", "title", "part", "item_index", "paired_text", "instruction_text", "default_retrieval"]
+UNIT = [
+    "section_id",
+    "block_start",
+    "block_end",
+    "seq",
+    "block_type",
+    "locator",
+    "text",
+    "chunk_kind",
+    "retrieval_group",
+    "title",
+    "part",
+    "item_index",
+    "paired_text",
+    "instruction_text",
+    "default_retrieval",
+]
 
 
 def _choose(table: dict, i: int) -> Column:
@@ -64,19 +85,40 @@ def _slug(c: Column | str) -> Column:
 
 def _unit(rows: DataFrame, **columns: Column) -> DataFrame:
     """Unit rows of the given columns; those without text are no units."""
-    none = {c: F.lit(None).cast("string") for c in ("title", "part", "paired_text", "instruction_text")} | {"item_index": F.lit(None).cast("int")}
+    none = {
+        c: F.lit(None).cast("string") for c in ("title", "part", "paired_text", "instruction_text")
+    } | {"item_index": F.lit(None).cast("int")}
     all_ = {"block_start": F.col("block_index"), "block_end": F.col("block_index")} | none | columns
     blank = lambda c: F.nullif(text.chunk_text(c), F.lit(""))
-    all_ |= {"text": text.chunk_text(all_["text"]), "paired_text": blank(all_["paired_text"]), "instruction_text": blank(all_["instruction_text"]), "seq": all_["seq"].cast("long"), "item_index": all_["item_index"].cast("int")}
+    all_ |= {
+        "text": text.chunk_text(all_["text"]),
+        "paired_text": blank(all_["paired_text"]),
+        "instruction_text": blank(all_["instruction_text"]),
+        "seq": all_["seq"].cast("long"),
+        "item_index": all_["item_index"].cast("int"),
+    }
     return rows.select(*[all_.get(c, F.col(c)).alias(c) for c in UNIT]).where("text <> ''")
 
 
 def _grouped(blocks: DataFrame) -> DataFrame:
     """Children of worked examples and exercise sets with W6: group number, heading and role."""
-    rows = blocks.where(F.col("block_type").isin(*HEADINGS)).select(*BLOCK, F.coalesce(F.nullif(text.chunk_text("title"), F.lit("")), *[F.when(F.col("block_type") == k, v) for k, v in TITLES.items()]).alias("title"), F.posexplode("children").alias("position", "child"))
+    rows = blocks.where(F.col("block_type").isin(*HEADINGS)).select(
+        *BLOCK,
+        F.coalesce(
+            F.nullif(text.chunk_text("title"), F.lit("")), *[F.when(F.col("block_type") == k, v) for k, v in TITLES.items()]
+        ).alias("title"),
+        F.posexplode("children").alias("position", "child"),
+    )
     own = Window.partitionBy(*BLOCK).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.col("child.node_type") == "heading"
-    rows = rows.withColumns({"group": F.sum(head.cast("int")).over(own), "heading": F.coalesce(F.nullif(F.last(F.when(head, text.chunk_text("child.text")), ignorenulls=True).over(own), F.lit("")), F.lit("Content"))})
+    rows = rows.withColumns(
+        {
+            "group": F.sum(head.cast("int")).over(own),
+            "heading": F.coalesce(
+                F.nullif(F.last(F.when(head, text.chunk_text("child.text")), ignorenulls=True).over(own), F.lit("")), F.lit("Content")
+            ),
+        }
+    )
     role = F
     for kind, roles in HEADINGS.items():
         for name, words in roles.items():
@@ -86,7 +128,10 @@ def _grouped(blocks: DataFrame) -> DataFrame:
 
 def _rendered() -> Column:
     """Text of a child; list items with their numbers or a dash, further lines indented."""
-    item = lambda x: F.concat(F.when(F.col("child.ordered"), F.concat(x["number"].cast("string"), F.lit(". "))).otherwise("- "), F.replace(x["text"], F.lit("\n"), F.lit("\n   ")))
+    item = lambda x: F.concat(
+        F.when(F.col("child.ordered"), F.concat(x["number"].cast("string"), F.lit(". "))).otherwise("- "),
+        F.replace(x["text"], F.lit("\n"), F.lit("\n   ")),
+    )
     items = F.transform(F.filter(F.col("child.items"), lambda x: x["text"] != ""), item)
     return F.when(F.col("child.node_type") == "list", F.array_join(items, "\n\n")).otherwise(text.chunk_text("child.text"))
 
@@ -102,37 +147,97 @@ def special_units(blocks: DataFrame) -> DataFrame:
     key = [*BLOCK, "title", "group", "heading", "role"]
     plain = F.col("child.node_type") != "list"
     shown = F.when((F.col("role") == "self_test_answer") & F.col("child.node_type").isin("figure", "media"), "").otherwise(_rendered())
-    in_order = lambda c, cond: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("position", c.alias("t"), cond.alias("c"))), lambda x: x["c"] & (x["t"] != ""))), lambda x: x["t"]), "\n\n")
-    groups = rows.groupBy(*key).agg(F.min("position").alias("position"), in_order(shown, F.lit(True)).alias("whole"), in_order(shown, plain).alias("intro"))
-    prefix = F.when(F.col("block_type") == "worked_example", F.concat(F.lit("example-"), _slug("title"))).otherwise(F.concat(F.lit("exercise-"), F.col("block_index").cast("string")))
+    in_order = lambda c, cond: F.array_join(
+        F.transform(
+            F.array_sort(F.filter(F.collect_list(F.struct("position", c.alias("t"), cond.alias("c"))), lambda x: x["c"] & (x["t"] != ""))),
+            lambda x: x["t"],
+        ),
+        "\n\n",
+    )
+    groups = rows.groupBy(*key).agg(
+        F.min("position").alias("position"), in_order(shown, F.lit(True)).alias("whole"), in_order(shown, plain).alias("intro")
+    )
+    prefix = F.when(
+        F.col("block_type") == "worked_example", F.concat(F.lit("example-"), _slug("title"))
+    ).otherwise(F.concat(F.lit("exercise-"), F.col("block_index").cast("string")))
     locator = lambda suffix: F.concat(prefix, F.lit("-"), suffix)
     seq = lambda item: F.col("group") * 1_000_000 + item  # noqa: E731  introductions first, then items in order
 
     def named(table: dict, **more: Column) -> dict[str, Column]:
-        return {"chunk_kind": _choose(table, 0), "retrieval_group": _choose(table, 1), "part": _choose(table, 2), "default_retrieval": _choose(table, 4), "title": F.col("title"), "locator": locator(_choose(table, 3))} | more
+        return {
+            "chunk_kind": _choose(table, 0),
+            "retrieval_group": _choose(table, 1),
+            "part": _choose(table, 2),
+            "default_retrieval": _choose(table, 4),
+            "title": F.col("title"),
+            "locator": locator(_choose(table, 3)),
+        } | more
 
     asked = groups.where(F.col("role").isin("question", "answer"))
     intros = _unit(asked, **named(INTROS, text=F.col("intro"), seq=seq(F.lit(0))))
-    part = {"part": F.coalesce(_choose(WHOLES, 2), F.lower("heading")), "locator": locator(F.coalesce(_choose(WHOLES, 3), _slug("heading")))}
+    part = {
+        "part": F.coalesce(_choose(WHOLES, 2), F.lower("heading")), "locator": locator(F.coalesce(_choose(WHOLES, 3), _slug("heading")))
+    }
     wholes = _unit(groups.where(~F.col("role").isin("question", "answer")), **named(WHOLES, text=F.col("whole"), seq=seq(F.lit(0)), **part))
 
-    listed = rows.where(F.col("role").isin("question", "answer") & ~plain).select(*key, "position", F.posexplode("child.items").alias("place", "item"))
-    before = Window.partitionBy(*BLOCK, "item.number").orderBy("position", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = rows.where(F.col("role").isin("question", "answer") & ~plain).select(
+        *key, "position", F.posexplode("child.items").alias("place", "item")
+    )
+    before = Window.partitionBy(*BLOCK, "item.number").orderBy("position", "place").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     listed = listed.withColumn("asked", F.last(F.when(F.col("role") == "question", F.col("item.text")), ignorenulls=True).over(before))
     listed = listed.join(asked.select(*BLOCK, "group", "intro"), [*BLOCK, "group"])
     question = F.col("role") == "question"
     number = {"item_index": F.col("item.number"), "locator": F.concat(locator(_choose(ITEMS, 3)), F.col("item.number").cast("string"))}
-    items = _unit(listed, **named(ITEMS, text=F.col("item.text"), seq=seq(1 + F.col("position") * 1000 + F.col("place")), paired_text=F.when(~question, F.col("asked")), instruction_text=F.when(question, F.col("intro")), **number))
+    items = _unit(
+        listed,
+        **named(
+            ITEMS,
+            text=F.col("item.text"),
+            seq=seq(1 + F.col("position") * 1000 + F.col("place")),
+            paired_text=F.when(~question, F.col("asked")),
+            instruction_text=F.when(question, F.col("intro")),
+            **number,
+        ),
+    )
 
     simple = blocks.where(F.col("block_type").isin(*SIMPLE_GROUPS))
     group = reduce(lambda c, kv: c.when(F.col("block_type") == kv[0], kv[1]), SIMPLE_GROUPS.items(), F)
-    simple = _unit(simple, text=F.col("text"), chunk_kind=F.col("block_type"), retrieval_group=group, seq=F.lit(0), default_retrieval=F.lit(True), title=F.nullif(text.chunk_text("title"), F.lit("")), locator=F.concat_ws("-", F.lit("block"), "block_index", "block_type"))
+    simple = _unit(
+        simple,
+        text=F.col("text"),
+        chunk_kind=F.col("block_type"),
+        retrieval_group=group,
+        seq=F.lit(0),
+        default_retrieval=F.lit(True),
+        title=F.nullif(text.chunk_text("title"), F.lit("")),
+        locator=F.concat_ws("-", F.lit("block"), "block_index", "block_type"),
+    )
 
     found = intros.unionByName(wholes).unionByName(items)
-    bare = blocks.where(F.col("block_type").isin(*FALLBACKS)).join(found.select("section_id", F.col("block_start").alias("block_index")), ["section_id", "block_index"], "left_anti")
-    bare = bare.withColumns({"role": F.lit("fallback"), "title": F.coalesce(F.nullif(text.chunk_text("title"), F.lit("")), *[F.when(F.col("block_type") == k, v) for k, v in TITLES.items()])})
+    bare = blocks.where(F.col("block_type").isin(*FALLBACKS)).join(
+        found.select("section_id", F.col("block_start").alias("block_index")), ["section_id", "block_index"], "left_anti"
+    )
+    bare = bare.withColumns(
+        {
+            "role": F.lit("fallback"),
+            "title": F.coalesce(
+                F.nullif(text.chunk_text("title"), F.lit("")), *[F.when(F.col("block_type") == k, v) for k, v in TITLES.items()]
+            ),
+        }
+    )
     table = {(k, "fallback"): v for k, v in FALLBACKS.items()}
-    bare = _unit(bare, text=F.col("text"), chunk_kind=_choose(table, 0), retrieval_group=_choose(table, 1), default_retrieval=_choose(table, 2), seq=F.lit(0), title=F.col("title"), locator=prefix)
+    bare = _unit(
+        bare,
+        text=F.col("text"),
+        chunk_kind=_choose(table, 0),
+        retrieval_group=_choose(table, 1),
+        default_retrieval=_choose(table, 2),
+        seq=F.lit(0),
+        title=F.col("title"),
+        locator=prefix,
+    )
     return found.unionByName(simple).unionByName(bare)
 
 
@@ -147,9 +252,18 @@ def attribution_mode(blocks: DataFrame) -> DataFrame:
 def ordinary_units(blocks: DataFrame) -> DataFrame:
     """C5 of ordinary blocks: unit rows by block type and attribution mode."""
     b = attribution_mode(blocks).where(~F.col("block_type").isin(SPECIAL))
-    by_type = lambda attributed, equation, table, figure: F.when(F.col("in_attributions"), attributed).when(F.col("block_type") == "formula_or_equation", equation).when(F.col("block_type") == "table", table).when(F.col("block_type") == "figure", figure).otherwise("theory")
-    return _unit(b, text=F.col("text"), chunk_kind=by_type("attribution", "equation_context", "table", "figure_caption"), retrieval_group=by_type("attribution", "theory", "reference_table", "figure"),
-        seq=F.lit(0), default_retrieval=~F.col("in_attributions"), locator=F.concat_ws("-", F.lit("block"), "block_index", "block_type"))
+    by_type = lambda attributed, equation, table, figure: F.when(F.col("in_attributions"), attributed).when(
+        F.col("block_type") == "formula_or_equation", equation
+    ).when(F.col("block_type") == "table", table).when(F.col("block_type") == "figure", figure).otherwise("theory")
+    return _unit(
+        b,
+        text=F.col("text"),
+        chunk_kind=by_type("attribution", "equation_context", "table", "figure_caption"),
+        retrieval_group=by_type("attribution", "theory", "reference_table", "figure"),
+        seq=F.lit(0),
+        default_retrieval=~F.col("in_attributions"),
+        locator=F.concat_ws("-", F.lit("block"), "block_index", "block_type"),
+    )
 
 
 def units(blocks: DataFrame) -> DataFrame:

@@ -16,9 +16,26 @@ def _units(s, d):
 def _sections(s, d):
     """Sections of document lines, and of conversations."""
     number = F.regexp_extract("source", r"(\d+)", 1)
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("section_id"), number.cast("int").alias("chapter_number"), F.col("source").alias("chapter_title"), F.concat_ws(".", number, F.col("doc_id").cast("string")).alias("section_number"), F.col("lang").alias("language"))
-    c = table(s, d, "conversations").select("conv_id").distinct().select((-1 - F.col("conv_id")).alias("section_id"), (F.col("conv_id") % 20).cast("int").alias("chapter_number"), F.lit("talk").alias("chapter_title"), F.concat(F.lit("c."), F.col("conv_id").cast("string")).alias("section_number"), F.lit("xx").alias("language"))
-    return docs.union(c).select("*", F.lit("book").alias("source_id"), F.lit("Book").alias("book_title"), F.concat(F.lit("Title "), F.col("section_id").cast("string")).alias("section_title"))
+    docs = table(s, d, "documents").select(
+        F.col("doc_id").alias("section_id"),
+        number.cast("int").alias("chapter_number"),
+        F.col("source").alias("chapter_title"),
+        F.concat_ws(".", number, F.col("doc_id").cast("string")).alias("section_number"),
+        F.col("lang").alias("language"),
+    )
+    c = table(s, d, "conversations").select("conv_id").distinct().select(
+        (-1 - F.col("conv_id")).alias("section_id"),
+        (F.col("conv_id") % 20).cast("int").alias("chapter_number"),
+        F.lit("talk").alias("chapter_title"),
+        F.concat(F.lit("c."), F.col("conv_id").cast("string")).alias("section_number"),
+        F.lit("xx").alias("language"),
+    )
+    return docs.union(c).select(
+        "*",
+        F.lit("book").alias("source_id"),
+        F.lit("Book").alias("book_title"),
+        F.concat(F.lit("Title "), F.col("section_id").cast("string")).alias("section_title"),
+    )
 
 
 def _chunks(s, d):
@@ -27,17 +44,38 @@ def _chunks(s, d):
 
 def _items(s, d):
     c = table(s, d, "conversations")
-    return c.select(F.col("conv_id").alias("section_id"), F.lit(0).alias("block_index"), F.when(F.col("role") == "user", "question").otherwise("answer").alias("role"), F.floor(F.col("turn") / 2).alias("item_index"), F.col("turn").alias("position"), "text")
+    return c.select(
+        F.col("conv_id").alias("section_id"),
+        F.lit(0).alias("block_index"),
+        F.when(F.col("role") == "user", "question").otherwise("answer").alias("role"),
+        F.floor(F.col("turn") / 2).alias("item_index"),
+        F.col("turn").alias("position"),
+        "text",
+    )
 
 
 def _index(s, d):
     v = F.col("vec_id")
-    return table(s, d, "embeddings").select(v.alias("chunk_id"), F.col("embedding").alias("vector"), (v % 9 > 0).alias("default_retrieval"), (v % 5).alias("chapter_number"), F.col("label").cast("string").alias("section"), F.when(v % 2 == 0, "theory").otherwise("table").alias("chunk_kind"))
+    return table(s, d, "embeddings").select(
+        v.alias("chunk_id"),
+        F.col("embedding").alias("vector"),
+        (v % 9 > 0).alias("default_retrieval"),
+        (v % 5).alias("chapter_number"),
+        F.col("label").cast("string").alias("section"),
+        F.when(v % 2 == 0, "theory").otherwise("table").alias("chunk_kind"),
+    )
 
 
 def _supplier_metadata(s, d):
     k = F.col("s_suppkey")
-    return table(s, d, "supplier").select(k, F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.when(k % 2 == 1, "yes").alias("odd"), F.array(F.lit("a"), k.cast("string")).alias("tags"), F.create_map(F.lit("k"), F.lit("v")).alias("more"))
+    return table(s, d, "supplier").select(
+        k,
+        F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("nation"),
+        F.when(k % 2 == 1, "yes").alias("odd"),
+        F.array(F.lit("a"), k.cast("string")).alias("tags"),
+        F.create_map(F.lit("k"), F.lit("v")).alias("more"),
+    )
 
 
 def _queries(s, d):
@@ -49,7 +87,15 @@ def _hits(s, d, k=12):
     near = retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), k)
     docs = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     hits = near.withColumn("indexed_text", F.concat(F.lit("indexed "), F.col("chunk_id").cast("string")))
-    meta = _index(s, d).select("chunk_id", "section", "chapter_number", "chunk_kind", F.lit("").alias("section_title"), F.col("section").alias("section_number"), F.lit("theory").alias("retrieval_group"))
+    meta = _index(s, d).select(
+        "chunk_id",
+        "section",
+        "chapter_number",
+        "chunk_kind",
+        F.lit("").alias("section_title"),
+        F.col("section").alias("section_number"),
+        F.lit("theory").alias("retrieval_group"),
+    )
     return retrieval.source_text(hits, docs).join(meta, "chunk_id")
 
 
@@ -66,31 +112,78 @@ UNIT_KEYS = ["section_id", "block_start", "block_type", "locator", "chunk_kind",
 QUERIES = {
     "w5_attributions": lambda s, d: units.attribution_mode(blocks(s, d)).select("section_id", "block_index", "in_attributions"),
     "w6_heading_groups": lambda s, d: chunking.heading_groups(blocks(s, d)).select("section_id", "block_index", "heading_group"),
-    "c5_units": lambda s, d: _units(s, d).select(*UNIT_KEYS, "title", "part", "item_index", F.md5("text").alias("h"), F.md5("paired_text").alias("paired"), F.md5("instruction_text").alias("instruction")),
+    "c5_units": lambda s, d: _units(s, d).select(
+        *UNIT_KEYS,
+        "title",
+        "part",
+        "item_index",
+        F.md5("text").alias("h"),
+        F.md5("paired_text").alias("paired"),
+        F.md5("instruction_text").alias("instruction"),
+    ),
     "w7_merged_units": lambda s, d: chunking.merge_units(_units(s, d)).select(*UNIT_KEYS, "block_end", F.md5("text").alias("h")),
-    "c6_split_documents": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(chunking.split_long(F.col("text"))).alias("piece", "text")),
-    "c7_chunks": lambda s, d: _chunks(s, d).select("id", "parent_section_id", "chunk_kind", "piece_index", "piece_count", "content_sha256", "embedding_sha256"),
+    "c6_split_documents": lambda s, d: table(s, d, "documents").select(
+        "doc_id", F.posexplode(chunking.split_long(F.col("text"))).alias("piece", "text")
+    ),
+    "c7_chunks": lambda s, d: _chunks(s, d).select(
+        "id", "parent_section_id", "chunk_kind", "piece_index", "piece_count", "content_sha256", "embedding_sha256"
+    ),
     "f14_embedding_text": lambda s, d: _chunks(s, d).select("id", F.md5("embedding_text").alias("h")),
     "a9_chunk_report": lambda s, d: chunking.report(_chunks(s, d)),
     "a10_chunk_checks": lambda s, d: chunking.validate(_chunks(s, d), chunking.Config(least=95)),
     "w11_review_sample": lambda s, d: chunking.sample_per_kind(_chunks(s, d)).select("chunk_kind", "rank", "id"),
-    "t5_corpus_order": lambda s, d: (lambda c: c.orderBy(*chunking.corpus_order(c)))(_chunks(s, d)).select("id", "chapter_number", "section_number", "block_start"),
-    "f8_list_starts": lambda s, d: table(s, d, "events").select("event_id", chunking.repair_list_start(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('7"'), F.col("user_id").cast("string"))).when(F.col("event_id") % 4 == 1, F.concat(F.col("user_id").cast("string"), F.lit('""'))).when(F.col("event_id") % 4 == 2, F.col("event_type")).otherwise(F.col("user_id").cast("string"))).alias("r")).select("event_id", "r.*"),
-    "j19_paired_items": lambda s, d: chunking.pair_items(_items(s, d)).select("section_id", "item_index", "position", F.md5("paired_text").alias("paired")),
+    "t5_corpus_order": lambda s, d: (lambda c: c.orderBy(*chunking.corpus_order(c)))(_chunks(s, d)).select(
+        "id", "chapter_number", "section_number", "block_start"
+    ),
+    "f8_list_starts": lambda s, d: table(s, d, "events").select(
+        "event_id",
+        chunking.repair_list_start(
+            F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('7"'), F.col("user_id").cast("string"))).when(
+                F.col("event_id") % 4 == 1, F.concat(F.col("user_id").cast("string"), F.lit('""'))
+            ).when(F.col("event_id") % 4 == 2, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
+        ).alias("r"),
+    ).select("event_id", "r.*"),
+    "j19_paired_items": lambda s, d: chunking.pair_items(_items(s, d)).select(
+        "section_id", "item_index", "position", F.md5("paired_text").alias("paired")
+    ),
     "p8_metadata_filter": lambda s, d: retrieval.metadata_filter(_index(s, d), chapter_number=2, chunk_kind="theory").select("chunk_id"),
-    "p9_index_errors": lambda s, d: retrieval.index_input(table(s, d, "documents").select(F.col("lang").alias("id"), "text", F.when(F.col("doc_id") % 50 > 0, F.col("source")).alias("embedding_text"), F.lit(None).cast("boolean").alias("default_retrieval")))[1],
-    "p10_metadata": lambda s, d: (lambda t: t.select("s_suppkey", retrieval.flat_metadata(t, ["name", "nation", "odd", "tags", "more"]).alias("metadata")))(_supplier_metadata(s, d)),
+    "p9_index_errors": lambda s, d: retrieval.index_input(
+        table(s, d, "documents").select(
+            F.col("lang").alias("id"),
+            "text",
+            F.when(F.col("doc_id") % 50 > 0, F.col("source")).alias("embedding_text"),
+            F.lit(None).cast("boolean").alias("default_retrieval"),
+        )
+    )[1],
+    "p10_metadata": lambda s, d: (
+        lambda t: t.select("s_suppkey", retrieval.flat_metadata(t, ["name", "nation", "odd", "tags", "more"]).alias("metadata"))
+    )(_supplier_metadata(s, d)),
     "s9_manifest": lambda s, d: retrieval.manifest(_index(s, d), _index(s, d), "chunk_id").drop("content_hash"),
     "t3_knn": lambda s, d: retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), 5),
-    "t4_batch_review": lambda s, d: _hits(s, d, 5).join(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("topic")), "query_id", "left").select("query_id", "rank", "chunk_id", "topic"),
+    "t4_batch_review": lambda s, d: _hits(s, d, 5).join(
+        table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("topic")), "query_id", "left"
+    ).select("query_id", "rank", "chunk_id", "topic"),
     "j20_source_text": lambda s, d: _hits(s, d).select("query_id", "chunk_id", F.md5("text").alias("h")),
     "w8_diversity": lambda s, d: _selected(s, d).select("query_id", "label", "chunk_id", "section"),
-    "w9_context": lambda s, d: retrieval.contexts(_queries(s, d), _selected(s, d), _packed(s, d)).select("query_id", F.md5("context").alias("h"), F.length("context").alias("n")),
-    "j21_citations": lambda s, d: retrieval.check_citations(_queries(s, d).select("query_id", F.array(F.lit(" s1"), F.lit("S9"), F.lit("S1"), F.concat(F.lit("s"), (F.col("query_id") % 5).cast("string"))).alias("source_ids")), _selected(s, d)).select("query_id", F.array_join("valid_ids", ",").alias("valid"), F.array_join("invalid_ids", ",").alias("invalid")),
+    "w9_context": lambda s, d: retrieval.contexts(_queries(s, d), _selected(s, d), _packed(s, d)).select(
+        "query_id", F.md5("context").alias("h"), F.length("context").alias("n")
+    ),
+    "j21_citations": lambda s, d: retrieval.check_citations(
+        _queries(s, d).select(
+            "query_id",
+            F.array(
+                F.lit(" s1"), F.lit("S9"), F.lit("S1"), F.concat(F.lit("s"), (F.col("query_id") % 5).cast("string"))
+            ).alias("source_ids"),
+        ),
+        _selected(s, d),
+    ).select("query_id", F.array_join("valid_ids", ",").alias("valid"), F.array_join("invalid_ids", ",").alias("invalid")),
     "w10_history": lambda s, d: retrieval.trim_history(table(s, d, "conversations"), 3).select("conv_id", "turn", "role"),
 }
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(160))"
+_NORM = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), "
+    r"'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(160))"
+)
 _SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'part')"
 _B = r"""lines as (select doc_id as section_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i from (select doc_id, string_split(text, chr(10)) as l from documents)),
 lb as (select section_id, i as block_index, case when i % 13 = 6 then 'heading' when i % 13 = 9 then 'feature' when i % 7 = 3 then 'formula_or_equation' when i % 7 = 5 then 'figure' when i % 11 = 4 then 'table' else 'paragraph' end as block_type,
@@ -119,24 +212,65 @@ _M = _U + """, f as (select section_id, r, 1 as g, length(text) as size, mg as o
 mu as (select section_id, min(block_start) as block_start, max(block_start) as block_end, bool_or(mg) as mg, arg_min(locator, r) as l, arg_min(chunk_kind, r) as k, arg_min(retrieval_group, r) as rg, bool_and(default_retrieval) as dr, count(distinct block_type) as t, arg_min(block_type, r) as bt, arg_min(title, r) as title, arg_min(part, r) as part,
     arg_min(item_index, r) as item_index, arg_min(paired, r) as paired, arg_min(instruction, r) as instruction, string_agg(text, chr(10) || chr(10) order by r) as text from u join f using (section_id, r) group by section_id, g),
 un as (select section_id, block_start, block_end, case when mg then 'blocks-' || block_start || '-' || block_end else l end as locator, case when mg then 'theory' else k end as chunk_kind, rg as retrieval_group, dr as default_retrieval, case when t > 1 then 'mixed' else bt end as block_type, title, part, item_index, paired, instruction, text from mu)"""
-_D = "round(greatest(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 0), 6)"
-_KNN = f"near as (select q.vec_id as query_id, c.vec_id as chunk_id, {_D} as distance, c.label::varchar as section from embeddings q join embeddings c on c.vec_id % 9 > 0 where q.vec_id % 20 = 0), ranked as (select *, row_number() over (partition by query_id order by distance, chunk_id)::int as rank from near)"
-_HITS = f"{_KNN}, hits as (select r.*, case when d.text is not null then trim(d.text, chr(32) || chr(10) || chr(9)) else 'indexed ' || chunk_id end as text from ranked r left join documents d on d.doc_id = chunk_id where rank <= 12)"
-_SEL = f"{_HITS}, s1 as (select *, row_number() over (partition by query_id, section order by distance, chunk_id) as k from hits), sel as (select *, row_number() over (partition by query_id order by distance, chunk_id) as pos from s1 where k <= 2 qualify pos <= 4)"
+_D = (
+    "round(greatest(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - "
+    "p[2]::double))), 0), 6)"
+)
+_KNN = (
+    f"near as (select q.vec_id as query_id, c.vec_id as chunk_id, {_D} as distance, c.label::varchar as section from embeddings q join "
+    f"embeddings c on c.vec_id % 9 > 0 where q.vec_id % 20 = 0), ranked as (select *, row_number() over (partition by query_id order by "
+    f"distance, chunk_id)::int as rank from near)"
+)
+_HITS = (
+    f"{_KNN}, hits as (select r.*, case when d.text is not null then trim(d.text, chr(32) || chr(10) || chr(9)) else 'indexed ' || "
+    f"chunk_id end as text from ranked r left join documents d on d.doc_id = chunk_id where rank <= 12)"
+)
+_SEL = (
+    f"{_HITS}, s1 as (select *, row_number() over (partition by query_id, section order by distance, chunk_id) as k from hits), sel as "
+    f"(select *, row_number() over (partition by query_id order by distance, chunk_id) as pos from s1 where k <= 2 qualify pos <= 4)"
+)
 
 SQL = {
     "w5_attributions": f"with {_B} select section_id, block_index, attr as in_attributions from m",
-    "w6_heading_groups": f"with {_B} select section_id, block_index, sum((block_type = 'heading')::int) over (partition by section_id order by block_index rows unbounded preceding)::bigint as heading_group from b",
-    "c5_units": f"with {_U} select section_id, block_start, block_type, locator, chunk_kind, retrieval_group, default_retrieval, title, part, item_index, md5(text) as h, md5(paired) as paired, md5(instruction) as instruction from u",
-    "w7_merged_units": f"with recursive {_M} select section_id, block_start, block_type, locator, chunk_kind, retrieval_group, default_retrieval, block_end, md5(text) as h from un",
-    "f8_list_starts": "select event_id, case event_id % 4 when 0 then 7 when 1 then user_id when 2 then 1 else user_id end::int as value, case event_id % 4 when 0 then 'extract_first_integer' when 1 then 'trim_surrounding_quotes' when 2 then 'fallback_to_one' end as method from events",
-    "j19_paired_items": "with q as (select conv_id, turn // 2 as n, arg_max(text, turn) as t, min(turn) as f from conversations where role = 'user' group by all), f as (select conv_id, min(turn) as first from conversations where role = 'user' group by conv_id) select c.conv_id as section_id, turn // 2 as item_index, turn as position, md5(case when turn > first then t end) as paired from conversations c left join q on q.conv_id = c.conv_id and q.n = turn // 2 left join f on f.conv_id = c.conv_id where role is distinct from 'user'",
+    "w6_heading_groups": (
+        f"with {_B} select section_id, block_index, sum((block_type = 'heading')::int) over (partition by section_id order by block_index "
+        f"rows unbounded preceding)::bigint as heading_group from b"
+    ),
+    "c5_units": (
+        f"with {_U} select section_id, block_start, block_type, locator, chunk_kind, retrieval_group, default_retrieval, title, part, "
+        f"item_index, md5(text) as h, md5(paired) as paired, md5(instruction) as instruction from u"
+    ),
+    "w7_merged_units": (
+        f"with recursive {_M} select section_id, block_start, block_type, locator, chunk_kind, retrieval_group, default_retrieval, "
+        f"block_end, md5(text) as h from un"
+    ),
+    "f8_list_starts": (
+        "select event_id, case event_id % 4 when 0 then 7 when 1 then user_id when 2 then 1 else user_id end::int as value, case event_id "
+        "% 4 when 0 then 'extract_first_integer' when 1 then 'trim_surrounding_quotes' when 2 then 'fallback_to_one' end as method from "
+        "events"
+    ),
+    "j19_paired_items": (
+        "with q as (select conv_id, turn // 2 as n, arg_max(text, turn) as t, min(turn) as f from conversations where role = 'user' group "
+        "by all), f as (select conv_id, min(turn) as first from conversations where role = 'user' group by conv_id) select c.conv_id as "
+        "section_id, turn // 2 as item_index, turn as position, md5(case when turn > first then t end) as paired from conversations c left "
+        "join q on q.conv_id = c.conv_id and q.n = turn // 2 left join f on f.conv_id = c.conv_id where role is distinct from 'user'"
+    ),
     "p8_metadata_filter": "select vec_id as chunk_id from embeddings where vec_id % 9 > 0 and vec_id % 5 = 2 and vec_id % 2 = 0",
-    "p9_index_errors": "select lang as id, array_to_string(list_filter([case when trim(text) = '' then 'text' end, case when doc_id % 50 = 0 then 'embedding_text' end], lambda x: x is not null), ',') as problem from documents where trim(text) = '' or doc_id % 50 = 0 union all select lang, 'duplicate' from documents group by lang having count(*) > 1",
+    "p9_index_errors": (
+        "select lang as id, array_to_string(list_filter([case when trim(text) = '' then 'text' end, case when doc_id % 50 = 0 then "
+        "'embedding_text' end], lambda x: x is not null), ',') as problem from documents where trim(text) = '' or doc_id % 50 = 0 union "
+        "all select lang, 'duplicate' from documents group by lang having count(*) > 1"
+    ),
     "p10_metadata": r"""select s_suppkey, '{"name":"' || s_name || '","nation":' || s_nationkey || case when s_suppkey % 2 = 1 then ',"odd":"yes"' else '' end || ',"tags":"[\"a\",\"' || s_suppkey || '\"]","more":"{\"k\":\"v\"}"}' as metadata from supplier""",
-    "s9_manifest": "select count(*) as source_count, count(*) filter (vec_id % 9 > 0) as default_count, count(*) as indexed_count, 64 as vector_dimension, true as complete from embeddings",
+    "s9_manifest": (
+        "select count(*) as source_count, count(*) filter (vec_id % 9 > 0) as default_count, count(*) as indexed_count, 64 as "
+        "vector_dimension, true as complete from embeddings"
+    ),
     "t3_knn": f"with {_KNN} select query_id, rank, chunk_id, distance from ranked where rank <= 5",
-    "t4_batch_review": f"with {_KNN} select query_id, rank, chunk_id, length(b.text)::int as topic from ranked left join benchmark b on b.item_id = query_id where rank <= 5",
+    "t4_batch_review": (
+        f"with {_KNN} select query_id, rank, chunk_id, length(b.text)::int as topic from ranked left join benchmark b on b.item_id = "
+        f"query_id where rank <= 5"
+    ),
     "j20_source_text": f"with {_HITS} select query_id, chunk_id, md5(text) as h from hits",
     "w8_diversity": f"with {_SEL} select query_id, 'S' || pos as label, chunk_id, section from sel",
     "w9_context": rf"""with {_SEL}, h as (select *, '[S' || pos || ']' || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'source: Chapter ' || (chunk_id % 5) || ' · Section ' || section || chr(10) || 'content_type: ' || case when chunk_id % 2 = 0 then 'theory' else 'table' end as header from sel),
@@ -144,6 +278,15 @@ SQL = {
         k as (select *, min((rest > 120)::int) over (partition by query_id order by pos) as ok from p),
         t as (select query_id, string_agg(header || chr(10) || 'text:' || chr(10) || case when length(text) > rest then rtrim(substr(text, 1, rest::bigint), chr(32) || chr(10) || chr(9)) || chr(10) || '[truncated]' else text end, chr(10) || chr(10) order by pos) as context from k where ok = 1 group by query_id)
         select query_id, md5(context) as h, length(context)::int as n from t""",
-    "j21_citations": f"with {_SEL}, k as (select query_id, list('S' || pos) as ks from sel group by query_id), c as (select query_id, ks, case query_id % 5 when 1 then ['S1', 'S9'] else ['S1', 'S9', 'S' || (query_id % 5)] end as cs from k) select query_id, array_to_string(list_filter(cs, lambda x: list_contains(ks, x)), ',') as valid, array_to_string(list_filter(cs, lambda x: not list_contains(ks, x)), ',') as invalid from c",
-    "w10_history": "with t as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as b from conversations), u as (select *, min(turn) filter (role = 'user') over (partition by conv_id) as f from t where b <= 3) select conv_id, turn, role from u where n <= 3 or turn >= f",
+    "j21_citations": (
+        f"with {_SEL}, k as (select query_id, list('S' || pos) as ks from sel group by query_id), c as (select query_id, ks, case query_id "
+        f"% 5 when 1 then ['S1', 'S9'] else ['S1', 'S9', 'S' || (query_id % 5)] end as cs from k) select query_id, "
+        f"array_to_string(list_filter(cs, lambda x: list_contains(ks, x)), ',') as valid, array_to_string(list_filter(cs, lambda x: not "
+        f"list_contains(ks, x)), ',') as invalid from c"
+    ),
+    "w10_history": (
+        "with t as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as b "
+        "from conversations), u as (select *, min(turn) filter (role = 'user') over (partition by conv_id) as f from t where b <= 3) "
+        "select conv_id, turn, role from u where n <= 3 or turn >= f"
+    ),
 }

@@ -21,16 +21,22 @@ def _page_units(s, d):
 QUERIES = {
     "c1_nodes": lambda s, d: _nodes(s, d).drop("cells"),
     "c1_blocks": lambda s, d: _blocks(s, d).select(*pages.PLACE, "block_type", "tag", "heading_level", "title", "text"),
-    "c1_tag_counts": lambda s, d: _nodes(s, d).where("tag in ('h1', 'article', 'nav', 'footer', 'p', 'li', 'a', 'title')").groupBy("page_id", "tag").agg(F.count("*").alias("n")),
+    "c1_tag_counts": lambda s, d: _nodes(s, d).where(
+        "tag in ('h1', 'article', 'nav', 'footer', 'p', 'li', 'a', 'title')"
+    ).groupBy("page_id", "tag").agg(F.count("*").alias("n")),
     "c1_outline": lambda s, d: pages.outline(_nodes(s, d)),
-    "c1_headings": lambda s, d: _blocks(s, d).where("block_type = 'heading'").select("page_id", "block_index", "heading_level", F.md5(F.regexp_replace("text", r"\\s+", " ")).alias("h")),
+    "c1_headings": lambda s, d: _blocks(s, d).where("block_type = 'heading'").select(
+        "page_id", "block_index", "heading_level", F.md5(F.regexp_replace("text", r"\\s+", " ")).alias("h")
+    ),
     "c2_links": lambda s, d: pages.links(_nodes(s, d)).select("page_id", "link_index", "href", "text"),
     "c2_link_targets": lambda s, d: pages.links(_nodes(s, d)).groupBy("page_id").agg(F.count("*").alias("n")),
     "c2_formulae": lambda s, d: pages.formulae(_nodes(s, d)),
     "c2_media": lambda s, d: pages.media(_nodes(s, d)),
     "c2_tables": lambda s, d: pages.tables(_nodes(s, d)).withColumn("rows", F.to_json("rows")),
     "c3_books": lambda s, d: pages.books(_nodes(s, d)).select("page_id", "book_title", "language", "page_title", "section_count"),
-    "c3_sections": lambda s, d: _sections(s, d).select("page_id", "section_index", "section_title", "block_count", "table_count", "source_sha256", "content_sha256"),
+    "c3_sections": lambda s, d: _sections(s, d).select(
+        "page_id", "section_index", "section_title", "block_count", "table_count", "source_sha256", "content_sha256"
+    ),
     "c4_markdown": lambda s, d: pages.markdown(_nodes(s, d)),
     "c5_page_units": lambda s, d: _page_units(s, d).select("section_id", "block_start", "locator", "chunk_kind", F.md5("text").alias("h")),
     "a11_chapters": lambda s, d: pages.chapter_report(_sections(s, d)),
@@ -40,11 +46,31 @@ QUERIES = {
 
 _TAGS = ("h1", "article", "nav", "footer", "p", "li", "a", "title")
 _PLAIN = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs')"
-_TEXT = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g'))"
+_TEXT = (
+    r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', "
+    r"'\"'), '&amp;', '&'), '\s+', ' ', 'g'))"
+)
 
 SQL = {
-    "c1_tag_counts": f"with t as (select page_id, {_PLAIN} as html from pages) " + " union all ".join(f"select page_id, '{t}' as tag, len(regexp_extract_all(html, '<{t}[ >]'))::bigint as n from t where regexp_matches(html, '<{t}[ >]')" for t in _TAGS),
-    "c1_headings": f"with t as (select page_id, {_PLAIN} as html from pages), h as (select page_id, regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's') as x from t where regexp_matches(html, '<article><h1>')) select page_id, 1 as block_index, 1 as heading_level, md5({_TEXT.format('x')}) as h from h",
-    "c2_link_targets": "select page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)))::bigint as n from pages where regexp_matches(html, '<a href=\"[^\"]+\"')",
-    "c3_books": f"with t as (select page_id, {_PLAIN} as html from pages) select page_id, 'Untitled' as book_title, 'en' as language, {_TEXT.format(chr(34) + 'x' + chr(34))} as page_title, 1 as section_count from (select page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') as x from t)",
+    "c1_tag_counts": f"with t as (select page_id, {_PLAIN} as html from pages) " + " union all ".join(
+        (
+            f"select page_id, '{t}' as tag, len(regexp_extract_all(html, '<{t}[ >]'))::bigint as n from t where regexp_matches(html, "
+            f"'<{t}[ >]')"
+        )
+        for t in _TAGS
+    ),
+    "c1_headings": (
+        f"with t as (select page_id, {_PLAIN} as html from pages), h as (select page_id, regexp_extract(html, '<article><h1>(.*?)</h1>', "
+        f"1, 's') as x from t where regexp_matches(html, '<article><h1>')) select page_id, 1 as block_index, 1 as heading_level, "
+        f"md5({_TEXT.format('x')}) as h from h"
+    ),
+    "c2_link_targets": (
+        "select page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)))::bigint as n from pages where "
+        "regexp_matches(html, '<a href=\"[^\"]+\"')"
+    ),
+    "c3_books": (
+        f"with t as (select page_id, {_PLAIN} as html from pages) select page_id, 'Untitled' as book_title, 'en' as language, "
+        f"{_TEXT.format(chr(34) + 'x' + chr(34))} as page_title, 1 as section_count from (select page_id, regexp_extract(html, "
+        f"'<title>(.*?)</title>', 1, 's') as x from t)"
+    ),
 }

@@ -21,9 +21,20 @@ def read_sections(spark: SparkSession, root: str, schema: T.StructType | str) ->
     return lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def read_scope(spark: SparkSession, root: str, scope: str, schema: T.StructType, *, signature: str | None = None, combo_ids: list[str] | None = None, case_ids: list[str] | None = None) -> DataFrame:
+def read_scope(
+    spark: SparkSession,
+    root: str,
+    scope: str,
+    schema: T.StructType,
+    *,
+    signature: str | None = None,
+    combo_ids: list[str] | None = None,
+    case_ids: list[str] | None = None,
+) -> DataFrame:
     """S3: one artifact a JSON file, malformed files left out, with its path; optional filters."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{root}/{scope}")
+    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option(
+        "recursiveFileLookup", True
+    ).option("pathGlobFilter", "*.json").json(f"{root}/{scope}")
     df = df.withColumn("file_path", F.col("_metadata.file_path"))
     if signature is not None:
         df = df.where(F.col("execution.signature") == signature)

@@ -32,18 +32,46 @@ def want(spark):
                 runs.append((open_, [u]))
         s = sections[section]
         for merged, us in runs:
-            first = us[0] if not merged else us[0] | {"title": None, "part": None, "item_index": None, "paired_text": None, "instruction_text": None, "chunk_kind": "theory", "locator": f"blocks-{us[0]['block_start']}-{us[-1]['block_end']}"}
+            first = us[0] if not merged else us[0] | {
+                "title": None,
+                "part": None,
+                "item_index": None,
+                "paired_text": None,
+                "instruction_text": None,
+                "chunk_kind": "theory",
+                "locator": f"blocks-{us[0]['block_start']}-{us[-1]['block_end']}",
+            }
             body = "\n\n".join(u["text"] for u in us)
             pieces = [body] if len(body) <= cfg.most else chunking.split_text(body, cfg)
             for i, piece in enumerate(pieces, 1):
-                lines = [f"Book: {s['book_title']}", f"Chapter {s['chapter_number']}: {s['chapter_title']}", f"Section {s['section_number']}: {s['section_title']}", f"Content type: {first['chunk_kind'].replace('_', ' ')}"]
-                lines += [f"Item: {first['title']}"] * bool(first["title"]) + [f"Part: {(first['part'] or '').replace('_', ' ')}"] * bool(first["part"]) + [f"Number: {first['item_index']}"] * (first["item_index"] is not None)
+                lines = [
+                    f"Book: {s['book_title']}",
+                    f"Chapter {s['chapter_number']}: {s['chapter_title']}",
+                    f"Section {s['section_number']}: {s['section_title']}",
+                    f"Content type: {first['chunk_kind'].replace('_', ' ')}",
+                ]
+                lines += [f"Item: {first['title']}"] * bool(first["title"]) + [
+                    f"Part: {(first['part'] or '').replace('_', ' ')}"
+                ] * bool(first["part"]) + [f"Number: {first['item_index']}"] * (first["item_index"] is not None)
                 lines += [f"Instruction: {first['instruction_text']}"] * bool(first["instruction_text"])
-                lines += [f"Related {'problem' if 'solution' in first['chunk_kind'] else 'question'}: {first['paired_text']}"] * bool(first["paired_text"])
-                out.append({
-                    "id": f"{section}__{first['locator']}" + (f"__part-{i:02d}" if len(pieces) > 1 else ""), "text": piece, "embedding": ("\n".join(lines) + "\n\n" + piece).strip(), "kind": first["chunk_kind"], "group": first["retrieval_group"],
-                    "default": all(u["default_retrieval"] for u in us), "chapter": s["chapter_number"], "order": (s["chapter_number"], s["section_number"], us[0]["block_start"]), "piece": i, "pieces": len(pieces), "section": section,
-                })
+                lines += [
+                    f"Related {'problem' if 'solution' in first['chunk_kind'] else 'question'}: {first['paired_text']}"
+                ] * bool(first["paired_text"])
+                out.append(
+                    {
+                        "id": f"{section}__{first['locator']}" + (f"__part-{i:02d}" if len(pieces) > 1 else ""),
+                        "text": piece,
+                        "embedding": ("\n".join(lines) + "\n\n" + piece).strip(),
+                        "kind": first["chunk_kind"],
+                        "group": first["retrieval_group"],
+                        "default": all(u["default_retrieval"] for u in us),
+                        "chapter": s["chapter_number"],
+                        "order": (s["chapter_number"], s["section_number"], us[0]["block_start"]),
+                        "piece": i,
+                        "pieces": len(pieces),
+                        "section": section,
+                    }
+                )
     return out
 
 
@@ -58,16 +86,25 @@ def _rows(spark, name):
 def test_chunks(spark, want):
     got = sorted(tuple(r) for r in _rows(spark, "c7_chunks"))
     assert got == sorted((w["id"], w["section"], w["kind"], w["piece"], w["pieces"], _sha(w["text"]), _sha(w["embedding"])) for w in want)
-    assert {"worked_example_solution", "self_test_answer", "assessment_question", "feature", "attribution", "table"} <= {w["kind"] for w in want}
+    assert {
+        "worked_example_solution", "self_test_answer", "assessment_question", "feature", "attribution", "table"
+    } <= {w["kind"] for w in want}
     assert max(w["pieces"] for w in want) > 1 or all(len(w["text"]) <= 3000 for w in want)
 
 
 def test_embedding_texts(spark, want):
-    assert {r["id"]: r["h"] for r in _rows(spark, "f14_embedding_text")} == {w["id"]: hashlib.md5(w["embedding"].encode()).hexdigest() for w in want}
+    assert {r["id"]: r["h"] for r in _rows(spark, "f14_embedding_text")} == {
+        w["id"]: hashlib.md5(w["embedding"].encode()).hexdigest() for w in want
+    }
 
 
 def test_report(spark, want):
-    got = {(r["facet"], r["value"]): (r["chunk_count"], r["default_count"], r["excluded_count"], r["min_length"], r["max_length"], r["mean_length"]) for r in _rows(spark, "a9_chunk_report")}
+    got = {
+        (r["facet"], r["value"]): (
+            r["chunk_count"], r["default_count"], r["excluded_count"], r["min_length"], r["max_length"], r["mean_length"]
+        )
+        for r in _rows(spark, "a9_chunk_report")
+    }
     groups = collections.defaultdict(list)
     for w in want:
         for k in (("chunk_kind", w["kind"]), ("retrieval_group", w["group"]), ("chapter_number", str(w["chapter"])), ("all", "")):
@@ -83,7 +120,9 @@ def test_checks(spark, want):
     got = collections.Counter((r["id"], r["level"], r["problem"]) for r in _rows(spark, "a10_chunk_checks"))
     expected = collections.Counter((w["id"], "warning", "short embedding text") for w in want if len(w["embedding"]) < 95)
     assert got == expected and expected
-    odd = chunking.chunks(chunking.merge_units(corpus_queries._units(spark, SF)), corpus_queries._sections(spark, SF).withColumn("section_title", F.lit(""))).limit(3)
+    odd = chunking.chunks(
+        chunking.merge_units(corpus_queries._units(spark, SF)), corpus_queries._sections(spark, SF).withColumn("section_title", F.lit(""))
+    ).limit(3)
     assert {r["problem"] for r in chunking.validate(odd.union(odd)).collect()} >= {"missing section_title", "duplicate id"}
 
 

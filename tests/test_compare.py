@@ -41,7 +41,9 @@ def test_field_ratios(spark):
     for r in _rows(spark, "j2_field_similarity"):
         a, b = r["left_text"], r["right_text"]
         matched = r["field_path"] in compare.TEXT_FIELDS + compare.LIST_FIELDS
-        want = (1.0 if a == b else 0.0 if not a or not b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()) if matched else float(a == b)
+        want = (
+            1.0 if a == b else 0.0 if not a or not b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+        ) if matched else float(a == b)
         assert r["similarity"] == pytest.approx(want, abs=5.1e-5)
 
 
@@ -55,7 +57,9 @@ def test_diffs(spark, texts):
 def test_alignments(spark, texts):
     got = {}
     for r in _rows(spark, "e11_alignment"):
-        got.setdefault((r["case_id"], r["challenger_combo_id"]), []).append(tuple(r[c] for c in ("tag", "left_start", "left_end", "right_start", "right_end")))
+        got.setdefault((r["case_id"], r["challenger_combo_id"]), []).append(
+            tuple(r[c] for c in ("tag", "left_start", "left_end", "right_start", "right_end"))
+        )
     cut = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])", t) if s.strip()]
     for k, (a, b) in texts.items():
         assert sorted(got[k]) == sorted(difflib.SequenceMatcher(None, cut(a), cut(b), autojunk=False).get_opcodes())
@@ -68,9 +72,14 @@ def test_changed_fields_of_a_pair(spark):
     """Answers that differ in short answer, explanation and sources: exactly these are named."""
     first = ("mixed", "short", "long", ["e"], "high", ["S1"], ANSWER[6])
     second = ("mixed", "shorter", "longer text", ["e"], "high", ["S1", "S2"], ANSWER[6])
-    d = spark.createDataFrame([(i, c, a, a[5]) for i, (c, a) in enumerate((("one", first), ("two", second)))], f"id long, combo_id string, parsed_answer {evaluation.ANSWER}, source_ids array<string>")
+    d = spark.createDataFrame(
+        [(i, c, a, a[5]) for i, (c, a) in enumerate((("one", first), ("two", second)))],
+        f"id long, combo_id string, parsed_answer {evaluation.ANSWER}, source_ids array<string>",
+    )
     d = d.withColumns({"request_type": F.col("parsed_answer.request_type"), "experiment_kind": F.col("parsed_answer.experiment.kind")})
-    side = lambda c, n: d.where(F.col("combo_id") == c).select(F.struct(F.struct(*[compare.field_value(f).alias(f.replace(".", "__")) for f in compare.FIELDS]).alias("fields")).alias(n))
+    side = lambda c, n: d.where(F.col("combo_id") == c).select(
+        F.struct(F.struct(*[compare.field_value(f).alias(f.replace(".", "__")) for f in compare.FIELDS]).alias("fields")).alias(n)
+    )
     pair = side("one", "left").join(side("two", "right"), F.lit(True))
     assert compare.compare_fields(pair).first()["changed_fields"] == ["short_answer", "explanation", "source_ids"]
     rows = {r["field_path"]: r for r in compare.field_comparisons(pair).collect()}
@@ -79,11 +88,35 @@ def test_changed_fields_of_a_pair(spark):
 
 
 def test_answer_rules(spark):
-    plan = ("experiment", None, None, "t", "g", [("salt", None, "1 g", True, None, "p")], ["cup"], ["gloves"], ["stir"], ["care"], "sink", True)
-    answers = [ANSWER, None, ("odd", "", None, ["a", "b", "c"], "sure", list("abcdef"), ("clarification", "", ["1", "2", "3", "4"], *[None] * 9)), (*ANSWER[:6], plan), (*ANSWER[:6], ("experiment", *[None] * 11)), (*ANSWER[:6], None)]
+    plan = (
+        "experiment", None, None, "t", "g", [("salt", None, "1 g", True, None, "p")], ["cup"], ["gloves"], ["stir"], ["care"], "sink", True
+    )
+    answers = [
+        ANSWER,
+        None,
+        ("odd", "", None, ["a", "b", "c"], "sure", list("abcdef"), ("clarification", "", ["1", "2", "3", "4"], *[None] * 9)),
+        (*ANSWER[:6], plan),
+        (*ANSWER[:6], ("experiment", *[None] * 11)),
+        (*ANSWER[:6], None),
+    ]
     d = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], f"id int, answer {evaluation.ANSWER}")
     got = {r["id"]: r["broken_rules"] for r in evaluation.validate_answers(d).collect()}
     assert got[0] == [] and got[1] == ["missing"] and got[5] == ["experiment.kind"]
-    assert got[2] == ["request_type", "short_answer", "explanation", "examples", "certainty", "source_ids", "experiment.questions", "experiment.reason"]
+    assert got[2] == [
+        "request_type", "short_answer", "explanation", "examples", "certainty", "source_ids", "experiment.questions", "experiment.reason"
+    ]
     assert got[3] == ["experiment.ingredients.concentration"]
-    assert got[4] == [f"experiment.{f}" for f in ("title", "goal", "disposal", "ingredients", "equipment", "protective_equipment", "steps", "safety_notes", "adult_supervision_required")]
+    assert got[4] == [
+        f"experiment.{f}"
+        for f in (
+            "title",
+            "goal",
+            "disposal",
+            "ingredients",
+            "equipment",
+            "protective_equipment",
+            "steps",
+            "safety_notes",
+            "adult_supervision_required",
+        )
+    ]

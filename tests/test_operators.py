@@ -14,14 +14,43 @@ ROW = "row_id long, combo_id string, combo_title string, combo_kind string, base
 
 
 def _row(i, combo, case, model, score, at, passed=True):
-    return (i, combo, combo, None, combo, None, "sys_1", "usr_1", None, case, "Why?", model, "exp", score, passed, True, False, 1.0, "explain", "none", at, "sig", ["a"])
+    return (
+        i,
+        combo,
+        combo,
+        None,
+        combo,
+        None,
+        "sys_1",
+        "usr_1",
+        None,
+        case,
+        "Why?",
+        model,
+        "exp",
+        score,
+        passed,
+        True,
+        False,
+        1.0,
+        "explain",
+        "none",
+        at,
+        "sig",
+        ["a"],
+    )
 
 
 @pytest.fixture
 def workspace(spark):
-    return spark.createDataFrame([
-        _row(1, "A", "intro", "phi4-mini", 1.0, "2026-06-25T12:00:01"), _row(2, "B", "intro", "gemma4:12b", 0.8, "2026-06-25T12:00:02"), _row(3, "B", "followup", "phi4-mini", 0.9, "2026-06-25T12:00:03"),
-    ], ROW)
+    return spark.createDataFrame(
+        [
+            _row(1, "A", "intro", "phi4-mini", 1.0, "2026-06-25T12:00:01"),
+            _row(2, "B", "intro", "gemma4:12b", 0.8, "2026-06-25T12:00:02"),
+            _row(3, "B", "followup", "phi4-mini", 0.9, "2026-06-25T12:00:03"),
+        ],
+        ROW,
+    )
 
 
 def test_prompt_performance(workspace):
@@ -63,23 +92,38 @@ def test_review_text(spark):
 
 def test_keywords_and_scripts(spark):
     one = spark.createDataFrame([(" A, b,a ,,B,c", "10", "n+1")], "t string, d string, x string")
-    r = one.select(text.tag_list("t").alias("t"), text.unicode_script("d", False).alias("d"), text.unicode_script("x", True).alias("x")).first()
+    r = one.select(
+        text.tag_list("t").alias("t"), text.unicode_script("d", False).alias("d"), text.unicode_script("x", True).alias("x")
+    ).first()
     assert (r["t"], r["d"], r["x"]) == (["A", "b", "c"], "₁₀", "^(n+1)")
 
 
 @pytest.mark.parametrize(("answer", "hit"), [("10% acid", False), ("use 0.1m now", True), ("10 mol/l", True), ("ten percent", False)])
 def test_concentration(spark, answer, hit):
-    a = spark.createDataFrame([("c", (answer, "x", ("none",)))], "case_id string, answer struct<short_answer:string,request_type:string,experiment:struct<kind:string>>")
-    c = spark.createDataFrame([("c", None, None, None, True)], "case_id string, expected_request_type array<string>, expected_experiment_kind array<string>, forbidden_phrases array<string>, forbid_concentration_patterns boolean")
+    a = spark.createDataFrame(
+        [("c", (answer, "x", ("none", )))],
+        "case_id string, answer struct<short_answer:string,request_type:string,experiment:struct<kind:string>>",
+    )
+    c = spark.createDataFrame(
+        [("c", None, None, None, True)],
+        "case_id string, expected_request_type array<string>, expected_experiment_kind array<string>, forbidden_phrases array<string>, forbid_concentration_patterns boolean",
+    )
     assert evaluation.score_answers(a, c).first()["passed"] is not hit
 
 
 def test_missing_answer(spark):
-    a = spark.createDataFrame([("c", None)], "case_id string, answer struct<short_answer:string,request_type:string,experiment:struct<kind:string>>")
-    c = spark.createDataFrame([("c", ["x"], ["none"], ["bad"], True)], "case_id string, expected_request_type array<string>, expected_experiment_kind array<string>, forbidden_phrases array<string>, forbid_concentration_patterns boolean")
+    a = spark.createDataFrame(
+        [("c", None)], "case_id string, answer struct<short_answer:string,request_type:string,experiment:struct<kind:string>>"
+    )
+    c = spark.createDataFrame(
+        [("c", ["x"], ["none"], ["bad"], True)],
+        "case_id string, expected_request_type array<string>, expected_experiment_kind array<string>, forbidden_phrases array<string>, forbid_concentration_patterns boolean",
+    )
     r = evaluation.score_answers(a, c).first()
     assert (r["passed_count"], r["total_count"], r["score"]) == (1, 5, 0.2)
-    assert evaluation.failed_checks(evaluation.score_answers(a, c)).first()["failed_checks"] == "parse_ok, request_type, experiment_kind, forbidden_phrases"
+    assert evaluation.failed_checks(
+        evaluation.score_answers(a, c)
+    ).first()["failed_checks"] == "parse_ok, request_type, experiment_kind, forbidden_phrases"
 
 
 def test_plan(spark, workspace):
@@ -98,7 +142,11 @@ def test_plan(spark, workspace):
 def test_diff_and_alignment(spark):
     left, right = "One two three.\n\nFour five.", "One two four.\n\nFour five. Six."
     d = spark.createDataFrame([(left, right), ("", ""), ("x", "")], "a string, b string")
-    r = d.select(compare.text_similarity(F.col("a"), F.col("b")).alias("s"), compare.unified_diff(F.col("a"), F.col("b")).alias("d"), compare.alignment(F.col("a"), F.col("b"), "sentence").alias("o")).collect()
+    r = d.select(
+        compare.text_similarity(F.col("a"), F.col("b")).alias("s"),
+        compare.unified_diff(F.col("a"), F.col("b")).alias("d"),
+        compare.alignment(F.col("a"), F.col("b"), "sentence").alias("o"),
+    ).collect()
     assert r[0]["s"] == difflib.SequenceMatcher(None, left, right, autojunk=False).ratio()
     assert (r[1]["s"], r[2]["s"], r[1]["d"]) == (1.0, 0.0, "")
     assert r[0]["d"].startswith("--- baseline\n+++ challenger")
@@ -108,7 +156,9 @@ def test_diff_and_alignment(spark):
 def test_split_long(spark):
     body = " ".join(f"Word{i} is here." if i % 9 else f"Word{i}\n\n" for i in range(2000))
     c = chunking.Config()
-    got = spark.createDataFrame([(body,), ("short",), ("x" * 7000,), (None,)], "t string").select(chunking.split_long(F.col("t")).alias("p")).collect()
+    got = spark.createDataFrame(
+        [(body, ), ("short", ), ("x" * 7000, ), (None, )], "t string"
+    ).select(chunking.split_long(F.col("t")).alias("p")).collect()
     assert got[1]["p"] == ["short"]
     assert all(len(p) <= c.most for r in got for p in r["p"])
     joined = " ".join(got[0]["p"])
@@ -117,8 +167,30 @@ def test_split_long(spark):
 
 
 def test_merge_units_covers_text(spark):
-    rows = [(1, i, i, 0, "paragraph" if i % 2 else "heading", f"block-{i}", "t" * 700, "theory" if i != 4 else "table", "theory" if i != 4 else "table", None, None, None, None, None, True) for i in range(8)]
-    u = spark.createDataFrame(rows, "section_id long, block_start long, block_end long, seq long, block_type string, locator string, text string, chunk_kind string, retrieval_group string, title string, part string, item_index int, paired_text string, instruction_text string, default_retrieval boolean")
+    rows = [
+        (
+            1,
+            i,
+            i,
+            0,
+            "paragraph" if i % 2 else "heading",
+            f"block-{i}",
+            "t" * 700,
+            "theory" if i != 4 else "table",
+            "theory" if i != 4 else "table",
+            None,
+            None,
+            None,
+            None,
+            None,
+            True,
+        )
+        for i in range(8)
+    ]
+    u = spark.createDataFrame(
+        rows,
+        "section_id long, block_start long, block_end long, seq long, block_type string, locator string, text string, chunk_kind string, retrieval_group string, title string, part string, item_index int, paired_text string, instruction_text string, default_retrieval boolean",
+    )
     m = chunking.merge_units(u).orderBy("block_start").collect()
     assert [(r["block_start"], r["block_end"]) for r in m] == [(0, 1), (2, 3), (4, 4), (5, 6), (7, 7)]
     assert [r["locator"] for r in m][2] == "block-4"
@@ -126,7 +198,9 @@ def test_merge_units_covers_text(spark):
 
 
 def _page(spark, *html):
-    return pages.parse_nodes(spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
+    return pages.parse_nodes(
+        spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    )
 
 
 def test_html(spark):
@@ -157,19 +231,32 @@ def test_structure_of_a_book_page(spark):
     blocks = pages.blocks(nodes).where("section_index = 1").orderBy("block_index").collect()
     assert [r["block_type"] for r in blocks] == ["formula_or_equation", "worked_example", "table", "figure", "heading", "paragraph"]
     assert blocks[0]["text"] == "Water is H₂O, x^(n).\nNext [FORMULA: a+b] and [FORMULA: a+b]"
-    assert blocks[1]["text"] == "Example 4.1\n\nProblems\n\nBalance each.\n\n3. first\n4. second\n   with more\n   - deep\n\nSolutions\n\n3. done first\n4. done second\n\nTest Yourself\n\nTry.\n\nAnswer\n\nYes."
+    assert blocks[1][
+        "text"
+    ] == "Example 4.1\n\nProblems\n\nBalance each.\n\n3. first\n4. second\n   with more\n   - deep\n\nSolutions\n\n3. done first\n4. done second\n\nTest Yourself\n\nTry.\n\nAnswer\n\nYes."
     assert blocks[2]["text"] == "Table: Sizes\na | b\n1 | 2"
     assert (blocks[1]["title"], blocks[4]["heading_level"]) == ("Example 4.1", 2)
-    assert [(r["kind"], r["value"]) for r in pages.formulae(nodes).orderBy("formula_index").collect()] == [("latex_image", "a+b"), ("subscript", "2"), ("superscript", "n")]
+    assert [
+        (r["kind"], r["value"]) for r in pages.formulae(nodes).orderBy("formula_index").collect()
+    ] == [("latex_image", "a+b"), ("subscript", "2"), ("superscript", "n")]
     assert [(r["src"], r["alt"], r["caption"], r["width"]) for r in pages.media(nodes).collect()] == [("i.png", "pic", "A picture", "5")]
     assert [(r["caption"], r["rows"]) for r in pages.tables(nodes).collect()] == [("Sizes", [["a", "b"], ["1", "2"]])]
     book = pages.books(nodes).first()
-    assert (book["book_title"], book["language"], book["authors"], book["chapter_title"], book["section_count"]) == ("A Book", "fr", ["X", "Y"], "Acids", 2)
+    assert (
+        book["book_title"], book["language"], book["authors"], book["chapter_title"], book["section_count"]
+    ) == ("A Book", "fr", ["X", "Y"], "Acids", 2)
     marked = pages.markdown(nodes).where("section_index = 1").first()["markdown"]
     assert "### Block 2: `worked_example`\n\n**Example 4.1**\n\n#### Problems\n\nBalance each.\n\n3. first" in marked and "**Table:** Sizes\na | b" in marked
     audit = pages.structure_audit(nodes).collect()
-    assert {r["name"] for r in audit} == {"Example 4.1", "Problems", "Solutions", "Test Yourself", "Answer"} and not any(r["missing"] for r in audit)
-    s = {r["section_index"]: r for r in pages.sections(nodes, spark.createDataFrame([(0, "http://h/0", BOOK_PAGE)], "page_id long, url string, html string")).collect()}
+    assert {r["name"] for r in audit} == {
+        "Example 4.1", "Problems", "Solutions", "Test Yourself", "Answer"
+    } and not any(r["missing"] for r in audit)
+    s = {
+        r["section_index"]: r
+        for r in pages.sections(
+            nodes, spark.createDataFrame([(0, "http://h/0", BOOK_PAGE)], "page_id long, url string, html string")
+        ).collect()
+    }
     assert (s[1]["formula_count"], s[1]["media_count"], s[1]["table_count"], s[1]["block_type_counts"]["worked_example"]) == (3, 1, 1, 1)
     assert s[2]["text"] == "Second section."
 
@@ -180,16 +267,31 @@ def test_units_of_a_book_page(spark):
     got = {r["locator"]: r for r in units.units(b).collect()}
     kinds = {k: r["chunk_kind"] for k, r in got.items()}
     assert kinds == {
-        "block-1-formula_or_equation": "equation_context", "example-example-4-1-problems-intro": "worked_example_problem_intro", "example-example-4-1-problem-3": "worked_example_problem", "example-example-4-1-problem-4": "worked_example_problem",
-        "example-example-4-1-solution-3": "worked_example_solution", "example-example-4-1-solution-4": "worked_example_solution", "example-example-4-1-self-test": "self_test_question", "example-example-4-1-self-test-answer": "self_test_answer",
-        "block-3-table": "table", "block-4-figure": "figure_caption", "block-5-heading": "attribution", "block-6-paragraph": "attribution",
-    }
-    assert got["example-example-4-1-solution-3"]["paired_text"] == "first" and got["example-example-4-1-problem-3"]["instruction_text"] == "Balance each."
-    assert {k for k, r in got.items() if not r["default_retrieval"]} == {"example-example-4-1-self-test", "example-example-4-1-self-test-answer", "block-5-heading", "block-6-paragraph"}
+        "block-1-formula_or_equation": "equation_context",
+        "example-example-4-1-problems-intro": "worked_example_problem_intro",
+        "example-example-4-1-problem-3": "worked_example_problem",
+        "example-example-4-1-problem-4": "worked_example_problem",
+        "example-example-4-1-solution-3": "worked_example_solution",
+        "example-example-4-1-solution-4": "worked_example_solution",
+        "example-example-4-1-self-test": "self_test_question",
+        "example-example-4-1-self-test-answer": "self_test_answer",
+        "block-3-table": "table",
+        "block-4-figure": "figure_caption",
+        "block-5-heading": "attribution",
+        "block-6-paragraph": "attribution",
+    }
+    assert got[
+        "example-example-4-1-solution-3"
+    ]["paired_text"] == "first" and got["example-example-4-1-problem-3"]["instruction_text"] == "Balance each."
+    assert {k for k, r in got.items() if not r["default_retrieval"]} == {
+        "example-example-4-1-self-test", "example-example-4-1-self-test-answer", "block-5-heading", "block-6-paragraph"
+    }
 
 
 def test_pages_with_odd_html(spark):
-    nodes = _page(spark, "", "just text", "<p>", "<ul><li>a<li>b</ul>", "<table><tr><td>x</table><div><div><p>deep", '<ol start="x9"><li>y</ol>').cache()
+    nodes = _page(
+        spark, "", "just text", "<p>", "<ul><li>a<li>b</ul>", "<table><tr><td>x</table><div><div><p>deep", '<ol start="x9"><li>y</ol>'
+    ).cache()
     got = {(r["page_id"], r["block_index"]): r["text"] for r in pages.blocks(nodes).collect()}
     assert got[3, 1] == "- a\n- b" and got[4, 1] == "x" and got[4, 2] == "deep" and got[5, 1] == "9. y"
     assert pages.markdown(nodes).count() > 0 and pages.structure_audit(nodes).count() == 0
@@ -217,7 +319,12 @@ def test_given_pages_against_the_parser(spark):
 
     p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     nodes = pages.parse_nodes(p).cache()
-    tags = {r["page_id"]: r["t"] for r in nodes.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda x: x["tag"]).alias("t")).collect()}
+    tags = {
+        r["page_id"]: r["t"]
+        for r in nodes.groupBy("page_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda x: x["tag"]).alias("t")
+        ).collect()
+    }
     texts = {}
     for r in pages.blocks(nodes).orderBy("page_id", "block_index").collect():
         texts.setdefault(r["page_id"], []).append(r["text"])
@@ -231,23 +338,42 @@ def test_given_pages_against_the_parser(spark):
 
 
 def test_list_starts(spark):
-    d = spark.createDataFrame([("7",), ('7""',), ("x12",), ("x",), (None,)], "v string").select(chunking.repair_list_start(F.col("v")).alias("r")).select("r.*").collect()
+    d = spark.createDataFrame(
+        [("7", ), ('7""', ), ("x12", ), ("x", ), (None, )], "v string"
+    ).select(chunking.repair_list_start(F.col("v")).alias("r")).select("r.*").collect()
     assert [r["value"] for r in d] == [7, 7, 12, 1, 1]
     assert [r["method"] for r in d] == [None, "trim_surrounding_quotes", "extract_first_integer", "fallback_to_one", None]
 
 
 def test_pack_context_keeps_budget(spark):
-    hits = spark.createDataFrame([(1, i, f"[S{i}]", "y" * n) for i, n in ((1, 300), (2, 400), (3, 5), (4, 50))], "query_id long, rank int, header string, text string")
+    hits = spark.createDataFrame(
+        [(1, i, f"[S{i}]", "y" * n) for i, n in ((1, 300), (2, 400), (3, 5), (4, 50))],
+        "query_id long, rank int, header string, text string",
+    )
     packed = retrieval.pack_context(hits, 700)
     context = retrieval.contexts(hits.select("query_id").distinct(), hits, packed).first()["context"]
     assert context.startswith("[S1]\ntext:\n")
     assert len(context) <= 700 + len(retrieval.TRUNCATED)
     assert context.endswith("[truncated]")
-    assert retrieval.contexts(hits.select("query_id").distinct(), hits, retrieval.pack_context(hits, 50)).first()["context"] == retrieval.TOO_SMALL
+    assert retrieval.contexts(
+        hits.select("query_id").distinct(), hits, retrieval.pack_context(hits, 50)
+    ).first()["context"] == retrieval.TOO_SMALL
 
 
 def test_history(spark):
-    t = spark.createDataFrame([(1, 0, "assistant"), (1, 1, "user"), (2, 0, "user"), (2, 1, "assistant"), (2, 2, "user"), (3, 0, "user"), (3, 1, "assistant"), (3, 2, "assistant")], "conv_id long, turn long, role string")
+    t = spark.createDataFrame(
+        [
+            (1, 0, "assistant"),
+            (1, 1, "user"),
+            (2, 0, "user"),
+            (2, 1, "assistant"),
+            (2, 2, "user"),
+            (3, 0, "user"),
+            (3, 1, "assistant"),
+            (3, 2, "assistant"),
+        ],
+        "conv_id long, turn long, role string",
+    )
     got = sorted((r["conv_id"], r["turn"]) for r in retrieval.trim_history(t, 2).collect())
     assert got == [(1, 0), (1, 1), (2, 2)]
 
@@ -262,10 +388,16 @@ def test_lineage_and_cycles(spark):
 
 
 def test_skewed_pairs_match_plain_product(spark):
-    vectors = spark.createDataFrame([(i, "g" if i < 40 else "h", [float((i * k) % 7 - 3) for k in range(1, 5)]) for i in range(60)], "item_id long, group_id string, vector array<double>")
+    vectors = spark.createDataFrame(
+        [(i, "g" if i < 40 else "h", [float((i * k) % 7 - 3) for k in range(1, 5)]) for i in range(60)],
+        "item_id long, group_id string, vector array<double>",
+    )
     got = {(r[0], r[1]): r[2] for r in similarity.pairs(vectors, tile=8).collect()}
     rows = vectors.collect()
-    want = {(a[0], b[0]): round(sum(x * y for x, y in zip(a[2], b[2], strict=True)), 6) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]}
+    want = {
+        (a[0], b[0]): round(sum(x * y for x, y in zip(a[2], b[2], strict=True)), 6) for a in rows for b in rows
+        if a[0] < b[0] and a[1] == b[1]
+    }
     assert got == want
 
 
@@ -289,7 +421,12 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([(1, None, ["x"])], "a int, b string, c array<string>")
     io.write_csv(review.csv_ready(rows), str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "csv")).first()["a"] == "1"
-    similarity.write_bundle(spark.createDataFrame([(1, 2, 0.5)], "left_item_id int, right_item_id int, similarity double"), str(tmp_path / "sim"), scope="s", dims=256)
+    similarity.write_bundle(
+        spark.createDataFrame([(1, 2, 0.5)], "left_item_id int, right_item_id int, similarity double"),
+        str(tmp_path / "sim"),
+        scope="s",
+        dims=256,
+    )
     assert similarity.read_bundle(spark, str(tmp_path / "sim"), scope="s", dims=256).count() == 1
 
 
@@ -323,7 +460,9 @@ def test_knn_in_passes(spark, metric, monkeypatch):
     queries = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 40, 2)], "query_id long, vector array<double>")
     want = {}
     for i in range(0, 40, 2):
-        d = ((v - v[i]) ** 2).sum(1) if metric == "l2sq" else 1 - v @ v[i] / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]), 1e-300)
+        d = ((v - v[i]) ** 2).sum(1) if metric == "l2sq" else 1 - v @ v[i] / np.maximum(
+            np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]), 1e-300
+        )
         own = sorted((max(round(float(d[c % 250]), 6), 0.0), c) for c in range(300))[:5]
         want.update({(i, r): c for r, (_, c) in enumerate(own, 1)})
     for block, size in ((512, 64 << 20), (3, 100)):

@@ -8,8 +8,32 @@ from tests.oracle import connect, rows
 SF = "/root/testdata/sf0.001"
 #: Queries without SQL: test_chunks, test_compare and the page tests of test_operators hold them.
 ELSEWHERE = {
-    "c6_split_documents", "c7_chunks", "f14_embedding_text", "a9_chunk_report", "a10_chunk_checks", "w11_review_sample", "t5_corpus_order", "j1_text_similarity", "j2_field_similarity", "a6_text_similarity", "e9_text_ratio", "e10_unified_diff", "e11_alignment",
-    "c1_nodes", "c1_blocks", "c1_outline", "c2_links", "c2_formulae", "c2_media", "c2_tables", "c3_sections", "c4_markdown", "c5_page_units", "a11_chapters", "a11_block_types", "a12_structure_audit",
+    "c6_split_documents",
+    "c7_chunks",
+    "f14_embedding_text",
+    "a9_chunk_report",
+    "a10_chunk_checks",
+    "w11_review_sample",
+    "t5_corpus_order",
+    "j1_text_similarity",
+    "j2_field_similarity",
+    "a6_text_similarity",
+    "e9_text_ratio",
+    "e10_unified_diff",
+    "e11_alignment",
+    "c1_nodes",
+    "c1_blocks",
+    "c1_outline",
+    "c2_links",
+    "c2_formulae",
+    "c2_media",
+    "c2_tables",
+    "c3_sections",
+    "c4_markdown",
+    "c5_page_units",
+    "a11_chapters",
+    "a11_block_types",
+    "a12_structure_audit",
 }
 
 
