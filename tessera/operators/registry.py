@@ -194,6 +194,12 @@ def combo_key(prompt_ids: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(entries.alias("prompt_ids"))), 256), 1, 16)
 
 
+def prompt_pool(nodes: DataFrame, kind: str, *, context_variants: bool = True) -> DataFrame:
+    """Ids of the nodes of a type, on demand without context variants."""
+    own = nodes.where(F.col("type") == kind)
+    return (own if context_variants else own.where(F.coalesce("kind", F.lit("")) != "context_variant")).select("id")
+
+
 def generate_combos(pools: dict[str, DataFrame], existing: DataFrame, limit: int | None = None) -> DataFrame:
     """All combinations of the pools (role -> ids) whose key does not exist. The product is the result; with a limit its size is checked first."""
     if limit is not None:
@@ -258,6 +264,25 @@ def experiment_dependencies(summary: DataFrame) -> DataFrame:
     return summary.withColumn("blockers", b).withColumn("safe_to_delete", F.size("blockers") == 0)
 
 
+def link_dependencies(links: DataFrame, experiments: DataFrame, runs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """What keeps each link (experiment_id, combo_id) from being taken off: not attached, results, runs, compact result rows."""
+    key = ["experiment_id", "combo_id"]
+    count = lambda t, n: t.groupBy(*key).agg(F.count("*").alias(n))
+    compact = rows if rows is not None else runs.limit(0)
+    parts = (experiment_combos(experiments), "attached_count"), (experiment_results(experiments), "result_count"), (runs, "run_count"), (compact, "row_count")
+    out = links
+    for table, name in parts:
+        out = out.join(count(table, name), key, "left")
+    out = out.fillna(0, [name for _, name in parts])
+    rules = {
+        "combo_not_attached": F.col("attached_count") == 0,
+        "has_recorded_results": F.col("result_count") > 0,
+        "has_recorded_runs": F.col("run_count") > 0,
+        "has_compact_result_rows": F.col("row_count") > 0,
+    }
+    return out.withColumn("blockers", _blockers(**rules)).withColumn("safe_to_detach", F.size("blockers") == 0)
+
+
 def snapshot(pairs: DataFrame, combos: DataFrame, nodes: DataFrame) -> DataFrame:
     """Base and active combo of each pair: prompts by role with node and lineage, few-shot prompt, roles that changed, a hash.
 

@@ -117,7 +117,13 @@ QUERIES = {
     "f3_comparison_text": lambda s, d: _rows(s, d).select("row_id", "comparison_text"),
     "f3_comparison_hash": lambda s, d: _rows(s, d).select("row_id", "comparison_hash"),
     "f4_sentences": lambda s, d: _docs(s, d).select(
-        "doc_id", F.size(text.sentences("text")).alias("n_sentences"), F.size(text.embedding_tokens("text")).alias("n_tokens")
+        "doc_id",
+        F.size(text.sentences("text")).alias("n_sentences"),
+        F.md5(F.array_join(text.sentences("text"), "|")).alias("sentences"),
+        F.md5(F.array_join(text.embedding_tokens("text"), "|")).alias("tokens"),
+    ),
+    "f2_list_blocks": lambda s, d: _docs(s, d).select("doc_id", F.explode(text.list_block(F.split("text", "\n", -1))).alias("x")).select(
+        "doc_id", "x.index", "x.block.char_count", "x.block.word_count", "x.block.paragraph_count", F.md5("x.block.normalized").alias("h")
     ),
     "f5_prompt_stats": lambda s, d: _docs(s, d).select("doc_id", text.prompt_stats("text").alias("p")).select(
         "doc_id",
@@ -363,7 +369,18 @@ SQL = {
     ),
     "f3_comparison_text": _sql(f", {_EVENT} select row_id, {_COMPARE} as comparison_text from wide"),
     "f3_comparison_hash": _sql(f""", {_EVENT} select row_id, substr(sha256('"' || replace({_COMPARE}, chr(10), '\\n') || '"'), 1, 16) as comparison_hash from wide"""),
-    "f4_sentences": rf"""with {_N} select n.doc_id, case when t = '' then 0 else len(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1))) end::int as n_sentences, len(regexp_extract_all(lower({_T}), '[a-z0-9_]+'))::int as n_tokens from n join documents using (doc_id)""",
+    "f4_sentences": rf"""with {_N}, c as (
+        select doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+            lambda x: trim(x, chr(32) || chr(10) || chr(9))), lambda x: x <> '') as ss from n)
+        select c.doc_id, len(ss)::int as n_sentences, md5(array_to_string(ss, '|')) as sentences,
+            md5(array_to_string(regexp_extract_all(lower({_T}), '[a-z0-9_]+'), '|')) as tokens
+        from c join documents using (doc_id)""",
+    "f2_list_blocks": rf"""with documents as (
+        select doc_id as d, unnest(l) as text, generate_subscripts(l, 1)::int as i
+        from (select doc_id, string_split(text, chr(10)) as l from read_parquet_documents)),
+        n as (select d, i, {_REVIEW} as t from documents)
+        select d as doc_id, i as index, length(t)::int as char_count, len(regexp_extract_all(t, '\S+'))::int as word_count,
+            (t <> '')::int as paragraph_count, md5(t) as h from n""".replace("read_parquet_documents", "main.documents"),
     "f5_prompt_stats": rf"""with t as (select doc_id, trim({_T}, chr(32) || chr(10) || chr(9)) as t from documents), w as (select *, regexp_extract_all(t, '{_WORD}') as ws, case when t = '' then 0 else len(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) end as ns from t)
         select doc_id, length(t)::int as char_count, case when t = '' then 0 else len(string_split(t, chr(10))) end::int as line_count, len(ws)::int as word_count, ns::int as sentence_count, coalesce(round(list_sum(list_transform(ws, lambda x: length(x))) / len(ws), 4), 0.0) as avg_word_length,
         case when ns > 0 then round(len(ws) / ns, 4) else 0.0 end as avg_sentence_words, len(list_distinct(regexp_extract_all(t, '\{{([a-zA-Z_][a-zA-Z0-9_]*)\}}', 1)))::int as placeholder_count, (length(t) - length(regexp_replace(t, '[{{}}]', '', 'g')))::int as brace_count from w""",

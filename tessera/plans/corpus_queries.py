@@ -87,16 +87,19 @@ def _hits(s, d, k=12):
     near = retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), k)
     docs = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     hits = near.withColumn("indexed_text", F.concat(F.lit("indexed "), F.col("chunk_id").cast("string")))
+    v, label = F.col("chunk_id"), F.col("section")
+    # The key of a hit's section: its parent section, its section, or its chapter and section numbers.
     meta = _index(s, d).select(
         "chunk_id",
-        "section",
+        F.when(v % 3 == 0, label).alias("parent_section_id"),
+        F.when(v % 3 == 1, F.concat(F.lit("s"), label)).alias("section_id"),
         "chapter_number",
         "chunk_kind",
         F.lit("").alias("section_title"),
-        F.col("section").alias("section_number"),
+        label.alias("section_number"),
         F.lit("theory").alias("retrieval_group"),
     )
-    return retrieval.source_text(hits, docs).join(meta, "chunk_id")
+    return retrieval.source_text(hits, docs).join(meta, "chunk_id").withColumn("section", retrieval.section_key())
 
 
 def _selected(s, d):
@@ -217,7 +220,7 @@ _D = (
     "p[2]::double))), 0), 6)"
 )
 _KNN = (
-    f"near as (select q.vec_id as query_id, c.vec_id as chunk_id, {_D} as distance, c.label::varchar as section from embeddings q join "
+    f"near as (select q.vec_id as query_id, c.vec_id as chunk_id, {_D} as distance, case c.vec_id % 3 when 0 then c.label::varchar when 1 then 's' || c.label else (c.vec_id % 5) || ':' || c.label end as section, c.label::varchar as label_ from embeddings q join "
     f"embeddings c on c.vec_id % 9 > 0 where q.vec_id % 20 = 0), ranked as (select *, row_number() over (partition by query_id order by "
     f"distance, chunk_id)::int as rank from near)"
 )
@@ -273,7 +276,7 @@ SQL = {
     ),
     "j20_source_text": f"with {_HITS} select query_id, chunk_id, md5(text) as h from hits",
     "w8_diversity": f"with {_SEL} select query_id, 'S' || pos as label, chunk_id, section from sel",
-    "w9_context": rf"""with {_SEL}, h as (select *, '[S' || pos || ']' || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'source: Chapter ' || (chunk_id % 5) || ' · Section ' || section || chr(10) || 'content_type: ' || case when chunk_id % 2 = 0 then 'theory' else 'table' end as header from sel),
+    "w9_context": rf"""with {_SEL}, h as (select *, '[S' || pos || ']' || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'source: Chapter ' || (chunk_id % 5) || ' · Section ' || label_ || chr(10) || 'content_type: ' || case when chunk_id % 2 = 0 then 'theory' else 'table' end as header from sel),
         p as (select *, 6500 - coalesce(sum(length(header) + 7 + length(text) + 2) over (partition by query_id order by pos rows between unbounded preceding and 1 preceding), 0) - length(header) - 9 as rest from h),
         k as (select *, min((rest > 120)::int) over (partition by query_id order by pos) as ok from p),
         t as (select query_id, string_agg(header || chr(10) || 'text:' || chr(10) || case when length(text) > rest then rtrim(substr(text, 1, rest::bigint), chr(32) || chr(10) || chr(9)) || chr(10) || '[truncated]' else text end, chr(10) || chr(10) order by pos) as context from k where ok = 1 group by query_id)

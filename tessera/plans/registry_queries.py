@@ -200,6 +200,16 @@ QUERIES = {
     "j17_experiment_blockers": lambda s, d: _join(
         r.experiment_dependencies(_summary(s, d)), "blockers"
     ).select("experiment_id", "blockers", "safe_to_delete"),
+    "j13_prompt_pool": lambda s, d: r.prompt_pool(_variants(s, d), "de", context_variants=False),
+    "j17_link_blockers": lambda s, d: _join(
+        r.link_dependencies(
+            _runs(s, d).select("experiment_id", "combo_id").union(r.experiment_combos(_experiments(s, d)).select("experiment_id", "combo_id")).distinct(),
+            _experiments(s, d),
+            _runs(s, d),
+            _runs(s, d).where("experiment_id % 3 = 0"),
+        ),
+        "blockers",
+    ).select("experiment_id", "combo_id", "result_count", "run_count", "blockers", "safe_to_detach"),
     "j22_snapshots": lambda s, d: _join(_snapshots(s, d), "changed_roles").select(
         "base_combo_id",
         "active_combo_id",
@@ -278,6 +288,15 @@ _SU = (
     f"0 as is_archived from ec group by e)"
 )
 _BL = "array_to_string(list_filter([{}], lambda x: x is not null), ',')"
+_LINK = ", ".join(
+    f"case when {rule} then '{name}' end"
+    for name, rule in (
+        ("combo_not_attached", "off"),
+        ("has_recorded_results", "result_count > 0"),
+        ("has_recorded_runs", "run_count > 0"),
+        ("has_compact_result_rows", "run_count > 0 and experiment_id % 3 = 0"),
+    )
+)
 
 SQL = {
     "p6_archived": f"with {_N} select id, archived as is_archived from nodes",
@@ -383,4 +402,12 @@ SQL = {
     ),
     "f19_fewshot": """select item_id as set_id, case when item_id % 5 > 1 then case when k = 3 then 'x' || item_id else 'example_' || k end end as example_id, case when item_id % 5 > 1 and k in (1, 4) then substr(text, 1, 30) end as question, case when item_id % 5 > 1 then case when k = 4 then 'sure' else 'high' end end as certainty,
         case when item_id % 5 = 0 then 'not a JSON list' when item_id % 5 = 1 then 'no examples' when k = 2 then 'no input' when k = 3 then 'no input.question' when k = 4 then 'answer: certainty' end as problem from benchmark, unnest([1, 2, 3, 4]) as t(k) where item_id % 5 > 1 or k = 1""",
+    "j13_prompt_pool": f"with {_N} select id from nodes where type = 'de' and id % 5 <> 0",
+    "j17_link_blockers": (
+        f"with {_E}, k as (select distinct e, c from ec union select distinct e, rc from ec where ran), a as (select e, c, count(*) as n, "
+        f"count(*) filter (res) as nr from ec group by e, c), n as (select e, rc as c, count(*) as n from ec where ran group by e, rc), "
+        f"x as (select k.e as experiment_id, k.c as combo_id, coalesce(a.nr, 0) as result_count, coalesce(n.n, 0) as run_count, "
+        f"coalesce(a.n, 0) = 0 as off from k left join a using (e, c) left join n using (e, c)), y as (select *, "
+        f"{_BL.format(_LINK)} as blockers from x) select * exclude (off), blockers = '' as safe_to_detach from y"
+    ),
 }
