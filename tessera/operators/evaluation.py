@@ -100,9 +100,8 @@ def plan_runs(combos: DataFrame, cases: DataFrame, existing: DataFrame, mode: st
         "combo_id", "case_id", F.col("row_id").alias("existing_id"), F.col("passed").alias("existing_passed")
     )
     # Every combo carries the list of cases, which an experiment keeps short; no join of rows without a key.
-    targets = combos.select("combo_id").join(
-        F.broadcast(cases.agg(F.sort_array(F.collect_set("case_id")).alias("ids"))), F.lit(True)
-    ).select("combo_id", F.explode("ids").alias("case_id"))
+    listed = cases.agg(F.sort_array(F.collect_set("case_id")).alias("ids"))
+    targets = combos.select("combo_id").join(listed, F.lit(True)).select("combo_id", F.explode("ids").alias("case_id"))
     planned = targets.join(have, ["combo_id", "case_id"], "left")
     run = {
         "all": F.lit(True),

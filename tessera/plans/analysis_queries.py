@@ -50,7 +50,7 @@ def _cases(s, d):
         [(1, ["explain"], None, True), (3, ["plan"], ["none", "experiment"], False)],
         "t int, expected_request_type array<string>, expected_experiment_kind array<string>, forbid_concentration_patterns boolean",
     )
-    return t.join(F.broadcast(phrases), F.lit(True)).select(
+    return t.join(phrases, F.lit(True)).select(
         F.concat(F.lit("turn_"), F.col("t").cast("string")).alias("case_id"),
         "expected_request_type",
         "expected_experiment_kind",
@@ -262,6 +262,7 @@ QUERIES = {
     "e5_clusters": lambda s, d: similarity.clusters(
         similarity.pairs(_vectors(s, d), threshold=0.4), _vectors(s, d), 0.4
     ).withColumn("member_item_ids", F.array_join("member_item_ids", ",")),
+    "e5_cluster_members": lambda s, d: similarity.cluster_members(similarity.pairs(_vectors(s, d), threshold=0.4), 0.4),
     "e6_outliers": lambda s, d: similarity.outliers(_vectors(s, d), similarity.pairs(_vectors(s, d))),
     "e6_outlier_means": lambda s, d: similarity.outlier_means(_vectors(s, d)),
     "e7_nearest": lambda s, d: similarity.nearest(_vectors(s, d), _vectors(s, d).where("item_id % 20 = 0")),
@@ -480,6 +481,10 @@ SQL = {
         st as (select label, min(s) as min_similarity, max(s) as max_similarity, round(avg(s::decimal(18, 6))::decimal(18, 10), 4)::double as average_similarity from p join lab on lab.i = p.l where s >= 0.4 group by label)
         select lab.label as cluster_id, array_to_string(list_sort(list(i)), ',') as member_item_ids, count(*) as member_count, any_value(min_similarity) as min_similarity, any_value(max_similarity) as max_similarity, any_value(average_similarity) as average_similarity, any_value(e.label) as group_id
         from lab join st using (label) join embeddings e on e.vec_id = lab.label group by lab.label""",
+    "e5_cluster_members": (
+        f"with recursive {_PEERS}, k as (select i, o from m where s >= 0.4), reach as (select i, o from k union select reach.i, k.o "
+        f"from reach join k on reach.o = k.i) select least(i, min(o)) as cluster_id, i as item_id from reach group by i"
+    ),
     "e6_outliers": (
         f"with {_PEERS}, q as (select i, count(*) as n, round(avg(s::decimal(18, 6))::decimal(18, 10), 4)::double as mean, max(s) as "
         f"nearest from m group by i) select vec_id as item_id, label as group_id, coalesce(n, 0) as peer_count, mean as mean_similarity, "

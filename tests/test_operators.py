@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import chunking, compare, evaluation, pages, registry, retrieval, review, similarity, units
+from tessera.operators import chunking, compare, evaluation, nearest, pages, registry, retrieval, review, similarity, units
 from tessera.sources import io
 
 ROW = "row_id long, combo_id string, combo_title string, combo_kind string, base_combo_id string, active_combo_id string, system_prompt_id string, user_prompt_id string, fewshot_id string, case_id string, question string, model string, experiment_id string, score double, passed boolean, validation_ok boolean, parse_error boolean, duration_seconds double, request_type string, experiment_kind string, created_at string, execution_signature string, tags array<string>"
@@ -466,6 +466,6 @@ def test_knn_in_passes(spark, metric, monkeypatch):
         own = sorted((max(round(float(d[c % 250]), 6), 0.0), c) for c in range(300))[:5]
         want.update({(i, r): c for r, (_, c) in enumerate(own, 1)})
     for block, size in ((512, 64 << 20), (3, 100)):
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
-        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        monkeypatch.setattr(nearest, "QUERY_BLOCK", block)
+        monkeypatch.setattr(nearest, "QUERY_BYTES", size)
         assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.knn(queries, chunks, 5, metric).collect()} == want
