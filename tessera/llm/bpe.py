@@ -6,10 +6,10 @@ tokenizations. It starts with one state that loops on every base token. The gadg
 * the state that u leads to is copied without its arc v, and every u arc is led to the copy: v may no longer follow u;
 * wherever u may stand, so may uv, and it leads where v led before.
 
-All arcs of a token lead to one state, and a copy differs from its parent by one missing arc and by tokens made later.
-So the table is four integers a state (parent, missing token, merge at which it was made) and three a token (state it
-leads to, left part, merge at which it was made): some 50,000 rows whatever the corpus. ``arc`` reads it by walking down
-the copies; answers are kept.
+All arcs of a token lead to one state, so the state is named by the token read last. Its copies form a chain: those of the
+token's own gadgets, below them those that its right part had when the token was made, and so on. A merge puts one entry into the
+table, (u, v) and the number of the merge; a token keeps its number and its parts. So the table has as many entries as there are
+merges, whatever the corpus. ``arc`` reads a transition off the chain, part by part; rows of transitions that were read are kept.
 
 Every prefix of a word has one accepted tokenization at most, hence one state. So a word is encoded left to right along arcs,
 the longest first, and each place is left once at most. Decoding emits the labels of the arcs.
@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,38 +36,41 @@ class Automaton:
     def __init__(self, base: list[str], merges: list[tuple[str, str]]):
         self.made = dict.fromkeys(base, -1)  # token -> merge that made it
         self.left: dict[str, str] = {}
-        self.leads = dict.fromkeys(base, 0)  # token -> state
-        self.parent, self.missing, self.at = [-1], [""], [-1]
-        self.known: dict[tuple[int, str], bool] = {}
+        self.right: dict[str, str] = {}
+        self.gadgets: dict[tuple[str, str], int] = {}
         for i, (u, v) in enumerate(merges):
             self.add(i, u, v)
         self.longest = max(map(len, self.made), default=0)
+        self.rows: dict[str, dict[str, bool]] = {}
+        self.kept = 0
 
     def add(self, i: int, u: str, v: str) -> None:
         """The gadget of merge i."""
-        if u not in self.made or v not in self.made or not self.arc(self.leads[u], v):  # the pair can't arise
+        if u not in self.made or v not in self.made or not self.arc(u, v):  # the pair can't arise
             return
-        uv, before = u + v, self.leads[v]
+        uv = u + v
         if uv in self.made:
             raise ValueError(f"two merges make {uv!r}")
-        self.parent.append(self.leads[u])
-        self.missing.append(v)
-        self.at.append(i)
-        self.leads[u] = len(self.at) - 1
-        self.made[uv], self.left[uv], self.leads[uv] = i, u, before
-
-    def arc(self, state: int, token: str) -> bool:
-        """Whether the token may come next in this state."""
-        while True:
-            made = self.made[token]
-            if made >= self.at[state]:
-                if made < 0:
-                    return True
-                token = self.left[token]  # a merged token may stand where its left part may
-            elif token == self.missing[state]:
-                return False
-            else:
-                state = self.parent[state]
+        self.gadgets[u, v] = i
+        self.made[uv], self.left[uv], self.right[uv] = i, u, v
+
+    def arc(self, state: str, token: str) -> bool:
+        """Whether the token may come next after ``state``, the token read last.
+
+        A copy made by merge i lacks the arc v. A token that was made at i or later stands wherever its left part may, so
+        there it counts as its left part.
+        """
+        made, gadgets, left = self.made, self.gadgets, self.left
+        part, newest = state, len(gadgets) + len(made)  # copies of a part count if they are older than what it is part of
+        while part is not None:
+            t, upto = token, newest
+            while t is not None:
+                i = gadgets.get((part, t))
+                if i is not None and i < newest and i <= upto:
+                    return False
+                t, upto = left.get(t), made[t]
+            part, newest = self.right.get(part), made[part]
+        return True
 
     def encode(self, symbols: list[str]) -> list[str]:
         """The tokenization of a word, given as base tokens; symbols outside the alphabet are dropped, as the vocabulary has no unknown token.
@@ -74,32 +78,37 @@ class Automaton:
         From each place the longest token with an arc is tried first. A place from which the end can't be reached is
         noted: it has one state, so it stays without use and each place is left once at most.
         """
-        made, known, leads = self.made, self.known, self.leads
+        made, rows = self.made, self.rows
         symbols = [s for s in symbols if s in made]
-        n, dead = len(symbols), set()
-        if len(known) > KEEP_ARCS:
-            known.clear()
-        path: list[tuple[int, int, str]] = []  # start, state there, token
-        at, state, end = 0, 0, n
+        n, word, starts = len(symbols), "".join(symbols), [0, *accumulate(map(len, symbols))]
+        if self.kept > KEEP_ARCS:
+            rows.clear()
+            self.kept = 0
+        path: list[tuple[int, str]] = []  # start, token
+        dead: set[int] = set()
+        at, end = 0, min(n, self.longest)
         while at < n:
+            row = rows.setdefault(path[-1][1], {}) if path else None
             while end > at:
-                token = "".join(symbols[at:end])
+                token = word[starts[at] : starts[end]]
                 if token in made and end not in dead:
-                    key = (state, token)
-                    ok = known.get(key)
+                    if row is None:
+                        break
+                    ok = row.get(token)
                     if ok is None:
-                        ok = known[key] = self.arc(state, token)
+                        ok = row[token] = self.arc(path[-1][1], token)
+                        self.kept += 1
                     if ok:
                         break
                 end -= 1
             if end > at:
-                path.append((at, state, token))
-                at, state, end = end, leads[token], min(n, end + self.longest)
+                path.append((at, token))
+                at, end = end, min(n, end + self.longest)
             else:
                 dead.add(at)
                 end = at - 1
-                at, state, _ = path.pop()
-        return [token for _, _, token in path]
+                at, _ = path.pop()
+        return [token for _, token in path]
 
 
 def byte_letters() -> list[str]:
@@ -123,8 +132,8 @@ class _Kept(dict):
 
 
 #: Texts of these characters need no Unicode tables: they are in composed form, and classes and lower case are plain.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
-PLAIN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class Codec:
@@ -144,7 +153,7 @@ class Codec:
         self.automaton = Automaton([t for t in self.vocabulary if t not in whole], merges)
         self.letters = byte_letters()
         self.added = {x["content"]: str(x["id"]) for x in spec["added_tokens"]}
-        self.added_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.added_re = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         # For other texts, the library's own Unicode tables for composition, case and classes; merging is done here.
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
