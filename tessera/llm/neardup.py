@@ -4,9 +4,9 @@
 2. A class gets a one-permutation MinHash of BINS bins. An empty bin takes the value of the full bin that comes first in
    its own fixed random order (optimal densification). BANDS bands of ROWS bins are hashed to bucket keys. At a
    similarity of 0.75 a pair misses all buckets with odds of 4 in a million.
-3. A bucket of more than SMALL members is searched by ROUNDS stars: a centre is paired with the members of other components, so
-   a star has as many pairs as members at most. Components are updated after each round; a bucket with one component left is
-   done. That settles groups of copies of any size. In a smaller bucket, all pairs of components that are still apart in the
+3. A bucket of more than SMALL members is searched by ROUNDS stars: a centre is paired with members of other components, and a
+   member meets one centre a round, so a round has as many pairs as members at most. Components are updated after each round; a
+   bucket with one component left is done. That settles groups of copies of any size. In a smaller bucket, all pairs of components that are still apart in the
    last round are confirmed on full sets.
 4. What is still open holds texts that share much without being similar, or groups that no star links. It is compared in full:
    classes that open buckets connect are dealt to tiles, and a task counts the shared shingles of all pairs of two tiles that
@@ -171,15 +171,20 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(stars: DataFrame, percent: int, meshes: bool) -> DataFrame:
-    """Candidate pairs (a, b) of this round whose sizes allow the similarity; on demand with all pairs of small buckets."""
-    star = stars.where((F.col("n") > SMALL) & (F.col("comp") != F.col("centre_comp"))).select(
-        "node", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size")
-    )
-    small = stars.where(F.col("n") <= SMALL).select("key", "node", "size", "comp")
-    other = small.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
-    mesh = small.join(other, "key").where("node < other and comp <> other_comp").select("node", "size", "other", "other_size")
+    """Candidate pairs (a, b) of this round whose sizes allow the similarity; on demand with all pairs of small buckets.
+
+    A member meets one centre a round, that of its largest bucket, however many buckets it shares with a group.
+    """
     fit = F.lit(100) * F.least("size", "other_size") >= F.lit(percent) * F.greatest("size", "other_size")
-    return (star.union(mesh) if meshes else star).where(fit).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    large = stars.where((F.col("n") > SMALL) & (F.col("comp") != F.col("centre_comp")))
+    large = large.select("node", "size", "n", "key", F.col("centre").alias("other"), F.col("centre_size").alias("other_size")).where(fit)
+    star = large.groupBy("node").agg(F.max(F.struct("n", "key", "other")).alias("m")).select("node", F.col("m.other").alias("other"))
+    pairs = star
+    if meshes:
+        small = stars.where(F.col("n") <= SMALL).select("key", "node", "size", "comp")
+        other = small.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
+        pairs = pairs.union(small.join(other, "key").where("node < other and comp <> other_comp").where(fit).select("node", "other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _search(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
