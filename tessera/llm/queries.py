@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, licenses, linededup, lmscore, mixing, neardup, quality, search, sharding
+from tessera.llm import (
+    bpe,
+    clustering,
+    itemsearch,
+    langid,
+    licenses,
+    linededup,
+    lmscore,
+    mixing,
+    neardup,
+    quality,
+    search,
+    sharding,
+    urlfilter,
+)
 from tessera.llm.common import Scratch, documents
 
 
@@ -65,6 +79,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_item_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsearch.rank_for_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The label of a number is the outcome of the page of that number.
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic")
+    )
+    outcomes = labels.select("page_id", (F.col("low") | F.col("toxic")).alias("bad"))
+    return urlfilter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -79,5 +110,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_topk_search,
             op9_line_dedup,
             op10_bpe,
+            op11_item_search,
+            op12_kmeans,
+            op13_url_filter,
         )
     }

@@ -78,5 +78,94 @@ select doc_id, n as mix_tokens, s as mix_source, l as mix_lang, t as mix_topic,
 """
 
 
+OP11 = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+s as (select count(*) as docs, sum(len(ts))::bigint as total from d where len(ts) > 0),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+p as (select doc_id, row, len(ts)::bigint as n, unnest(ts) as term from (select *, row_number() over () as row from d)),
+tf as (select doc_id, row, n, term, count(*)::bigint as tf from p where term in (select term from q) group by doc_id, row, n, term),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, s group by term, docs),
+r as (select item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::bigint as score
+    from tf join w using (term) join q using (term), s group by item_id, doc_id, row),
+o as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from r where score > 0 and doc_id is not null)
+select item_id, rank, doc_id, score from o where rank <= 10
+"""
+
+
+def _op12(rounds: int = 10) -> str:
+    """Rounds of assignment and means, written out one after the other."""
+    near = (
+        "a{i} as materialized (select vec_id, row, arg_min(cluster, distance * 8 + cluster) as cluster, min(distance) as distance from "
+        "(select vec_id, row, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance from v, c{i}) group by vec_id, row)"
+    )
+    # Exact floors: what is left over after division is taken off first.
+    mean = (
+        "m{i} as (select cluster, k, ((s - ((s % n) + n) % n) // n)::bigint as x from (select cluster, k, sum(v.x[k])::hugeint as s, count(*)::hugeint as n "
+        "from a{i} join v using (row), unnest(range(1, 65)) as u(k) group by cluster, k)),\n"
+        "c{j} as materialized (select cluster, coalesce(l, c) as c from c{i} left join (select cluster, list(x order by k) as l from m{i} group by cluster) using (cluster))"
+    )
+    steps = [near.format(i=0)]
+    for i in range(rounds):
+        steps += [mean.format(i=i, j=i + 1), near.format(i=i + 1)]
+    last = rounds
+    return f"""
+with v as materialized (select vec_id, row_number() over () as row, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as x from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as materialized (select (row_number() over (order by sha256('3:' || vec_id), x) - 1)::int as cluster, x as c from v qualify cluster < 8),
+{(","+chr(10)).join(steps)},
+h as (select cluster, sha256(array_to_string(c, ',')) as centroid_sha256 from c{last})
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, centroid_sha256
+from a{last} join h using (cluster)
+"""
+
+
+def _shrunk(k: str, n: str, towards: str, size: str) -> str:
+    return f"round(({k} + {towards} * {size}) / ({n} + {size}), 9)"
+
+
+def _prior(name: str, children: str, parent: str) -> str:
+    return f"""{name} as (select least(greatest(1 / greatest(case when sum(room) > 1e-12 then sum(spread) / sum(room) else 0 end, 1e-9) - 1, 1.0), 1e6) as size from (
+    select kk - K * K / N - (c - 1) * (K / N) * (1 - K / N) as spread, (N - nn / N - (c - 1)) * (K / N) * (1 - K / N) as room from (
+        select {parent} as parent, count(*) as c, sum(n)::double as N, sum(k)::double as K, sum(n::double * n) as nn, sum(k::double * k / n) as kk from {children} where n > 0 group by 1)))"""
+
+
+OP13 = rf"""
+with p0 as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+lab as (select doc_id as page_id, bool_or(quality = 0 or toxic = 1) as bad from labels where doc_id is not null and (quality = 0 or toxic = 1) is not null group by doc_id),
+p as (select p0.*, bad, case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from p0 left join lab using (page_id)),
+h0 as (select host, count(bad) as n, count(*) filter (where bad) as k, rtrim(regexp_replace(string_split(host, '@')[-1], ':[0-9]*\z', ''), '.') as name from p group by host),
+h1 as (select *, case when regexp_matches(name, '^[0-9.]+\z') or starts_with(name, '[') then 'address' when regexp_extract(name, '(?:^|\.)((?:ac|co|com|edu|gov|net|org)\.[a-z]{{2}})\z', 1) <> ''
+    then regexp_extract(name, '(?:^|\.)((?:ac|co|com|edu|gov|net|org)\.[a-z]{{2}})\z', 1) else string_split(name, '.')[-1] end as suffix from h0),
+h2 as (select *, string_split(substr(name, 1, greatest(length(name) - length(suffix) - 1, 0)), '.')[-1] as label from h1),
+h as (select host, n, k, suffix, case when suffix = 'address' then name when label = '' then suffix else label || '.' || suffix end as domain from h2),
+kn as (select * from h where host <> ''),
+dm as (select domain, suffix, sum(n)::bigint as n, sum(k)::bigint as k from kn group by domain, suffix),
+sx as (select suffix, 0 as top, sum(n)::bigint as n, sum(k)::bigint as k from dm group by suffix),
+co as (select case when coalesce(sum(n), 0) > 0 then sum(k)::double / sum(n) else 0 end as corpus from sx),
+{_prior("ps", "sx", "top")},
+{_prior("pd", "dm", "suffix")},
+{_prior("ph", "kn", "domain")},
+sr as (select suffix, {_shrunk("k", "n", "corpus", "size")} as suffix_rate from sx, co, ps),
+dr as (select domain, {_shrunk("k", "n", "suffix_rate", "size")} as domain_rate from dm join sr using (suffix), pd),
+hr as (select h.host, n, k, {_shrunk("k", "n", "domain_rate", "size")} as rate, n + size as total from h left join dr using (domain), ph),
+hb as (select *, round(greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1))), 6) as rate_bound, round(corpus, 6) as corpus_rate from hr, co),
+b as (select host, n as host_labels, k as host_bad, round(rate, 6) as host_rate, rate_bound, corpus_rate, coalesce(host <> '' and rate_bound > corpus_rate * 1.1, false) as host_blocked from hb)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when host_blocked then 'block' else 'allow' end as verdict,
+    host_labels, host_bad, host_rate, rate_bound, corpus_rate, host_blocked from p join b using (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": OP2, "op7_mixing": OP7, "op8_topk_search": OP8, "op9_line_dedup": OP9}
+    return {
+        "op2_host_quality": OP2,
+        "op7_mixing": OP7,
+        "op8_topk_search": OP8,
+        "op9_line_dedup": OP9,
+        "op11_item_search": OP11,
+        "op12_kmeans": _op12(),
+        "op13_url_filter": OP13,
+    }
