@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,27 +138,25 @@ def slug(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
-# Digits and signs with a Unicode sub- or superscript.
-SCRIPT_FROM = "0123456789+-=()"
-SUPERSCRIPT = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾"
-SUBSCRIPT = "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"
+# Characters with a Unicode superscript, and with a subscript.
+SUPERSCRIPT_FROM, SUPERSCRIPT = "0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"
+SUBSCRIPT_FROM, SUBSCRIPT = "0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"
 
 
 def unicode_script(c: Column | str, superscript: bool) -> Column:
-    """Unicode digits where all characters have one, else ^(x) or _(x)."""
-    t = strip(F.coalesce(_c(c), F.lit("")))
-    mapped = F.translate(t, SCRIPT_FROM, SUPERSCRIPT if superscript else SUBSCRIPT)
-    return F.when(t == "", "").when(t.rlike(r"^[0-9+\-=()]+$"), mapped).otherwise(
-        F.concat(F.lit("^(" if superscript else "_("), t, F.lit(")"))
-    )
+    """Unicode scripts where all characters have one or are blank, else ^(x) or _(x); blanks stay as they are."""
+    t = F.coalesce(_c(c), F.lit(""))
+    source, to = (SUPERSCRIPT_FROM, SUPERSCRIPT) if superscript else (SUBSCRIPT_FROM, SUBSCRIPT)
+    known = t.rlike(rf"(?U)\A[{re.escape(source)}\s\x1C-\x1F]*\z")
+    return F.when(known, F.translate(t, source, to)).otherwise(F.concat(F.lit("^(" if superscript else "_("), t, F.lit(")")))
 
 
 def script_text(value: str, superscript: bool) -> str:
     """unicode_script of one text, for parsers inside tasks."""
-    t = value.strip()
-    if t and set(t) <= set(SCRIPT_FROM):
-        return t.translate(str.maketrans(SCRIPT_FROM, SUPERSCRIPT if superscript else SUBSCRIPT))
-    return f"{'^' if superscript else '_'}({t})" if t else ""
+    source, to = (SUPERSCRIPT_FROM, SUPERSCRIPT) if superscript else (SUBSCRIPT_FROM, SUBSCRIPT)
+    if all(x in source or x.isspace() for x in value):
+        return value.translate(str.maketrans(source, to))
+    return f"{'^' if superscript else '_'}({value})"
 
 
 def inline_preview(c: Column | str, limit: int = INLINE_PREVIEW_CHARS) -> Column:

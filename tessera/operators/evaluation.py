@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.phrases import found_phrases
 from tessera.operators.review import latest
 
 # What counts as a concentration, answer vocabularies and size limits, and the score of a stable combo.
@@ -28,11 +29,12 @@ def answer_json(answer: Column) -> Column:
     return F.lower(F.to_json(answer, {"ignoreNullFields": "false"}))
 
 
-def score_answers(answers: DataFrame, cases: DataFrame) -> DataFrame:
-    """Each answer against its case: checks (name, passed), passed_count, total_count, score, passed.
+def score_answers(answers: DataFrame, cases: DataFrame, phrases: DataFrame, **options) -> DataFrame:
+    """Each answer against its case: found_phrases, checks (name, passed), passed_count, total_count, score, passed.
 
-    A check exists only if the case declares it. Without an answer all fail but the concentration check. Cases are matched
-    by case_id; Spark sends them to all tasks if they are small.
+    ``phrases``: case_id and phrase, a row for each phrase that the answers of a case must not have (``options`` as in
+    ``phrases.found_phrases``). A check exists only if the case declares it. Without an answer all fail but the concentration
+    check. Cases are matched by case_id; Spark sends them to all tasks if they are small.
     """
     a, blob = F.col("answer"), answer_json(F.col("answer"))
     declared = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
@@ -46,11 +48,7 @@ def score_answers(answers: DataFrame, cases: DataFrame) -> DataFrame:
                 "experiment_kind",
                 F.array_contains("expected_experiment_kind", a["experiment"]["kind"]),
             ),
-            check(
-                declared(F.col("forbidden_phrases")),
-                "forbidden_phrases",
-                a.isNotNull() & ~F.exists("forbidden_phrases", lambda p: blob.contains(F.lower(p))),
-            ),
+            check(F.col("_forbids").isNotNull(), "forbidden_phrases", a.isNotNull() & (F.size("found_phrases") == 0)),
             check(
                 F.coalesce("forbid_concentration_patterns", F.lit(False)),
                 "no_invented_concentration",
@@ -58,7 +56,9 @@ def score_answers(answers: DataFrame, cases: DataFrame) -> DataFrame:
             ),
         )
     )
-    out = answers.join(cases, "case_id").withColumn("checks", checks)
+    forbids = phrases.where("phrase is not null").groupBy("case_id").agg(F.count("*").alias("_forbids"))
+    out = answers.join(cases.join(forbids, "case_id", "left"), "case_id")
+    out = out.withColumn("found_phrases", found_phrases(phrases, F.col("case_id"), blob, **options)).withColumn("checks", checks).drop("_forbids")
     out = out.withColumns({"passed_count": F.size(F.filter("checks", lambda c: c["passed"])), "total_count": F.size("checks")})
     return out.withColumns(
         {"score": F.round(F.col("passed_count") / F.col("total_count"), 4), "passed": F.col("passed_count") == F.col("total_count")}

@@ -9,6 +9,7 @@ captions and rows. Rows of one list or table have one ``unit``. Plain text and r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -70,8 +71,14 @@ NODES = (
 )
 
 
+#: Levels of a node path; a deeper one starts anew at the node of a number, as ``@number``.
+PATH_LEVELS = 256
+
+
 @dataclass(eq=False)
 class _Node:
+    """An element. Trees may be of any depth, so nothing here calls itself."""
+
     tag: str
     attrs: dict
     above: _Node | None
@@ -79,6 +86,9 @@ class _Node:
     seq: int
     parts: list = field(default_factory=list)  # texts and nodes, in order
     row: dict = field(default_factory=dict)
+    level: int = 0
+    places: int = 0  # children so far
+    has_formula: bool = False  # somewhere below
 
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
@@ -87,26 +97,35 @@ class _Node:
         return [p for p in self.parts if isinstance(p, _Node)]
 
     def below(self) -> Iterator[_Node]:
-        for c in self.children():
-            yield c
-            yield from c.below()
+        """All elements below, each before its own children."""
+        todo = self.children()[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(node.children()[::-1])
 
     def raw(self) -> str:
         """Text as it reads: scripts in Unicode, alternative texts of images, line ends for breaks."""
-        out = []
-        for p in self.parts:
-            if isinstance(p, str):
-                out.append(p)
-            elif p.tag in ("sub", "sup"):
-                out.append(text.script_text("".join(x if isinstance(x, str) else x.raw() for x in p.parts), p.tag == "sup"))
-            elif p.tag == "img":
-                alt = _inline(p.attrs.get("alt"))
-                out.append(f" [{'FORMULA' if p.formula() else 'IMAGE'}: {alt}] " if alt else "")
-            elif p.tag == "br":
-                out.append("\n")
-            elif p.tag not in SILENT_TAGS:
-                out.append(p.raw())
-        return "".join(out)
+        todo: list[tuple[_Node, Iterator, list[str]]] = [(self, iter(self.parts), [])]
+        while True:
+            node, parts, out = todo[-1]
+            for p in parts:
+                if isinstance(p, str):
+                    out.append(p)
+                elif p.tag == "img":
+                    alt = _inline(p.attrs.get("alt"))
+                    out.append(f" [{'FORMULA' if p.formula() else 'IMAGE'}: {alt}] " if alt else "")
+                elif p.tag == "br":
+                    out.append("\n")
+                elif p.tag not in SILENT_TAGS:
+                    todo.append((p, iter(p.parts), []))
+                    break
+            else:
+                todo.pop()
+                value = "".join(out)
+                if not todo:
+                    return value
+                todo[-1][2].append(text.script_text(value, node.tag == "sup") if node.tag in ("sub", "sup") else value)
 
     def formula(self) -> bool:
         return self.tag == "img" and FORMULA_CLASS in (self.attrs.get("class") or "")
@@ -118,7 +137,7 @@ class _Node:
         if self.tag == "div" and "wp-caption" in classes:
             return "figure"
         if self.tag == "p":
-            return "formula_or_equation" if any(x.formula() for x in self.below()) else "paragraph"
+            return "formula_or_equation" if self.has_formula else "paragraph"
         return {"table": "table", "ul": "list", "ol": "list"}.get(self.tag) or (
             "heading" if self.tag[0] == "h" and self.tag[1:] in "123456" and len(self.tag) == 2 else "other"
         )
@@ -144,6 +163,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {}, None, "", -1)
         self.open = [self.root]
+        self.tags = Counter()  # of the open elements
         self.nodes: list[_Node] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -152,39 +172,55 @@ class _Tree(HTMLParser):
         ) == "li":
             self.handle_endtag(tag)
         above = self.open[-1]
-        place = len(above.children())
-        node = _Node(tag, dict(attrs), above, f"{above.path}.{place}" if above.path else str(place), len(self.nodes))
+        start = f"@{above.seq}" if above.level and above.level % PATH_LEVELS == 0 else above.path
+        path = f"{start}.{above.places}" if start else str(above.places)
+        node = _Node(tag, dict(attrs), above, path, len(self.nodes), level=above.level + 1)
+        above.places += 1
         above.parts.append(node)
         self.nodes.append(node)
         if tag not in VOID_TAGS:
             self.open.append(node)
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:
             self.open.pop()
+            self.tags[tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        while self.tags[tag]:
+            closed = self.open.pop().tag
+            self.tags[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
 
 
-def _own_text(node: _Node) -> str:
-    """Text of the element up to the next block in it."""
-    return "".join(p if isinstance(p, str) else "" if p.tag in BLOCK_TAGS or p.tag in SILENT_TAGS else _own_text(p) for p in node.parts)
+def _own_texts(nodes: list[_Node]) -> dict[_Node, str]:
+    """Text of each element up to the next block in it; elements come before what is in them, so the last one is first done."""
+    out: dict[_Node, str] = {}
+    for node in reversed(nodes):
+        out[node] = "".join(p if isinstance(p, str) else "" if p.tag in BLOCK_TAGS or p.tag in SILENT_TAGS else out[p] for p in node.parts)
+    return out
 
 
-def _show(node: _Node, unit: int | None = None, indent: int = 0) -> None:
+def _show(block: _Node) -> None:
     """Notes on the rows below a node what they show, in which unit and how far indented."""
+    todo: list[tuple[_Node, int | None, int]] = [(block, None, 0)]
+    while todo:
+        todo += _show_one(*todo.pop())
+
+
+def _show_one(node: _Node, unit: int | None, indent: int) -> list[tuple[_Node, int | None, int]]:
+    """Notes what one node shows; returns those in it that are to be shown."""
     kind, inner = node.row["node_type"], [c for c in node.children() if c.tag in STRUCTURE]
     unit = node.seq if unit is None else unit
     node.row.update(unit=unit, indent=indent)
     if kind == "list":
+        later = []
         for i, item in enumerate([c for c in node.children() if c.tag == "li"], 1):
             blocks = [c for c in item.children() if c.tag in STRUCTURE]
             first = item.parts.index(blocks[0]) if blocks else len(item.parts)
@@ -197,9 +233,9 @@ def _show(node: _Node, unit: int | None = None, indent: int = 0) -> None:
                 list_start=node.attrs.get("start"),
                 shown=_inline(lead.raw()) if blocks else _readable(item.raw()),
             )
-            for c in blocks:
-                _show(c, unit, indent + 3)
-    elif kind == "table":
+            later += [(c, unit, indent + 3) for c in blocks]
+        return later
+    if kind == "table":
         for c in node.below():
             if c.tag == "caption" and c.above is node:
                 c.row.update(unit=unit, indent=indent, shown=_inline(c.raw()))
@@ -207,28 +243,31 @@ def _show(node: _Node, unit: int | None = None, indent: int = 0) -> None:
             elif c.tag == "tr":
                 c.row.update(unit=unit, indent=indent, cells=[_inline(x.raw()) for x in c.children() if x.tag in ("td", "th")])
                 c.row["shown"] = " | ".join(c.row["cells"])
-    elif kind in ("heading", "paragraph", "formula_or_equation") or not inner:
+        return []
+    if kind in ("heading", "paragraph", "formula_or_equation") or not inner:
         node.row["shown"] = _readable(node.raw())
-    else:
-        if "textbox" in node.classes():
-            head = next(
-                (
-                    x for c in node.children() if "textbox__header" in " ".join(c.classes()) for x in c.below()
-                    if "textbox__title" in " ".join(x.classes())
-                ),
-                None,
-            )
-            node.row["title"] = node.row["shown"] = _inline(head.raw()) if head else None
-            content = next((c for c in node.children() if "textbox__content" in " ".join(c.classes())), node)
-            inner = [c for c in content.children() if c.tag in STRUCTURE]
-        for c in inner:
-            _show(c, None if unit == node.seq else unit, indent)
+        return []
+    if "textbox" in node.classes():
+        head = next(
+            (
+                x for c in node.children() if "textbox__header" in " ".join(c.classes()) for x in c.below()
+                if "textbox__title" in " ".join(x.classes())
+            ),
+            None,
+        )
+        node.row["title"] = node.row["shown"] = _inline(head.raw()) if head else None
+        content = next((c for c in node.children() if "textbox__content" in " ".join(c.classes())), node)
+        inner = [c for c in content.children() if c.tag in STRUCTURE]
+    return [(c, None if unit == node.seq else unit, indent) for c in inner]
 
 
 def _page_rows(html: str | None) -> list[dict]:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    for n in reversed(tree.nodes):
+        n.above.has_formula |= n.has_formula or n.formula()
+    own_texts = _own_texts(tree.nodes)
     for n in tree.nodes:
         kind = n.kind()
         caption = None
@@ -248,7 +287,7 @@ def _page_rows(html: str | None) -> list[dict]:
             "class": n.attrs.get("class"),
             "node_type": kind,
             "heading_level": int(n.tag[1]) if kind == "heading" else None,
-            "own_text": _inline(_own_text(n)),
+            "own_text": _inline(own_texts[n]),
             "text": _inline(n.raw()) if n.tag in ("a", "sub", "sup") else None,
             "list_start": n.attrs.get("start") if kind == "list" else None,
             "ordered": n.tag == "ol" if kind == "list" else None,

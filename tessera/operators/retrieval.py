@@ -43,15 +43,40 @@ def flat_metadata(rows: DataFrame, columns: list[str]) -> Column:
     return F.to_json(F.struct(*[plain(c).alias(c) for c in columns]))
 
 
-def manifest(source: DataFrame, index: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
-    """Counts, vector size and a hash over ids and contents; the counts must agree."""
-    a = source.agg(F.count("*").alias("source_count"), F.count_if("default_retrieval").alias("default_count"))
+def content_hash(rows: DataFrame, key: str, content: str) -> Column:
+    """Aggregate over keys and contents of rows in any order: the sum of 60 bits of each row's md5, as decimal text.
+
+    A sum, so that equal rows count each; a changed, missing or repeated row changes it. A null key or content is a value of its own.
+    """
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    digest = F.conv(F.substring(F.md5(F.concat(value(key), F.lit("\x1f"), value(content))), 1, 15), 16, 10)
+    return F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+
+def manifest(source: DataFrame, index: DataFrame, key: str = "id", content: str = "text", vector: str = "vector") -> DataFrame:
+    """One row: counts, vector size and content hashes of the source chunks and of what was indexed.
+
+    ``complete``: as many rows in both, none without a vector. ``current``: ids and contents are the same, so that a text
+    that was changed after indexing is noticed.
+    """
+    a = source.agg(
+        F.count("*").alias("source_count"),
+        F.count_if("default_retrieval").alias("default_count"),
+        content_hash(source, key, content).alias("source_hash"),
+    )
     b = index.agg(
         F.count("*").alias("indexed_count"),
+        F.count(vector).alias("vector_count"),
         F.max(F.size(vector)).alias("vector_dimension"),
-        F.bit_xor(F.xxhash64(key)).alias("content_hash"),
+        content_hash(index, key, content).alias("indexed_hash"),
+    )
+    both = a.join(b, F.lit(True))
+    return both.withColumns(
+        {
+            "complete": (F.col("source_count") == F.col("indexed_count")) & (F.col("vector_count") == F.col("indexed_count")),
+            "current": F.col("source_hash") == F.col("indexed_hash"),
+        }
     )
-    return a.join(b, F.lit(True)).withColumn("complete", F.col("source_count") == F.col("indexed_count"))
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2sq") -> DataFrame:

@@ -43,24 +43,26 @@ def _answers(s, d):
 
 
 def _cases(s, d):
-    """A case for each turn parity, with what it expects; its forbidden phrases are the first words of benchmark items."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    phrases = table(s, d, "benchmark").agg(F.sort_array(F.collect_set(words)).alias("forbidden_phrases"))
-    t = s.createDataFrame(
-        [(1, ["explain"], None, True), (3, ["plan"], ["none", "experiment"], False)],
-        "t int, expected_request_type array<string>, expected_experiment_kind array<string>, forbid_concentration_patterns boolean",
-    )
-    return t.join(phrases, F.lit(True)).select(
+    """A case for each remainder of the answers' turns, with what it expects."""
+    t = table(s, d, "conversations").where("role = 'assistant'").select((F.col("turn") % 4).alias("t")).distinct()
+    kinds = F.array(F.lit("none"), F.lit("experiment"))
+    return t.select(
         F.concat(F.lit("turn_"), F.col("t").cast("string")).alias("case_id"),
-        "expected_request_type",
-        "expected_experiment_kind",
-        "forbidden_phrases",
-        "forbid_concentration_patterns",
+        F.array(F.when(F.col("t") == 1, "explain").otherwise("plan")).alias("expected_request_type"),
+        F.when(F.col("t") == 3, kinds).alias("expected_experiment_kind"),
+        (F.col("t") == 1).alias("forbid_concentration_patterns"),
     )
 
 
+def _phrases(s, d):
+    """Forbidden phrases of the cases: all clauses of two words or more of all benchmark items, dealt by the item's number."""
+    clause = F.explode(F.split("text", r"[.,;:!?\n]+")).alias("phrase")
+    rows = table(s, d, "benchmark").select(F.concat(F.lit("turn_"), (F.col("item_id") % 4).cast("string")).alias("case_id"), clause)
+    return rows.select("case_id", F.btrim("phrase").alias("phrase")).where("contains(phrase, ' ')")
+
+
 def _scored(s, d):
-    return evaluation.score_answers(_answers(s, d), _cases(s, d))
+    return evaluation.score_answers(_answers(s, d), _cases(s, d), _phrases(s, d))
 
 
 def _combos(s, d):
@@ -102,11 +104,21 @@ def _artifacts(s, d):
 
 
 def _stored_pairs(s, d):
-    """Pairs written under their parameters next to others, and read back."""
+    """Pairs written under their parameters next to others, some of them twice, and read back."""
     path = folder(s)
-    for threshold in (0.3, 0.5):
+    for threshold in (0.3, 0.5, 0.3):
         similarity.write_bundle(similarity.pairs(_vectors(s, d), threshold=threshold), path, backend="given", threshold=str(threshold))
-    return similarity.read_bundle(s, path, backend="given", threshold="0.5")
+    return similarity.read_bundle(s, path, backend="given", threshold="0.3")
+
+
+# Digits, a letter that has a superscript only, signs and brackets, blanks inside and around, and nothing.
+def _scripts():
+    return {
+        "digits": F.col("p_size").cast("string"),
+        "power": F.concat(F.col("p_size").cast("string"), F.lit("n")),
+        "signs": F.concat(F.lit(" (n+"), F.col("p_size").cast("string"), F.lit(") -\t1 ")),
+        "mixed": F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, " \n").otherwise(F.concat(F.lit(" x"), F.col("p_size").cast("string"))),
+    }
 
 
 QUERIES = {
@@ -139,10 +151,9 @@ QUERIES = {
     "f6_chunk_text": lambda s, d: _docs(s, d).select(
         "doc_id", F.sha2(text.chunk_text("text"), 256).alias("h"), F.md5(text.slug("text")).alias("slug")
     ),
-    "f7_scripts": lambda s, d: table(s, d, "part").select(
+    "f7_scripts": lambda s, d: table(s, d, "part").withColumns(_scripts()).select(
         "p_partkey",
-        text.unicode_script(F.col("p_size").cast("string"), True).alias("sup"),
-        text.unicode_script(F.col("p_size").cast("string"), False).alias("sub"),
+        *[text.unicode_script(c, up).alias(f"{c}_{'sup' if up else 'sub'}") for c in _scripts() for up in (True, False)],
         text.unicode_script("p_type", True).alias("word"),
     ),
     "f9_preview": lambda s, d: _docs(s, d).select("doc_id", text.inline_preview("text").alias("preview")),
@@ -153,7 +164,9 @@ QUERIES = {
         ).alias("keywords"),
     ),
     "f12_forbidden": lambda s, d: _scored(s, d).select(
-        "run_id", F.exists("checks", lambda c: (c["name"] == "forbidden_phrases") & c["passed"]).alias("clean")
+        "run_id",
+        F.exists("checks", lambda c: (c["name"] == "forbidden_phrases") & c["passed"]).alias("clean"),
+        F.array_join("found_phrases", "|").alias("found"),
     ),
     "f13_content_key": lambda s, d: table(s, d, "lineitem").select(
         "l_orderkey",
@@ -258,6 +271,7 @@ QUERIES = {
         _vectors(s, d).select((F.col("item_id") - 1).alias("item_id"), F.col("vector").alias("other")), "item_id"
     ).select("item_id", similarity.cosine("vector", "other").alias("similarity")),
     "e3_pairs": lambda s, d: similarity.pairs(_vectors(s, d), threshold=0.3),
+    "e3_pairs_of_all": lambda s, d: similarity.pairs(_vectors(s, d), same_group=False, threshold=0.5, tile=128),
     "e4_matrix": lambda s, d: similarity.similarity_matrix(_vectors(s, d), similarity.pairs(_vectors(s, d))),
     "e5_clusters": lambda s, d: similarity.clusters(
         similarity.pairs(_vectors(s, d), threshold=0.4), _vectors(s, d), 0.4
@@ -266,6 +280,7 @@ QUERIES = {
     "e6_outliers": lambda s, d: similarity.outliers(_vectors(s, d), similarity.pairs(_vectors(s, d))),
     "e6_outlier_means": lambda s, d: similarity.outlier_means(_vectors(s, d)),
     "e7_nearest": lambda s, d: similarity.nearest(_vectors(s, d), _vectors(s, d).where("item_id % 20 = 0")),
+    "e7_nearest_of_all": lambda s, d: similarity.nearest(_vectors(s, d), _vectors(s, d), send_bytes=0),
     "s7_stored_pairs": _stored_pairs,
     "e8_bundle_counts": lambda s, d: similarity.bundle(_vectors(s, d), threshold=0.4)["counts"],
 }
@@ -281,12 +296,13 @@ _COMPARE = r"""case when parse_error then 'RAW_OUTPUT' || chr(10) || 'broken out
     || case when k % 3 = 0 then '' when k % 3 = 1 then chr(10) || chr(10) || 'EXAMPLES' || chr(10) || 'Example 1' else chr(10) || chr(10) || 'EXAMPLES' || chr(10) || 'Example 1' || chr(10) || 'Example 2' end
     || case when experiment_kind = 'clarification' then chr(10) || chr(10) || 'EXPERIMENT_REASON' || chr(10) || 'Needs detail' || chr(10) || chr(10) || 'EXPERIMENT_QUESTIONS' || chr(10) || 'Which one?' else '' end end"""
 _EVENT = "wide as (select r.*, e.k, e.value from review r join ev e on e.event_id = r.row_id)"
-_ANSWERS = r"""with ph as (select list(distinct array_to_string(string_split(text, ' ')[1:3], ' ')) as phrases from benchmark),
+_ANSWERS = r"""with ph as (select 'turn_' || (item_id % 4) as case_id, list(distinct trim(p)) as phrases from (select item_id, unnest(string_split_regex(text, '[.,;:!?\n]+')) as p from benchmark) where contains(trim(p), ' ') group by 1),
 a as (select conv_id || '-' || turn as run_id, 'turn_' || (turn % 4) as case_id, 'combo_' || (conv_id % 7) as combo_id, conv_id % 11 = 0 as lost, turn % 4 as t, conv_id % 3 as e, text from conversations where role = 'assistant'),
-j as (select a.*, lower(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) as blob, phrases from a, ph where t in (1, 3)),
-c as (select *, not lost as parse_ok, not lost as type_ok, case when t = 3 then not lost and e in (0, 2) end as kind_ok, not lost and len(list_filter(phrases, lambda p: contains(blob, lower(p)))) = 0 as clean,
-    case when t = 1 then lost or not regexp_matches(blob, '(?i)(\b\d+(?:[\.,]\d+)?\s*%\b|\b\d+(?:[\.,]\d+)?\s*(?:m|mol\s*/\s*l|mol/l|моль\s*/\s*л)\b)') end as conc_ok from j),
-s as (select *, parse_ok::int + type_ok::int + coalesce(kind_ok, false)::int + clean::int + coalesce(conc_ok, false)::int as n, 4 as total from c)"""
+j as (select a.*, lower(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) as blob, phrases from a left join ph using (case_id)),
+f as (select *, case when lost then [] else list_sort(list_filter(coalesce(phrases, []), lambda p: contains(blob, lower(p)))) end as found from j),
+c as (select *, not lost as parse_ok, not lost as type_ok, case when t = 3 then not lost and e in (0, 2) end as kind_ok, case when phrases is not null then not lost and len(found) = 0 end as clean,
+    case when t = 1 then lost or not regexp_matches(blob, '(?i)(\b\d+(?:[\.,]\d+)?\s*%\b|\b\d+(?:[\.,]\d+)?\s*(?:m|mol\s*/\s*l|mol/l|моль\s*/\s*л)\b)') end as conc_ok from f),
+s as (select *, parse_ok::int + type_ok::int + coalesce(kind_ok, false)::int + coalesce(clean, false)::int + coalesce(conc_ok, false)::int as n, 2 + (t = 3)::int + (phrases is not null)::int + (t = 1)::int as total from c)"""
 _PLAN = """, have as (select * from review where execution_signature = 'sig_1' and not (case_id = 'case_3' and combo_id in ('combo_1', 'combo_5')) qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1),
 plan as (select a.combo_id, b.case_id, h.row_id as existing_id, h.passed as existing_passed from (select distinct combo_id from review) a cross join (select distinct case_id from review) b left join have h using (combo_id, case_id))"""
 _RESULTS = (
@@ -361,6 +377,20 @@ _PAIRS = (
 )
 _PEERS = f"{_PAIRS}, m as (select l as i, r as o, s from p union all select r, l, s from p)"
 
+_SCRIPT_SQL = {
+    "digits": "p_size::varchar",
+    "power": "p_size || 'n'",
+    "signs": "' (n+' || p_size || ') -' || chr(9) || '1 '",
+    "mixed": "case p_partkey % 3 when 0 then '' when 1 then ' ' || chr(10) else ' x' || p_size end",
+}
+
+
+def _script(value: str, up: bool) -> str:
+    known, to, mark = ("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ", "^") if up else ("0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎", "_")
+    other = f"regexp_matches({value}, '[^{known.replace('-', '')}\\s-]')"
+    return f"case when {other} then '{mark}(' || ({value}) || ')' else translate({value}, '{known}', '{to}') end"
+
+
 SQL = {
     "f1_review_text": f"with {_N} select doc_id, md5(t) as h from n",
     "f2_text_blocks": (
@@ -387,10 +417,9 @@ SQL = {
         case when ns > 0 then round(len(ws) / ns, 4) else 0.0 end as avg_sentence_words, len(list_distinct(regexp_extract_all(t, '\{{([a-zA-Z_][a-zA-Z0-9_]*)\}}', 1)))::int as placeholder_count, (length(t) - length(regexp_replace(t, '[{{}}]', '', 'g')))::int as brace_count from w""",
     "f6_chunk_text": rf"""select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_T}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9) || chr(160))) as h,
         md5(regexp_replace(regexp_replace(lower({_T}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) as slug from documents""",
-    "f7_scripts": (
-        "select p_partkey, translate(p_size::varchar, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') as sup, translate(p_size::varchar, '0123456789', "
-        "'₀₁₂₃₄₅₆₇₈₉') as sub, '^(' || p_type || ')' as word from part"
-    ),
+    "f7_scripts": "select p_partkey, "
+    + ", ".join(f"{_script(v, up)} as {k}_{'sup' if up else 'sub'}" for k, v in _SCRIPT_SQL.items() for up in (True, False))
+    + ", '^(' || p_type || ')' as word from part",
     "f9_preview": (
         rf"with t as (select doc_id, trim(regexp_replace({_T}, '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t) > "
         rf"180 then rtrim(substr(t, 1, 177)) || '...' else t end as preview from t"
@@ -401,7 +430,7 @@ SQL = {
         "not null), ',') as keywords from (select *, case when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then "
         "[split_part(p_name, ' ', 1)] else string_split(p_name, ' ') end as list_distinct_ordered from part)"
     ),
-    "f12_forbidden": f"{_ANSWERS} select run_id, clean from s",
+    "f12_forbidden": f"{_ANSWERS} select run_id, coalesce(clean, false) as clean, array_to_string(found, '|') as found from s",
     "f13_content_key": """select l_orderkey, l_linenumber, substr(sha256('{"system":"' || l_partkey || '","user":"' || l_suppkey || '"}'), 1, 16) as k from lineitem""",
     "f16_field_values": _sql(f", {_EVENT} select row_id, " + ", ".join(f"{v.format('wide')} as {k.replace('.', '_')}" for k, v in _VALUES.items()) + " from wide"),
     "f17_validate_answers": (
@@ -414,7 +443,7 @@ SQL = {
         lost as parse_error, not lost and i % 7 > 0 as has_sources, 'runs/raw/exp_1/' || i || '__' || combo_id || '__' || case_id || '.json' as raw, 'runs/normalized/exp_1/' || i || '__' || combo_id || '__' || case_id || '.json' as normalized from fa""",
     "p2_lengths": f"""with {_LEN} select i as id, length(sa)::int as short_answer_chars, (case when sa = '' then 0 else 2 end)::int as short_answer_words, length(ex)::int as explanation_chars, (case when ex = '' then 0 else 5 end)::int as explanation_words, ne::int as example_count, length(re)::int as experiment_reason_chars,
         length(ro)::int as raw_output_chars, length(ct)::int as comparison_chars, ((sa <> '')::int + case when ex = '' then 0 else 2 end + (re <> '')::int)::int as paragraph_count_total, md5(ct) as h from fc""",
-    "s7_stored_pairs": f"with {_PAIRS} select l as left_item_id, r as right_item_id, s as similarity from p where s >= 0.5",
+    "s7_stored_pairs": f"with {_PAIRS} select l as left_item_id, r as right_item_id, s as similarity from p where s >= 0.3",
     "j2_fields": _sql(_PAIRED + " " + " union all ".join(f"select r.case_id as case_id, r.combo_id as challenger_combo_id, '{k}' as field_path, {v.format('l')} is not distinct from {v.format('r')} as equal, {('(' + _COUNTS[k].format('l') + ')::int') if k in _COUNTS else 'null::int'} as left_count, {('(' + _COUNTS[k].format('r') + ')::int') if k in _COUNTS else 'null::int'} as right_count, md5({v.format('l')}) as l, md5({v.format('r')}) as r from sides" for k, v in _VALUES.items())),
     "a6_challengers": _sql(f"{_A6} select 'combo_3' as baseline_combo_id, a6.* from a6"),
     "w2_ranking_with_baseline": _sql(f"""{_A6}, ls as (select * from review qualify row_number() over (partition by case_id, combo_id order by created_at desc, row_id desc) = 1),
@@ -475,6 +504,15 @@ SQL = {
         f"select a.vec_id as item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity from embeddings a join embeddings b on b.vec_id "
         f"= a.vec_id + 1"
     ),
+    "e3_pairs_of_all": (
+        f"select * from (select a.vec_id as left_item_id, b.vec_id as right_item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity "
+        f"from embeddings a join embeddings b on a.vec_id < b.vec_id) where similarity >= 0.5"
+    ),
+    "e7_nearest_of_all": (
+        f"with d as (select a.vec_id as selected_id, b.vec_id as item_id, round({_DOT.format(a='a', b='b')}, 6) as similarity from "
+        f"embeddings a join embeddings b on a.vec_id <> b.vec_id) select *, row_number() over (partition by "
+        f"selected_id order by similarity desc, item_id)::int as rank from d qualify rank <= 10"
+    ),
     "e3_pairs": f"with {_PAIRS} select l as left_item_id, r as right_item_id, s as similarity from p where s >= 0.3",
     "e4_matrix": f"with {_PEERS} select i as item_id, o as peer_id, s as similarity from m union all select vec_id, vec_id, 1.0 from embeddings",
     "e5_clusters": f"""with recursive {_PEERS}, k as (select i, o from m where s >= 0.4), reach as (select i, o from k union select reach.i, k.o from reach join k on reach.o = k.i), lab as (select i, least(i, min(o)) as label from reach group by i),

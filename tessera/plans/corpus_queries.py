@@ -66,6 +66,15 @@ def _index(s, d):
     )
 
 
+def _indexed(s, d, content):
+    """Source chunks (document texts) and what an index of them holds: the vector of the same number, the content as it was then."""
+    source = table(s, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 9 > 0).alias("default_retrieval")
+    )
+    index = source.join(_index(s, d).select("chunk_id", "vector"), "chunk_id", "left")
+    return source, index.select("chunk_id", content.alias("text"), "vector")
+
+
 def _supplier_metadata(s, d):
     k = F.col("s_suppkey")
     return table(s, d, "supplier").select(
@@ -161,7 +170,10 @@ QUERIES = {
     "p10_metadata": lambda s, d: (
         lambda t: t.select("s_suppkey", retrieval.flat_metadata(t, ["name", "nation", "odd", "tags", "more"]).alias("metadata"))
     )(_supplier_metadata(s, d)),
-    "s9_manifest": lambda s, d: retrieval.manifest(_index(s, d), _index(s, d), "chunk_id").drop("content_hash"),
+    "s9_manifest": lambda s, d: retrieval.manifest(*_indexed(s, d, F.col("text")), "chunk_id"),
+    "s9_stale_manifest": lambda s, d: retrieval.manifest(
+        *_indexed(s, d, F.when(F.col("chunk_id") % 40 == 7, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text"))), "chunk_id"
+    ),
     "t3_knn": lambda s, d: retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), 5),
     "t4_batch_review": lambda s, d: _hits(s, d, 5).join(
         table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("topic")), "query_id", "left"
@@ -233,6 +245,15 @@ _SEL = (
     f"(select *, row_number() over (partition by query_id order by distance, chunk_id) as pos from s1 where k <= 2 qualify pos <= 4)"
 )
 
+#: A null key or text hashes as a hyphen, others behind an equals sign.
+_HASH = "coalesce(sum(('0x' || substr(md5(coalesce('=' || doc_id, '-') || chr(31) || coalesce('=' || {}, '-')), 1, 15))::bigint::hugeint), 0)::varchar"
+_MANIFEST = (
+    f"with i as (select doc_id, {{old}} as t, embedding from documents left join embeddings on vec_id = doc_id), a as (select count(*) as source_count, count(*) "
+    f"filter (doc_id % 9 > 0) as default_count, {_HASH.format('text')} as source_hash from documents), b as (select count(*) as indexed_count, "
+    f"count(embedding) as vector_count, max(len(embedding))::int as vector_dimension, {_HASH.format('t')} as indexed_hash from i) "
+    "select *, source_count = indexed_count and vector_count = indexed_count as complete, source_hash = indexed_hash as current from a, b"
+)
+
 SQL = {
     "w5_attributions": f"with {_B} select section_id, block_index, attr as in_attributions from m",
     "w6_heading_groups": (
@@ -265,10 +286,8 @@ SQL = {
         "all select lang, 'duplicate' from documents group by lang having count(*) > 1"
     ),
     "p10_metadata": r"""select s_suppkey, '{"name":"' || s_name || '","nation":' || s_nationkey || case when s_suppkey % 2 = 1 then ',"odd":"yes"' else '' end || ',"tags":"[\"a\",\"' || s_suppkey || '\"]","more":"{\"k\":\"v\"}"}' as metadata from supplier""",
-    "s9_manifest": (
-        "select count(*) as source_count, count(*) filter (vec_id % 9 > 0) as default_count, count(*) as indexed_count, 64 as "
-        "vector_dimension, true as complete from embeddings"
-    ),
+    "s9_manifest": _MANIFEST.format(old="text"),
+    "s9_stale_manifest": _MANIFEST.format(old="case when doc_id % 40 = 7 then text || ' (old)' else text end"),
     "t3_knn": f"with {_KNN} select query_id, rank, chunk_id, distance from ranked where rank <= 5",
     "t4_batch_review": (
         f"with {_KNN} select query_id, rank, chunk_id, length(b.text)::int as topic from ranked left join benchmark b on b.item_id = "

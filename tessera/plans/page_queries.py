@@ -26,7 +26,7 @@ QUERIES = {
     ).groupBy("page_id", "tag").agg(F.count("*").alias("n")),
     "c1_outline": lambda s, d: pages.outline(_nodes(s, d)),
     "c1_headings": lambda s, d: _blocks(s, d).where("block_type = 'heading'").select(
-        "page_id", "block_index", "heading_level", F.md5(F.regexp_replace("text", r"\\s+", " ")).alias("h")
+        "page_id", "block_index", "heading_level", F.md5(F.regexp_replace("text", r"\s+", " ")).alias("h")
     ),
     "c2_links": lambda s, d: pages.links(_nodes(s, d)).select("page_id", "link_index", "href", "text"),
     "c2_link_targets": lambda s, d: pages.links(_nodes(s, d)).groupBy("page_id").agg(F.count("*").alias("n")),
