@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fitted model: labelled rows that are counted, and the most frequent features kept for each language.
-TRAIN_ROWS = 20_000
-WORDS_A_LANGUAGE = 20_000
-TRIGRAMS_A_LANGUAGE = 20_000
+from tessera.llm.common import Scratch
+
+#: Bound of the fitted model: labelled rows that are counted. All their words and trigrams are features.
+TRAIN_ROWS = 5_000
 SWITCH = 12.0
 #: Word scores kept by a Python worker; the store starts anew when full.
 KEEP_WORDS = 400_000
@@ -71,24 +71,23 @@ class Model:
     def __init__(
         self,
         languages: list[str],
-        words: dict[str, list[float]],
-        trigrams: dict[str, list[float]],
-        totals: list[tuple[float, float]],
+        words: dict[str, int],
+        word_counts: np.ndarray,
+        trigrams: dict[str, int],
+        trigram_counts: np.ndarray,
         scripts: dict[str, list[bool]],
     ):
-        self.languages = languages
-        self.words = {w: i for i, w in enumerate(words)}
-        self.word_logs = self._logs(words, [t[0] for t in totals])[:-1]
-        self.trigrams = {g: i for i, g in enumerate(trigrams)}
+        self.languages, self.words, self.trigrams = languages, words, trigrams
+        self.word_logs = self._logs(word_counts)[:-1]
         #: The last row is that of a trigram that was never seen.
-        self.trigram_logs = self._logs(trigrams, [t[1] for t in totals])
+        self.trigram_logs = self._logs(trigram_counts)
         self.scripts = {k: np.where(v, 0.0, -1e3) for k, v in scripts.items()}
         self.any_script = np.zeros(len(languages))
 
     @staticmethod
-    def _logs(counts: dict[str, list[float]], totals: list[float]) -> np.ndarray:
-        rows = np.array([*counts.values(), [0.0] * len(totals)])
-        return np.log(rows + 1.0) - np.log(np.array(totals) + 2.0 * max(1, len(counts)))
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        rows = np.vstack([counts, np.zeros(counts.shape[1])])
+        return np.log(rows + 1.0) - np.log(counts.sum(axis=0) + 2.0 * max(1, len(counts)))
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods (words x languages), each relative to its best and at most the evidence of one frequent word; languages of other scripts are out."""
@@ -136,13 +135,11 @@ def spans(emit: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order: Column, rows: int = TRAIN_ROWS) -> Model:
     """Counts features over about ``rows`` labelled rows, those with the smallest hash ``order`` (a long); null labels and texts are left out.
 
-    Which rows these are follows from their number alone, so sampling shuffles nothing. The driver gets the most frequent
-    features of each language: at most WORDS_A_LANGUAGE words and TRIGRAMS_A_LANGUAGE trigrams, all of them above the count at
-    which there would be more (or, if a language has more of its largest count, all of that). An empty table gives a model
-    without languages.
+    Which rows these are follows from their number alone, so sampling shuffles nothing. The sample's words are counted once and
+    written; trigrams are counted from these words. The driver gets a row for each feature of these rows and its language.
+    An empty table gives a model without languages.
     """
-    from pyspark.sql.window import Window
-
+    scratch = Scratch(labelled.sparkSession)
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = usable.count()
     sample = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), order.alias("_o"))
@@ -151,7 +148,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     tokens = sample.select(
         "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word")
     ).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    tokens = tokens.persist()
+    tokens = scratch.save(tokens, "words")
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
     grams = tokens.select(
         "lang",
@@ -159,43 +156,26 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
         F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))).alias("gram"),
     ).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    def top(counts: DataFrame, name: str, most: int) -> tuple[list, dict]:
-        """The features above the count at which a language would have more than ``most``, and all counts of each language."""
-        # A row for each language and count: a histogram, so that no task sees all features of a language.
-        hist = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
-        above = F.sum("m").over(Window.partitionBy("lang").orderBy(F.col("n").desc()))
-        least = hist.withColumn("above", above).groupBy("lang").agg(
-            F.sum(F.col("n") * F.col("m")).alias("total"),
-            F.coalesce(F.min(F.when(F.col("above") <= most, F.col("n"))), F.max("n")).alias("least"),
-        ).collect()
-        if not least:
-            return [], {}
-        bound = F.create_map(*[F.lit(x) for r in least for x in (r["lang"], r["least"])])
-        return counts.where(F.col("n") >= bound[F.col("lang")]).select("lang", name, "n").collect(), {
-            r["lang"]: float(r["total"]) for r in least
-        }
-
-    word_rows, word_total = top(tokens, "word", WORDS_A_LANGUAGE)
-    gram_rows, gram_total = top(grams, "gram", TRIGRAMS_A_LANGUAGE)
-    tokens.unpersist()
-    languages = sorted(word_total)
+    word_rows, gram_rows = tokens.select("lang", "word", "n").toArrow(), grams.select("lang", "gram", "n").toArrow()
+    languages = sorted(set(word_rows["lang"].unique().to_pylist()))
     at = {x: i for i, x in enumerate(languages)}
 
-    def table(found: list) -> dict[str, list[float]]:
-        out: dict[str, list[float]] = {}
-        for x, key, n in found:
-            out.setdefault(key, [0.0] * len(languages))[at[x]] = float(n)
-        return out
+    def table(found: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+        """Features by number, and their counts (features x languages)."""
+        own = found.column(1).combine_chunks().dictionary_encode()
+        counts = np.zeros((len(own.dictionary), len(languages)))
+        counts[own.indices.to_numpy(), [at[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
+        return {w: i for i, w in enumerate(own.dictionary.to_pylist())}, counts
 
-    words = table(word_rows)
+    (words, word_counts), (trigrams, trigram_counts) = table(word_rows), table(gram_rows)
     seen: dict[str, np.ndarray] = {}
-    for w, counts in words.items():
-        seen[script(w)] = seen.get(script(w), 0) + np.array(counts)
+    for w, i in words.items():
+        seen[script(w)] = seen.get(script(w), 0) + word_counts[i]
     # A language has a script if a hundredth of its counted words are in it.
-    all_words = sum(seen.values()) if seen else 0
+    all_words = word_counts.sum(axis=0)
     scripts = {s: [bool(c > 0.01 * a) for c, a in zip(counts, all_words, strict=True)] for s, counts in seen.items()}
     scripts = {s: v for s, v in scripts.items() if any(v)}
-    return Model(languages, words, table(gram_rows), [(word_total[x], gram_total.get(x, 0.0)) for x in languages], scripts)
+    return Model(languages, words, word_counts, trigrams, trigram_counts, scripts)
 
 
 class _Scores:

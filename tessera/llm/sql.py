@@ -19,10 +19,12 @@ m as (select greatest(least(sum(host_failures) / sum(host_documents), 1 - 1e-6),
     sum(host_documents::double * host_documents) as n2, sum(host_failures::double * host_failures / host_documents) as kk from h),
 z as (select mean, case when n - n2 / n - (hosts - 1) > 0 then ((kk - k * k / n) / (mean * (1 - mean)) - (hosts - 1)) / (n - n2 / n - (hosts - 1)) else 0 end as share from m),
 p as (select mean, least(greatest(1 / greatest(share, 1e-9) - 1, 1.0), 1e6) as size from z),
-r as (select h.*, round((host_failures + mean * size) / (host_documents + size), 6) as host_rate, round(mean, 6) as corpus_rate from h, p)
+r0 as (select h.*, (host_failures + mean * size) / (host_documents + size) as rate, host_documents + size as total, mean from h, p),
+r1 as (select *, round(rate, 6) as host_rate, round(greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1))), 6) as host_bound, round(mean, 6) as corpus_rate from r0),
+r as (select host, host_documents, host_failures, host_rate, host_bound, corpus_rate, host_bound > corpus_rate as host_strict from r1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and n_failed_rules <= (case when host_rate > corpus_rate then 0 else 1 end) as kept,
-    n_lines, n_failed_rules, host, host_documents, host_failures, host_rate, corpus_rate, host_rate > corpus_rate as host_strict from f join r using (host)
+    not base_failed and n_failed_rules <= (case when host_strict then 0 else 1 end) as kept,
+    n_lines, n_failed_rules, host, host_documents, host_failures, host_rate, host_bound, corpus_rate, host_strict from f join r using (host)
 """
 
 OP9 = r"""
