@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text
+from tessera.operators import matching
 from tessera.operators.review import flatten_artifacts, latest
 
 # What makes a difference meaningful.
@@ -19,9 +20,7 @@ MAX_TEXT_SIMILARITY = 0.985
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype="float64"
-    )
+    return pd.Series([matching.ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators.phrases import found_phrases
 from tessera.operators.review import latest
+from tessera.sources.scratch import save
 
 # What counts as a concentration, answer vocabularies and size limits, and the score of a stable combo.
 CONCENTRATION = r"(?iU)(\b\d+(?:[\.,]\d+)?\s*%\b|\b\d+(?:[\.,]\d+)?\s*(?:m|mol\s*/\s*l|mol/l|моль\s*/\s*л)\b)"
@@ -22,6 +23,8 @@ ANSWER = (
 NEEDED_TEXTS = {"none": ["reason"], "clarification": ["reason"], "experiment": ["title", "goal", "disposal"]}
 NEEDED_LISTS = {"experiment": ["ingredients", "equipment", "protective_equipment", "steps", "safety_notes"]}
 STABLE_SCORE = 0.8
+#: Cases of a block of a plan, about.
+CASES = 256
 
 
 def answer_json(answer: Column) -> Column:
@@ -99,9 +102,12 @@ def plan_runs(combos: DataFrame, cases: DataFrame, existing: DataFrame, mode: st
     have = latest(existing.where(F.col("execution_signature") == signature)).select(
         "combo_id", "case_id", F.col("row_id").alias("existing_id"), F.col("passed").alias("existing_passed")
     )
-    # Every combo carries the list of cases, which an experiment keeps short; no join of rows without a key.
-    listed = cases.agg(F.sort_array(F.collect_set("case_id")).alias("ids"))
-    targets = combos.select("combo_id").join(listed, F.lit(True)).select("combo_id", F.explode("ids").alias("case_id"))
+    # Cases are dealt to blocks, and a combo meets each block: a join by the block's number.
+    ids = save(cases.select("case_id").distinct())
+    blocks = max(1, -(-ids.count() // CASES))
+    dealt = ids.select("case_id", F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int").alias("_block"))
+    each = combos.select("combo_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    targets = each.join(dealt, "_block").drop("_block")
     planned = targets.join(have, ["combo_id", "case_id"], "left")
     run = {
         "all": F.lit(True),
@@ -232,6 +238,11 @@ def upsert_results(results: DataFrame, changes: DataFrame) -> DataFrame:
     return last.withColumn("status", F.when(F.col("score") >= STABLE_SCORE, "stable").otherwise("needs_work"))
 
 
+def merge_results(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """A15 for ``io.upsert_partitions``: results of stored experiments, whose status follows from their score, and changes to them."""
+    return upsert_results(stored.select(*changes.columns), changes)
+
+
 def experiment_scores(results: DataFrame) -> DataFrame:
     """Averages, best and worst of each experiment's results."""
     mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,6)")), 4).cast("double")

@@ -74,25 +74,69 @@ def lineage(nodes: DataFrame) -> DataFrame:
     raise ValueError("a lineage is a cycle")
 
 
-def tree_listing(nodes: DataFrame) -> DataFrame:
-    """tree_id, position, depth, line: each tree in depth-first order, brothers by created_at, a line a node."""
-    lines = lineage(nodes)
-    above = lines.select("id", "depth", F.posexplode("lineage_ids").alias("p", "ancestor")).join(
-        nodes.select(F.col("id").alias("ancestor"), F.col("created_at").alias("at")), "ancestor"
-    )
-    keys = above.groupBy("id", "depth").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("p", "at", "ancestor"))),
-            lambda x: F.struct(x["at"].alias("at"), x["ancestor"].alias("id")),
-        ).alias("key")
+def _tour(nodes: DataFrame) -> DataFrame:
+    """The walk around all trees as a linked list: (id, out, next_id, next_out, n, d), two rows a node, for its entry and its exit.
+
+    After its entry a node's first child follows, or its exit; after its exit its next brother, or its parent's exit. Nodes
+    without a parent in the table are brothers by their tree. n counts entries, d goes down and up.
+    """
+    there = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
+    placed = nodes.select("id", "tree_id", "parent_id", "created_at").join(there, "parent_id", "left")
+    placed = placed.withColumn("up", F.when(F.col("_there"), F.col("parent_id")))
+    # Brothers of a parent, or the roots of a tree.
+    brothers = Window.partitionBy("up", F.when(F.col("up").isNull(), F.col("tree_id"))).orderBy("created_at", "id")
+    placed = save(placed.select("id", "up", F.lead("id").over(brothers).alias("brother"), F.row_number().over(brothers).alias("place")))
+    first = placed.where("place = 1 and up is not null").select(F.col("up").alias("id"), F.col("id").alias("child"))
+    both = placed.join(first, "id", "left")
+    entries = both.select(
+        "id", F.lit(False).alias("out"), F.coalesce("child", "id").alias("next_id"), F.col("child").isNull().alias("next_out"),
+        F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("d"),
+    )
+    exits = both.select(
+        "id", F.lit(True).alias("out"), F.coalesce("brother", "up").alias("next_id"), F.col("brother").isNull().alias("next_out"),
+        F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"),
+    )
+    return save(entries.union(exits))
+
+
+def tree_places(nodes: DataFrame) -> DataFrame:
+    """id, position (in depth-first order of its tree, from 1), depth: by ranking the walk around the trees.
+
+    Each round every step of the walk adds what its successor has summed and skips to where that one leads, so a walk of n
+    steps takes log n joins of rows of fixed size, whatever the depth and the number of brothers.
+    """
+    state = _tour(nodes)
+    for _ in range(MAX_ROUNDS):
+        if state.where("next_id is not null").isEmpty():
+            break
+        after = state.select(
+            F.col("id").alias("next_id"), F.col("out").alias("next_out"), F.col("next_id").alias("_id"), F.col("next_out").alias("_out"),
+            F.col("n").alias("_n"), F.col("d").alias("_d"),
+        )
+        joined = state.join(after, ["next_id", "next_out"], "left")
+        state = save(
+            joined.select(
+                "id", "out", F.col("_id").alias("next_id"), F.coalesce("_out", F.lit(True)).alias("next_out"),
+                (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"),
+            )
+        )
+    else:
+        raise ValueError("a lineage is a cycle")
+    # n entries are left from here to the end of the tree; downs and ups of the rest make the depth.
+    own = nodes.select("id", "tree_id").join(state.where("not out"), "id")
+    sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("_all"))
+    return own.join(sizes, "tree_id").select(
+        "id", (F.col("_all") - F.col("n") + 1).cast("int").alias("position"), (-F.col("d")).cast("int").alias("depth")
     )
+
+
+def tree_listing(nodes: DataFrame) -> DataFrame:
+    """tree_id, position, depth, line: each tree in depth-first order, brothers by created_at and id, a line a node."""
     line = F.concat(
         F.repeat(F.lit("    "), F.col("depth")), F.lit("- "), F.col("id").cast("string"), F.lit(" ["), "branch", F.lit("] "), "title"
     )
-    rows = nodes.select("id", "tree_id", "branch", "title").join(keys, "id").withColumn("line", line)
-    return rows.withColumn(
-        "position", F.row_number().over(Window.partitionBy("tree_id").orderBy("key"))
-    ).select("tree_id", "position", "id", "depth", "line")
+    rows = nodes.select("id", "tree_id", "branch", "title").join(tree_places(nodes), "id")
+    return rows.select("tree_id", "position", "id", "depth", line.alias("line"))
 
 
 def children(nodes: DataFrame) -> DataFrame:

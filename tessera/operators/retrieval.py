@@ -11,6 +11,7 @@ from tessera.operators import nearest
 
 # Search and context sizes, the smallest remainder worth filling, and the texts that are shown.
 TOP_K, CANDIDATES, PER_SECTION, CONTEXT_CHARS, LEAST_REST = 4, 12, 2, 6500, 120
+REVIEW_CHARS = 1200
 TRUNCATED = "\n[truncated]"
 SEPARATOR = "\ntext:\n"
 NO_HITS = "No relevant textbook passages were retrieved for this question. Use general knowledge cautiously and return an empty source_ids list."
@@ -86,6 +87,26 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2
     return nearest.top_k(queries, chunks, k, metric)
 
 
+def batch_review(tests: DataFrame, hits: DataFrame, max_chars: int = REVIEW_CHARS) -> DataFrame:
+    """T4: a row for each hit of each test query, for review: rank, score, chunk, its place, text, and which topics it mentions.
+
+    ``tests``: query_id, query, expected_topics; a blank query is an error. ``hits``: query_id, rank, chunk_id, distance, text,
+    chapter_number, section, retrieval_group. Texts above ``max_chars`` are cut and end in an ellipsis (0: never); topics are
+    looked for in the whole text, in any case. A query without hits keeps one row.
+    """
+    if not (blank := tests.where(text.strip(F.coalesce("query", F.lit(""))) == "").limit(1)).isEmpty():
+        raise ValueError(f"test query {blank.first()['query_id']} has no text")
+    t = tests.select("query_id", "query", F.coalesce("expected_topics", F.array().cast("array<string>")).alias("expected_topics"))
+    body = text.strip(F.coalesce("text", F.lit("")))
+    cut = F.concat(F.regexp_replace(F.substring(body, 1, max_chars), r"(?U)\s+\z", ""), F.lit("\n…"))
+    out = t.join(hits, "query_id", "left")
+    found = F.filter("expected_topics", lambda topic: F.lower(body).contains(F.lower(topic)))
+    return out.select(
+        "query_id", "query", "expected_topics", "rank", F.col("distance").alias("score"), "chunk_id", "chapter_number", "section", "retrieval_group",
+        (F.when(F.length(body) > max_chars, cut).otherwise(body) if max_chars > 0 else body).alias("text"), found.alias("found_topics"),
+    )
+
+
 def section_key() -> Column:
     """Parent section, else section, else chapter and section numbers."""
     blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))

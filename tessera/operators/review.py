@@ -139,7 +139,7 @@ def _first(c: str, order: Column) -> Column:
 ROW_ORDER = ("combo_id", "case_id", "created_at")
 
 
-def _row_order(ordinal: str = "row_id") -> Column:
+def row_order(ordinal: str = "row_id") -> Column:
     return F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ROW_ORDER], F.col(ordinal).alias("n"))
 
 
@@ -161,7 +161,7 @@ def tag_counts(rows: DataFrame) -> DataFrame:
 
 def combo_summary(rows: DataFrame) -> DataFrame:
     """A2: a row a combo; null ids group as the text None; attributes come from the first row in order."""
-    order = _row_order()
+    order = row_order()
     return rows.withColumn("combo_id", F.coalesce("combo_id", F.lit("None"))).groupBy("combo_id").agg(
         *[
             _first(c, order)
@@ -182,7 +182,7 @@ def combo_summary(rows: DataFrame) -> DataFrame:
 
 def case_summary(rows: DataFrame) -> DataFrame:
     """A3: a row a case with its best combo; a best score of zero or null counts as -1, the first row wins ties."""
-    order = _row_order()
+    order = row_order()
     score = F.when(F.coalesce("score", F.lit(0.0)) == 0, -1.0).otherwise(F.col("score"))
     best = F.min_by(F.struct("combo_id", "score"), F.struct((-score).alias("s"), order.alias("o")))
     out = rows.withColumn("case_id", F.coalesce("case_id", F.lit("None"))).groupBy("case_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import compare, evaluation, review, similarity
 from tessera.plans.review_queries import _K, KEY, _sql
+from tessera.sources import io
 from tessera.sources.adapters import artifacts, full_answers, table
 from tessera.sources.scratch import folder
 
@@ -78,7 +79,8 @@ def _plan(s, d, mode):
     return evaluation.plan_runs(_combos(s, d), _case_ids(s, d), rows, mode, "sig_1")
 
 
-def _results(s, d):
+def _result_changes(s, d):
+    """Results of a first run, and of a later one that changes some of them."""
     r = _rows(s, d)
     base = r.select(
         "experiment_id",
@@ -87,7 +89,19 @@ def _results(s, d):
         (F.col("row_id") % 10 / 10).alias("subject_score"),
         F.concat_ws("#", "created_at", F.lpad(F.col("row_id").cast("string"), 12, "0")).alias("updated_at"),
     ).where("score is not null")
-    return evaluation.upsert_results(base.where("subject_score < 0.5"), base.where("subject_score >= 0.5"))
+    return base.where("subject_score < 0.5"), base.where("subject_score >= 0.5")
+
+
+def _results(s, d):
+    return evaluation.upsert_results(*_result_changes(s, d))
+
+
+def _stored_results(s, d):
+    """The results stored by experiment, changed twice by the same later run, and read back."""
+    path, (first, later) = folder(s), _result_changes(s, d)
+    for changes in (first, later, later):
+        io.upsert_partitions(path, changes, "experiment_id", evaluation.merge_results)
+    return s.read.parquet(path)
 
 
 def _compared(s, d):
@@ -211,6 +225,7 @@ QUERIES = {
         _rows(s, d), _combos(s, d).where("combo_id < 'combo_2'"), _case_ids(s, d).where("case_id <> 'case_1'"), "sig_0"
     ).select(*KEY),
     "a15_results": lambda s, d: _results(s, d).select("experiment_id", "combo_id", "score", "status"),
+    "a15_stored_results": lambda s, d: _stored_results(s, d).select("experiment_id", "combo_id", "score", "status"),
     "a15_experiments": lambda s, d: evaluation.experiment_scores(_results(s, d)),
     "j1_baseline": lambda s, d: _compared(s, d).select(
         "case_id",
@@ -480,7 +495,10 @@ SQL = {
         f"is null), [])), ',') as missing_case_ids, count(*) filter (existing_id is null) = 0 as complete from plan group by combo_id"
     ),
     "j6_report_rows": _sql(f"select {_K} from review where combo_id < 'combo_2' and case_id <> 'case_1' and execution_signature = 'sig_0'"),
-    "a15_results": _sql(f"{_RESULTS} select experiment_id, combo_id, score, case when score >= 0.8 then 'stable' else 'needs_work' end as status from res"),
+    **dict.fromkeys(
+        ("a15_results", "a15_stored_results"),
+        _sql(f"{_RESULTS} select experiment_id, combo_id, score, case when score >= 0.8 then 'stable' else 'needs_work' end as status from res"),
+    ),
     "a15_experiments": _sql(
         f"{_RESULTS} select experiment_id, count(*) as tested_combo_count, round(avg(score::decimal(18, 6))::decimal(18, 10), 4)::double "
         f"as average_score, max(score) as best_score, min(score) as worst_score, round(avg(subject_score::decimal(18, 6))::decimal(18, "

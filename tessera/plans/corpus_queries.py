@@ -91,6 +91,14 @@ def _queries(s, d):
     return table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def _tests(s, d):
+    """Search items as test queries; the topics that a hit should mention are their capitalized words."""
+    topics = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))))
+    return table(s, d, "benchmark").where("item_id % 20 = 0").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), topics.alias("expected_topics")
+    )
+
+
 def _hits(s, d, k=12):
     """Candidates with their texts: a chunk's text is that of the document of its number, if there is one."""
     near = retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), k)
@@ -175,9 +183,9 @@ QUERIES = {
         *_indexed(s, d, F.when(F.col("chunk_id") % 40 == 7, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text"))), "chunk_id"
     ),
     "t3_knn": lambda s, d: retrieval.knn(_queries(s, d), retrieval.metadata_filter(_index(s, d)), 5),
-    "t4_batch_review": lambda s, d: _hits(s, d, 5).join(
-        table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("topic")), "query_id", "left"
-    ).select("query_id", "rank", "chunk_id", "topic"),
+    "t4_batch_review": lambda s, d: retrieval.batch_review(_tests(s, d), _hits(s, d, 5)).select(
+        "query_id", "rank", "chunk_id", "score", F.array_join("expected_topics", ",").alias("expected"), F.array_join("found_topics", ",").alias("found"), F.md5("text").alias("h")
+    ),
     "j20_source_text": lambda s, d: _hits(s, d).select("query_id", "chunk_id", F.md5("text").alias("h")),
     "w8_diversity": lambda s, d: _selected(s, d).select("query_id", "label", "chunk_id", "section"),
     "w9_context": lambda s, d: retrieval.contexts(_queries(s, d), _selected(s, d), _packed(s, d)).select(
@@ -290,8 +298,10 @@ SQL = {
     "s9_stale_manifest": _MANIFEST.format(old="case when doc_id % 40 = 7 then text || ' (old)' else text end"),
     "t3_knn": f"with {_KNN} select query_id, rank, chunk_id, distance from ranked where rank <= 5",
     "t4_batch_review": (
-        f"with {_KNN} select query_id, rank, chunk_id, length(b.text)::int as topic from ranked left join benchmark b on b.item_id = "
-        f"query_id where rank <= 5"
+        f"with {_HITS}, t as (select item_id as query_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) as topics from benchmark where item_id % 20 = 0), "
+        "r as (select t.query_id, rank, chunk_id, distance as score, topics, coalesce(text, '') as text from t left join hits on hits.query_id = t.query_id and rank <= 5) "
+        "select query_id, rank, chunk_id, score, array_to_string(topics, ',') as expected, array_to_string(list_filter(topics, lambda x: contains(lower(text), lower(x))), ',') as found, "
+        rf"md5(case when length(text) > 1200 then regexp_replace(substr(text, 1, 1200), '\s+\z', '') || chr(10) || '…' else text end) as h from r"
     ),
     "j20_source_text": f"with {_HITS} select query_id, chunk_id, md5(text) as h from hits",
     "w8_diversity": f"with {_SEL} select query_id, 'S' || pos as label, chunk_id, section from sel",

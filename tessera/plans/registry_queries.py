@@ -95,7 +95,7 @@ def _fewshot(s, d):
         F.lit(sure).alias("certainty"),
         F.struct(F.lit("none").alias("kind"), F.lit("why").alias("reason")).alias("experiment"),
     )
-    asked = lambda key: F.create_map(F.lit(key), F.substring("text", 1, 30))
+    asked = lambda key: F.create_map(F.lit(key), F.col("text"))
     parts = [
         F.to_json(F.struct(asked("question").alias("input"), answer("high").alias("answer"))),
         F.to_json(F.struct(answer("high").alias("answer"))),
@@ -400,7 +400,7 @@ SQL = {
         rf"chr(10) || 'tags=' || case when id % 17 = 0 then 'archived' else 'live' end || chr(10) || chr(10) || 'PROMPT' || chr(10) || x) "
         rf"as metadata_text from b"
     ),
-    "f19_fewshot": """select item_id as set_id, case when item_id % 5 > 1 then case when k = 3 then 'x' || item_id else 'example_' || k end end as example_id, case when item_id % 5 > 1 and k in (1, 4) then substr(text, 1, 30) end as question, case when item_id % 5 > 1 then case when k = 4 then 'sure' else 'high' end end as certainty,
+    "f19_fewshot": """select item_id as set_id, case when item_id % 5 > 1 then case when k = 3 then 'x' || item_id else 'example_' || k end end as example_id, case when item_id % 5 > 1 and k in (1, 4) then text end as question, case when item_id % 5 > 1 then case when k = 4 then 'sure' else 'high' end end as certainty,
         case when item_id % 5 = 0 then 'not a JSON list' when item_id % 5 = 1 then 'no examples' when k = 2 then 'no input' when k = 3 then 'no input.question' when k = 4 then 'answer: certainty' end as problem from benchmark, unnest([1, 2, 3, 4]) as t(k) where item_id % 5 > 1 or k = 1""",
     "j13_prompt_pool": f"with {_N} select id from nodes where type = 'de' and id % 5 <> 0",
     "j17_link_blockers": (

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.operators import review as r
+from tessera.operators import rollup, textindex
 from tessera.sources import io
 from tessera.sources.adapters import REVIEW_SQL, artifacts, table
 from tessera.sources.scratch import folder
@@ -57,6 +60,31 @@ def _experiments(rows):
 
 _prompt = lambda s, d: r.prompt_rows(_rows(s, d), "sys_1", ["combo_2"])
 
+def _all_scopes(s, d):
+    """Review rows written once, a folder a scope; the tables of all scopes that are found there, together."""
+    path = folder(s)
+    _rows(s, d).write.partitionBy("scope").parquet(path)
+    names = [row["scope"] for row in s.read.parquet(path).select("scope").distinct().collect()]
+    return r.union_scopes({name: s.read.parquet(f"{path}/scope={name}") for name in names})
+
+
+def _read_files(s, d):
+    """S3: a file for each supplier, some of them blank, broken, of another kind or with a value of another type."""
+    k, path = F.col("s_suppkey"), folder(s)
+    record = F.to_json(F.struct(k.alias("id"), F.col("s_name").alias("name"), F.struct(F.col("s_nationkey").alias("nation")).alias("place")))
+    value = (
+        F.when(k % 11 == 1, " \n").when(k % 11 == 3, F.substring(record, 1, 20)).when(k % 11 == 5, F.concat(F.lit("["), record, F.lit("]")))
+        .when(k % 11 == 7, F.replace(record, F.lit('"id":'), F.lit('"id":"x",  "k":'))).otherwise(F.replace(record, F.lit(","), F.lit(",\n ")))
+    )
+    table(s, d, "supplier").select(k.alias("file"), value.alias("value")).write.partitionBy("file").text(path)
+    schema = s.createDataFrame([], "id long, name string, place struct<nation:long>").schema
+    return io.read_files(s, path, schema, pattern="*.txt")
+
+
+def _files(s, d):
+    return _read_files(s, d)[0].select("id", "name", F.col("place.nation").alias("nation"))
+
+
 def _csv_file(s, d):
     """Written as CSV with a header and read back."""
     path = folder(s)
@@ -88,18 +116,41 @@ def _notes(rows):
     return r.upsert_notes(base, later)
 
 
+def _cells(s, d):
+    """Cells of the review rows, which arrive in three parts."""
+    path, rows = folder(s), _rows(s, d)
+    for part in range(3):
+        stored = rollup.keep_up(path, rows.where(F.col("row_id") % 3 == part))
+    return stored
+
+
+#: Searched for in documents by an index: words of any length, with blanks, beyond ASCII, and in no text.
+SEARCHES = ("e", "on", "THE", "de la", "and the", "ción", "license", "no such text at all")
+
+
+def _indexed_search(s, d):
+    path = folder(s)
+    textindex.write_index(table(s, d, "documents"), path, "doc_id", "text", "source")
+    found = [textindex.search(s, path, q).select(F.lit(q).alias("query"), F.col("id").alias("doc_id")) for q in SEARCHES]
+    return reduce(lambda a, b: a.union(b), found)
+
+
 QUERIES = {
     "p1_review_rows": lambda s, d: _rows(s, d).select(*FLAT),
     "p3_review_filter": lambda s, d: r.filter_rows(
         _rows(s, d), is_in={"combo_id": ["combo_1", "combo_2", "combo_3"], "request_type": []}, passed=True, score_range=(0.2, 0.9)
     ).select(*KEY),
     "p4_text_search": lambda s, d: r.filter_rows(_rows(s, d), query="Combo 1").select(*KEY),
+    "p4_indexed_search": _indexed_search,
     "p5_tag_superset": lambda s, d: r.filter_rows(_rows(s, d), tags=["click", "pass"]).select(*KEY),
     "w1_latest": lambda s, d: r.latest(_rows(s, d)).select(*KEY),
     "a1_metrics": lambda s, d: r.metrics(_rows(s, d)),
     "a1_tag_counts": lambda s, d: r.tag_counts(_rows(s, d)),
     "a2_combo_summary": lambda s, d: _joined(r.combo_summary(_rows(s, d)), "request_types", "experiment_kinds"),
     "a3_case_summary": lambda s, d: _joined(r.case_summary(_rows(s, d)), "request_types", "experiment_kinds"),
+    "a1_metrics_kept_up": lambda s, d: rollup.metrics(_cells(s, d)),
+    "a2_combos_kept_up": lambda s, d: _joined(rollup.combo_summary(_cells(s, d)), "request_types", "experiment_kinds"),
+    "a3_cases_kept_up": lambda s, d: _joined(rollup.case_summary(_cells(s, d)), "request_types", "experiment_kinds"),
     "w2_combo_ranking": lambda s, d: r.combo_ranking(r.latest(_rows(s, d))).select(
         "rank", "combo_id", "average_score", "pass_rate", "stability_rate", "validation_rate", "speed_score", "ranking_score"
     ),
@@ -124,9 +175,9 @@ QUERIES = {
         r.combo_summary(_rows(s, d)), "average_score", 0.38, "combo_id"
     ).select("combo_id", "average_score"),
     "a17_score_summary": lambda s, d: r.score_summary(_rows(s, d)),
-    "u1_all_scopes": lambda s, d: r.union_scopes(
-        {f"exp_{i}": _rows(s, d).where(f"scope = 'exp_{i}'").drop("scope") for i in range(4)}
-    ).select(*KEY, "scope"),
+    "u1_all_scopes": lambda s, d: _all_scopes(s, d).select(*KEY, "scope"),
+    "s3_files": _files,
+    "s3_dead_letters": lambda s, d: _read_files(s, d)[1].select(F.regexp_extract("file_path", "file=([0-9]+)", 1).cast("long").alias("id"), "reason", "size"),
     "s8_scopes": lambda s, d: _joined((lambda rows: r.scopes(rows, _experiments(rows)))(_rows(s, d)), "experiment_tags"),
     "s6_scope_report": lambda s, d: r.scope_report(_rows(s, d)).withColumns(
         {
@@ -229,6 +280,12 @@ SQL = {
         f"select count(*) as row_count, count(score) as scored_count, min(score) as min_score, max(score) as max_score, {_R4} as "
         f"average_score, coalesce(min(score), 0.0) as low_bound, coalesce(max(score), 1.0) as high_bound from review"
     ),
+    "s3_files": "select s_suppkey as id, s_name as name, s_nationkey as nation from supplier where s_suppkey % 11 not in (1, 3, 5, 7)",
+    "s3_dead_letters": (
+        """with r as (select s_suppkey as id, '{"id":' || s_suppkey || ',"name":"' || s_name || '","place":{"nation":' || s_nationkey || '}}' as t from supplier) """
+        "select id, case id % 11 when 1 then 'blank' when 3 then 'not JSON' when 5 then 'not an object' else 'a value of another type' end as reason, "
+        """(1 + case id % 11 when 1 then 2 when 3 then 20 when 5 then length(t) + 2 else length(replace(t, '"id":', '"id":"x",  "k":')) end)::int as size from r where id % 11 in (1, 3, 5, 7)"""
+    ),
     "u1_all_scopes": _sql(f"select {_K}, scope from review"),
     "s8_scopes": _sql(
         "select scope, count(*) as artifact_count, case when scope <> 'exp_3' then 'Name ' || scope end as experiment_name, case when "
@@ -249,3 +306,7 @@ SQL = {
         "% 3 = 0 as preferred, case when row_id % 5 = 0 then '2099-01-01T00:00:00' else created_at end as updated_at from review"
     ),
 }
+SQL |= {kept: SQL[own] for kept, own in (("a1_metrics_kept_up", "a1_metrics"), ("a2_combos_kept_up", "a2_combo_summary"), ("a3_cases_kept_up", "a3_case_summary"))}
+SQL["p4_indexed_search"] = " union all ".join(
+    f"select '{q}' as query, doc_id from documents where contains(lower(concat_ws(' ', text, source)), '{q.lower()}')" for q in SEARCHES
+)

@@ -1,13 +1,15 @@
 """Text ratios, diffs and alignments of all compared answers, against the standard library; a pair with known differences."""
 
 import difflib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import plans
-from tessera.operators import compare, evaluation
+from tessera.operators import compare, evaluation, matching
 from tests.test_oracles import SF
 
 
@@ -120,3 +122,35 @@ def test_answer_rules(spark):
             "adult_supervision_required",
         )
     ]
+
+
+def test_matching_blocks_of_any_texts():
+    """The same blocks as the standard library, ties included, on random, repetitive and similar texts."""
+    rng = random.Random(4)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(some(letters, rng.randint(0, 300)), some(letters, rng.randint(0, 300))) for letters in ("a", "ab", "abc ", "abcdefgh é日") for _ in range(40)]
+    pairs += [("ab" * 300, "ba" * 300), ("a" * 500, "a" * 499 + "b"), ("", "x"), ("", ""), ("abc" * 100 + "x" + "abc" * 100, "abc" * 150)]
+    for _ in range(20):
+        a = some("abcdefghij ", 600)
+        b = list(a)
+        for _ in range(rng.randint(1, 30)):
+            b[rng.randrange(len(b))] = rng.choice(["", "z", "yy", "a"])
+        pairs.append((a, "".join(b)))
+    for a, b in pairs:
+        own = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert matching.ratio(a, b) == own.ratio()
+        if a and b:
+            m = own.find_longest_match(0, len(a), 0, len(b))
+            assert matching.longest_block(a, b) == (m.a, m.b, m.size) or m.size == 0
+
+
+def test_matching_of_long_texts_takes_seconds():
+    rng = random.Random(5)
+    a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(100_000))
+    b = list(a)
+    for i in rng.sample(range(len(b)), 300):
+        b[i] = "#"
+    start = time.monotonic()
+    assert matching.matched(a, "".join(b)) == len(a) - 300
+    assert matching.matched("ab" * 50_000, "ab" * 49_999 + "b") == 99_999
+    assert time.monotonic() - start < 60

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, evaluation, nearest, phrases, retrieval, similarity
+from tessera.operators import chunking, evaluation, nearest, phrases, registry, retrieval, review, rollup, similarity, textindex
+from tessera.sources import io
+from tessera.sources.adapters import artifacts
 
 
 def _clustered(rng, n, size=16, centres=20, spread=0.05):
@@ -207,3 +209,108 @@ def test_manifest_notices_changes(spark):
     assert text["complete"] and not text["current"]
     assert not of([rows[0], rows[1], rows[1], rows[0]])["current"] and not of(rows[:3])["complete"]
     assert not of([*rows[:3], (None, None, True, None)])["complete"]
+
+
+def _listing(nodes):
+    """Depth-first, brothers by (created_at, id): {id: (position, depth)}."""
+    there, below = {n[0] for n in nodes}, {}
+    for i, tree, up, at in nodes:
+        below.setdefault(up if up in there else ("tree", tree), []).append((at, i))
+    out = {}
+    for tree in {n[1] for n in nodes}:
+        todo, place = [(i, 0) for _, i in sorted(below[("tree", tree)], reverse=True)], 0
+        while todo:
+            i, depth = todo.pop()
+            place += 1
+            out[i] = (place, depth)
+            todo += [(c, depth + 1) for _, c in sorted(below.get(i, []), reverse=True)]
+    return out
+
+
+def test_trees(spark):
+    """Random trees, several roots, a parent that is missing; a chain of ten thousand and a root of a hundred thousand children."""
+    rng = np.random.default_rng(2)
+    nodes = [(i, f"t{i % 3}", None if i < 9 else int(rng.choice(np.arange(i % 3, i, 3))), f"{rng.integers(0, 50):03d}") for i in range(600)]
+    nodes += [(700, "t0", 999, "000")]
+    chain = [(1000 + i, "chain", 999 + i if i else None, "a") for i in range(10_000)]
+    wide = [(20_000 + i, "wide", 20_000 if i else None, str(i % 7)) for i in range(100_001)]
+    rows = nodes + chain + wide
+    d = spark.createDataFrame(rows, "id long, tree_id string, parent_id long, created_at string")
+    got = {r["id"]: (r["position"], r["depth"]) for r in registry.tree_places(d).collect()}
+    assert got == _listing(rows)
+    with pytest.raises(ValueError, match="cycle"):
+        registry.tree_places(spark.createDataFrame([(1, "t", 2, "a"), (2, "t", 1, "a"), (3, "t", None, "a")], "id long, tree_id string, parent_id long, created_at string"))
+
+
+def test_partition_upserts(spark, tmp_path):
+    """Only folders that the changes name are written; the same changes again leave the same rows."""
+    path = f"file://{tmp_path}/results"
+    schema = "experiment_id string, combo_id string, score double, subject_score double, updated_at string"
+    first = spark.createDataFrame([(f"e{i % 4}", f"c{i % 3}", 0.1 * (i % 11), None, f"2024-01-{i % 28 + 1:02d}") for i in range(60)], schema)
+    later = spark.createDataFrame([("e1", "c0", 0.95, 0.5, "2025-01-01"), ("e1", "c9", 0.2, None, "2025-01-01"), ("new", "c0", 0.3, None, "2025-01-01")], schema)
+    files = lambda: {f.name for k in ("e0", "e2", "e3") for f in (tmp_path / "results" / f"experiment_id={k}").glob("*.parquet")}
+    rows = lambda df: sorted(map(str, df.select("experiment_id", "combo_id", "score", "status").collect()))
+    io.upsert_partitions(path, first, "experiment_id", evaluation.merge_results)
+    before = files()
+    for _ in range(2):
+        got = io.upsert_partitions(path, later, "experiment_id", evaluation.merge_results)
+        assert rows(got) == rows(evaluation.upsert_results(first, later)) and files() == before
+
+
+def test_files_and_dead_letters(spark, tmp_path):
+    texts = {"a": '{"id": 1,\n "n": "x"}', "b": '{"id": ', "c": " \n", "d": "[1]", "e": '{"id": "one"}', "f": '{"n": null}', "g": "null", "h": '{"id": 2, "more": [1]}'}
+    for name, value in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.json").write_text(value)
+    (tmp_path / "other.txt").write_text("{")
+    good, dead = io.read_files(spark, f"file://{tmp_path}", spark.createDataFrame([], "id int, n string").schema)
+    name = F.regexp_extract("file_path", r"(\w+)\.json", 1)
+    assert {r["k"]: (r["id"], r["n"]) for r in good.select(name.alias("k"), "id", "n").collect()} == {"a": (1, "x"), "f": (None, None), "h": (2, None)}
+    assert {r["k"]: r["reason"] for r in dead.select(name.alias("k"), "reason").collect()} == {
+        "b": "not JSON", "c": "blank", "d": "not an object", "e": "a value of another type", "g": "not an object",
+    }
+
+
+def test_batch_review(spark):
+    tests = spark.createDataFrame([(1, "q", ["Salt", "acid"]), (2, "r", None)], "query_id long, query string, expected_topics array<string>")
+    hits = spark.createDataFrame(
+        [(1, 1, 7, 0.5, " The SALT is " + "x" * 30, 3, "s", "theory")],
+        "query_id long, rank int, chunk_id long, distance double, text string, chapter_number int, section string, retrieval_group string",
+    )
+    got = {r["query_id"]: r for r in retrieval.batch_review(tests, hits, max_chars=12).collect()}
+    assert (got[1]["found_topics"], got[1]["text"], got[2]["rank"]) == (["Salt"], "The SALT is\n…", None)
+    with pytest.raises(ValueError, match="no text"):
+        retrieval.batch_review(tests.withColumn("query", F.lit(" ")), hits)
+
+
+def test_indexed_search_is_the_scan(spark, tmp_path):
+    """Queries of one to twenty characters, taken from the texts or made up, against a scan; and few texts are candidates of a rare one."""
+    rng = np.random.default_rng(9)
+    letters = list("abcdeé日 ABC.")
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(300)] + [None, "", "ab", "abc" * 500]
+    d = spark.createDataFrame([(i, t, f"x{i % 7}") for i, t in enumerate(texts)], "id long, text string, more string")
+    path = f"file://{tmp_path}/index"
+    textindex.write_index(d, path, "id", "text", "more")
+    queries = ["", " ", "a", "é", "ab", "日 ", "abc", "ABCa", " x3", "%", "_a_"]
+    for n in range(1, 21, 3):
+        t = texts[int(rng.integers(0, 250))] or "a"
+        queries.append(t[: n + 3] if rng.random() < 0.7 else "".join(rng.choice(letters, n)))
+    joined = [(i, f"{'' if t is None else t + ' '}x{i % 7}".lower()) for i, t in enumerate(texts)]
+    for q in queries:
+        want = sorted(i for i, t in joined if q.strip().lower() in t)
+        assert sorted(r["id"] for r in textindex.search(spark, path, q).collect()) == want, q
+    assert textindex.candidates(spark, path, joined[10][1][:12]).count() < 20
+
+
+def test_cells_of_parts_are_those_of_the_whole(spark, tmp_path):
+    rows = review.flatten_artifacts(artifacts(spark, "/root/testdata/sf0.001"))
+    rows = rows.withColumns({"combo_id": F.when(F.col("row_id") % 17 > 0, F.col("combo_id")), "score": F.when(F.col("row_id") % 5 > 0, F.col("score"))}).cache()
+    path = f"file://{tmp_path}/cells"
+    for part in range(4):
+        stored = rollup.keep_up(path, rows.where(F.col("row_id") % 4 == part))
+    whole = rollup.cells(rows)
+    text_of = lambda df: sorted(map(str, df.collect()))
+    assert text_of(stored.select(*whole.columns)) == text_of(whole)
+    for name in ("metrics", "combo_summary", "case_summary"):
+        a, b = getattr(rollup, name)(stored), getattr(review, name)(rows)
+        assert text_of(a.select(*sorted(a.columns))) == text_of(b.select(*sorted(b.columns)))

@@ -25,15 +25,11 @@ ELSEWHERE = {
     "c1_blocks",
     "c1_outline",
     "c2_links",
-    "c2_formulae",
-    "c2_media",
-    "c2_tables",
     "c3_sections",
     "c4_markdown",
     "c5_page_units",
     "a11_chapters",
     "a11_block_types",
-    "a12_structure_audit",
 }
 
 
