@@ -8,8 +8,10 @@ alike, so both sum to one over the vocabulary after any word:
 * pair(w after h) = (count(h w) + PAIR_BACKOFF * single(w)) / (count(h) + PAIR_BACKOFF); after an unseen h that is single(w)
 
 A document's score is the mean over its words and its end of the target loss less the background loss: the lower, the closer
-to the target.
+to the target. A target document would know its own words, so target documents are dealt to FOLDS folds by the hash of their
+text (copies come to one fold), and a document of a fold is scored by the models of the other folds' target documents.
 
+Texts are read three times (sample, counts of hot words, steps), which costs less than writing sixteen bytes a word in between.
 Every text is a run of steps (word before, word). Steps go to buckets by the hash of their word, many to a row, as arrays of
 distinct pairs and of the documents that hold them. So one bucket has all that a step's loss needs - the counts of the pair
 and of the word - and gives back one number for each document that has steps there, again as arrays, a row for each group of
@@ -22,6 +24,7 @@ drawn from a sample of texts; that decides where a step is settled, never its lo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -30,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, UPPER, Scratch, shuffle_partitions
@@ -40,7 +43,10 @@ SINGLE_BACKOFF, PAIR_BACKOFF = 100.0, 1.0
 HEAD_WORDS, HEAD_PAIRS, HEAD_SAMPLE = 2048, 8192, 2000
 #: Words, and texts, after which the steps read so far are sent on. Places of texts are 16-bit numbers.
 FLUSH_WORDS, FLUSH_TEXTS = 1_000_000, 30_000
-BUCKETS_A_PARTITION = 4
+#: Buckets of steps: so many a shuffle partition at least, and as many more as keep them below so many steps.
+BUCKETS_A_PARTITION, BUCKET_STEPS = 4, 2_000_000
+#: Folds of the target documents.
+FOLDS = 5
 #: Bytes of target ids up to which they are sent to all tasks; beyond, the documents are joined to them by a shuffle.
 BROADCAST_BYTES = 32 << 20
 KEEP_WORDS = 300_000
@@ -94,14 +100,14 @@ def pair(n, before, one):
 
 @dataclass
 class Totals:
-    """Steps of all documents and of the target documents."""
+    """Steps of all documents and of the target documents; t may be an array, a number for each step that is scored."""
 
     n: float
-    t: float
+    t: float | np.ndarray
 
     @property
-    def scale(self) -> float:
-        return self.t / self.n if self.n else 0.0
+    def scale(self):
+        return self.t / self.n if self.n else 0.0 * self.t
 
     def pair_part(self, pn, pt, n, t):
         """What a step adds for its pair (counts pn, pt) and word (n, t): numerators of target loss less background loss."""
@@ -115,6 +121,12 @@ class Totals:
         return np.log(t + PAIR_BACKOFF) - np.log(n * self.scale + PAIR_BACKOFF)
 
 
+def others(by_fold: np.ndarray) -> np.ndarray:
+    """Target counts (folds + 1, ...) that score each fold's documents, those of the other folds; last, for the other documents, all."""
+    t = by_fold[:FOLDS].sum(axis=0)
+    return np.concatenate([t - by_fold[:FOLDS], t[None]])
+
+
 class Head:
     """Hot words and pairs: sorted hashes and, once counted, their counts."""
 
@@ -127,7 +139,6 @@ class Head:
         self.codes, self.before, self.after = codes[order], np.array(
             [p[0] for p in pairs], _U
         )[order], np.array([p[1] for p in pairs], _U)[order]
-        self.totals = Totals(0.0, 0.0)
 
     def word_at(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
@@ -139,12 +150,13 @@ class Head:
         at = np.minimum(np.searchsorted(self.codes, _mixed(h, before)), len(self.codes) - 1)
         return np.where((self.before[at] == before) & (self.after[at] == h), at, -1)
 
-    def counted(self, words: np.ndarray, pairs: np.ndarray, totals: Totals) -> None:
-        """words, pairs: two rows, counts of all documents and of the target documents."""
-        self.totals, self.n, self.t = totals, words[0], words[1]
-        self.before_delta = totals.before_part(self.n, self.t)
-        at = self.word_at(self.after)
-        self.pair_delta = totals.pair_part(pairs[0], pairs[1], self.n[at], self.t[at])
+    def counted(self, words: np.ndarray, pairs: np.ndarray, steps: np.ndarray) -> None:
+        """Counts by fold (folds + 1 rows, the last one of documents outside the target) of words, pairs and all steps."""
+        self.n, self.t, self.steps, self.targets = words.sum(axis=0), others(words), float(steps.sum()), others(steps)
+        at, n, t = self.word_at(self.after), pairs.sum(axis=0), others(pairs)
+        totals = [Totals(self.steps, float(x)) for x in self.targets]
+        self.before_delta = np.stack([x.before_part(self.n, self.t[f]) for f, x in enumerate(totals)])
+        self.pair_delta = np.stack([x.pair_part(n, t[f], self.n[at], self.t[f][at]) for f, x in enumerate(totals)])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,26 +185,21 @@ def _draw_head(narrow: DataFrame) -> Head:
 
 
 def _count_head(shared):
-    """Counts of the head's words (0), pairs (1) and of all steps (2) in each batch."""
+    """Counts of the head's words (0), pairs (1) and of all steps (2) in each batch, by fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, head = _Hashes(), shared.value
         for batch in batches:
             parts = [_steps(t.as_py(), hashes) for t in batch.column("text")]
             h = np.concatenate([np.empty(0, _U), *parts])
-            target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), [len(p) for p in parts])
+            fold = np.repeat(batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64), [len(p) for p in parts])
             out = []
             for kind, at in enumerate((head.word_at(h), head.pair_at(_before(h, None), h), np.zeros(len(h), np.int64))):
-                size = int(at.max(initial=-1)) + 1
-                n, t = np.bincount(at[at >= 0], minlength=size), np.bincount(at[target & (at >= 0)], minlength=size)
+                n = np.bincount(at[at >= 0] * (FOLDS + 1) + fold[at >= 0])
                 some = np.flatnonzero(n)
-                out.append((np.full(len(some), kind), some, n[some], t[some]))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    k: pa.array(np.concatenate(v).astype(np.int64))
-                    for k, v in zip(("kind", "at", "n", "t"), zip(*out, strict=True), strict=True)
-                }
-            )
+                out.append((np.full(len(some), kind), some // (FOLDS + 1), some % (FOLDS + 1), n[some]))
+            columns = zip(("kind", "at", "fold", "n"), zip(*out, strict=True), strict=True)
+            yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in columns})
 
     return run
 
@@ -203,7 +210,7 @@ def _send(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, head, numbers, task = _Hashes(), shared.value, count(), TaskContext.get().partitionId()
         for batch in batches:
-            texts, target = batch.column("text"), batch.column("target").to_pylist()
+            texts, fold = batch.column("text"), batch.column("fold").to_numpy(zero_copy_only=False)
             start, words, parts = 0, 0, []
             for i in range(len(texts)):
                 parts.append(_steps(texts[i].as_py(), hashes))
@@ -215,7 +222,7 @@ def _send(shared, buckets: int):
                         buckets,
                         group,
                         parts,
-                        target[start : i + 1],
+                        fold[start : i + 1],
                         batch.column("doc_id").slice(start, i + 1 - start),
                         batch.schema.field("doc_id").type,
                     )
@@ -229,17 +236,17 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 
 def _group_rows(
-    head: Head, buckets: int, group: int, parts: list[np.ndarray], target: list[bool], ids: pa.Array, id_type: pa.DataType
+    head: Head, buckets: int, group: int, parts: list[np.ndarray], fold: np.ndarray, ids: pa.Array, id_type: pa.DataType
 ) -> pa.RecordBatch:
-    order = sorted(range(len(parts)), key=lambda i: not target[i])  # target documents first
-    parts = [parts[i] for i in order]
+    order = np.argsort(fold, kind="stable")  # target documents first, fold by fold
+    fold, parts = fold[order], [parts[i] for i in order]
     sizes = np.array([len(p) for p in parts])
     h = np.concatenate([np.empty(0, _U), *parts])
     doc, before = np.repeat(np.arange(len(parts)), sizes), _before(h, sizes)
     hot, known = head.word_at(h), head.pair_at(before, h)
-    sums = np.bincount(doc, np.where(hot >= 0, head.before_delta[hot], 0.0), len(parts)).astype(float)
+    sums = np.bincount(doc, np.where(hot >= 0, head.before_delta[fold[doc], hot], 0.0), len(parts)).astype(float)
     if len(head.codes):
-        sums += np.bincount(doc, np.where(known >= 0, head.pair_delta[known], 0.0), len(parts))
+        sums += np.bincount(doc, np.where(known >= 0, head.pair_delta[fold[doc], known], 0.0), len(parts))
     rest = known < 0
     h, before, doc, hot = h[rest], before[rest], doc[rest].astype(np.int16), hot[rest]
     both = _mixed(h, before)
@@ -257,12 +264,12 @@ def _group_rows(
     pad = lambda bounds: np.r_[bounds, bounds[-1]] if len(bounds) == k + 1 else np.zeros(k + 2, int)  # noqa: E731  an empty list for the last row
     last = np.r_[np.zeros(k + 1, int), len(parts)]
     own_ids = pa.ListArray.from_arrays(
-        pa.array(last.astype(np.int32)), ids.take(pa.array(order, pa.int64())) if len(order) else pa.array([], id_type)
+        pa.array(last.astype(np.int32)), ids.take(pa.array(order)) if len(order) else pa.array([], id_type)
     )
     arrays = {
         "row": pa.array(np.full(k + 1, group), pa.int64()),
         "bucket": pa.array([*own[cuts].tolist(), group % buckets], pa.int32()),
-        "targets": pa.array(np.full(k + 1, sum(target)), pa.int32()),
+        "folds": _lists(np.tile(np.searchsorted(fold, np.arange(FOLDS), "right"), k + 1).astype(np.int32), np.arange(k + 2) * FOLDS),
         "words": _lists(h[starts].view(np.int64), pad(pair_bounds)),
         "befores": _lists(before[starts].view(np.int64), pad(pair_bounds)),
         "holders": _lists(holders.astype(np.int32), pad(pair_bounds)),
@@ -279,7 +286,6 @@ def _settle(shared):
 
     def run(table: pa.Table) -> pa.Table:
         head: Head = shared.value
-        totals = head.totals
         flat = lambda name: table[name].combine_chunks().flatten()
         each = lambda name: table[name].combine_chunks().value_lengths().to_numpy()
         words, befores, holders, docs = flat("words").to_numpy().view(_U), flat(
@@ -288,19 +294,25 @@ def _settle(shared):
         groups = table["row"].to_numpy()
         pair_of = np.repeat(np.arange(len(words)), holders)
         blob = np.repeat(np.repeat(np.arange(len(groups)), each("words")), holders)
-        target = docs < table["targets"].to_numpy()[blob]
+        # Where the documents of each fold end among those of a group.
+        ends, fold = flat("folds").to_numpy().reshape(-1, FOLDS), np.zeros(len(docs), np.int64)
+        for f in range(FOLDS):
+            fold += docs >= ends[blob, f]
         own, at = np.unique(_mixed(words, befores), return_inverse=True)
         step = at[pair_of]
-        pn, pt = np.bincount(step, minlength=len(own)), np.bincount(step, target, len(own))
+        pairs = np.stack([np.bincount(step[fold == f], minlength=len(own)) for f in range(FOLDS + 1)])
         word = np.empty(len(own), _U)
         word[at] = words
         vocabulary, place = np.unique(word, return_inverse=True)
-        n, t = np.bincount(place, pn, len(vocabulary)), np.bincount(place, pt, len(vocabulary))
+        singles = np.stack([np.bincount(place, p, len(vocabulary)) for p in pairs])
         hot = head.word_at(vocabulary)
-        n, t = np.where(hot >= 0, head.n[hot], n), np.where(hot >= 0, head.t[hot], t)
-        delta = totals.pair_part(pn, pt, n[place], t[place]) + np.where(hot >= 0, 0.0, totals.before_part(n, t))[place]
+        n, t = np.where(hot >= 0, head.n[hot], singles.sum(axis=0)), np.where(hot >= 0, head.t[:, hot], others(singles))
+        # A number for each step of each document, by the models of its fold.
+        totals, w = Totals(head.steps, head.targets[fold]), place[step]
+        delta = totals.pair_part(pairs.sum(axis=0)[step], others(pairs)[fold, step], n[w], t[fold, w])
+        delta += np.where(hot[w] >= 0, 0.0, totals.before_part(n[w], t[fold, w]))
         where, into = np.unique(blob << 16 | docs, return_inverse=True)
-        parts = np.bincount(into, delta[step], len(where)).astype(np.float32)
+        parts = np.bincount(into, delta, len(where)).astype(np.float64)
         bounds = np.searchsorted(where >> 16, np.arange(len(groups) + 1))
         return pa.table(
             {"row": groups, "docs": _lists((where & 0xFFFF).astype(np.int16), bounds), "parts": _lists(parts, bounds)}
@@ -318,12 +330,18 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "size": sizes, "total": total})
 
 
+def fold_of(text: Column) -> Column:
+    """The fold of a target document: copies of a text share it."""
+    return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(FOLDS)).cast("int")
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, score (loss of the target model less that of the background model, a step).
 
     ``target_ids``: one column of ids of the target documents; nulls and repeats play no part. Tokens: words between ASCII
-    white space, A-Z lower-cased. Null, empty and blank texts have no tokens and score 0. Without target documents every
-    score is 0. Repeated rows count and score each. An empty table gives an empty table. Other columns play no part.
+    white space, A-Z lower-cased. Null, empty and blank texts have no tokens and score 0. Target documents are scored by the
+    target documents of other folds, so what all of them share with no other text counts for nothing. Without target documents
+    every score is 0, and so is that of a target document without others. Repeated rows count and score each. An empty table gives an empty table. Other columns play no part.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
@@ -332,24 +350,24 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, *, doc_id:
     ids = ids.withColumn("is", F.lit(True))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     flagged = narrow.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, F.col("doc_id") == F.col("target_id"), "left")
-    flagged = flagged.select("doc_id", "text", F.coalesce("is", F.lit(False)).alias("target"))
+    flagged = flagged.select("doc_id", "text", F.when(F.col("is"), fold_of(F.col("text"))).otherwise(FOLDS).alias("fold"))
 
     head = _draw_head(narrow)
     drawn = spark.sparkContext.broadcast(head)
-    counts = flagged.select("text", "target").mapInArrow(_count_head(drawn), "kind long, at long, n long, t long")
-    # At most HEAD_WORDS + HEAD_PAIRS + 2 rows.
-    found = counts.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
-    tables = [np.zeros((2, len(head.words))), np.zeros((2, len(head.codes))), np.zeros((2, 1))]
+    counts = flagged.select("text", "fold").mapInArrow(_count_head(drawn), "kind long, at long, fold long, n long")
+    # At most HEAD_WORDS + HEAD_PAIRS + 2 rows a fold.
+    found = counts.groupBy("kind", "at", "fold").agg(F.sum("n").alias("n")).collect()
+    tables = [np.zeros((FOLDS + 1, size)) for size in (len(head.words), len(head.codes), 1)]
     for r in found:
-        tables[r["kind"]][:, r["at"]] = r["n"], r["t"]
-    head.counted(tables[0], tables[1], Totals(float(tables[2][0, 0]), float(tables[2][1, 0])))
+        tables[r["kind"]][r["fold"], r["at"]] = r["n"]
+    head.counted(tables[0], tables[1], tables[2][:, 0])
     shared = spark.sparkContext.broadcast(head)
 
-    buckets = BUCKETS_A_PARTITION * shuffle_partitions(spark)
-    schema = f"row long, bucket int, targets int, words array<long>, befores array<long>, holders array<int>, docs array<short>, sizes array<long>, sums array<double>, ids array<{kind}>"
+    buckets = max(BUCKETS_A_PARTITION * shuffle_partitions(spark), math.ceil(head.steps / BUCKET_STEPS))
+    schema = f"row long, bucket int, folds array<int>, words array<long>, befores array<long>, holders array<int>, docs array<short>, sizes array<long>, sums array<double>, ids array<{kind}>"
     sent = flagged.mapInArrow(_send(shared, buckets), schema)
     settled = sent.groupBy("bucket").applyInArrow(
-        _settle(shared), f"row long, docs array<short>, parts array<float>, ids array<{kind}>, sizes array<long>, sums array<double>"
+        _settle(shared), f"row long, docs array<short>, parts array<double>, ids array<{kind}>, sizes array<long>, sums array<double>"
     )
     out = settled.groupBy("row").applyInArrow(_gather, f"doc_id {kind}, size long, total double")
     # A step for each word and one for the end.

@@ -501,29 +501,38 @@ def test_near_duplicates_odd(odd, none):
 # language-model scores
 
 
-def _cross_entropy(docs, target):
-    """The same models in plain Python: (tokens, score) by id, and the probabilities of a word after another."""
+def _cross_entropy(docs, folds):
+    """The same models in plain Python: (tokens, score) by id, and the probabilities of a word after another; folds: of target ids."""
     tokens = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for i, t in docs}
     steps = {i: list(zip(["", *ws], [*ws, ""], strict=True)) if ws else [] for i, ws in tokens.items()}
-    n, t, pn, pt = (collections.Counter() for _ in range(4))
-    for i, own in steps.items():
-        for c, single, double in ((True, n, pn), (i in target, t, pt)):
-            if c:
-                single.update(w for _, w in own)
-                double.update(own)
-    all_n, all_t = sum(n.values()), sum(t.values())
-    scale = all_t / all_n
+    n, pn = collections.Counter(), collections.Counter()
+    for own in steps.values():
+        n.update(w for _, w in own)
+        pn.update(own)
+    all_n = sum(n.values())
     k1, k2 = lmscore.SINGLE_BACKOFF, lmscore.PAIR_BACKOFF
 
-    def p(h, w, single, double, factor):
-        one = (single[w] * factor + k1 * n[w] / all_n) / (all_t + k1)
-        return (double[h, w] * factor + k2 * one) / (single[h] * factor + k2)
+    def models(without):
+        t, pt = collections.Counter(), collections.Counter()
+        for i, f in folds.items():
+            if f != without:
+                t.update(w for _, w in steps.get(i, []))
+                pt.update(steps.get(i, []))
+        all_t = sum(t.values())
 
-    models = (lambda h, w: p(h, w, n, pn, scale)), (lambda h, w: p(h, w, t, pt, 1.0))
-    score = {
-        i: sum(math.log(models[0](h, w)) - math.log(models[1](h, w)) for h, w in own) / len(own) if own else 0.0 for i, own in steps.items()
-    }
-    return {i: (len(tokens[i]), score[i]) for i in tokens}, models, list(n)
+        def p(h, w, single, double, factor):
+            one = (single[w] * factor + k1 * n[w] / all_n) / (all_t + k1)
+            return (double[h, w] * factor + k2 * one) / (single[h] * factor + k2)
+
+        return (lambda h, w: p(h, w, n, pn, all_t / all_n)), (lambda h, w: p(h, w, t, pt, 1.0))
+
+    by_fold = {f: models(f) for f in {None, *folds.values()}}
+
+    def score(i, own):
+        background, target = by_fold[folds.get(i)]
+        return sum(math.log(background(h, w)) - math.log(target(h, w)) for h, w in own) / len(own) if own else 0.0
+
+    return {i: (len(tokens[i]), score(i, own)) for i, own in steps.items()}, by_fold, list(n)
 
 
 @pytest.mark.parametrize("head", [None, (5, 5), (0, 0)])
@@ -535,16 +544,30 @@ def test_cross_entropy_brute_force(spark, small, head, monkeypatch):
         monkeypatch.setattr(lmscore, "FLUSH_WORDS", 5000)
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lmscore.cross_entropy_difference(small, labels).collect()}
-    want, models, vocabulary = _cross_entropy(
-        [(r.doc_id, r.text) for r in small.toPandas().itertuples()], {r["doc_id"] for r in labels.collect()}
-    )
+    folds = {r["doc_id"]: r["f"] for r in small.join(labels, "doc_id").select("doc_id", lmscore.fold_of(F.col("text")).alias("f")).collect()}
+    want, models, vocabulary = _cross_entropy([(r.doc_id, r.text) for r in small.toPandas().itertuples()], folds)
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-5) for i in want)
-    for model in models:
+    for model in [m for f in (None, 0) for m in models[f]]:
         for h in ["", *vocabulary[1:400:40], "never seen"]:
             assert sum(model(h, w) for w in vocabulary) == pytest.approx(1)
 
 
+def test_targets_do_not_know_themselves(spark):
+    """Target texts of one kind score like unseen texts of that kind, copies of targets included; other texts score higher."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{i}" for i in range(150)] for k in ("a", "b")]
+    shared = [f"s{i}" for i in range(100)]
+    text = lambda k: " ".join([*rng.choice(kinds[k], 40), *rng.choice(shared, 20)])
+    good = [text(0) for _ in range(160)]
+    rows = [_doc(i, t) for i, t in enumerate(good[:80] + good[:20] + good[80:] + [text(1) for _ in range(160)])]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["score"] for r in lmscore.cross_entropy_difference(d, d.where("doc_id < 100").select("doc_id")).collect()}
+    seen, unseen, other = (np.array([got[i] for i in ids]) for ids in (range(100), range(100, 180), range(180, 340)))
+    spread = seen.std() + unseen.std()
+    assert abs(seen.mean() - unseen.mean()) < spread and other.min() > max(seen.max(), unseen.max())
+
+
 def test_cross_entropy_sets_repeats_apart(spark):
     """A text outside the target scores higher the more often the corpus repeats it."""
     rng = np.random.default_rng(8)
@@ -558,7 +581,8 @@ def test_cross_entropy_odd(odd, none):
     ids = odd.where("doc_id = 5").select("doc_id")
     got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(odd, ids).collect()}
     assert (got[1]["n_tokens"], got[1]["score"]) == (0, 0.0)
-    assert got[5]["score"] < got[4]["score"]
+    # All its target documents are copies, so they have no others to be scored by.
+    assert got[5]["score"] == 0.0
     assert lmscore.cross_entropy_difference(odd, ids).count() == odd.count()
     assert {r["score"] for r in lmscore.cross_entropy_difference(odd, ids.limit(0)).collect()} == {0.0}
     assert lmscore.cross_entropy_difference(none, ids).count() == 0
@@ -803,6 +827,31 @@ def test_search_brute_force_ties_and_odd(spark, odd, none, monkeypatch):
     assert search.search(none, q).count() == 0
 
 
+def test_search_of_thousands_of_queries(spark, monkeypatch):
+    """Every query against every document, in small shards and blocks of queries, as a product of matrices gives it."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 700)
+    monkeypatch.setattr(search, "SHARD_DOCS", 100)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(800)]
+    p = 1 / np.arange(5, 805)
+    some = lambda n: rng.choice(800, n, p=p / p.sum())
+    docs, queries = [some(int(rng.integers(1, 30))) for _ in range(900)], [some(int(rng.integers(1, 4))) for _ in range(3000)]
+    d = spark.createDataFrame([_doc(i, " ".join(words[w] for w in ws)) for i, ws in enumerate(docs)], DOCS).repartition(4)
+    q = spark.createDataFrame([(i, " ".join(words[w] for w in ws)) for i, ws in enumerate(queries)], "query_id long, text string")
+    got = collections.defaultdict(list)
+    for r in search.search(d, q).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    tf = np.stack([np.bincount(ws, minlength=800) for ws in docs]).astype(float)
+    size, df = tf.sum(1), (tf > 0).sum(0)
+    norm = tf + 1.2 * (0.25 + 0.75 * size / size.mean())[:, None]
+    impact = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / norm
+    for i, ws in enumerate(queries):
+        s = np.round(impact[:, sorted(set(ws.tolist()))].sum(1), 6)
+        want = np.lexsort((np.arange(len(s)), -s))[: min(10, np.count_nonzero(s))]
+        assert [x for _, x in got[i]] == pytest.approx(s[want].tolist(), abs=2e-6)
+        assert {k for k, x in got[i] if x > s[want[-1]] + 2e-6} == {int(k) for k in want if s[k] > s[want[-1]] + 2e-6} if len(want) else not got[i]
+
+
 # line dedup
 
 
