@@ -8,7 +8,7 @@ document frequencies) are summed over all shards before the search, so scores do
 returns its k best for each query; the k best of these are exact.
 
 Queries are a table, too: their words are joined to the index, and only the postings of these words go on, keyed by shard and
-block of queries. A task has the postings of one shard for one block of queries, and the queries of that block.
+block of queries; a block goes to the shards that hold one of its words. A task has the postings of one shard for one block of queries, and the queries of that block.
 """
 
 from __future__ import annotations
@@ -254,10 +254,11 @@ def search(
     ).groupBy("word").agg(F.sum(F.size("docs")).alias("df"))
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     wanted = scratch.save(asked.select("part", "word").distinct().join(df, "word").select("part", "word", idf), "wanted")
-    shards = scratch.save(index.where("word = ''"), "shards")
     near = index.where("word <> ''").join(wanted, "word")
-    meet = shards.select("shard").join(wanted.select("part").distinct(), F.lit(True))
-    own = shards.join(meet, "shard").withColumn("idf", F.lit(0.0))
+    # Shards and blocks of queries that have a word in common; others never meet.
+    meet = index.where("word <> ''").select("shard", "word").distinct().join(wanted.select("part", "word"), "word")
+    meet = scratch.save(meet.select("shard", "part").distinct(), "meet")
+    own = index.where("word = ''").join(meet, "shard").withColumn("idf", F.lit(0.0))
     near = near.unionByName(own)
     grouped = asked.groupBy("part", "query_id").agg(F.collect_set("word").alias("words"))
     wide = grouped.join(meet, "part")
