@@ -90,6 +90,8 @@ def _unit(rows: DataFrame, **columns: Column) -> DataFrame:
     } | {"item_index": F.lit(None).cast("int")}
     all_ = {"block_start": F.col("block_index"), "block_end": F.col("block_index")} | none | columns
     blank = lambda c: F.nullif(text.chunk_text(c), F.lit(""))
+    # Normalizing leaves something where there is something but white space.
+    some = text.strip(F.coalesce(all_["text"], F.lit(""))) != ""
     all_ |= {
         "text": text.chunk_text(all_["text"]),
         "paired_text": blank(all_["paired_text"]),
@@ -97,7 +99,7 @@ def _unit(rows: DataFrame, **columns: Column) -> DataFrame:
         "seq": all_["seq"].cast("long"),
         "item_index": all_["item_index"].cast("int"),
     }
-    return rows.select(*[all_.get(c, F.col(c)).alias(c) for c in UNIT]).where("text <> ''")
+    return rows.where(some).select(*[all_.get(c, F.col(c)).alias(c) for c in UNIT])
 
 
 def _grouped(blocks: DataFrame) -> DataFrame:
