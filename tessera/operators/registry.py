@@ -393,6 +393,7 @@ def description() -> Column:
     kind = F.coalesce(F.nullif(text.strip(F.coalesce(F.col("type").cast("string"), F.lit(""))), F.lit("")), F.lit("prompt"))
     role = F.coalesce(F.nullif(text.strip(F.coalesce("prompt_role", F.lit(""))), F.lit("")), kind)
     of = F.nullif(text.strip(F.coalesce(F.col("parent_id").cast("string"), F.lit(""))), F.lit(""))
+    # The words of a generated description.
     made = F.concat(
         F.lit("Auto-generated contextual "),
         role,
