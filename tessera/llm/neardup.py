@@ -10,7 +10,8 @@
    last round are confirmed on full sets.
 4. What is still open holds texts that share much without being similar, or groups that no star links. It is compared in full:
    classes that open buckets connect are dealt to tiles, and a task counts the shared shingles of all pairs of two tiles that
-   have a bucket in common. So every pair that shares a bucket is tested, or lies in one component already.
+   have a bucket in common. So every pair that shares a bucket is tested, or lies in one component already. A task returns a
+   forest over the components that its pairs join, so a group where all are linked gives a row a component, not a row a pair.
 
 Nothing but counters reaches the driver. Each round ends in written tables.
 """
@@ -253,20 +254,35 @@ def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total.reshape(len(a), len(b))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as join what the links (a, b) join: those of each end to the smallest one it reaches."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        for side in (x, y):
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        label = label[label]
+    other = label != np.arange(len(ends))
+    return ends[label[other]], ends[other]
+
+
 def _compare_tiles(percent: int):
-    """All rows of two tiles, or of one, to the similar pairs (a, b) of different components."""
+    """All rows of two tiles, or of one, to links (a, b) that join the different components of all similar pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, right = (table[c].to_numpy() for c in ("node", "comp", "right"))
+        comp, right = (table[c].to_numpy() for c in ("comp", "right"))
         sets = [np.asarray(h.values) for h in table["hashes"]]
         one = right.all() or not right.any()
-        i = np.arange(len(node)) if one else np.flatnonzero(~right)
+        i = np.arange(len(comp)) if one else np.flatnonzero(~right)
         j = i if one else np.flatnonzero(right)
         shared, size = _shared_counts([sets[k] for k in i], [sets[k] for k in j]), np.array([len(s) for s in sets])
         hit = (100 * shared >= percent * (size[i][:, None] + size[j][None, :] - shared)) & (comp[i][:, None] != comp[j][None, :])
         x, y = np.nonzero(hit)
-        x, y = node[i[x]], node[j[y]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+        a, b = _forest(comp[i[x]], comp[j[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -279,16 +295,22 @@ def _compare(scratch: Scratch, buckets: DataFrame, sets: DataFrame, labels: Data
     )
     members = scratch.save(members, "open")
     heads = members.groupBy("key").agg(
-        F.min("node").alias("a"), F.min("comp").alias("c"), F.max("comp").alias("d")
-    ).where("c <> d").select("key", "a")
-    ends = scratch.save(members.join(heads, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "ends")
-    if ends.isEmpty():
+        F.min("node").alias("head"), F.min("comp").alias("c"), F.max("comp").alias("d")
+    ).where("c <> d").select("key", "head")
+    # A node stands for itself by the smallest head of its buckets. Few nodes are that, so the graph of groups is one of these few,
+    # however many members and buckets there are.
+    first = F.min("head").over(Window.partitionBy("node")).alias("first")
+    open_keys = scratch.save(members.join(heads, "key").select("key", "node", first), "open")
+    if open_keys.isEmpty():
         return labels
-    groups = _components(scratch, None, ends).select("node", F.col("label").alias("group"))
-    open_keys = scratch.save(members.join(heads.select("key"), "key", "left_semi").select("key", "node"), "open")
-    nodes = members.groupBy("node").agg(F.min("size").alias("size"), F.min("comp").alias("comp")).join(groups, "node").join(
-        open_keys.groupBy("node").agg(F.min("key").alias("place")), "node"
+    firsts = scratch.save(open_keys.select("key", "first").distinct(), "firsts")
+    least = firsts.groupBy("key").agg(F.min("first").alias("a"))
+    ends = firsts.join(least, "key").select("a", F.col("first").alias("b")).where("a <> b")
+    groups = _components(scratch, None, ends).select(F.col("node").alias("first"), F.col("label").alias("group"))
+    nodes = members.groupBy("node").agg(F.min("size").alias("size"), F.min("comp").alias("comp")).join(
+        open_keys.groupBy("node").agg(F.min("key").alias("place"), F.min("first").alias("first")), "node"
     )
+    nodes = nodes.join(groups, "first", "left").withColumn("group", F.coalesce("group", "first")).drop("first")
     nodes = scratch.save(nodes, "members")
     # A component that fills tiles of its own is not compared with itself; the small ones share tiles. Nodes of one bucket come
     # to one tile, as far as it holds them, so that few pairs of tiles have a bucket in common.

@@ -481,6 +481,69 @@ def test_near_duplicates_shuffled_sentences(spark, n):
     assert sum(got[i] != label[i] for i in range(n)) == 0
 
 
+def test_near_duplicates_open_groups_stay_narrow(spark, monkeypatch):
+    """Groups whose members share many open buckets: edges and links stay below the members, and no link is lost."""
+    from tessera.llm.common import Scratch
+
+    rng = np.random.default_rng(7)
+    buckets, sets, wanted = [], [], {}
+    for start in (0, 1000):
+        common = rng.integers(1, 2**62, 100)
+        for node in range(start, start + 240):
+            # The first half: all linked. The others share 60 of 100 values with them and are linked in pairs.
+            own = node - start
+            values = common if own < 120 else np.concatenate([common[:60], (own // 2) * 100 + start * 10**6 + np.arange(40)])
+            sets.append((node, [int(v) for v in values]))
+            wanted[node] = start if own < 120 else node - own % 2
+        for key in range(start, start + 40):
+            held = np.union1d(rng.choice(240, 90, replace=False), 120 + 2 * (key - start) + np.arange(2))
+            buckets += [(key, int(start + k), 100) for k in held]
+        # Every one meets its like in a bucket.
+        buckets += [(start + 500, start + k, 100) for k in range(240)]
+    made = []
+    save = Scratch.save
+
+    def counted(self, df, name):
+        table = save(self, df, name)
+        made.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    labels = neardup._compare(
+        Scratch(spark),
+        spark.createDataFrame(buckets, "key long, node long, size int"),
+        spark.createDataFrame(sets, "node long, hashes array<long>"),
+        None,
+        75,
+    )
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    assert {n: got.get(n, n) for n, _ in sets} == wanted
+    assert sum(n for name, n in made if name == "links") <= len(sets)
+    assert max(n for name, n in made if name == "edges") <= 2 * len(sets)
+
+
+def test_near_duplicates_links_of_a_tile():
+    """All pairs linked: a row a component, not a row a pair. Chains and cycles in any order are joined whole."""
+    import pyarrow as pa
+
+    n = 300
+    tile = pa.table(
+        {"comp": pa.array(range(n), pa.int64()), "right": [False] * n, "hashes": pa.array([[1, 2, 3]] * n, pa.list_(pa.int64()))}
+    ).append_column("node", pa.array(range(n), pa.int64()))
+    links = neardup._compare_tiles(75)(tile)
+    assert links.num_rows == n - 1
+    assert set(links["a"].to_pylist()) == {0} and links["b"].to_pylist() == list(range(1, n))
+    order = np.random.default_rng(3).permutation(2000) * 7
+    cut = np.delete(np.arange(1999), 999)
+    a, b = neardup._forest(np.append(order[cut], order[0]), np.append(order[cut + 1], order[999]))
+    parts = {int(min(order[:1000])): set(order[:1000].tolist()), int(min(order[1000:])): set(order[1000:].tolist())}
+    got = {k: {k} for k in parts}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got[x].add(y)
+    assert got == parts and len(a) == 1998
+    assert not len(neardup._forest(order[:0], order[:0])[0])
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
