@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -314,3 +315,29 @@ def test_cells_of_parts_are_those_of_the_whole(spark, tmp_path):
     for name in ("metrics", "combo_summary", "case_summary"):
         a, b = getattr(rollup, name)(stored), getattr(review, name)(rows)
         assert text_of(a.select(*sorted(a.columns))) == text_of(b.select(*sorted(b.columns)))
+
+
+def test_trigrams_of_large_alphabets_and_many_slices(spark, tmp_path, monkeypatch):
+    """Each trigram of each text once, for alphabets whose cubes don't fit 64 bits, and ids of any type over several slices."""
+    wide = "".join(chr(i) for i in range(0x4E00, 0x4E00 + 120_000) if not 0xD800 <= i < 0xE000)
+    texts = ["", "ab", *["abc"] * 9_000, wide, "xyz" + wide[:5]]
+    names, starts, place = textindex._own_grams(texts)
+    got = {(g, int(i)) for g, a, b in zip(names, starts, [*starts[1:], len(place)], strict=True) for i in place[a:b]}
+    assert len(got) == len(place) and got == {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+    monkeypatch.setattr(textindex, "FEW", 3)  # the others are verified by a scan
+    d = spark.createDataFrame([(f"k{i}", f"Text {i} " + "ab cd" * (i % 3)) for i in range(40)], "name string, text string")
+    path = f"file://{tmp_path}/slices"
+    textindex.write_index(d, path, "name", "text")
+    for q in ("text 7", "AB CD", "cda", "t 3", "b cdab c"):
+        want = sorted(r["name"] for r in d.collect() if q.lower() in r["text"].lower())
+        assert sorted(r["id"] for r in textindex.search(spark, path, q).collect()) == want, q
+
+
+def test_long_text_is_indexed_in_linear_time(spark, tmp_path):
+    """A text of two million characters: trigrams cut from its start one by one would read it two million times."""
+    d = spark.range(1).selectExpr("id", "concat(repeat('abc ', 500000), 'needle') as text")
+    path = f"file://{tmp_path}/long"
+    start = time.time()
+    textindex.write_index(d, path, "id", "text")
+    assert [r["id"] for r in textindex.search(spark, path, "c needle").collect()] == [0]
+    assert textindex.search(spark, path, "needles").isEmpty() and time.time() - start < 60
