@@ -9,9 +9,11 @@ captions and rows. Rows of one list or table have one ``unit``. Plain text and r
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -156,17 +158,33 @@ def _readable(raw: str) -> str:
     return "\n".join(out).strip()
 
 
+#: An ampersand with what may follow it in a reference, and characters to stand for one: those that no reference stands for come first.
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+_MARKS = [chr(c) for c in (*range(0xFDD0, 0xFDF0), *range(0xE000, 0xF900))]
+
+
 class _Tree(HTMLParser):
-    """The elements of one page. Tolerant: a closing tag closes up to its match, a new p or li closes an open one."""
+    """The elements of one page. Tolerant: a closing tag closes up to its match, a new p or li closes an open one.
 
-    def __init__(self) -> None:
+    A reference ends in a semicolon, as in XML; where there is none, as in ``&amp`` or ``?a=1&copy=2``, the ampersand is text.
+    """
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {}, None, "", -1)
         self.open = [self.root]
         self.tags = Counter()  # of the open elements
         self.nodes: list[_Node] = []
+        # While the page is parsed, a mark that isn't in it stands for each such ampersand.
+        self.mark = next(m for m in _MARKS if m not in html)
+        self.feed(_REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else self.mark + m[0][1:], html))
+        self.close()
+
+    def _plain(self, value: str | None) -> str | None:
+        return value and value.replace(self.mark, "&")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        tag = self._plain(tag)
         if tag == "p" and any(n.tag == "p" for n in self.open[-2:]) or tag == "li" and next(
             (n.tag for n in reversed(self.open) if n.tag in ("li", "ul", "ol")), None
         ) == "li":
@@ -174,7 +192,7 @@ class _Tree(HTMLParser):
         above = self.open[-1]
         start = f"@{above.seq}" if above.level and above.level % PATH_LEVELS == 0 else above.path
         path = f"{start}.{above.places}" if start else str(above.places)
-        node = _Node(tag, dict(attrs), above, path, len(self.nodes), level=above.level + 1)
+        node = _Node(tag, {self._plain(k): self._plain(v) for k, v in attrs}, above, path, len(self.nodes), level=above.level + 1)
         above.places += 1
         above.parts.append(node)
         self.nodes.append(node)
@@ -189,6 +207,7 @@ class _Tree(HTMLParser):
             self.tags[tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
+        tag = self._plain(tag)
         while self.tags[tag]:
             closed = self.open.pop().tag
             self.tags[closed] -= 1
@@ -196,7 +215,7 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].parts.append(data)
+        self.open[-1].parts.append(self._plain(data))
 
 
 def _own_texts(nodes: list[_Node]) -> dict[_Node, str]:
@@ -262,9 +281,7 @@ def _show_one(node: _Node, unit: int | None, indent: int) -> list[tuple[_Node, i
 
 
 def _page_rows(html: str | None) -> list[dict]:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    tree = _Tree(html or "")
     for n in reversed(tree.nodes):
         n.above.has_formula |= n.has_formula or n.formula()
     own_texts = _own_texts(tree.nodes)

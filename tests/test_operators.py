@@ -485,3 +485,13 @@ def test_knn_in_passes(spark, metric, monkeypatch):
         monkeypatch.setattr(nearest, "QUERY_BLOCK", block)
         monkeypatch.setattr(nearest, "QUERY_BYTES", size)
         assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.knn(queries, chunks, 5, metric).collect()} == want
+
+
+def test_headings_keep_ampersands_that_begin_no_reference(spark):
+    """c1_headings: text that was cut inside a reference stays as it is, in headings, attributes and scripts; whole references are read."""
+    html = '<article><h1>A&amp;B &lt;C&gt; &#65;&#x42; R&D &&amp &am &ampx; &copy 2</h1><a href="?a=1&copy=2&amp;b=3">l</a><script>a && b &amp; c</script></article>'
+    rows = pages.parse_nodes(spark.createDataFrame([(1, html), (2, "<h1>x &amp")], "page_id long, html string")).collect()
+    found = {(r["page_id"], r["tag"]): r for r in rows}
+    assert found[1, "h1"]["shown"] == found[1, "h1"]["own_text"] == "A&B <C> AB R&D &&amp &am &ampx; &copy 2"
+    assert found[1, "a"]["href"] == "?a=1&copy=2&b=3" and found[1, "script"]["own_text"] == "a && b &amp; c"
+    assert found[2, "h1"]["shown"] == "x &amp"
