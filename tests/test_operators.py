@@ -495,3 +495,11 @@ def test_headings_keep_ampersands_that_begin_no_reference(spark):
     assert found[1, "h1"]["shown"] == found[1, "h1"]["own_text"] == "A&B <C> AB R&D &&amp &am &ampx; &copy 2"
     assert found[1, "a"]["href"] == "?a=1&copy=2&b=3" and found[1, "script"]["own_text"] == "a && b &amp; c"
     assert found[2, "h1"]["shown"] == "x &amp"
+
+
+
+def test_page_titles_cut_inside_a_reference(spark):
+    """c3_books: the page title keeps what is left of a reference."""
+    html = "<html><head><title>Für&amp;&amp;&amp der &quo</title></head><body><p>x</p></body></html>"
+    nodes = pages.parse_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert pages.books(nodes).first()["page_title"] == "Für&&&amp der &quo"
