@@ -99,11 +99,12 @@ def batch_review(tests: DataFrame, hits: DataFrame, max_chars: int = REVIEW_CHAR
     t = tests.select("query_id", "query", F.coalesce("expected_topics", F.array().cast("array<string>")).alias("expected_topics"))
     body = text.strip(F.coalesce("text", F.lit("")))
     cut = F.concat(F.regexp_replace(F.substring(body, 1, max_chars), r"(?U)\s+\z", ""), F.lit("\n…"))
-    out = t.join(hits, "query_id", "left")
+    # In a step of its own: beside a new column ``text``, a lambda would take that one for the hit's.
     found = F.filter("expected_topics", lambda topic: F.lower(body).contains(F.lower(topic)))
+    out = t.join(hits, "query_id", "left").withColumn("found_topics", found)
     return out.select(
         "query_id", "query", "expected_topics", "rank", F.col("distance").alias("score"), "chunk_id", "chapter_number", "section", "retrieval_group",
-        (F.when(F.length(body) > max_chars, cut).otherwise(body) if max_chars > 0 else body).alias("text"), found.alias("found_topics"),
+        (F.when(F.length(body) > max_chars, cut).otherwise(body) if max_chars > 0 else body).alias("text"), "found_topics",
     )
 
 

@@ -341,3 +341,14 @@ def test_long_text_is_indexed_in_linear_time(spark, tmp_path):
     textindex.write_index(d, path, "id", "text")
     assert [r["id"] for r in textindex.search(spark, path, "c needle").collect()] == [0]
     assert textindex.search(spark, path, "needles").isEmpty() and time.time() - start < 60
+
+
+def test_batch_review_looks_for_topics_in_the_whole_text(spark):
+    """A topic beyond the cut of a text is found."""
+    tests = spark.createDataFrame([(1, "q", ["Salt", "Zinc", "acid"])], "query_id long, query string, expected_topics array<string>")
+    hits = spark.createDataFrame(
+        [(1, 1, 7, 0.5, "The SALT is " + "x" * 30 + " zinc", 3, "s", "theory")],
+        "query_id long, rank int, chunk_id long, distance double, text string, chapter_number int, section string, retrieval_group string",
+    )
+    row = retrieval.batch_review(tests, hits, max_chars=12).first()
+    assert (row["found_topics"], row["text"]) == (["Salt", "Zinc"], "The SALT is\n…")
