@@ -76,7 +76,7 @@ def _read_files(s, d):
         F.when(k % 11 == 1, " \n").when(k % 11 == 3, F.substring(record, 1, 20)).when(k % 11 == 5, F.concat(F.lit("["), record, F.lit("]")))
         .when(k % 11 == 7, F.replace(record, F.lit('"id":'), F.lit('"id":"x",  "k":'))).otherwise(F.replace(record, F.lit(","), F.lit(",\n ")))
     )
-    table(s, d, "supplier").select(k.alias("file"), value.alias("value")).write.partitionBy("file").text(path)
+    io.write_files(table(s, d, "supplier").select(k.alias("file"), value.alias("value")), path, "file")
     schema = s.createDataFrame([], "id long, name string, place struct<nation:long>").schema
     return io.read_files(s, path, schema, pattern="*.txt")
 

@@ -25,6 +25,22 @@ def read_sections(spark: SparkSession, root: str, schema: T.StructType | str) ->
     return lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+#: Files that a task writes.
+FILES = 1000
+
+
+def write_files(rows: DataFrame, path: str, by: str) -> None:
+    """A text file for each value of ``by``, in a folder of its own, from rows of that column and ``value``.
+
+    Files cost far more than their few bytes, so tasks are dealt by their number, and each task puts its own in place when
+    it commits: the driver would move them one by one.
+    """
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.select(by).distinct().count() // FILES))
+    out = rows.repartition(tasks, by).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy(by).text(path)
+
+
 def read_files(spark: SparkSession, root: str, schema: T.StructType, *, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """S3: (records, dead letters) of all files below a folder, one JSON object a file, read once.
 

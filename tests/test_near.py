@@ -352,3 +352,12 @@ def test_batch_review_looks_for_topics_in_the_whole_text(spark):
     )
     row = retrieval.batch_review(tests, hits, max_chars=12).first()
     assert (row["found_topics"], row["text"]) == (["Salt", "Zinc"], "The SALT is\n…")
+
+
+def test_files_are_written_by_several_tasks(spark, tmp_path):
+    """A table in one part: its files come from several tasks, each file whole."""
+    rows = spark.range(0, 120, 1, 1).selectExpr("id as file", "concat('v', id) as value")
+    io.write_files(rows, f"file://{tmp_path}/files", "file")
+    files = sorted(tmp_path.glob("files/file=*/*.txt"))
+    assert len({re.search(r"part-(\d+)", f.name)[1] for f in files}) > 1
+    assert {f.parent.name: f.read_text() for f in files} == {f"file={i}": f"v{i}\n" for i in range(120)} and len(files) == 120
