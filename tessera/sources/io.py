@@ -25,8 +25,8 @@ def read_sections(spark: SparkSession, root: str, schema: T.StructType | str) ->
     return lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-#: Files that a task writes.
-FILES = 1000
+#: Files that a task writes, and parts of a scan (each of a few files, as Spark counts the cost of opening one) that a task reads.
+FILES, PARTS = 1000, 64
 
 
 def write_files(rows: DataFrame, path: str, by: str) -> None:
@@ -41,6 +41,12 @@ def write_files(rows: DataFrame, path: str, by: str) -> None:
     out.partitionBy(by).text(path)
 
 
+def _fewer_tasks(files: DataFrame) -> DataFrame:
+    """Small files in fewer tasks: Spark's scan would start one for each few of them."""
+    parts, cores = files.rdd.getNumPartitions(), files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(4 * cores, -(-parts // PARTS))) if parts > 4 * cores else files
+
+
 def read_files(spark: SparkSession, root: str, schema: T.StructType, *, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """S3: (records, dead letters) of all files below a folder, one JSON object a file, read once.
 
@@ -49,7 +55,7 @@ def read_files(spark: SparkSession, root: str, schema: T.StructType, *, pattern:
     with a byte in it is in one of the two (Spark's readers pass over files of no length).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    files = files.select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("value"))
+    files = _fewer_tasks(files.select(F.col("path").alias("file_path"), F.col("content").cast("string").alias("value")))
     marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     record = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     variant = F.try_parse_json("value")

@@ -361,3 +361,19 @@ def test_files_are_written_by_several_tasks(spark, tmp_path):
     files = sorted(tmp_path.glob("files/file=*/*.txt"))
     assert len({re.search(r"part-(\d+)", f.name)[1] for f in files}) > 1
     assert {f.parent.name: f.read_text() for f in files} == {f"file={i}": f"v{i}\n" for i in range(120)} and len(files) == 120
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Files that Spark's scan would deal to a task each come in fewer, and none is lost."""
+    for i in range(60):
+        (tmp_path / f"{i}.json").write_text(f'{{"id": {i}}}' if i % 3 else " ")
+    found = []
+    monkeypatch.setattr(io, "save", lambda df: found.append(df.rdd.getNumPartitions()) or df)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        good, dead = io.read_files(spark, f"file://{tmp_path}", spark.range(0).schema)
+        assert sorted(r["id"] for r in good.collect()) == [i for i in range(60) if i % 3] and dead.count() == 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found[0] <= 4 * spark.sparkContext.defaultParallelism < 60
