@@ -23,8 +23,8 @@ from tessera.sources.scratch import save
 
 #: Queries of one product of matrices, and bytes of query vectors up to which they are sent to the tasks.
 QUERY_BLOCK, QUERY_BYTES = 512, 16 << 20
-#: Chunks of a cell, about, and bytes of pivots at most; chunks and queries that meet in one task.
-CELL, PIVOT_BYTES, ROWS = 1024, 8 << 20, 4096
+#: Chunks of a cell, about, and bytes of pivots at most; chunks and queries that meet in one task; bounds of queries to cells that are made at once.
+CELL, PIVOT_BYTES, ROWS, BOUNDS = 1024, 8 << 20, 16384, 1 << 20
 
 
 def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -124,49 +124,73 @@ def _least(v: np.ndarray, pivots: np.ndarray, cells: np.ndarray, radius: np.ndar
 
 
 def _visit(shared, k: int, metric: str, again: bool):
-    """Batches (query_id, vector[, bound]) to (query_id, vector, cell): the nearest cells with k chunks, or later all in reach."""
+    """Batches (query_id, vector[, bound]) to (query_id, cell): the nearest cells with k chunks, or later all in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, cells, counts, radius, longest = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        few = max(1, BOUNDS // max(len(cells), 1))
+        for batch in (whole.slice(start, few) for whole in batches for start in range(0, whole.num_rows, few)):
             v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             least = _least(v, pivots, cells, radius, longest, metric)
-            order = np.lexsort((np.broadcast_to(np.arange(len(cells)), least.shape), least))
-            held = np.cumsum(counts[order], axis=1)
             if again:
                 visit = least <= batch.column(2).to_numpy(zero_copy_only=False)[:, None]
             else:
+                order = np.lexsort((np.broadcast_to(np.arange(len(cells)), least.shape), least))
+                held = np.cumsum(counts[order], axis=1)
                 visit = np.zeros(least.shape, bool)
                 np.put_along_axis(visit, order, np.c_[np.zeros(len(v), int), held[:, :-1]] < k, axis=1)
             row, cell = np.nonzero(visit)
-            columns = [*(c.take(pa.array(row)) for c in batch.columns[:2]), pa.array(cells[cell].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "cell"])
+            columns = [batch.column(0).take(pa.array(row)), pa.array(cells[cell].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "cell"])
 
     return run
 
 
-def _meet(visits: DataFrame, dealt: DataFrame, blocks: dict[int, int], k: int, metric: str) -> DataFrame:
-    """(query_id, chunk_id, distance): the k nearest of each cell's blocks for the queries that visit the cell."""
+def _bundles(stats: list) -> list[tuple[int, int, int]]:
+    """(cell, bundle, blocks): cells of ROWS chunks together share a bundle; a larger one is a bundle of its own, in blocks."""
+    out, bundle, held = [], -1, ROWS
+    for cell, n in stats:
+        if held + n > ROWS:
+            bundle, held = bundle + 1, 0
+        out.append((cell, bundle, -(-n // ROWS)))
+        held += n
+    return out
+
+
+def _meet(visits: DataFrame, q: DataFrame, dealt: DataFrame, bundles: list[tuple[int, int, int]], k: int, metric: str) -> DataFrame:
+    """(query_id, chunk_id, distance): the k nearest of the cells that a query visits in each bundle. A vector is sent once a bundle."""
 
     def join(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(chunks):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []}).astype({"query_id": np.int64, "chunk_id": np.int64})
+        found = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
         ids = queries["query_id"].to_numpy()
-        found = _best(ids, _rows(queries["vector"]), chunks["chunk_id"].to_numpy(), _rows(chunks["vector"]), k, metric)
-        q, d, c = _first_k(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-        return pd.DataFrame({"query_id": ids[q], "chunk_id": c, "distance": d})
+        if len(queries) and len(chunks):
+            vectors, visited = _rows(queries["vector"]), np.concatenate(queries["cells"].to_list())
+            row = np.repeat(np.arange(len(ids)), queries["cells"].map(len))
+            for cell, own in chunks.groupby("cell"):
+                at = row[visited == cell]
+                if not len(at):
+                    continue
+                best = _best(at, vectors[at], own["chunk_id"].to_numpy(), _rows(own["vector"]), k, metric)
+                found += [(at[place], d, c) for place, d, c in best]
+        at, d, c = _first_k(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+        return pd.DataFrame({"query_id": ids[at], "chunk_id": c, "distance": d}).astype({"query_id": np.int64, "chunk_id": np.int64})
 
     spark = visits.sparkSession
-    loads = visits.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row a cell
-    plan = spark.createDataFrame([(r["cell"], blocks[r["cell"]], -(-r["n"] // ROWS)) for r in loads], "cell int, blocks int, parts int")
+    plan = spark.createDataFrame(bundles, "cell int, bundle int, blocks int")
+    met = save(visits.join(F.broadcast(plan), "cell").groupBy("query_id", "bundle").agg(F.collect_list("cell").alias("cells")))
+    blocks = {bundle: n for _, bundle, n in bundles}
+    loads = met.groupBy("bundle").agg(F.count("*").alias("n")).collect()  # a row a bundle
+    parts = spark.createDataFrame([(r["bundle"], blocks[r["bundle"]], -(-r["n"] // ROWS)) for r in loads], "bundle int, blocks int, parts int")
     number = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = "cell", "block", "part"
-    q = visits.join(F.broadcast(plan), "cell").select("query_id", "vector", "cell", number("query_id", "parts").alias("part"), each("blocks").alias("block"))
-    c = dealt.join(F.broadcast(plan), "cell").select("chunk_id", "vector", "cell", number("chunk_id", "blocks").alias("block"), each("parts").alias("part"))
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(join, "query_id long, chunk_id long, distance double")
+    keys = "bundle", "block", "part"
+    mine = met.join(F.broadcast(parts), "bundle").join(q.select("query_id", "vector"), "query_id").select(
+        "query_id", "vector", "cells", "bundle", number("query_id", "parts").alias("part"), each("blocks").alias("block")
+    )
+    theirs = dealt.join(F.broadcast(plan.drop("blocks")), "cell").join(F.broadcast(parts), "bundle").select(
+        "chunk_id", "vector", "cell", "bundle", number("chunk_id", "blocks").alias("block"), each("parts").alias("part")
+    )
+    return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(join, "query_id long, chunk_id long, distance double")
 
 
 def cell_table(rows: DataFrame, metric: str, cell: int = CELL):
@@ -191,19 +215,19 @@ def _by_cells(q: DataFrame, rows: DataFrame, k: int, metric: str, cell: int) ->
     if not stats:
         return q.sparkSession.createDataFrame([], "query_id long, chunk_id long, distance double, rank int")
     columns = [np.array(c) for c in zip(*stats, strict=True)]
-    blocks = {r[0]: -(-r[1] // ROWS) for r in stats}
+    bundles = _bundles([(r[0], r[1]) for r in stats])
     shared = q.sparkSession.sparkContext.broadcast((pivots, *columns))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k)
-    schema = "query_id long, vector array<double>, cell int"
+    schema = "query_id long, cell int"
     first = save(q.mapInArrow(_visit(shared, k, metric, False), schema))
-    near = save(best(_meet(first, dealt, blocks, k, metric)))
+    near = save(best(_meet(first, q, dealt, bundles, k, metric)))
     bound = near.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound")
     )
     reach = q.join(bound, "query_id").select("query_id", "vector", "bound").mapInArrow(_visit(shared, k, metric, True), schema)
-    later = save(reach.join(first.select("query_id", "cell"), ["query_id", "cell"], "left_anti").select("query_id", "vector", "cell"))
-    return best(near.drop("rank").unionByName(_meet(later, dealt, blocks, k, metric))).select("query_id", "chunk_id", "distance", "rank")
+    later = save(reach.join(first, ["query_id", "cell"], "left_anti"))
+    return best(near.drop("rank").unionByName(_meet(later, q, dealt, bundles, k, metric))).select("query_id", "chunk_id", "distance", "rank")
 
 
 def top_k(

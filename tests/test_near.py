@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,3 +378,24 @@ def test_small_files_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert found[0] <= 4 * spark.sparkContext.defaultParallelism < 60
+
+
+def test_visits_are_made_a_few_at_a_time(spark, monkeypatch):
+    """Bounds of many queries to many cells come in small batches without vectors; cells meet in bundles, large ones in blocks."""
+    rng = np.random.default_rng(4)
+    x = _clustered(rng, 600, size=8, centres=12, spread=0.3)
+    v = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "chunk_id long, vector array<double>")
+    monkeypatch.setattr(nearest, "BOUNDS", 200)
+    monkeypatch.setattr(nearest, "ROWS", 50)
+    stats = [(c, 40 if c else 120, 0.1, 1.0) for c in range(20)]
+    shared = type("Shared", (), {"value": (x[:20], *[np.array(c) for c in zip(*stats, strict=True)])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(list(x))], names=["query_id", "vector"])
+    made = list(nearest._visit(shared, 30, "dot", False)(iter([batch])))
+    assert max(m.num_rows for m in made) <= 200 and all(m.schema.names == ["query_id", "cell"] for m in made)
+    assert nearest._bundles([(c, n) for c, n, *_ in stats[:4]]) == [(0, 0, 3), (1, 1, 1), (2, 2, 1), (3, 3, 1)]
+    assert nearest._bundles([(0, 20), (1, 30), (2, 1)]) == [(0, 0, 1), (1, 0, 1), (2, 1, 1)]
+    q = v.select(F.col("chunk_id").alias("query_id"), "vector")
+    for metric, d in (("dot", -np.round(x @ x.T, 6)), ("l2sq", np.round(np.maximum(2 - 2 * x @ x.T, 0), 6))):
+        got = nearest.top_k(q, v, 5, metric, send_bytes=0, cell=30).groupBy("query_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).collect()
+        assert len(got) == 600
+        assert all(np.allclose(r["d"], np.sort(d[r["query_id"]])[:5], atol=2e-6) for r in got)
