@@ -399,3 +399,19 @@ def test_visits_are_made_a_few_at_a_time(spark, monkeypatch):
         got = nearest.top_k(q, v, 5, metric, send_bytes=0, cell=30).groupBy("query_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).collect()
         assert len(got) == 600
         assert all(np.allclose(r["d"], np.sort(d[r["query_id"]])[:5], atol=2e-6) for r in got)
+
+
+@pytest.mark.parametrize("same_group", [True, False])
+def test_pairs_by_strips(vectors, monkeypatch, same_group):
+    """Cells of several strips and strips of several cells, tiles in them; a vector goes to each strip once, not to each tile."""
+    v, rows = vectors
+    for strip, strips in ((40, 2), (300, 3)):
+        monkeypatch.setattr(similarity, "STRIP", strip)
+        monkeypatch.setattr(similarity, "STRIPS", strips)
+        for threshold in (0.5, None):
+            wanted = _every(rows, -9 if threshold is None else threshold, same_group)
+            assert _same(similarity.pairs(v, same_group=same_group, threshold=threshold, tile=16), wanted)
+    grouped = similarity._grouped(v, same_group)
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("n"))
+    sent = similarity._meeting_strips(grouped, sizes, 16).groupBy("item_id").count().agg(F.max("count")).first()[0]
+    assert sent == -(-sizes.agg(F.max("n")).first()[0] // 300)
