@@ -415,3 +415,18 @@ def test_pairs_by_strips(vectors, monkeypatch, same_group):
     sizes = grouped.groupBy("g").agg(F.count("*").alias("n"))
     sent = similarity._meeting_strips(grouped, sizes, 16).groupBy("item_id").count().agg(F.max("count")).first()[0]
     assert sent == -(-sizes.agg(F.max("n")).first()[0] // 300)
+
+
+def test_mirrored_pairs_are_made_once(spark):
+    """e4_matrix: both sides of a pair come from one pass over the pairs."""
+    p = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25)], "left_item_id long, right_item_id long, similarity double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    once = p.coalesce(1).mapInArrow(count, p.schema)
+    assert sorted(map(tuple, similarity.mirrored(once).collect())) == [(1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.5), (3, 1, 0.25)]
+    assert seen.value == 2
