@@ -430,3 +430,13 @@ def test_mirrored_pairs_are_made_once(spark):
     once = p.coalesce(1).mapInArrow(count, p.schema)
     assert sorted(map(tuple, similarity.mirrored(once).collect())) == [(1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.5), (3, 1, 0.25)]
     assert seen.value == 2
+
+
+def test_outliers_without_pairs(spark, vectors, monkeypatch):
+    """e6_outliers: sums made beside the products give what the pairs give, ids that stand twice and lone items included."""
+    v = vectors[0].union(spark.createDataFrame([(7, "large", [0.5] * 16), (5000, "lone", [1.0] * 16), (5001, "wide", [1.5e6] * 16), (5002, "wide", [2.5] * 16)], vectors[0].schema))
+    monkeypatch.setattr(similarity, "STRIP", 150)
+    wanted = sorted(map(tuple, similarity.outliers(v, similarity.pairs(v)).collect()), key=str)
+    monkeypatch.setattr(similarity, "pairs", None)
+    assert sorted(map(tuple, similarity.outliers(v).collect()), key=str) == wanted
+    assert (5000, "lone", 0, None, None, None) in wanted
