@@ -440,3 +440,17 @@ def test_outliers_without_pairs(spark, vectors, monkeypatch):
     monkeypatch.setattr(similarity, "pairs", None)
     assert sorted(map(tuple, similarity.outliers(v).collect()), key=str) == wanted
     assert (5000, "lone", 0, None, None, None) in wanted
+
+
+def test_bundle_counts_without_pairs(spark, vectors, monkeypatch):
+    """e8_bundle_counts: counts need no pairs; those of the bundle's other tables are the same."""
+    v, rows = vectors
+    both = v.union(spark.createDataFrame([(7, "large", [0.5] * 16), (7, "large", [0.25] * 16)], v.schema))
+    n = similarity.bundle(both)["pairs"].count()
+    pairs = similarity.pairs(v, threshold=0.97)
+    wanted = sorted(map(str, similarity.clusters(pairs, v, 0.97).collect()))
+    assert wanted and sorted(map(str, similarity.bundle(v, threshold=0.97)["clusters"].collect())) == wanted
+    monkeypatch.setattr(similarity, "pairs", None)
+    assert tuple(similarity.bundle(both)["counts"].first()) == (len(rows) + 2, n)
+    assert similarity.bundle(v, same_group=False)["counts"].first()["pair_count"] == len(_every(rows, -9, False))
+    assert similarity.bundle(v.limit(0))["counts"].first()["pair_count"] == 0
