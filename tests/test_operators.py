@@ -513,3 +513,25 @@ def test_page_titles_cut_inside_a_reference(spark):
     html = "<html><head><title>Für&amp;&amp;&amp der &quo</title></head><body><p>x</p></body></html>"
     nodes = pages.parse_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
     assert pages.books(nodes).first()["page_title"] == "Für&&&amp der &quo"
+
+
+def test_combo_details_make_the_usage_once(spark):
+    """The usage is read for members, experiments, derived combos and their summaries, but made once."""
+    members = "members array<struct<role:string,prompt_id:long,prompt_title:string>>"
+    usage = spark.createDataFrame(
+        [("a", [("user", 1, "x")], [7], ["b"], "draft", 2, False), ("b", [], [], [], "draft", 0, True)],
+        f"combo_id string, {members}, experiment_ids array<long>, derived_combo_ids array<string>, status string, run_count long, is_archived boolean",
+    ).coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    prompts = spark.createDataFrame([(1, "x", "t", 0, 1, 1, 0, False)], "id long, title string, type string, child_count int, combo_count int, experiment_count int, depth int, is_archived boolean")
+    counts = ", ".join(f"{c}_count int" for c in ("combo", "tested_combo", "untested_combo", "missing_combo", "run"))
+    experiments = spark.createDataFrame([(7, 1, 0, 1, 0, 0, False)], f"experiment_id long, {counts}, is_archived boolean")
+    rows = registry.combo_details(usage.mapInArrow(count, usage.schema), prompts, experiments).collect()
+    assert sorted((r["combo_id"], r["part"], r["key"]) for r in rows) == [("a", "derived", "b"), ("a", "experiment", "7"), ("a", "prompt", "1")]
+    assert seen.value == 2
